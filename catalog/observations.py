@@ -232,9 +232,9 @@ def _(t):
 
 
 @query("latest_answer_list", """
-WITH e AS (SELECT person_id, o.concept_id, encounter_id, max(obs_datetime) AS at, string_agg(DISTINCT label, ' | ' ORDER BY label) AS lst
+WITH e AS (SELECT person_id, o.concept_id, encounter_id, max(obs_datetime) AS seen, string_agg(DISTINCT label, ' | ' ORDER BY label) AS lst
   FROM pobs o LEFT JOIN label_en l ON value_coded = l.concept_id WHERE NOT voided AND o.concept_id IN (3, 4) GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY person_id, concept_id ORDER BY at DESC, encounter_id DESC) AS n FROM e)
+r AS (SELECT *, row_number() OVER (PARTITION BY person_id, concept_id ORDER BY seen DESC, encounter_id DESC) AS n FROM e)
 SELECT person_id, max(CASE WHEN concept_id = 3 THEN lst END) AS education, max(CASE WHEN concept_id = 4 THEN lst END) AS referral FROM r WHERE n = 1 GROUP BY person_id
 """)
 def _(t):

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from catalog import dictionary, observations, sources_filters  # noqa: F401
+from catalog import dictionary, joins, observations, sources_filters  # noqa: F401
 from catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

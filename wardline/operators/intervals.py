@@ -33,8 +33,8 @@ def interval_contains(
     earlier = earlier.groupBy(event_id).agg(F.max(rank).alias("_before"))
     found = F.coalesce(F.col("_in"), F.col("_before"))
     return (
-        events.join(inside, event_id, "left").join(earlier, event_id, "left")
-        .select(*[events[c] for c in events.columns], *[found[c].alias(c) for c in (span_id, start, stop)])
+        events.alias("e").join(inside, event_id, "left").join(earlier, event_id, "left")
+        .select(*[F.col(f"e.{c}") for c in events.columns], *[found[c].alias(c) for c in (span_id, start, stop)])
     )
 
 

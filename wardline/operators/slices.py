@@ -33,9 +33,13 @@ def slice_number(at: Column, unit: str = "month") -> Column:
     return F.coalesce(number, F.lit(-(2**31))).cast("long")
 
 
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Null-safe equality on every column."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+def _match(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on null-safe equality of the columns; sides are read as ``l`` and ``r``.
+
+    Both sides often descend from the same table, so columns go by alias.
+    """
+    test = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+    return left.alias("l").join(right.alias("r"), reduce(lambda a, b: a & b, test), how)
 
 
 def number_rows(
@@ -57,9 +61,9 @@ def number_rows(
         .withColumn("_all", F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
     local = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(at, *order)))
-    joined = local.join(counts, same(local, counts, keys))
+    joined = _match(local, counts, keys)
     out = joined.select(
-        *[local[c] for c in df.columns],
+        *[F.col(f"l.{c}") for c in df.columns],
         (F.col("_before") + F.col("_at")).alias(asc),
         *([(F.col("_all") - F.col("_before") - F.col("_at") + 1).alias(desc)] if desc else []),
     )
@@ -82,10 +86,10 @@ def previous_values(
         *keys, F.lag("_last.v").over(Window.partitionBy(*by).orderBy(_SLICE)).alias("_carry")
     )
     local = cut.withColumn("_prev", F.lag(packed).over(Window.partitionBy(*keys).orderBy(at, *order)))
-    joined = local.join(carry, same(local, carry, keys))
+    joined = _match(local, carry, keys)
     previous = F.coalesce(F.col("_prev"), F.col("_carry"))
     return joined.select(
-        *[local[c] for c in df.columns],
+        *[F.col(f"l.{c}") for c in df.columns],
         *[previous[c].alias(f"{prefix}{c}") for c in columns],
     )
 
@@ -133,7 +137,7 @@ def asof_backward(
         Window.unboundedPreceding, Window.currentRow
     )
     found = both.withColumn("_here", F.last("_pick", ignorenulls=True).over(seen)).filter(F.col("_event").isNotNull())
-    joined = found.join(carry, same(found, carry, keys), "left")
+    joined = _match(found, carry, keys, "left")
     best = F.coalesce(F.col("_here"), F.col("_carry"))["v"]
     return joined.select("_event.*", *[best[c].alias(c) for c in take])
 
@@ -162,15 +166,16 @@ def range_join(
         "_span_slice", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
     )
     spread = points.withColumn(_SLICE, F.least(slice_number(F.col(at), unit), edge))
+    time, opened, closed = F.col(f"p.{at}"), F.col(f"s.{start}"), F.col(f"s.{stop}")
     condition = (
-        reduce(lambda a, b: a & b, [spread[c] == cut[c] for c in by])
-        & (spread[_SLICE] == cut["_span_slice"])
-        & (when(spread[at]) >= when(cut[start]))
-        & (cut[stop].isNull() | (when(spread[at]) <= when(cut[stop])))
+        reduce(lambda a, b: a & b, [F.col(f"p.{c}") == F.col(f"s.{c}") for c in by])
+        & (F.col(f"p.{_SLICE}") == F.col("s._span_slice"))
+        & (when(time) >= when(opened))
+        & (closed.isNull() | (when(time) <= when(closed)))
     )
-    joined = spread.join(cut, condition, how)
+    joined = spread.alias("p").join(cut.alias("s"), condition, how)
     shared = set(by)
     return joined.select(
-        *[spread[c] for c in points.columns],
-        *[cut[c] for c in spans.columns if c not in shared],
+        *[F.col(f"p.{c}") for c in points.columns],
+        *[F.col(f"s.{c}") for c in spans.columns if c not in shared],
     )
