@@ -261,7 +261,7 @@ def definitions(d) -> dict[str, str]:
             "WHEN c_acctbal > 5000 THEN r_name || '|' || n_name || '|' || c_mktsegment ELSE r_name || '|' || n_name || '|' || c_mktsegment || '|' || c_name || '|' END AS country, "
             "n_name AS county_district FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
         ),
-        "similar": (
+        "lookalike": (
             "SELECT c_custkey AS person_id, c_nationkey AS village, c_mktsegment AS section, "
             "CASE WHEN c_acctbal < 0 THEN NULL ELSE substring(c_name, length(c_name), 1) END AS mothers_first_name, "
             "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey % 400 AS STRING) END AS phone FROM customer"

@@ -99,15 +99,6 @@ def sufficient_fields(weights: Mapping[str, int], threshold: int) -> list[tuple[
     return found
 
 
-def agreement(left: str, right: str, weights: Mapping[str, int]) -> Column:
-    """Weighted sum over the fields both sides have and agree on."""
-    total = F.lit(0)
-    for field, weight in weights.items():
-        equal = F.coalesce(F.col(f"{left}.{field}") == F.col(f"{right}.{field}"), F.lit(False))
-        total = total + F.when(equal, weight).otherwise(0)
-    return total
-
-
 def similar_patients(
     persons: DataFrame, weights: Mapping[str, int] = SIMILARITY_WEIGHTS, threshold: int = 5, person: str = "person_id",
 ) -> DataFrame:
@@ -143,36 +134,3 @@ def similar_patients(
         out = out.unionByName(part)
     return out
 
-
-def similar_to(
-    candidates: DataFrame, persons: DataFrame, weights: Mapping[str, int] = SIMILARITY_WEIGHTS, threshold: int = 5, person: str = "person_id",
-) -> DataFrame:
-    """Registered persons similar to each new registration, with their scores.
-
-    One equi-join per sufficient set; a pair found by several sets is listed under
-    the first only, so no distinct is needed.
-    """
-    parts = []
-    earlier: list[tuple[str, ...]] = []
-    for fields in sufficient_fields(weights, threshold):
-        left, right = candidates.alias("c"), persons.alias("p")
-        condition = F.col(f"c.{person}") != F.col(f"p.{person}")
-        for field in fields:
-            condition = condition & (F.col(f"c.{field}") == F.col(f"p.{field}"))
-        pairs = left.join(right, condition)
-        for known in earlier:
-            agreed = F.lit(True)
-            for field in known:
-                agreed = agreed & F.coalesce(F.col(f"c.{field}") == F.col(f"p.{field}"), F.lit(False))
-            pairs = pairs.filter(~agreed)
-        parts.append(
-            pairs.select(
-                F.col(f"c.{person}").alias("candidate_id"), F.col(f"p.{person}").alias(person),
-                agreement("c", "p", weights).alias("score"),
-            )
-        )
-        earlier.append(fields)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
