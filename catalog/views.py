@@ -119,10 +119,10 @@ def definitions(d) -> dict[str, str]:
             f"{d.plus_days(d.ts('2020-01-01 00:00:00'), 'c_custkey % 500')} AS date_created, c_mktsegment = 'FURNITURE' AS voided, "
             "r_name AS country, n_name AS county_district, c_mktsegment AS state_province, "
             "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'V' || CAST(c_nationkey AS STRING) END AS city_village, "
-            "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS address1, 'near ' || n_name AS address2 "
+            "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS address1, 'near ' || n_name AS address2, 'zone ' || CAST(c_nationkey AS STRING) AS address3 "
             "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey "
             f"UNION ALL SELECT c_custkey * 2 + 1, c_custkey, c_acctbal > 6000, {d.plus_days(d.ts('2020-06-01 00:00:00'), 'c_custkey % 90')}, "
-            "c_acctbal < 0, 'ASIA', n_name, 'second', 'V2', 'line', 'mark' FROM customer JOIN nation ON c_nationkey = n_nationkey"
+            "c_acctbal < 0, 'ASIA', n_name, 'second', 'V2', 'line', 'mark', 'zone' FROM customer JOIN nation ON c_nationkey = n_nationkey"
         ),
         "person_attribute": (
             "SELECT c_custkey * 4 AS person_attribute_id, c_custkey AS person_id, 'phone' AS attribute_type, "
@@ -195,6 +195,21 @@ def definitions(d) -> dict[str, str]:
             "UNION ALL SELECT DISTINCT obs_group_id, encounter_id, CAST(101 + obs_group_id % 10 AS INT), CAST(NULL AS BIGINT), "
             f"{null_ts}, {null_int}, {null_dbl}, {null_str} FROM obs WHERE obs_group_id IS NOT NULL"
         ),
+        # the same with every column, as reports read them
+        "robs": (
+            "SELECT obs_id, encounter_id, concept_id, obs_group_id, obs_datetime, date_created, value_coded, value_numeric, value_text, value_datetime, value_drug, comments, voided FROM obs "
+            "UNION ALL SELECT DISTINCT obs_group_id, encounter_id, CAST(101 + obs_group_id % 10 AS INT), CAST(NULL AS BIGINT), "
+            f"{null_ts}, {null_ts}, {null_int}, {null_dbl}, {null_str}, {null_ts}, {null_int}, {null_str}, FALSE FROM obs WHERE obs_group_id IS NOT NULL"
+        ),
+        "probs": "SELECT robs.*, encounter.patient_id AS person_id FROM robs JOIN encounter ON robs.encounter_id = encounter.encounter_id",
+        "encounter_type": "SELECT DISTINCT o_orderpriority AS encounter_type_id, lower(o_orderpriority) AS name FROM orders",
+        "program": "SELECT CAST(r_regionkey AS INT) AS program_id, r_name AS name FROM region",
+        "birth_name": (
+            "SELECT concept_id, locale, name FROM concept_name WHERE concept_id < 311 OR concept_id > 323 "
+            "UNION ALL SELECT CAST(321 + r_regionkey AS INT), 'en', CASE r_regionkey WHEN 0 THEN 'Livebirth' WHEN 1 THEN 'Fresh Stillbirth' ELSE 'Macerated Stillbirth' END FROM region WHERE r_regionkey < 3 "
+            "UNION ALL SELECT CAST(311 + r_regionkey AS INT), 'en', r_name FROM region"
+        ),
+        "birth_label": "SELECT concept_id, min(name) AS label FROM birth_name WHERE locale = 'en' GROUP BY concept_id",
         "orders_placed": (
             f"SELECT {obs_id} AS order_id, l_orderkey AS encounter_id, CAST(l_partkey % 40 AS INT) AS concept_id, "
             "CAST(l_linenumber % 2 AS INT) AS order_type_id, l_returnflag = 'R' AS voided FROM lineitem"

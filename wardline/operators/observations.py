@@ -235,21 +235,55 @@ def group_values(obs: DataFrame, wants: Sequence[Want], label_table: DataFrame |
     return collect_obs(obs.filter(F.col("obs_group_id").isNotNull()), "obs_group_id", wants, label_table)
 
 
+def first_obs(column: str, concept) -> Want:
+    """Lowest observation id of a question."""
+    return Want(column, "min", _ids(concept), "obs_id")
+
+
 def construct_children(
     obs: DataFrame, parents: Mapping[str, object], wants: Sequence[Want],
-    key: str = "encounter_id", label_table: DataFrame | None = None,
+    key: str = "encounter_id", label_table: DataFrame | None = None, first_only: bool = False,
 ) -> DataFrame:
-    """Wanted child values per key and named parent construct, as ``<parent>_<column>``."""
-    names = {concept: name for name, concept in parents.items()}
-    heads = obs.filter(F.col("concept_id").isin(list(names))).select(
-        F.col("obs_id").alias("obs_group_id"), F.col("concept_id").alias("_construct")
-    )
+    """Wanted child values per key and named parent construct, as ``<parent>_<column>``.
+
+    ``first_only`` reads only the first construct of each kind per key.
+    """
+    heads = obs.filter(F.col("concept_id").isin(list(parents.values())))
+    if first_only:
+        heads = heads.groupBy(key, "concept_id").agg(F.min("obs_id").alias("obs_id"))
+    heads = heads.select(F.col("obs_id").alias("obs_group_id"), F.col("concept_id").alias("_construct"))
     children = obs.join(heads, "obs_group_id")
     per_construct = collect_obs(children, [key, "_construct"], wants, label_table)
     return per_construct.groupBy(key).agg(
         *[
             F.max(F.when(F.col("_construct") == concept, F.col(want.column))).alias(f"{name}_{want.column}")
-            for concept, name in names.items()
+            for name, concept in parents.items()
+            for want in wants
+        ]
+    )
+
+
+def answer_led_values(
+    obs: DataFrame, key: str, leads: Mapping[str, tuple], wants: Sequence[Want], label_table: DataFrame | None = None,
+) -> DataFrame:
+    """Values of the group that holds each (question, answer), as ``<lead>_<column>``.
+
+    All leads share one join with the group values and one pivot; when several
+    groups hold the answer the lowest group id is read.
+    """
+    grouped = obs.filter(F.col("obs_group_id").isNotNull())
+    answers = sorted({a for _, a in leads.values()})
+    questions = sorted({q for q, _ in leads.values()})
+    found = (
+        grouped.filter(F.col("concept_id").isin(questions) & F.col("value_coded").isin(answers))
+        .groupBy(key, F.col("concept_id").alias("_question"), F.col("value_coded").alias("_answer"))
+        .agg(F.min("obs_group_id").alias("obs_group_id"))
+    )
+    rows = found.join(collect_obs(grouped, [key, "obs_group_id"], wants, label_table), [key, "obs_group_id"], "left")
+    return rows.groupBy(key).agg(
+        *[
+            F.max(F.when((F.col("_question") == q) & (F.col("_answer") == a), F.col(want.column))).alias(f"{name}_{want.column}")
+            for name, (q, a) in leads.items()
             for want in wants
         ]
     )
