@@ -29,7 +29,7 @@ class Want:
     answers: tuple = ()
     separator: str = " | "
     top_level: bool = False
-    since: object = None
+    since: bool = False
 
     def top(self) -> "Want":
         """The same, reading only observations outside any group."""
@@ -110,20 +110,40 @@ def group_of(column: str, concept, answer) -> Want:
     return Want(column, "min", _ids(concept), "obs_group_id", _ids(answer))
 
 
-def _hit(want: Want) -> Column:
-    hit = F.col("concept_id").isin(list(want.concepts))
-    if want.answers and want.how != "yes_no":
-        hit = hit & F.col("value_coded").isin(list(want.answers))
-    if want.top_level:
-        hit = hit & F.col("obs_group_id").isNull()
-    if want.since is not None:
-        hit = hit & (F.col("obs_datetime") >= want.since)
-    return hit
+def preferred(column: str, concept, answers: Sequence) -> Want:
+    """Label of the answer that comes first in a preference list."""
+    return Want(column, "preferred", _ids(concept), "label", _ids(answers))
+
+
+def section(column: str, questions: Sequence = (), answers: Sequence = ()) -> Want:
+    """True when any of the questions, or any of the answers to any question, occurs; else null."""
+    return Want(column, "section", _ids(questions), answers=_ids(answers))
+
+
+def yes_questions(column: str, questions: Sequence, yes, separator: str = "|") -> Want:
+    """Labels of the ungrouped questions answered yes."""
+    return Want(column, "list", _ids(questions), "question_label", _ids(yes), separator, top_level=True)
 
 
-def _latest(hit: Column, field: str, order: Sequence[str]) -> Column:
-    ranked = F.struct(*order, F.col(field).alias("_value"))
-    return F.max(F.when(hit & F.col(field).isNotNull(), ranked))["_value"]
+def _literal(value) -> str:
+    if isinstance(value, bool) or value is None or isinstance(value, (int, float)):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _among(column: str, values: Sequence) -> str:
+    return f"{column} IN ({', '.join(_literal(v) for v in values)})"
+
+
+def _hit(want: Want) -> str:
+    tests = [_among("concept_id", want.concepts)]
+    if want.answers and want.how != "yes_no":
+        tests.append(_among("value_coded", want.answers))
+    if want.top_level:
+        tests.append("obs_group_id IS NULL")
+    if want.since:
+        tests.append("_recent")
+    return " AND ".join(tests)
 
 
 def joined_labels(collected: Column, separator: str) -> Column:
@@ -131,27 +151,73 @@ def joined_labels(collected: Column, separator: str) -> Column:
     return F.when(F.size(collected) > 0, F.array_join(F.array_sort(collected), separator))
 
 
-def _compile(want: Want, order: Sequence[str]) -> Column:
-    hit = _hit(want)
+def want_column(want: Want, order: Sequence[str] = OBS_ORDER) -> Column:
+    """The aggregate of one want.
+
+    Written as SQL text: a report has hundreds of these, and one parsed expression
+    each builds far faster than a dozen column calls.
+    """
+    field = want.field
     if want.how == "latest":
-        out = _latest(hit, want.field, order)
+        text = (
+            f"max(CASE WHEN {_hit(want)} AND {field} IS NOT NULL THEN "
+            f"named_struct({', '.join(f'{_literal(o)}, {o}' for o in order)}, '_value', {field}) END)._value"
+        )
     elif want.how in ("max", "min"):
-        out = getattr(F, want.how)(F.when(hit, F.col(want.field)))
+        text = f"{want.how}(CASE WHEN {_hit(want)} THEN {field} END)"
     elif want.how == "list":
-        out = joined_labels(F.collect_set(F.when(hit, F.col(want.field))), want.separator)
+        collected = f"collect_set(CASE WHEN {_hit(want)} THEN {field} END)"
+        text = f"CASE WHEN size({collected}) > 0 THEN array_join(array_sort({collected}), {_literal(want.separator)}) END"
     elif want.how == "yes_no":
-        yes, no = want.answers
-        answer = F.col("value_coded")
-        out = F.max(F.when(hit & (answer == yes), True).when(hit & (answer == no), False))
+        yes, no = (_literal(v) for v in want.answers)
+        text = f"max(CASE WHEN {_hit(want)} THEN CASE value_coded WHEN {yes} THEN true WHEN {no} THEN false END END)"
     elif want.how == "answered":
-        out = F.coalesce(F.bool_or(hit), F.lit(False))
+        text = f"coalesce(bool_or({_hit(want)}), false)"
     elif want.how == "answered_or_null":
-        out = F.bool_or(F.when(hit, True))
+        text = f"bool_or(CASE WHEN {_hit(want)} THEN true END)"
     elif want.how == "count":
-        out = F.count_if(hit)
+        text = f"count_if({_hit(want)})"
+    elif want.how == "preferred":
+        ranks = " ".join(f"WHEN {_literal(v)} THEN {i}" for i, v in enumerate(want.answers))
+        text = f"min(CASE WHEN {_hit(want)} THEN struct(CASE value_coded {ranks} END, obs_id, label) END).label"
+    elif want.how == "section":
+        tests = [_among("concept_id", want.concepts)] if want.concepts else []
+        tests += [f"coalesce({_among('value_coded', want.answers)}, false)"] if want.answers else []
+        text = f"bool_or(CASE WHEN {' OR '.join(tests)} THEN true END)"
     else:
         raise ValueError(f"unknown pick {want.how!r}")
-    return out.alias(want.column)
+    return F.expr(text).alias(want.column)
+
+
+def _columns_read(wants: Sequence[Want], order: Sequence[str]) -> set[str]:
+    read = {"concept_id"}
+    for want in wants:
+        if want.how == "latest":
+            read.update(order)
+        if want.how == "preferred":
+            read.add("obs_id")
+        if want.field and want.field not in ("label", "question_label"):
+            read.add(want.field)
+        if want.answers or want.field == "label":
+            read.add("value_coded")
+        if want.top_level:
+            read.add("obs_group_id")
+        if want.since:
+            read.add("obs_datetime")
+    return read
+
+
+def _labelled(rows: DataFrame, wants: Sequence[Want], label_table: DataFrame | None) -> DataFrame:
+    """Add the label columns the wants read."""
+    if any(want.field in ("label", "question_label") for want in wants) and label_table is None:
+        raise ValueError("labels are wanted but no label table was given")
+    if any(want.field == "label" for want in wants):
+        rows = with_labels(rows, label_table)
+    questions = sorted({c for want in wants if want.field == "question_label" for c in want.concepts})
+    if questions:
+        asked = label_table.filter(F.col("concept_id").isin(questions))
+        rows = with_labels(rows, asked, on="concept_id", out="question_label")
+    return rows
 
 
 def obs_subset(obs: DataFrame, anchors: DataFrame, key: str = "encounter_id") -> DataFrame:
@@ -166,33 +232,22 @@ def with_labels(obs: DataFrame, label_table: DataFrame, on: str = "value_coded",
 
 def collect_obs(
     obs: DataFrame, key: str | Sequence[str], wants: Sequence[Want],
-    label_table: DataFrame | None = None, order: Sequence[str] = OBS_ORDER,
+    label_table: DataFrame | None = None, order: Sequence[str] = OBS_ORDER, since: Column | None = None,
 ) -> DataFrame:
     """One row per key with every wanted column, in one aggregate.
 
     Only the questions asked for are read, so the concept filter and the column
-    list reach the scan.
+    list reach the scan (a section with answers looks at every question).
+    ``since`` is the earliest time for wants that carry the ``since`` mark.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    concepts = sorted({c for want in wants for c in want.concepts})
-    needed = {"concept_id", *keys}
-    for want in wants:
-        if want.how == "latest":
-            needed.update(order)
-        if want.field and want.field != "label":
-            needed.add(want.field)
-        if want.answers or want.field == "label":
-            needed.add("value_coded")
-        if want.top_level:
-            needed.add("obs_group_id")
-        if want.since is not None:
-            needed.add("obs_datetime")
-    rows = obs.filter(F.col("concept_id").isin(concepts)).select(*sorted(needed))
-    if any(want.field == "label" for want in wants):
-        if label_table is None:
-            raise ValueError("labels are wanted but no label table was given")
-        rows = with_labels(rows, label_table)
-    return rows.groupBy(*keys).agg(*[_compile(want, order) for want in wants])
+    if not any(want.how == "section" and want.answers for want in wants):
+        obs = obs.filter(F.col("concept_id").isin(sorted({c for want in wants for c in want.concepts})))
+    rows = obs.select(*sorted(_columns_read(wants, order) | set(keys)))
+    if since is not None:
+        rows = rows.withColumn("_recent", F.col("obs_datetime") >= since)
+    rows = _labelled(rows, wants, label_table)
+    return rows.groupBy(*keys).agg(*[want_column(want, order) for want in wants])
 
 
 def fill_absent(df: DataFrame, wants: Sequence[Want]) -> DataFrame:
@@ -242,75 +297,92 @@ def first_obs(column: str, concept) -> Want:
 
 def construct_children(
     obs: DataFrame, parents: Mapping[str, object], wants: Sequence[Want],
-    key: str = "encounter_id", label_table: DataFrame | None = None, first_only: bool = False,
+    key: str = "encounter_id", label_table: DataFrame | None = None,
 ) -> DataFrame:
     """Wanted child values per key and named parent construct, as ``<parent>_<column>``.
 
-    ``first_only`` reads only the first construct of each kind per key.
+    Children of all constructs of a kind are read together; ``group_matrix`` reads
+    the first construct of each kind.
     """
     heads = obs.filter(F.col("concept_id").isin(list(parents.values())))
-    if first_only:
-        heads = heads.groupBy(key, "concept_id").agg(F.min("obs_id").alias("obs_id"))
     heads = heads.select(F.col("obs_id").alias("obs_group_id"), F.col("concept_id").alias("_construct"))
     children = obs.join(heads, "obs_group_id")
     per_construct = collect_obs(children, [key, "_construct"], wants, label_table)
     return per_construct.groupBy(key).agg(
         *[
-            F.max(F.when(F.col("_construct") == concept, F.col(want.column))).alias(f"{name}_{want.column}")
+            F.expr(f"max(CASE WHEN _construct = {_literal(concept)} THEN {want.column} END)").alias(f"{name}_{want.column}")
             for name, concept in parents.items()
             for want in wants
         ]
     )
 
 
-def answer_led_values(
-    obs: DataFrame, key: str, leads: Mapping[str, tuple], wants: Sequence[Want], label_table: DataFrame | None = None,
+def group_matrix(
+    obs: DataFrame, key: str, wants: Sequence[Want], constructs: Mapping[str, object] | None = None,
+    leads: Mapping[str, tuple] | None = None, drugs: Mapping[str, object] | None = None,
+    label_table: DataFrame | None = None, order: Sequence[str] = OBS_ORDER,
 ) -> DataFrame:
-    """Values of the group that holds each (question, answer), as ``<lead>_<column>``.
+    """Values of chosen observation groups side by side, as ``<name>_<column>``.
 
-    All leads share one join with the group values and one pivot; when several
-    groups hold the answer the lowest group id is read.
+    A group is chosen by the concept of its head row (``constructs``), by a
+    (question, answer) it holds (``leads``) or by a drug it names (``drugs``); of
+    several groups the one with the lowest id is read.  Any number of names costs
+    one read of the observations and two aggregates: by group, then by key.
     """
-    grouped = obs.filter(F.col("obs_group_id").isNotNull())
-    answers = sorted({a for _, a in leads.values()})
-    questions = sorted({q for q, _ in leads.values()})
-    found = (
-        grouped.filter(F.col("concept_id").isin(questions) & F.col("value_coded").isin(answers))
-        .groupBy(key, F.col("concept_id").alias("_question"), F.col("value_coded").alias("_answer"))
-        .agg(F.min("obs_group_id").alias("obs_group_id"))
-    )
-    rows = found.join(collect_obs(grouped, [key, "obs_group_id"], wants, label_table), [key, "obs_group_id"], "left")
-    return rows.groupBy(key).agg(
-        *[
-            F.max(F.when((F.col("_question") == q) & (F.col("_answer") == a), F.col(want.column))).alias(f"{name}_{want.column}")
-            for name, (q, a) in leads.items()
-            for want in wants
-        ]
+    constructs, leads, drugs = constructs or {}, leads or {}, drugs or {}
+    heads = sorted(set(constructs.values()))
+    questions = sorted({c for want in wants for c in want.concepts} | {q for q, _ in leads.values()})
+    read = _columns_read(wants, order) | {key, "obs_group_id", "obs_id"}
+    if leads:
+        read.add("value_coded")
+    needed = _among("concept_id", [*questions, *heads])
+    if drugs:
+        read.add("value_drug")
+        needed = f"{needed} OR {_among('value_drug', sorted(set(drugs.values())))}"
+    rows = obs.filter(F.expr(needed)).select(*sorted(read))
+    if heads:
+        # A head row stands for its own group, and for its parent's as any child does.
+        as_child = "CASE WHEN obs_group_id IS NOT NULL THEN struct(obs_group_id AS gid, concept_id AS question, CAST(NULL AS INT) AS head) END"
+        as_head = f"CASE WHEN {_among('concept_id', heads)} THEN struct(obs_id AS gid, CAST(NULL AS INT) AS question, concept_id AS head) END"
+        rows = rows.withColumn("_cell", F.expr(f"explode(array_compact(array({as_child}, {as_head})))"))
+        rows = rows.withColumns({"_gid": F.col("_cell.gid"), "concept_id": F.col("_cell.question"), "_head": F.col("_cell.head")})
+    else:
+        rows = rows.filter(F.col("obs_group_id").isNotNull()).withColumn("_gid", F.col("obs_group_id"))
+    rows = _labelled(rows, wants, label_table)
+    facts = [want_column(want, order) for want in wants]
+    if heads:
+        facts.append(F.max("_head").alias("_head"))
+    for name, (question, answer) in leads.items():
+        facts.append(F.expr(f"bool_or(concept_id = {_literal(question)} AND value_coded = {_literal(answer)})").alias(f"_lead_{name}"))
+    if drugs:
+        listed = f"collect_set(CASE WHEN {_among('value_drug', sorted(set(drugs.values())))} THEN value_drug END)"
+        facts.append(F.expr(listed).alias("_drugs"))
+    groups = rows.groupBy(key, "_gid").agg(*facts)
+    chosen = {name: f"_head = {_literal(concept)}" for name, concept in constructs.items()}
+    chosen |= {name: f"_lead_{name}" for name in leads}
+    chosen |= {name: f"array_contains(_drugs, {_literal(value)})" for name, value in drugs.items()}
+    cell = ", ".join(["_gid", *[want.column for want in wants]])
+    picked = groups.groupBy(key).agg(
+        *[F.expr(f"min(CASE WHEN {test} THEN struct({cell}) END)").alias(f"_{name}") for name, test in chosen.items()]
     )
+    spread = picked.select(key, *[
+        F.col(f"_{name}.{want.column}").alias(f"{name}_{want.column}") for name in chosen for want in wants
+    ], F.coalesce(*[F.col(f"_{name}._gid") for name in chosen]).alias("_any"))
+    return spread.filter(F.col("_any").isNotNull()).drop("_any")
 
 
-def drug_attribute_matrix(
-    obs: DataFrame, key: str, drugs: Mapping[str, object], wants: Sequence[Want],
-    label_table: DataFrame | None = None, drug: str = "value_drug",
+def answer_led_values(
+    obs: DataFrame, key: str, leads: Mapping[str, tuple], wants: Sequence[Want], label_table: DataFrame | None = None,
 ) -> DataFrame:
-    """Attributes of the group naming each drug, as ``<drug>_<attribute>``.
+    """Values of the group that holds each (question, answer), as ``<lead>_<column>``."""
+    return group_matrix(obs, key, wants, leads=leads, label_table=label_table)
 
-    Two aggregates for any number of drugs: groups first, then drugs.  When
-    several groups name a drug the lowest group id gives the attributes.
-    """
-    grouped = obs.filter(F.col("obs_group_id").isNotNull())
-    attributes = collect_obs(grouped, [key, "obs_group_id"], wants, label_table)
-    named = grouped.filter(F.col(drug).isin(list(drugs.values()))).groupBy(key, drug).agg(
-        F.min("obs_group_id").alias("obs_group_id")
-    )
-    rows = named.join(attributes, [key, "obs_group_id"], "left")
-    return rows.groupBy(key).agg(
-        *[
-            F.max(F.when(F.col(drug) == value, F.col(want.column))).alias(f"{name}_{want.column}")
-            for name, value in drugs.items()
-            for want in wants
-        ]
-    )
+
+def drug_attribute_matrix(
+    obs: DataFrame, key: str, drugs: Mapping[str, object], wants: Sequence[Want], label_table: DataFrame | None = None,
+) -> DataFrame:
+    """Attributes of the group naming each drug, as ``<drug>_<attribute>``."""
+    return group_matrix(obs, key, wants, drugs=drugs, label_table=label_table)
 
 
 def ranked_answers(obs: DataFrame, key: str, wants: Mapping[str, object], n: int, label_table: DataFrame) -> DataFrame:
@@ -325,7 +397,7 @@ def ranked_answers(obs: DataFrame, key: str, wants: Mapping[str, object], n: int
     rows = with_labels(rows, label_table)
     return rows.groupBy(key).agg(
         *[
-            F.max(F.when((F.col("concept_id") == concept) & (F.col("_n") == i), F.col("label"))).alias(f"{name}_{i}")
+            F.expr(f"max(CASE WHEN concept_id = {_literal(concept)} AND _n = {i} THEN label END)").alias(f"{name}_{i}")
             for name, concept in wants.items()
             for i in range(1, n + 1)
         ]
@@ -369,8 +441,8 @@ def latest_answer_lists(
 
 def answer_ever(obs: DataFrame, person: str, wants: Mapping[str, tuple], since: Column | None = None) -> DataFrame:
     """Per person, whether each (question, answer) was ever recorded."""
-    picks = [replace(answered(name, q, a), since=since) for name, (q, a) in wants.items()]
-    return collect_obs(obs, person, picks)
+    picks = [replace(answered(name, q, a), since=since is not None) for name, (q, a) in wants.items()]
+    return collect_obs(obs, person, picks, since=since)
 
 
 def latest_before_encounter(
@@ -405,15 +477,8 @@ def category_symptoms(
 
 def section_populated(obs: DataFrame, key: str, sections: Mapping[str, Mapping[str, Sequence]]) -> DataFrame:
     """Per section, true when any of its questions or answers occurs, else null."""
-    flags = []
-    for name, rule in sections.items():
-        hit = F.lit(False)
-        if rule.get("questions"):
-            hit = hit | F.col("concept_id").isin(list(rule["questions"]))
-        if rule.get("answers"):
-            hit = hit | F.coalesce(F.col("value_coded").isin(list(rule["answers"])), F.lit(False))
-        flags.append(F.bool_or(F.when(hit, True)).alias(name))
-    return obs.groupBy(key).agg(*flags)
+    wants = [section(name, rule.get("questions", ()), rule.get("answers", ())) for name, rule in sections.items()]
+    return collect_obs(obs, key, wants)
 
 
 def risk_factors(
@@ -421,16 +486,13 @@ def risk_factors(
     out: str = "risk_factors", separator: str = "|",
 ) -> DataFrame:
     """Labels of the ungrouped questions answered yes."""
-    rows = toplevel_only(obs).filter((F.col("value_coded") == yes) & F.col("concept_id").isin(list(questions)))
-    rows = with_labels(rows.select(key, "concept_id").distinct(), label_table, on="concept_id")
-    return rows.groupBy(key).agg(joined_labels(F.collect_set("label"), separator).alias(out))
+    rows = collect_obs(obs, key, [yes_questions(out, questions, yes, separator)], label_table)
+    return rows.filter(F.col(out).isNotNull())
 
 
 def first_by_preference(
     obs: DataFrame, key: str, question, preference: Sequence, label_table: DataFrame, out: str,
 ) -> DataFrame:
     """Label of the answer ranked highest in a preference list."""
-    place = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("value_coded"))
-    rows = obs.filter((F.col("concept_id") == question) & F.col("value_coded").isin(list(preference)))
-    rows = with_labels(rows.select(key, "obs_id", "value_coded", place.alias("_place")), label_table)
-    return rows.groupBy(key).agg(F.min(F.struct("_place", "obs_id", "label"))["label"].alias(out))
+    rows = obs.filter(F.col("value_coded").isin(list(preference)))
+    return collect_obs(rows, key, [preferred(out, question, preference)], label_table)

@@ -50,17 +50,18 @@ def maternal_register(clinic: Clinic, start=None, end=None) -> DataFrame:
     )
     obs = clinic.live_obs(anchors)
     wants = maternal_register_wants(codes)
-    rows = ob.register(anchors, obs, wants, label_table=clinic.labels)
     diagnoses = ob.construct_children(
         obs, {"initial": codes["prior_diagnosis_construct"], "final": codes["diagnosis_construct"]},
         _diagnosis_wants(codes), label_table=clinic.labels,
     )
-    rows = rows.join(diagnoses, "encounter_id", "left")
-    rows = clinic.with_identifiers(rows, ["emr_id"])
+    # Narrow lookups first: every join copies the columns gathered so far.
+    rows = clinic.with_identifiers(anchors, ["emr_id"])
     rows = clinic.with_address(rows, "address")
     rows = clinic.with_age(rows, "age_at_enc")
     rows = clinic.with_user(rows, "user_entered", "username")
     rows = clinic.with_location(rows, "encounter_location")
+    rows = rows.join(diagnoses, "encounter_id", "left")
+    rows = ob.register(rows, obs, wants, label_table=clinic.labels)
     return rows.select(
         "emr_id", "address", "age_at_enc", "encounter_id", "encounter_datetime", "user_entered", "date_entered",
         "encounter_location", *[w.column for w in wants], "initial_coded_diagnoses", "initial_noncoded_diagnosis",
@@ -103,24 +104,24 @@ def newborn_register(clinic: Clinic, start=None, end=None) -> DataFrame:
     )
     obs = clinic.live_obs(anchors)
     wants = newborn_register_wants(codes)
-    rows = ob.register(anchors, obs, wants, label_table=clinic.labels)
     prior = ob.construct_children(
         obs, {"prior": codes["prior_diagnosis_construct"]},
         [ob.answer_list("diagnoses_coded", codes["coded_diagnosis"], ","), ob.text("diagnoses_noncoded", codes["noncoded_diagnosis"])],
         label_table=clinic.labels,
     )
-    death = ob.construct_children(
-        obs, {"death": codes["death_construct"]},
+    death = ob.group_matrix(
+        obs, "encounter_id",
         [
             ob.when("datetime", codes["death_datetime"]), ob.answer_list("cause", codes["cause_of_death"]),
             ob.text("other_cause", codes["other_cause"]), ob.number("age_days", codes["age_days"]), ob.number("weight", codes["weight"]),
         ],
-        label_table=clinic.labels, first_only=True,
+        constructs={"death": codes["death_construct"]}, label_table=clinic.labels,
     )
-    rows = rows.join(prior, "encounter_id", "left").join(death, "encounter_id", "left")
-    rows = clinic.with_identifiers(rows, ["emr_id"])
+    rows = clinic.with_identifiers(anchors, ["emr_id"])
     rows = clinic.with_user(rows, "user_entered", "username")
     rows = clinic.with_location(rows, "encounter_location")
+    rows = rows.join(prior, "encounter_id", "left").join(death, "encounter_id", "left")
+    rows = ob.register(rows, obs, wants, label_table=clinic.labels)
     return rows.select(
         "emr_id", "encounter_id", "user_entered", "date_entered", "encounter_location", "arrival_datetime",
         *[w.column for w in wants if w.column != "_died"],
@@ -172,7 +173,6 @@ def delivery_form(clinic: Clinic) -> DataFrame:
     anchors = clinic.encounters("delivery").select("patient_id", "encounter_id", "encounter_datetime", "location_id")
     obs = clinic.live_obs(anchors)
     wants = delivery_form_wants(codes)
-    rows = ob.register(anchors, obs, wants, label_table=clinic.labels)
     # The first diagnosis by group, then by entry, with what its group says about it.
     lead = first_rows(
         obs.filter(F.col("concept_id") == codes["diagnosis"]), ["encounter_id"], ["obs_group_id", "date_created", "obs_id"], 1, "_n"
@@ -185,10 +185,11 @@ def delivery_form(clinic: Clinic) -> DataFrame:
         "encounter_id", "presumed_or_confirmed_diagnosis", F.col("_order").isNotNull().alias("primary_diagnosis"),
         F.col("_certainty").isNotNull().alias("confirmed_diagnoses"),
     )
-    rows = rows.join(lead, "encounter_id", "left").join(_pac_rows(clinic, obs), "encounter_id", "left")
-    rows = clinic.with_identifiers(rows, ["emr_id"])
+    rows = clinic.with_identifiers(anchors, ["emr_id"])
     rows = clinic.with_provider(rows, "provider")
     rows = clinic.with_location(rows, "location")
+    rows = rows.join(lead, "encounter_id", "left").join(_pac_rows(clinic, obs), "encounter_id", "left")
+    rows = ob.register(rows, obs, wants, label_table=clinic.labels)
     return rows.select(
         "emr_id", "provider", "location", F.to_date("encounter_datetime").alias("form_date"),
         F.lit(None).cast("date").alias("estimated_delivery_date"), F.lit(None).cast("double").alias("estimated_blood_loss"),
@@ -215,17 +216,17 @@ def delivery_register(clinic: Clinic, start, end) -> DataFrame:
     anchors = clinic.encounters("delivery_register", start, end).select("patient_id", "encounter_id", "location_id")
     obs = clinic.live_obs(anchors)
     wants = delivery_register_wants(codes)
-    rows = ob.register(anchors, obs, wants, label_table=clinic.labels)
     order = ["obs_group_id", "date_created", "obs_id"]
     coded = with_labels(obs.filter(F.col("concept_id") == codes["coded_diagnosis"]), clinic.labels)
     six = pivot_ranked(coded, ["encounter_id"], order, {"diagnosis": "label"}, 6)
     free = obs.filter(F.col("concept_id") == codes["noncoded_diagnosis"])
     two = pivot_ranked(free, ["encounter_id"], order, {"other": "value_text"}, 2)
-    rows = rows.join(six, "encounter_id", "left").join(two, "encounter_id", "left")
-    rows = rows.join(_pac_rows(clinic, obs), "encounter_id")
-    rows = clinic.with_identifiers(rows, ["emr_id"])
+    rows = clinic.with_identifiers(anchors, ["emr_id"])
     rows = clinic.with_provider(rows, "provider")
     rows = clinic.with_location(rows, "location")
+    rows = rows.join(_pac_rows(clinic, obs), "encounter_id")
+    rows = rows.join(six, "encounter_id", "left").join(two, "encounter_id", "left")
+    rows = ob.register(rows, obs, wants, label_table=clinic.labels)
     return rows.select(
         "emr_id", "provider", "location", "pac_type", *[w.column for w in wants],
         *[F.col(f"diagnosis_{i}").alias(f"initial_diagnosis_{i}") for i in (1, 2, 3)],

@@ -52,13 +52,13 @@ def outpatient_dispensing(
     # Latest occupation by person over all encounters of the listed patients.
     job = clinic.live_obs().filter(F.col("concept_id") == codes["occupation"]).join(people, "person_id", "left_semi")
     job = ob.collect_obs(job, "person_id", [ob.label("occupation", codes["occupation"])], clinic.labels)
-    rows = anchors.join(wide, "visit_id", "left").join(ranked, "visit_id", "left").join(matrix, "encounter_id", "left")
-    rows = dc.attach(rows, "patient_id", job, "person_id", {"occupation": "occupation"})
+    rows = dc.attach(anchors, "patient_id", job, "person_id", {"occupation": "occupation"})
     rows = clinic.with_age(rows, "age_at_encounter")
     rows = clinic.with_name(rows, "patient_name")
     rows = clinic.with_person(rows, {"gender": "gender"})
     rows = clinic.with_identifiers(rows, ["emr_id"])
     rows = clinic.with_address(rows, "patient_address")
+    rows = rows.join(wide, "visit_id", "left").join(ranked, "visit_id", "left").join(matrix, "encounter_id", "left")
     return rows.select(
         "patient_id", "visit_id", F.col("emr_id").alias("patient_primary_id"), F.col("encounter_id").alias("dispensing_encounter_id"),
         F.col("encounter_datetime").alias("dispensed_encounter_date"), "patient_name", "age_at_encounter", "gender",

@@ -75,12 +75,11 @@ def triage_export(clinic: Clinic, sets: Mapping[str, object], start=None, end=No
         "creator", "location_id",
     )
     obs = clinic.live_obs(anchors)
-    rows = ob.register(anchors, obs, triage_wants(clinic.codes), label_table=clinic.labels)
     symptoms = ob.category_symptoms(
         obs, "encounter_id", clinic.codes["triage_diagnosis"], clinic["concept_set"], sets, clinic.labels
     )
-    rows = rows.join(symptoms, "encounter_id", "left")
-    rows = clinic.with_identifiers(rows)
+    # Narrow lookups first: every join copies the columns gathered so far.
+    rows = clinic.with_identifiers(anchors)
     rows = clinic.with_registration(rows, "loc_registered")
     rows = clinic.with_attribute(rows, "unknown", "unknown_patient")
     rows = clinic.with_person(rows, {"gender": "gender"})
@@ -89,6 +88,8 @@ def triage_export(clinic: Clinic, sets: Mapping[str, object], start=None, end=No
     rows = clinic.with_location(rows, "encounter_location")
     rows = clinic.with_provider(rows, "provider")
     rows = clinic.with_user(rows, "user_entered")
+    rows = rows.join(symptoms, "encounter_id", "left")
+    rows = ob.register(rows, obs, triage_wants(clinic.codes), label_table=clinic.labels)
     rows = clinic.keyed(rows, "patient_id", "encounter_id", "visit_id")
     return rows.select(
         "patient_id", *clinic.identifiers, "encounter_id", "visit_id", "loc_registered", "unknown_patient", "gender",

@@ -63,20 +63,21 @@ def mental_health_encounters(clinic: Clinic, drugs: Mapping[str, int], diagnosis
     )
     obs = clinic.live_obs(anchors)
     wants = mental_health_wants(codes)
-    rows = ob.register(anchors, obs, wants, label_table=clinic.labels)
     # The first four answers that belong to the diagnosis set.
     members = clinic["concept_set"].filter(F.col("concept_set") == diagnosis_set).select(F.col("concept_id").alias("value_coded")).distinct()
     answers = obs.filter(F.col("concept_id") == codes["mental_health_diagnosis"]).select("encounter_id", "obs_id", "value_coded")
     answers = ob.with_labels(answers.join(members, "value_coded", "left_semi"), clinic.labels)
     four = pivot_ranked(answers, ["encounter_id"], ["obs_id"], {"diagnosis": "label"}, 4)
     matrix = ob.drug_attribute_matrix(obs, "encounter_id", drugs, drug_wants(codes), clinic.labels)
-    rows = rows.join(four, "encounter_id", "left").join(matrix, "encounter_id", "left")
-    rows = clinic.with_identifiers(rows, ["emr_id"])
+    # Narrow lookups first: every join copies the columns gathered so far.
+    rows = clinic.with_identifiers(anchors, ["emr_id"])
     rows = clinic.with_registration(rows, "location_registered")
     rows = clinic.with_age(rows, "age_at_encounter")
     rows = clinic.with_address(rows, "address")
     rows = clinic.with_type_name(rows, "encounter_type_name")
     rows = clinic.with_provider(rows, "provider")
+    rows = rows.join(four, "encounter_id", "left")
+    rows = ob.register(rows, obs, wants, label_table=clinic.labels).join(matrix, "encounter_id", "left")
     return rows.select(
         "patient_id", "emr_id", "location_registered", "age_at_encounter", "address", "encounter_id",
         F.col("encounter_type_name").alias("encounter_type"), "visit_id", "encounter_datetime", "provider",
@@ -187,6 +188,9 @@ CHRONIC_HISTORY = (
     "diabetes", "hypertension", "heart_failure", "chronic_lung_disease", "chronic_kidney_disease", "liver_cirrhosis_hepb",
     "palliative_care", "sickle_cell", "other_ncd",
 )
+# Diagnosis roles in order of preference.
+DIABETES_TYPES = ("type_1", "type_2", "gestational", "unspecified")
+SICKLE_TYPES = ("sickle_trait", "sickle_anemia", "beta_thalassemia", "hemoglobin_c", "other_hemoglobinopathy")
 # Wording of the form.
 BMI_LABELS = {"obese": "Moderate obese", "severely_obese": "Severe obese"}
 STAGE_LABELS = {"stage_pre": "Pre-HTN", "stage_mild": "1 (Mild)", "stage_moderate": "2 (Moderate)"}
@@ -258,51 +262,43 @@ def chronic_encounters(clinic: Clinic, sections: Mapping[str, Mapping], start=No
         "creator", "location_id", "encounter_type",
     )
     obs = clinic.live_obs(anchors)
-    wants = chronic_wants(codes)
-    rows = ob.register(anchors, obs, wants, label_table=labels)
-    controls = ob.construct_children(
-        obs,
-        {
-            "diabetes": codes["diabetes_construct"], "hypertension": codes["hypertension_construct"], "ckd": codes["kidney_construct"],
-            "liver": codes["liver_construct"], "limitation": codes["limitation_construct"], "ace": codes["ace_construct"],
-        },
+    # One pass at encounter grain and one at group grain serve the whole report.
+    wants = [
+        *chronic_wants(codes),
+        ob.yes_questions("risk_factors", [codes[r] for r in codes if r.startswith("risk_")], codes["yes"]),
+        ob.preferred("diabetes_type", codes["diagnosis"], [codes[r] for r in DIABETES_TYPES]),
+        ob.preferred("sickle_cell_type", codes["diagnosis"], [codes[r] for r in SICKLE_TYPES]),
+        *[ob.section(name, rule.get("questions", ()), rule.get("answers", ())) for name, rule in sections.items()],
+    ]
+    groups = ob.group_matrix(
+        obs, "encounter_id",
         [
             ob.answer_list("control", codes["control"]), ob.answer_list("activity", codes["activity_limitation"]),
             ob.answer_label("activity_yes", codes["activity_limitation"], codes["yes"]), ob.answer_list("use", codes["medication_use"]),
+            ob.when("onset_date", codes["onset_date"]), ob.when("date", codes["procedure_date"]),
+            ob.answer_list("options", codes["echocardiogram"]), ob.text("comment", codes["procedure_comment"]),
         ],
-        label_table=labels, first_only=True,
-    )
-    onsets = ob.answer_led_values(
-        obs, "encounter_id", {name: (codes["chronic_history"], codes[name]) for name in CHRONIC_HISTORY},
-        [ob.when("onset_date", codes["onset_date"])],
-    )
-    echo = ob.answer_led_values(
-        obs, "encounter_id", {"echo": (codes["procedure"], codes["echocardiogram"])},
-        [
-            ob.when("date", codes["procedure_date"]), ob.answer_list("options", codes["echocardiogram"]),
-            ob.text("comment", codes["procedure_comment"]),
-        ],
-        labels,
-    )
-    risk = ob.risk_factors(obs, "encounter_id", [codes[r] for r in codes if r.startswith("risk_")], codes["yes"], labels)
-    filled = ob.section_populated(obs, "encounter_id", sections)
-    diabetes = ob.first_by_preference(
-        obs, "encounter_id", codes["diagnosis"],
-        [codes[r] for r in ("type_1", "type_2", "gestational", "unspecified")], labels, "diabetes_type",
-    )
-    sickle = ob.first_by_preference(
-        obs, "encounter_id", codes["diagnosis"],
-        [codes[r] for r in ("sickle_trait", "sickle_anemia", "beta_thalassemia", "hemoglobin_c", "other_hemoglobinopathy")],
-        labels, "sickle_cell_type",
+        constructs={
+            "diabetes_in": codes["diabetes_construct"], "hypertension_in": codes["hypertension_construct"], "ckd_in": codes["kidney_construct"],
+            "liver_in": codes["liver_construct"], "limitation": codes["limitation_construct"], "ace": codes["ace_construct"],
+        },
+        leads={
+            **{name: (codes["chronic_history"], codes[name]) for name in CHRONIC_HISTORY},
+            "echo": (codes["procedure"], codes["echocardiogram"]),
+        },
+        label_table=labels,
+    ).select(
+        "encounter_id", *[f"{name}_in_control" for name in ("diabetes", "hypertension", "ckd", "liver")],
+        "limitation_activity", "limitation_activity_yes", "ace_use", *[f"{name}_onset_date" for name in CHRONIC_HISTORY],
+        "echo_date", "echo_options", "echo_comment",
     )
     tests = pg.lab_orders(
         clinic["orders"].join(anchors.select("encounter_id"), "encounter_id", "left_semi"),
         {"lab_order_hba1c": codes["hba1c"]}, clinic.types["test_order"][0], labels,
     ).withColumnRenamed("tests_ordered", "lab_tests_ordered")
-    for part in (controls, onsets, echo, risk, filled, diabetes, sickle, tests):
-        rows = rows.join(part, "encounter_id", "left")
     index = number_rows(anchors.select("patient_id", "encounter_id", "encounter_datetime"), ["patient_id"], "encounter_datetime", ["encounter_id"], unit=unit)
-    rows = rows.join(index.select("encounter_id", "index_asc", "index_desc"), "encounter_id")
+    # Narrow lookups first: every join copies the columns gathered so far.
+    rows = anchors.join(index.select("encounter_id", "index_asc", "index_desc"), "encounter_id")
     enrolments = not_voided(clinic["patient_program"]).filter(F.col("program_id") == clinic.programs["chronic"]).select(
         "patient_id", "patient_program_id", "date_enrolled", "date_completed"
     )
@@ -313,6 +309,8 @@ def chronic_encounters(clinic: Clinic, sections: Mapping[str, Mapping], start=No
     rows = clinic.with_location(rows, "encounter_location")
     rows = clinic.with_type_name(rows, "encounter_type_name")
     rows = clinic.with_provider(rows, "provider")
+    rows = rows.join(tests, "encounter_id", "left").join(groups, "encounter_id", "left")
+    rows = ob.register(rows, obs, wants, label_table=labels)
     control = cl.symptom_control(
         [
             F.when(F.col(c).isNotNull(), F.coalesce(F.col(c) == F.col(y), F.lit(False)))
@@ -336,15 +334,14 @@ def chronic_encounters(clinic: Clinic, sections: Mapping[str, Mapping], start=No
                              "provider", "user_entered", "encounter_location")],
         F.col("encounter_type_name").alias("encounter_type"),
         *[special.get(c, F.col(c)).alias(c) for c in shown],
-        "risk_factors",
         F.when(F.col("_fasting"), "FBG").when(F.col("_random"), "RBG").alias("glucose_fingerstick"),
         F.when(F.col("_obese_present"), True).when(F.col("_obese_absent"), False).alias("obesity"),
         *[f"{name}_onset_date" for name in CHRONIC_HISTORY],
-        "diabetes_type", F.col("diabetes_control"), F.col("hypertension_control").alias("hypertension_controlled"),
-        F.col("ckd_control").alias("ckd_controlled"), F.col("liver_control").alias("liver_disease_controlled"), "sickle_cell_type",
+        F.col("diabetes_in_control").alias("diabetes_control"), F.col("hypertension_in_control").alias("hypertension_controlled"),
+        F.col("ckd_in_control").alias("ckd_controlled"), F.col("liver_in_control").alias("liver_disease_controlled"),
         F.concat("echo_options", F.lit("| "), "echo_comment").alias("echocardiogram_findings"), F.col("echo_date").alias("echocardiogram_date"),
         F.col("ace_use").alias("on_ace_inhibitor"), F.col("limitation_activity").alias("activity_limitation_asthma"),
-        control.alias("asthma_control_gina"), "lab_order_hba1c", "lab_tests_ordered", *sections, "index_asc", "index_desc",
+        control.alias("asthma_control_gina"), "lab_order_hba1c", "lab_tests_ordered", "index_asc", "index_desc",
     )
     keyed = clinic.keyed(order, "patient_id", "encounter_id", "visit_id", "ncd_program_id")
     return keyed.orderBy("_patient", "_at", "_id").drop("_patient", "_at", "_id")
