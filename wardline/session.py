@@ -19,6 +19,9 @@ SQL_SETTINGS = {
 }
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def build_session(master: str | None = None, app: str = "wardline", **extra: str) -> SparkSession:
     """A session with the settings above; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -42,6 +45,4 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="wardline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _LOCAL_SCRATCH.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="wardline-"))
