@@ -111,7 +111,7 @@ def _(t):
     events = t.pobs.select(
         "obs_id", F.col("person_id").alias("patient_id"), (F.col("obs_datetime") + F.expr("INTERVAL '18' HOUR")).alias("event_at")
     )
-    return iv.interval_contains(events, t.visit, "patient_id", "obs_id", "event_at", moment("2002-01-01"), unit="year").select("obs_id", "visit_id")
+    return iv.interval_contains(events, t.visit, "patient_id", "event_at", unit="year").select("obs_id", "visit_id")
 
 
 @query("enrolment_window", """

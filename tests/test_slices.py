@@ -96,7 +96,7 @@ def test_interval_contains_prefers_inside_then_same_day(spark):
         (1, 7, at("2024-01-01T10:00")), (2, 7, at("2024-01-02T15:00")), (3, 7, at("2024-01-04T10:00")), (4, 7, at("2024-01-05T09:00")),
         (5, 7, at("2023-12-31T10:00")), (6, 7, at("2024-01-09T10:00")),
     ], "event_id bigint, patient_id bigint, at timestamp_ntz")
-    out = iv.interval_contains(events, visits, "patient_id", "event_id", "at", moment("2024-02-01"))
+    out = iv.interval_contains(events, visits, "patient_id", "at")
     assert {r["event_id"]: r["visit_id"] for r in out.collect()} == {1: 2, 2: 2, 3: None, 4: 3, 5: None, 6: None}
 
 
@@ -135,3 +135,21 @@ def test_no_later_elsewhere(spark):
     enter = rows.filter("kind <> 'out'")
     kept = iv.no_later(enter, rows, "patient", "at", "at", elsewhere="place", leave=F.col("kind") == "out")
     assert sorted(r["id"] for r in kept.collect()) == [3, 6, 7]
+
+
+def test_interval_contains_against_brute_force(spark):
+    rng = random.Random(5)
+    spans = []
+    for i in range(80):
+        start = START + timedelta(hours=rng.randint(0, 24 * 60))
+        spans.append((i, 1 if i % 4 else 2, start, None if i % 9 == 0 else start + timedelta(hours=rng.randint(0, 200))))
+    sdf = spark.createDataFrame(spans, "visit_id bigint, key int, date_started timestamp_ntz, date_stopped timestamp_ntz")
+    data = made(6, 300)
+    df = spark.createDataFrame(data, "id bigint, key int, at timestamp_ntz, v int")
+    got = {r["id"]: r["visit_id"] for r in iv.interval_contains(df, sdf, "key", "at").collect()}
+    for i, key, when, _ in data:
+        closed = [s for s in spans if s[1] == key and s[3] is not None]
+        inside = [s for s in closed if s[2] <= when <= s[3]]
+        earlier = [s for s in closed if s[3].date() == when.date() and s[3] < when]
+        fit = inside or earlier
+        assert got[i] == (max(fit, key=lambda s: (s[3], s[0]))[0] if fit else None)

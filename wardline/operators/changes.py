@@ -56,7 +56,10 @@ def apply_changeset(table: DataFrame, change: ChangeSet) -> DataFrame:
             ]
         )
     if change.inserts is not None:
-        fresh = change.inserts.join(table.select(change.key), change.key, "left_anti")
+        # Rows an earlier run put there.  The table is the probe side, so a small
+        # change set is broadcast and the table's keys never move.
+        present = table.select(change.key).join(change.inserts.select(change.key), change.key, "left_semi")
+        fresh = change.inserts.join(present, change.key, "left_anti")
         out = out.unionByName(fresh.select(*[c for c in table.columns if c in fresh.columns]), allowMissingColumns=True)
     return out
 
@@ -207,7 +210,7 @@ def slot_encounters(
     used = obs.select("encounter_id").distinct()
     empty = loose.join(used, "encounter_id", "left_anti")
     kept = loose.join(used, "encounter_id", "left_semi").select("encounter_id", "patient_id", "encounter_datetime")
-    slots = interval_contains(kept, visits, "patient_id", "encounter_id", "encounter_datetime", as_of)
+    slots = interval_contains(kept, visits, "patient_id", "encounter_datetime")
     placed = slots.filter(F.col("visit_id").isNotNull())
     voids = empty.select(
         "encounter_id", F.col("visit_id"), F.lit(True).alias("voided"), F.lit(reason).alias("void_reason"),

@@ -18,23 +18,33 @@ def visit_of_event(
 
 
 def interval_contains(
-    events: DataFrame, spans: DataFrame, by: str, event_id: str, at: str,
-    horizon: Column, span_id: str = "visit_id", start: str = "date_started", stop: str = "date_stopped", unit: str = "month",
+    events: DataFrame, spans: DataFrame, by: str, at: str, span_id: str = "visit_id", start: str = "date_started",
+    stop: str = "date_stopped", unit: str = "month",
 ) -> DataFrame:
     """Span holding each event: the one that stops last; failing that, the one that
-    stopped earlier the same day.  Spans must be closed to count."""
-    closed = spans.filter(F.col(stop).isNotNull()).select(by, span_id, start, stop)
-    slim = events.select(by, event_id, at)
-    rank = F.struct(stop, span_id, start)
-    inside = range_join(slim, closed, [by], at, start, stop, horizon, unit)
-    inside = inside.groupBy(event_id).agg(F.max(rank).alias("_in"))
-    day = closed.withColumn("_day", F.to_date(stop))
-    earlier = slim.withColumn("_day", F.to_date(at)).join(day, [by, "_day"]).filter(F.col(stop) < F.col(at))
-    earlier = earlier.groupBy(event_id).agg(F.max(rank).alias("_before"))
-    found = F.coalesce(F.col("_in"), F.col("_before"))
-    return (
-        events.alias("e").join(inside, event_id, "left").join(earlier, event_id, "left")
-        .select(*[F.col(f"e.{c}") for c in events.columns], *[found[c].alias(c) for c in (span_id, start, stop)])
+    stopped earlier the same day.  Spans must be closed to count.
+
+    Of the spans started by then the one that stops last either holds the event or
+    no span does, so a running maximum answers without pairing events and spans.
+    """
+    take = [span_id, start, stop]
+    closed = spans.filter(F.col(stop).isNotNull()).select(by, *take)
+
+    def named(prefix: str) -> list[Column]:
+        return [F.col(c).alias(f"{prefix}{c}") for c in take]
+
+    slim = events.drop(*take)
+    kept = slim.columns
+    around = closed.select(by, *named("_in_"))
+    found = asof_backward(slim, around, [by], at, f"_in_{start}", [f"_in_{c}" for c in take], best=[f"_in_{stop}", f"_in_{span_id}"], unit=unit)
+    before = closed.select(by, *named("_day_"))
+    found = asof_backward(
+        found, before, [by], at, f"_day_{stop}", [f"_day_{c}" for c in take], order=[f"_day_{span_id}"], strict=True, unit=unit
+    )
+    inside = F.col(f"_in_{stop}") >= F.col(at)
+    same_day = F.to_date(f"_day_{stop}") == F.to_date(at)
+    return found.select(
+        *kept, *[F.when(inside, F.col(f"_in_{c}")).when(same_day, F.col(f"_day_{c}")).alias(c) for c in take]
     )
 
 

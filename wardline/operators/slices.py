@@ -97,14 +97,14 @@ def previous_values(
 def asof_backward(
     events: DataFrame, points: DataFrame, by: Sequence[str], at: str, start: str,
     take: Sequence[str], order: Sequence[str] = (), grain: str = "timestamp",
-    strict: bool = False, unit: str = "month",
+    strict: bool = False, unit: str = "month", best: Sequence[str] | None = None,
 ) -> DataFrame:
-    """For each event the latest point of the same key that starts at or before it.
+    """For each event the best point of the same key that starts at or before it.
 
-    ``grain='day'`` compares calendar days (the latest start of that day still
-    wins); ``strict`` wants the point before the event.  Every event is kept; the
-    ``take`` columns are null where no point qualifies.  ``order`` breaks ties
-    between points with the same start, highest first.
+    The best is the latest start, then the highest ``order``; ``best`` names other
+    columns to rank by.  ``grain='day'`` compares calendar days; ``strict`` wants
+    the point before the event.  Every event is kept; the ``take`` columns are null
+    where no point qualifies.
     """
     by = list(by)
     keys = [*by, _SLICE]
@@ -112,34 +112,30 @@ def asof_backward(
     def when(column: str) -> Column:
         return F.to_date(column).cast("timestamp_ntz") if grain == "day" else F.col(column)
 
-    pick = F.struct(F.struct(start, *order).alias("o"), F.struct(*take).alias("v"))
+    rank = F.struct(*(best or [start, *order]))
+    pick = F.struct(rank.alias("o"), F.struct(*take).alias("v"))
     # A point sorts before an event of the same instant, or after it when strict.
     right = points.filter(F.col(start).isNotNull()).select(
         *by, slice_number(F.col(start), unit).alias(_SLICE), when(start).alias("_at"),
         F.lit(1 if strict else 0).alias("_side"), pick.alias("_pick"),
     )
-    last = right.groupBy(*keys).agg(F.max("_pick").alias("_last"))
-    slices = last.unionByName(
+    top = right.groupBy(*keys).agg(F.max("_pick").alias("_top"))
+    slices = top.unionByName(
         events.select(*by, slice_number(F.col(at), unit).alias(_SLICE)).distinct(), allowMissingColumns=True
-    ).groupBy(*keys).agg(F.max("_last").alias("_last"))
-    carry = slices.select(
-        *keys,
-        F.last("_last", ignorenulls=True).over(
-            Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        ).alias("_carry"),
-    )
+    ).groupBy(*keys).agg(F.max("_top").alias("_top"))
+    earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = slices.select(*keys, F.max("_top").over(earlier).alias("_carry"))
     left = events.select(
         *by, slice_number(F.col(at), unit).alias(_SLICE), when(at).alias("_at"),
         F.lit(0 if strict else 1).alias("_side"), F.struct(*events.columns).alias("_event"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    seen = Window.partitionBy(*keys).orderBy("_at", "_side", F.col("_pick.o")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    found = both.withColumn("_here", F.last("_pick", ignorenulls=True).over(seen)).filter(F.col("_event").isNotNull())
+    seen = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_here", F.max("_pick").over(seen)).filter(F.col("_event").isNotNull())
     joined = _match(found, carry, keys, "left")
-    best = F.coalesce(F.col("_here"), F.col("_carry"))["v"]
-    return joined.select("_event.*", *[best[c].alias(c) for c in take])
+    # greatest skips nulls and compares the ranks first.
+    chosen = F.greatest("_here", "_carry")["v"]
+    return joined.select("_event.*", *[chosen[c].alias(c) for c in take])
 
 
 def range_join(

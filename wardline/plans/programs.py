@@ -13,10 +13,9 @@ from wardline.functions.text import reword
 from wardline.operators import dictionary as dc
 from wardline.operators import observations as ob
 from wardline.operators import programs as pg
-from wardline.operators.aggregates import presence_flags
 from wardline.operators.filters import exclude_flagged_persons, not_voided
 from wardline.operators.intervals import enrolment_of_encounter, enrolment_window, relationship_join
-from wardline.operators.ranking import latest_per_key, latest_previous_baseline, pivot_ranked
+from wardline.operators.ranking import earliest_per_key, first_rows, latest_per_key, pivot_ranked
 from wardline.operators.slices import number_rows
 from wardline.plans.clinic import Clinic
 from wardline.plans.maternity import _each
@@ -109,18 +108,27 @@ def mental_health_enrolments(clinic: Clinic, relation, yes: str = "Yes", no: str
     def of(role: str) -> DataFrame:
         return seen.filter(F.col("concept_id") == roles[role])
 
-    diagnosis = latest_per_key(of("mental_health_diagnosis"), ["patient_program_id"], order, ["label"]).withColumnRenamed("label", "latest_diagnosis")
-    seizures = latest_previous_baseline(of("seizures"), ["patient_program_id"], order, ["value_numeric", "encounter_datetime"])
-    seizures = seizures.select(
-        "patient_program_id",
-        *[
-            column
-            for when in ("latest", "previous", "baseline")
-            for column in (
-                F.col(f"{when}_value_numeric").alias(f"{when}_seizure_number"),
-                F.to_date(f"{when}_encounter_datetime").alias(f"{when}_seizure_date"),
-            )
-        ],
+    # The two newest facts per question give diagnosis, seizures and next visit.
+    newest = first_rows(
+        seen.filter(F.col("concept_id") != roles["medication"]), ["patient_program_id", "concept_id"],
+        [F.col(c).desc() for c in order], 2, "_n",
+    )
+
+    def pick(role: str, n: int, column: str):
+        return F.max(F.when((F.col("concept_id") == roles[role]) & (F.col("_n") == n), F.col(column)))
+
+    recent = newest.groupBy("patient_program_id").agg(
+        pick("mental_health_diagnosis", 1, "label").alias("latest_diagnosis"),
+        pick("seizures", 1, "value_numeric").alias("latest_seizure_number"),
+        F.to_date(pick("seizures", 1, "encounter_datetime")).alias("latest_seizure_date"),
+        pick("seizures", 2, "value_numeric").alias("previous_seizure_number"),
+        F.to_date(pick("seizures", 2, "encounter_datetime")).alias("previous_seizure_date"),
+        pick("return_visit_date", 1, "value_datetime").alias("next_scheduled_visit_date"),
+        F.bool_or(F.when(F.col("concept_id") == roles["return_visit_date"], True)).alias("_planned"),
+    )
+    oldest = earliest_per_key(of("seizures"), ["patient_program_id"], order, ["value_numeric", "encounter_datetime"]).select(
+        "patient_program_id", F.col("value_numeric").alias("baseline_seizure_number"),
+        F.to_date("encounter_datetime").alias("baseline_seizure_date"),
     )
     given = of("medication").groupBy("patient_program_id", "encounter_id", "encounter_datetime").agg(
         ob.joined_labels(F.collect_set("label"), ",").alias("medications")
@@ -130,11 +138,8 @@ def mental_health_enrolments(clinic: Clinic, relation, yes: str = "Yes", no: str
         F.to_date("encounter_datetime").alias("latest_medication_date"),
     )
     visits = inside.groupBy("patient_program_id").agg(F.max("encounter_datetime").alias("last_visit_date"))
-    planned = latest_per_key(of("return_visit_date"), ["patient_program_id"], order, ["value_datetime"]).withColumnRenamed(
-        "value_datetime", "next_scheduled_visit_date"
-    ).withColumn("_planned", F.lit(True))
     rows = base
-    for part in (diagnosis, seizures, medication, visits, planned):
+    for part in (recent, oldest, medication, visits):
         rows = rows.join(part, "patient_program_id", "left")
     born = not_voided(clinic["person"])
     rows = dc.attach(rows, "patient_id", born, "person_id", {"_born": "birthdate"})
@@ -375,15 +380,12 @@ def chronic_patients(clinic: Clinic) -> DataFrame:
     ever = {name: (history, codes[name]) for name in CHRONIC_HISTORY}
     ever |= {name: (diagnosis, codes[name]) for name in ("rheumatic_heart_disease", "congenital_heart_disease")}
     ever |= {f"_{role}": (diagnosis, codes[role]) for role, _ in (*DIABETES_PRIORITY, *SICKLE_PRIORITY)}
-    flags = ob.answer_ever(obs, "person_id", ever)
-    single = ob.collect_obs(obs, "person_id", [
+    facts = ob.collect_obs(obs, "person_id", [
+        *[ob.answered(name, question, answer) for name, (question, answer) in ever.items()],
         ob.coded("_literacy", codes["literacy_level"]), ob.when("next_appointment_date", codes["next_appointment_date"]),
-        ob.text("other_ncd_type", codes["noncoded_diagnosis"]),
+        ob.text("other_ncd_type", codes["noncoded_diagnosis"]), ob.section("ever_missed_school", [codes["missed_school"]]),
+        ob.answered_or_null("cardiomyopathy", diagnosis, codes["cardiomyopathy"]),
     ])
-    seen = presence_flags(obs, ["person_id"], {
-        "ever_missed_school": F.col("concept_id") == codes["missed_school"],
-        "cardiomyopathy": (F.col("concept_id") == diagnosis) & (F.col("value_coded") == codes["cardiomyopathy"]),
-    })
     echo = ob.answer_led_values(
         obs, "encounter_id", {"echo": (codes["procedure"], codes["echocardiogram"])}, [ob.when("date", codes["procedure_date"])]
     ).join(anchors, "encounter_id").groupBy("patient_id").agg(F.max("echo_date").alias("most_recent_echocardiogram_date"))
@@ -392,7 +394,7 @@ def chronic_patients(clinic: Clinic) -> DataFrame:
         clinic["patient_program"], clinic.programs["chronic"], ["date_enrolled", "date_completed", "outcome_concept_id"]
     )
     rows = people
-    for part in (listed, flags, single, seen, lab):
+    for part in (listed, facts, lab):
         rows = rows.join(part.withColumnRenamed("person_id", "patient_id"), "patient_id", "left")
     rows = rows.join(echo, "patient_id", "left").join(program, "patient_id", "left")
     rows = clinic.with_label(rows, "outcome_concept_id", "outcome")
