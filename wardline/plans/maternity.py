@@ -267,3 +267,11 @@ def newborn_discharge_list(clinic: Clinic, day) -> DataFrame:
     rows = rows.join(listed, "encounter_id", "left")
     rows = born_in_facility(rows, clinic["visit_attribute"], clinic.attributes["born_during_visit"])
     return rows.select("emr_id", "name", "discharged", "disposition", "discharge_provider", "inborn_outborn")
+
+
+def register_bundle(clinic: Clinic, start=None, end=None) -> dict[str, DataFrame]:
+    """The maternal and the newborn register of one request."""
+    return {
+        "maternal_register": maternal_register(clinic, start, end),
+        "newborn_register": newborn_register(clinic, start, end),
+    }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -42,3 +43,8 @@ def export_csv(df: DataFrame, folder: str, base: str, as_of: datetime, compress:
         writer = writer.option("compression", "gzip")
     writer.csv(target)
     return target
+
+
+def export_bundle(sets: Mapping[str, DataFrame], folder: str, base: str, as_of: datetime, compress: bool = True) -> dict[str, str]:
+    """Write every data set of a report and return their folders."""
+    return {name: export_csv(df, folder, f"{base}.{name}", as_of, compress) for name, df in sets.items()}
