@@ -280,13 +280,13 @@ def _(t):
 
 
 @query("pivot_ranked", """
-WITH r AS (SELECT visit_id, label, value_numeric, row_number() OVER (PARTITION BY visit_id ORDER BY obs_id) AS n FROM pobs o LEFT JOIN label_en l ON value_coded = l.concept_id WHERE NOT voided)
+WITH r AS (SELECT visit_id, label, value_numeric, row_number() OVER (PARTITION BY visit_id ORDER BY obs_id, obs_datetime) AS n FROM pobs o LEFT JOIN label_en l ON value_coded = l.concept_id WHERE NOT voided)
 SELECT visit_id, """ + ", ".join(f"max(CASE WHEN n = {i} THEN label END) AS test_{i}, max(CASE WHEN n = {i} THEN value_numeric END) AS result_{i}" for i in range(1, 17)) + """
 FROM r WHERE n <= 16 GROUP BY visit_id
 """)
 def _(t):
     rows = with_labels(not_voided(t.pobs), english(t))
-    return rk.pivot_ranked(rows, ["visit_id"], ["obs_id"], {"test": "label", "result": "value_numeric"}, 16)
+    return rk.pivot_ranked(rows, ["visit_id"], ["obs_id", "obs_datetime"], {"test": "label", "result": "value_numeric"}, 16)
 
 
 @query("latest_previous_baseline", """

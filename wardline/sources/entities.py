@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wardline.functions.dates import day_start
+from wardline.operators.filters import date_range
 from wardline.sources.schemas import ENTITIES, FACT_TIMES
 
 
@@ -20,11 +22,21 @@ def load_entities(
     Schemas are declared, so nothing is inferred and only used columns are read.
     """
     return {
-        name: spark.read.schema(schemas[name]).parquet(f"{path.rstrip('/')}/{name}{suffix}")
+        name: spark.read.schema(schemas[name]).parquet(f"{path.rstrip('/')}/{name}{suffix}").select(*schemas[name].fieldNames())
         for name in (names or schemas)
     }
 
 
+def load_between(spark: SparkSession, path: str, name: str, start=None, end=None) -> DataFrame:
+    """A stored fact table cut to a date range; months outside it are not opened."""
+    rows = spark.read.schema(ENTITIES[name]).parquet(f"{path.rstrip('/')}/{name}")
+    if start is not None:
+        rows = rows.filter(F.col("month") >= f"{day_start(start):%Y-%m}")
+    if end is not None:
+        rows = rows.filter(F.col("month") <= f"{day_start(end):%Y-%m}")
+    return date_range(rows, FACT_TIMES[name], start, end).drop("month")
+
+
 def load_entities_jdbc(
     spark: SparkSession, url: str, names: Iterable[str], options: Mapping[str, str],
     bounds: Mapping[str, tuple[str, int, int, int]] | None = None,
