@@ -135,12 +135,12 @@ def _among(column: str, values: Sequence) -> str:
     return f"{column} IN ({', '.join(_literal(v) for v in values)})"
 
 
-def _hit(want: Want) -> str:
+def _hit(want: Want, cells: bool = False) -> str:
     tests = [_among("concept_id", want.concepts)]
     if want.answers and want.how != "yes_no":
         tests.append(_among("value_coded", want.answers))
     if want.top_level:
-        tests.append("obs_group_id IS NULL")
+        tests.append("_top" if cells else "obs_group_id IS NULL")
     if want.since:
         tests.append("_recent")
     return " AND ".join(tests)
@@ -151,35 +151,36 @@ def joined_labels(collected: Column, separator: str) -> Column:
     return F.when(F.size(collected) > 0, F.array_join(F.array_sort(collected), separator))
 
 
-def want_column(want: Want, order: Sequence[str] = OBS_ORDER) -> Column:
-    """The aggregate of one want.
+def want_column(want: Want, order: Sequence[str] = OBS_ORDER, cells: bool = False) -> Column:
+    """The aggregate of one want over observations, or over cells of them.
 
     Written as SQL text: a report has hundreds of these, and one parsed expression
     each builds far faster than a dozen column calls.
     """
-    field = want.field
-    if want.how == "latest":
-        text = (
-            f"max(CASE WHEN {_hit(want)} AND {field} IS NOT NULL THEN "
-            f"named_struct({', '.join(f'{_literal(o)}, {o}' for o in order)}, '_value', {field}) END)._value"
-        )
+    field, hit = want.field, _hit(want, cells)
+    coded = field in ("label", "value_coded")
+    if want.how == "latest" and cells and not coded:
+        text = f"max(CASE WHEN {hit} THEN _latest_{field} END)._value"
+    elif want.how == "latest":
+        rank = "'_when', _when" if cells else ", ".join(f"{_literal(o)}, {o}" for o in order)
+        text = f"max(CASE WHEN {hit} AND {field} IS NOT NULL THEN named_struct({rank}, '_value', {field}) END)._value"
     elif want.how in ("max", "min"):
-        text = f"{want.how}(CASE WHEN {_hit(want)} THEN {field} END)"
+        text = f"{want.how}(CASE WHEN {hit} THEN {f'_{want.how}_{field}' if cells and not coded else field} END)"
     elif want.how == "list":
-        collected = f"collect_set(CASE WHEN {_hit(want)} THEN {field} END)"
+        collected = f"collect_set(CASE WHEN {hit} THEN {field} END)"
         text = f"CASE WHEN size({collected}) > 0 THEN array_join(array_sort({collected}), {_literal(want.separator)}) END"
     elif want.how == "yes_no":
         yes, no = (_literal(v) for v in want.answers)
-        text = f"max(CASE WHEN {_hit(want)} THEN CASE value_coded WHEN {yes} THEN true WHEN {no} THEN false END END)"
+        text = f"max(CASE WHEN {hit} THEN CASE value_coded WHEN {yes} THEN true WHEN {no} THEN false END END)"
     elif want.how == "answered":
-        text = f"coalesce(bool_or({_hit(want)}), false)"
+        text = f"coalesce(bool_or({hit}), false)"
     elif want.how == "answered_or_null":
-        text = f"bool_or(CASE WHEN {_hit(want)} THEN true END)"
+        text = f"bool_or(CASE WHEN {hit} THEN true END)"
     elif want.how == "count":
-        text = f"count_if({_hit(want)})"
+        text = f"sum(CASE WHEN {hit} THEN _n ELSE 0 END)" if cells else f"count_if({hit})"
     elif want.how == "preferred":
         ranks = " ".join(f"WHEN {_literal(v)} THEN {i}" for i, v in enumerate(want.answers))
-        text = f"min(CASE WHEN {_hit(want)} THEN struct(CASE value_coded {ranks} END, obs_id, label) END).label"
+        text = f"min(CASE WHEN {hit} THEN struct(CASE value_coded {ranks} END, {'_min_obs_id' if cells else 'obs_id'}, label) END).label"
     elif want.how == "section":
         tests = [_among("concept_id", want.concepts)] if want.concepts else []
         tests += [f"coalesce({_among('value_coded', want.answers)}, false)"] if want.answers else []
@@ -230,15 +231,55 @@ def with_labels(obs: DataFrame, label_table: DataFrame, on: str = "value_coded",
     return obs.join(side, obs[on] == side["_concept"], "left").drop("_concept")
 
 
+# Pivots wider than this go through cells.
+WIDE = 24
+
+
+def _cells(rows: DataFrame, keys: Sequence[str], wants: Sequence[Want], order: Sequence[str]) -> DataFrame:
+    """One narrow row per key, question and answer with what the wants need of it."""
+    grouping = [*keys, "concept_id"]
+    if "value_coded" in rows.columns:
+        grouping.append("value_coded")
+    if any(want.top_level for want in wants):
+        rows = rows.withColumn("_top", F.col("obs_group_id").isNull())
+        grouping.append("_top")
+    if any(want.since for want in wants):
+        grouping.append("_recent")
+    rank = f"struct({', '.join(order)})"
+    facts = {}
+    for want in wants:
+        coded = want.field in ("label", "value_coded")
+        if want.how == "latest" and coded:
+            facts["_when"] = f"max({rank})"
+        elif want.how == "latest":
+            value = f"struct({', '.join(order)}, {want.field} AS _value)"
+            facts[f"_latest_{want.field}"] = f"max(CASE WHEN {want.field} IS NOT NULL THEN {value} END)"
+        elif want.how in ("max", "min") and not coded:
+            facts[f"_{want.how}_{want.field}"] = f"{want.how}({want.field})"
+        elif want.how == "count":
+            facts["_n"] = "count(1)"
+        elif want.how == "preferred":
+            facts["_min_obs_id"] = "min(obs_id)"
+    if not facts:
+        return rows.select(*grouping).distinct()
+    return rows.groupBy(*grouping).agg(*[F.expr(text).alias(name) for name, text in facts.items()])
+
+
 def collect_obs(
     obs: DataFrame, key: str | Sequence[str], wants: Sequence[Want],
     label_table: DataFrame | None = None, order: Sequence[str] = OBS_ORDER, since: Column | None = None,
 ) -> DataFrame:
-    """One row per key with every wanted column, in one aggregate.
+    """One row per key with every wanted column, from one read of the observations.
 
     Only the questions asked for are read, so the concept filter and the column
     list reach the scan (a section with answers looks at every question).
     ``since`` is the earliest time for wants that carry the ``since`` mark.
+
+    Narrow pivots are one aggregate.  In a wide one a partial row is mostly empty
+    columns, so map-side combine would shuffle far more than it saves: there the
+    observations shrink to one cell per question and answer first, the cells are
+    shuffled by key, and only then spread.  A busy key holds at most as many cells
+    as there are questions and answers.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if not any(want.how == "section" and want.answers for want in wants):
@@ -246,8 +287,12 @@ def collect_obs(
     rows = obs.select(*sorted(_columns_read(wants, order) | set(keys)))
     if since is not None:
         rows = rows.withColumn("_recent", F.col("obs_datetime") >= since)
+    by_label = all(want.field in ("label", "question_label") for want in wants if want.how == "list")
+    wide = len(wants) > WIDE and by_label
+    if wide:
+        rows = _cells(rows, keys, wants, order).repartition(*keys)
     rows = _labelled(rows, wants, label_table)
-    return rows.groupBy(*keys).agg(*[want_column(want, order) for want in wants])
+    return rows.groupBy(*keys).agg(*[want_column(want, order, wide) for want in wants])
 
 
 def fill_absent(df: DataFrame, wants: Sequence[Want]) -> DataFrame:
