@@ -153,3 +153,24 @@ def test_interval_contains_against_brute_force(spark):
         earlier = [s for s in closed if s[3].date() == when.date() and s[3] < when]
         fit = inside or earlier
         assert got[i] == (max(fit, key=lambda s: (s[3], s[0]))[0] if fit else None)
+
+
+def test_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1, None, at("2024-01-01"), 5), (2, 7, at("2024-01-02"), 6)], "id bigint, key int, at timestamp_ntz, v int")
+    numbered = {r["id"]: (r["index_asc"], r["index_desc"]) for r in sl.number_rows(df, ["key"], "at", ["id"]).collect()}
+    assert numbered == {1: (None, None), 2: (1, 1)}
+    found = sl.asof_backward(df, df.selectExpr("id as pid", "key", "at as start"), ["key"], "at", "start", ["pid"]).collect()
+    assert {r["id"]: r["pid"] for r in found} == {1: None, 2: 2}
+
+
+def test_the_large_side_moves_once(spark):
+    df = spark.createDataFrame(made(9, 50), "id bigint, key int, at timestamp_ntz, v int")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = sl.number_rows(df, ["key"], "at", ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    rows_side = text.split("SortMergeJoin")[1].split("Window [sum")[0]
+    assert "Exchange hashpartitioning(coalesce" not in text and rows_side.count("row_number") == 1
+    assert text.count("Exchange hashpartitioning") == 4

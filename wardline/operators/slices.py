@@ -33,13 +33,15 @@ def slice_number(at: Column, unit: str = "month") -> Column:
     return F.coalesce(number, F.lit(-(2**31))).cast("long")
 
 
-def _match(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on null-safe equality of the columns; sides are read as ``l`` and ``r``.
+def _match(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Left join on the columns; sides are read as ``l`` and ``r``.
 
-    Both sides often descend from the same table, so columns go by alias.
+    Plain equality, so that the left side keeps the partitioning of its window and
+    is not shuffled again.  Both sides often descend from the same table, so
+    columns go by alias.
     """
-    test = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
-    return left.alias("l").join(right.alias("r"), reduce(lambda a, b: a & b, test), how)
+    test = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in columns]
+    return left.alias("l").join(right.alias("r"), reduce(lambda a, b: a & b, test), "left")
 
 
 def number_rows(
@@ -50,6 +52,7 @@ def number_rows(
 
     ``at`` is the leading sort column and ``order`` the tie-break; together they
     must be a total order.  Both positions come from one window and the counts.
+    Rows without a key get no number.
     """
     by = list(by)
     keys = [*by, _SLICE]
@@ -115,7 +118,8 @@ def asof_backward(
     rank = F.struct(*(best or [start, *order]))
     pick = F.struct(rank.alias("o"), F.struct(*take).alias("v"))
     # A point sorts before an event of the same instant, or after it when strict.
-    right = points.filter(F.col(start).isNotNull()).select(
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, start)])
+    right = points.filter(known).select(
         *by, slice_number(F.col(start), unit).alias(_SLICE), when(start).alias("_at"),
         F.lit(1 if strict else 0).alias("_side"), pick.alias("_pick"),
     )
@@ -132,7 +136,7 @@ def asof_backward(
     both = left.unionByName(right, allowMissingColumns=True)
     seen = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_here", F.max("_pick").over(seen)).filter(F.col("_event").isNotNull())
-    joined = _match(found, carry, keys, "left")
+    joined = _match(found, carry, keys)
     # greatest skips nulls and compares the ranks first.
     chosen = F.greatest("_here", "_carry")["v"]
     return joined.select("_event.*", *[chosen[c].alias(c) for c in take])

@@ -255,11 +255,14 @@ def _reworded(column: str, names: Mapping[str, str]):
     return out
 
 
-def chronic_encounters(clinic: Clinic, sections: Mapping[str, Mapping], start=None, end=None, unit: str = "year") -> DataFrame:
-    """One row per chronic-disease encounter, in patient and time order.
+def chronic_encounters(
+    clinic: Clinic, sections: Mapping[str, Mapping], start=None, end=None, unit: str = "year", ordered: bool = False,
+) -> DataFrame:
+    """One row per chronic-disease encounter.
 
     ``sections`` maps section columns to the questions and answers that populate
-    them.
+    them.  ``ordered`` sorts the output by patient and time; the sort samples its
+    input, so the widest stage runs twice, and only a file for reading needs it.
     """
     codes, labels = clinic.codes, clinic.labels
     anchors = clinic.encounters("chronic", start, end).select(
@@ -333,7 +336,7 @@ def chronic_encounters(clinic: Clinic, sections: Mapping[str, Mapping], start=No
         "disposition": _reworded("disposition", DISPOSITION_LABELS), "next_appointment_date": F.to_date("next_appointment_date"),
         "diabetes_complications": reword(F.col("diabetes_complications"), {"Cerebrovascular accident": "Stroke"}),
     }
-    order = rows.select(
+    out = rows.select(
         F.col("patient_id").alias("_patient"), F.col("encounter_datetime").alias("_at"), F.col("encounter_id").alias("_id"),
         *[F.col(c) for c in ("patient_id", "emr_id", "encounter_id", "encounter_datetime", "datetime_entered", "visit_id", "ncd_program_id",
                              "provider", "user_entered", "encounter_location")],
@@ -348,8 +351,10 @@ def chronic_encounters(clinic: Clinic, sections: Mapping[str, Mapping], start=No
         F.col("ace_use").alias("on_ace_inhibitor"), F.col("limitation_activity").alias("activity_limitation_asthma"),
         control.alias("asthma_control_gina"), "lab_order_hba1c", "lab_tests_ordered", "index_asc", "index_desc",
     )
-    keyed = clinic.keyed(order, "patient_id", "encounter_id", "visit_id", "ncd_program_id")
-    return keyed.orderBy("_patient", "_at", "_id").drop("_patient", "_at", "_id")
+    out = clinic.keyed(out, "patient_id", "encounter_id", "visit_id", "ncd_program_id")
+    if ordered:
+        out = out.orderBy("_patient", "_at", "_id")
+    return out.drop("_patient", "_at", "_id")
 
 
 # Labels by priority for patients with several answers.
