@@ -93,7 +93,7 @@ def _(t):
     events = t.pobs.select("obs_id", F.col("person_id").alias("patient_id"), F.col("obs_datetime").alias("event_at"))
     out = None
     for grain in ("timestamp", "day"):
-        part = iv.visit_of_event(events, t.visit, grain=grain, unit="year").select(F.lit(grain).alias("grain"), "obs_id", "visit_id")
+        part = iv.visit_of_event(events, t.visit, grain=grain).select(F.lit(grain).alias("grain"), "obs_id", "visit_id")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -111,7 +111,7 @@ def _(t):
     events = t.pobs.select(
         "obs_id", F.col("person_id").alias("patient_id"), (F.col("obs_datetime") + F.expr("INTERVAL '18' HOUR")).alias("event_at")
     )
-    return iv.interval_contains(events, t.visit, "patient_id", "event_at", unit="year").select("obs_id", "visit_id")
+    return iv.interval_contains(events, t.visit, "patient_id", "event_at").select("obs_id", "visit_id")
 
 
 @query("enrolment_window", """
@@ -262,7 +262,7 @@ SELECT obs_id, row_number() OVER (PARTITION BY person_id, encounter_id ORDER BY
 """)
 def _(t):
     rows = not_voided(t.pobs).filter(F.col("concept_id") == 3)
-    return sl.number_rows(rows, ["person_id", "encounter_id"], "obs_datetime", ["obs_group_id", "obs_id"], "rank", None, "year").select("obs_id", "rank")
+    return sl.number_rows(rows, ["person_id", "encounter_id"], "obs_datetime", ["obs_group_id", "obs_id"], "rank", None).select("obs_id", "rank")
 
 
 @query("index_asc_desc", """
@@ -272,8 +272,8 @@ UNION ALL SELECT -encounter_id, row_number() OVER (PARTITION BY patient_id ORDER
   row_number() OVER (PARTITION BY patient_id ORDER BY encounter_datetime DESC, encounter_id DESC) FROM adt
 """)
 def _(t):
-    orders = sl.number_rows(t.encounter, ["patient_id"], "encounter_datetime", ["encounter_id"], unit="year")
-    events = sl.number_rows(t.adt, ["patient_id"], "encounter_datetime", ["encounter_id"], unit="day")
+    orders = sl.number_rows(t.encounter, ["patient_id"], "encounter_datetime", ["encounter_id"])
+    events = sl.number_rows(t.adt, ["patient_id"], "encounter_datetime", ["encounter_id"])
     return orders.select("encounter_id", "index_asc", "index_desc").unionByName(
         events.select((-F.col("encounter_id")).alias("encounter_id"), "index_asc", "index_desc")
     )
@@ -318,7 +318,7 @@ def _(t):
 
     rows = not_voided(t.dispense).filter(F.col("status") == 1)
     return adjacent_duplicates(
-        rows, ["drug_order_id"], "date_created", "medication_dispense_id", ["dispenser", "concept", "drug_id"], 14400, unit="day"
+        rows, ["drug_order_id"], "date_created", "medication_dispense_id", ["dispenser", "concept", "drug_id"], 14400
     ).select("medication_dispense_id")
 
 
@@ -394,7 +394,7 @@ def _(t):
     from wardline.operators.programs import previous_location
 
     live = not_voided(t.adt)
-    moves = previous_location(live.filter(F.col("encounter_type").isin("admission", "transfer")), unit="day")
+    moves = previous_location(live.filter(F.col("encounter_type").isin("admission", "transfer")))
     outs = moves.filter((F.col("encounter_type") == "transfer") & F.col("previous_location").isNotNull()).select(
         F.lit("transfer out").alias("encounter_type"), F.col("previous_location").alias("location_id")
     )
@@ -412,6 +412,6 @@ def _(t):
     from wardline.operators.programs import previous_location
 
     rows = not_voided(t.adt).filter(F.col("encounter_type").isin("admission", "transfer"))
-    before = previous_location(rows, unit="day").select(F.lit("before").alias("rule"), "encounter_id", "previous_location")
+    before = previous_location(rows).select(F.lit("before").alias("rule"), "encounter_id", "previous_location")
     other = previous_location(rows, quirk=True).select(F.lit("latest other").alias("rule"), "encounter_id", "previous_location")
     return before.unionByName(other)

@@ -272,7 +272,7 @@ def _(t):
     events = t.adt.select(F.col("patient_id").alias("person_id"), "visit_id", "encounter_id", "encounter_datetime")
     out = None
     for scope in ("any", "visit"):
-        part = ob.latest_before_encounter(events, live, 203, ["value_coded"], same_visit=scope == "visit", unit="day")
+        part = ob.latest_before_encounter(events, live, 203, ["value_coded"], same_visit=scope == "visit")
         part = part.select(F.lit(scope).alias("scope"), "encounter_id", "value_coded")
         out = part if out is None else out.unionByName(part)
     return out

@@ -390,7 +390,7 @@ _MORNING = ("2024-01-20 08:00:00", "2024-01-21 08:00:00")
 
 @query("ward_activity", f"WITH {activity_sql(*_MORNING, False)} SELECT * FROM activity")
 def _(t):
-    return wards.ward_activity(ward_clinic(t), shift_window("2024-01-21", "morning", True), unit="day")
+    return wards.ward_activity(ward_clinic(t), shift_window("2024-01-21", "morning", True))
 
 
 @query("ward_activity_latest_other", f"WITH {activity_sql(*_MORNING, True)} SELECT * FROM activity")
@@ -473,7 +473,7 @@ def bundle_sql(span) -> str:
 
 def bundle(t, shift: str):
     """All data sets of a handoff as one long table."""
-    sets = wards.shift_handoff(ward_clinic(t), "2024-01-21", shift, unit="day")
+    sets = wards.shift_handoff(ward_clinic(t), "2024-01-21", shift)
     out = None
     for name, (label, measures) in _BUNDLE.items():
         part = sets[name].unpivot([label], measures, "measure", "n").select(
@@ -791,4 +791,4 @@ def _(t):
     vitals = ob.collect_obs(not_voided(t.pobs), ["visit_id", "encounter_id", "encounter_datetime"], [
         ob.peak("height", 1), ob.peak("weight", 2), ob.peak("chief_complaint", 4, "value_text"),
     ])
-    return outpatient.visit_cohort(visits, people, diagnoses, given, labs, vitals, 1996, 2000, unit="year")
+    return outpatient.visit_cohort(visits, people, diagnoses, given, labs, vitals, 1996, 2000)

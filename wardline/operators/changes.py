@@ -259,7 +259,7 @@ def visits_started_at_birth(
 
 
 def adjacent_duplicates(
-    rows: DataFrame, by: Sequence[str], at: str, row_id: str, attributes: Sequence[str], max_seconds: int, unit: str = "month",
+    rows: DataFrame, by: Sequence[str], at: str, row_id: str, attributes: Sequence[str], max_seconds: int, unit: str = "day",
 ) -> DataFrame:
     """Rows equal to the row before them on every attribute, under max_seconds apart.
 

@@ -11,7 +11,7 @@ from wardline.operators.slices import asof_backward, range_join
 
 
 def visit_of_event(
-    events: DataFrame, visits: DataFrame, by: str = "patient_id", at: str = "event_at", grain: str = "timestamp", unit: str = "month",
+    events: DataFrame, visits: DataFrame, by: str = "patient_id", at: str = "event_at", grain: str = "timestamp", unit: str = "day",
 ) -> DataFrame:
     """Latest visit of the patient that started at or before the event."""
     return asof_backward(events, visits, [by], at, "date_started", ["visit_id"], order=["visit_id"], grain=grain, unit=unit)
@@ -19,7 +19,7 @@ def visit_of_event(
 
 def interval_contains(
     events: DataFrame, spans: DataFrame, by: str, at: str, span_id: str = "visit_id", start: str = "date_started",
-    stop: str = "date_stopped", unit: str = "month",
+    stop: str = "date_stopped", unit: str = "day",
 ) -> DataFrame:
     """Span holding each event: the one that stops last; failing that, the one that
     stopped earlier the same day.  Spans must be closed to count.

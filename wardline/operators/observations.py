@@ -492,7 +492,7 @@ def answer_ever(obs: DataFrame, person: str, wants: Mapping[str, tuple], since:
 
 def latest_before_encounter(
     encounters: DataFrame, obs: DataFrame, concept, take: Sequence[str], by: str = "person_id",
-    same_visit: bool = False, unit: str = "month",
+    same_visit: bool = False, unit: str = "day",
 ) -> DataFrame:
     """The latest observation of a question before each encounter."""
     keys = [by, "visit_id"] if same_visit else [by]

@@ -109,7 +109,7 @@ def present_patients(encounters: DataFrame, open_visits: DataFrame, enter_types:
     ).select(F.col("p.location_id").alias("location_id"), "patient_id")
 
 
-def previous_location(encounters: DataFrame, by: Sequence[str] = ("patient_id",), quirk: bool = False, unit: str = "month") -> DataFrame:
+def previous_location(encounters: DataFrame, by: Sequence[str] = ("patient_id",), quirk: bool = False, unit: str = "day") -> DataFrame:
     """Previous admission or transfer place of each row.
 
     The default is the row before.  ``quirk`` takes the latest *other* row of the

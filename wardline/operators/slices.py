@@ -4,7 +4,9 @@ A window over one patient puts all of that patient's rows into one task.  These
 operators cut every key into calendar slices: the window runs per (key, slice),
 and what must cross a slice border travels as one summary row per (key, slice), so
 the second window holds at most one row per calendar slice.  ``unit`` sets the
-width; take a finer one when a key is dense in time.
+width: days suit most facts (a summary never has more rows than its input), hours
+a key with very many rows a day.  Spans are cut by month, because each is repeated
+once per slice it touches.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 _SLICE = "_slice"
 
 
-def slice_number(at: Column, unit: str = "month") -> Column:
+def slice_number(at: Column, unit: str) -> Column:
     """Calendar slice as a growing integer; rows without a time sort first."""
     if unit == "year":
         number = F.year(at)
@@ -46,7 +48,7 @@ def _match(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFra
 
 def number_rows(
     df: DataFrame, by: Sequence[str], at: str, order: Sequence[str],
-    asc: str = "index_asc", desc: str | None = "index_desc", unit: str = "month",
+    asc: str = "index_asc", desc: str | None = "index_desc", unit: str = "day",
 ) -> DataFrame:
     """Position of each row within its key from the first and from the last.
 
@@ -75,7 +77,7 @@ def number_rows(
 
 def previous_values(
     df: DataFrame, by: Sequence[str], at: str, order: Sequence[str], columns: Sequence[str],
-    prefix: str = "previous_", unit: str = "month",
+    prefix: str = "previous_", unit: str = "day",
 ) -> DataFrame:
     """Columns of the row before, across slice borders (null on the first row)."""
     by = list(by)
@@ -100,7 +102,7 @@ def previous_values(
 def asof_backward(
     events: DataFrame, points: DataFrame, by: Sequence[str], at: str, start: str,
     take: Sequence[str], order: Sequence[str] = (), grain: str = "timestamp",
-    strict: bool = False, unit: str = "month", best: Sequence[str] | None = None,
+    strict: bool = False, unit: str = "day", best: Sequence[str] | None = None,
 ) -> DataFrame:
     """For each event the best point of the same key that starts at or before it.
 

@@ -88,7 +88,7 @@ def _in_years(df: DataFrame, at: str, first: int, last: int) -> DataFrame:
 def visit_cohort(
     visits: DataFrame, patients: DataFrame, diagnoses: DataFrame, dispenses: DataFrame, labs: DataFrame, vitals: DataFrame,
     first_year: int = 2020, last_year: int = 2024, widths: tuple[int, int, int] = (COHORT_DIAGNOSES, COHORT_MEDICINES, COHORT_TESTS),
-    unit: str = "month",
+    unit: str = "day",
 ) -> DataFrame:
     """One wide row per visit from the curated tables.
 

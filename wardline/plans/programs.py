@@ -256,7 +256,7 @@ def _reworded(column: str, names: Mapping[str, str]):
 
 
 def chronic_encounters(
-    clinic: Clinic, sections: Mapping[str, Mapping], start=None, end=None, unit: str = "year", ordered: bool = False,
+    clinic: Clinic, sections: Mapping[str, Mapping], start=None, end=None, unit: str = "day", ordered: bool = False,
 ) -> DataFrame:
     """One row per chronic-disease encounter.
 

@@ -77,7 +77,7 @@ def ward_census(clinic: Clinic) -> DataFrame:
     )
 
 
-def ward_activity(clinic: Clinic, shift: Shift, quirk: bool = False, unit: str = "month") -> DataFrame:
+def ward_activity(clinic: Clinic, shift: Shift, quirk: bool = False, unit: str = "day") -> DataFrame:
     """Admissions, transfers in and out, and discharges per ward in a shift.
 
     A transfer in counts as a transfer out of the patient's previous place in the
@@ -197,7 +197,7 @@ def death_list(clinic: Clinic, shift: Shift) -> DataFrame:
     ).orderBy("death_date").drop("death_date")
 
 
-def shift_handoff(clinic: Clinic, day, shift: str, quirk: bool = False, unit: str = "month") -> dict[str, DataFrame]:
+def shift_handoff(clinic: Clinic, day, shift: str, quirk: bool = False, unit: str = "day") -> dict[str, DataFrame]:
     """The data sets of one handoff; nothing runs until one is read.
 
     Deaths use a half-open shift, deliveries and activity a closed one.
