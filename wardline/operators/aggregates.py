@@ -27,7 +27,11 @@ def group_by_case(df: DataFrame, cases: Sequence[tuple[Column, Column]], otherwi
 
 
 def string_agg(df: DataFrame, by: Sequence[str], column: str, order: str, out: str, separator: str = ",") -> DataFrame:
-    """All values of a key as one text, in the given order; null when there are none."""
+    """All values of a key as one text, in the given order; null when there are none.
+
+    The result itself is one text per key; for answers use the distinct lists of
+    ``collect_obs``, which are bounded by the dictionary.
+    """
     pair = F.when(F.col(column).isNotNull(), F.struct(F.col(order).alias("o"), F.col(column).alias("v")))
     items = F.array_sort(F.collect_list(pair))
     listed = F.array_join(F.transform(items, lambda i: i["v"].cast("string")), separator)

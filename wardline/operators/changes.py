@@ -190,6 +190,10 @@ def wrap_in_group(
     return split_to_groups(candidates, [("wrap", group, new[0], new[1])], reason, as_of)
 
 
+# Fixed value: why an encounter without visit and observations is voided.
+EMPTY_ENCOUNTER = "empty encounter with no visit"
+
+
 @dataclass
 class SlottedEncounters:
     encounters: ChangeSet
@@ -198,7 +202,7 @@ class SlottedEncounters:
 
 def slot_encounters(
     encounters: DataFrame, obs: DataFrame, visits: DataFrame, skip_types: Sequence, as_of: Column,
-    reason: str = "empty encounter with no visit", user: int = 1,
+    reason: str = EMPTY_ENCOUNTER, user: int = 1,
 ) -> SlottedEncounters:
     """Place encounters that have no visit.
 
