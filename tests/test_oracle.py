@@ -3,11 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog.registry import ORACLES, QUERIES
 from tests.oracle_compare import compare, connect
 
 SMALL = entry.SMALL
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +24,5 @@ def test_query(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert ORACLES.keys() <= entry.oracle_sql().keys()
