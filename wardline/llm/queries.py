@@ -6,6 +6,7 @@ import uuid
 
 import public_tokenizers
 
+from wardline.llm import quality_classifier, quality_rules, toxicity
 from wardline.llm.common import read
 from wardline.llm.packing import pack_documents
 from wardline.llm.token_counts import count_tokens
@@ -25,6 +26,24 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score_quality(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+
+
 @query("op9_token_counts")
 def op9(spark, sf_dir):
     # A cache of its own for each run: the figures are those of a cold cache.
