@@ -8,6 +8,7 @@ import public_tokenizers
 
 from wardline.llm import quality_classifier, quality_rules, toxicity
 from wardline.llm.common import read
+from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.packing import pack_documents
 from wardline.llm.token_counts import count_tokens
 from wardline.session import scratch_dir
@@ -44,6 +45,29 @@ def op3(spark, sf_dir):
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def words_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op8_jaccard_join", f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words_sql(_LOWER)} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+""")
+def op8(spark, sf_dir):
+    return jaccard_join(read(spark, sf_dir, "documents"), percent=90, n=3)
+
+
 @query("op9_token_counts")
 def op9(spark, sf_dir):
     # A cache of its own for each run: the figures are those of a cold cache.
