@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from wardline.llm import jaccard_join as jj
+from wardline.llm import substring_dedup as sd
 from wardline.llm.components import components
 from wardline.llm.hashing import words_of
 
@@ -126,3 +127,75 @@ def test_prefixes_share_a_key():
         (p, k), (q, m) = (jj.prefix_and_keys(np.sort(x), len(x), 1, 90) for x in (one, two))
         assert len(np.intersect1d(k, m))
         assert jj.surviving([p], np.array([len(one)]), [q], np.array([len(two)]), 90)[0, 0]
+
+
+def brute_repeats(rows):
+    """(words, removed, kept words) of each row."""
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    low = {}
+    for i, words in split:
+        for k in range(len(words) - 12):
+            if i is not None:
+                w = tuple(words[k: k + 13])
+                low[w] = min(low.get(w, i), i)
+    out = []
+    for i, words in split:
+        gone = {
+            p for k in range(len(words) - 12) if i is not None and low[tuple(words[k: k + 13])] < i for p in range(k, k + 13)
+        }
+        out.append((i, len(words), len(gone), " ".join(w for p, w in enumerate(words) if p not in gone)))
+    return sorted(out, key=str)
+
+
+def passages(seed, docs, vocabulary, longest):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(vocabulary)]
+    shared = [[rng.choice(words) for _ in range(rng.randrange(5, 60))] for _ in range(12)]
+    rows = []
+    for i in range(docs):
+        text = []
+        while len(text) < rng.randrange(longest):
+            text += rng.choice([[rng.choice(words) for _ in range(rng.randrange(30))], rng.choice(shared), [rng.choice(words)] * rng.randrange(40)])
+        rows.append(((i * 37) % 211 - 20, rng.choice([" ", "\n", "  "]).join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "docs", "vocabulary", "longest", "piece", "bucket"), [
+    (1, 60, 5000, 400, 4 << 20, 4 << 20), (2, 60, 3, 200, 300, 500), (3, 150, 40, 150, 2000, 2000), (4, 80, 1000, 300, 1000, 1 << 20),
+])
+def test_repeats_against_brute_force(spark, monkeypatch, seed, docs, vocabulary, longest, piece, bucket):
+    monkeypatch.setattr(sd, "BUCKET_BYTES", bucket)
+    rows = passages(seed, docs, vocabulary, longest)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in sd.remove_repeats(df).collect()), key=str)
+    want = brute_repeats(rows)
+    assert got == want
+    assert sum(w[2] for w in want) > 0
+
+
+def test_repeats_edges(spark):
+    line = " ".join(f"a{i}" for i in range(20))
+    rows = [(1, f"x {line}", 1), (1, f"x {line}", 2), (2, f"y\n{line}\tz", 3), (2, f"other {line}", 3), (3, None, 4), (4, "", 5), (None, line, 6), (5, "same " * 30_000, 7), (6, "same " * 14, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket int")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in sd.remove_repeats(df).collect()), key=str)
+    assert got == brute_repeats([r[:2] for r in rows])
+    kept = {r["text"] for r in sd.remove_repeats(df, spacing=True).filter("doc_id = 2").collect()}
+    assert kept == {"y\nz", "other "}
+    assert sd.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_equal_windows_choose_alike():
+    """A window is known by the same symbol wherever it occurs."""
+    rng = np.random.default_rng(3)
+    for vocabulary in (2, 5, 1000):
+        core = rng.integers(0, vocabulary, 13)
+        places = set()
+        for _ in range(200):
+            words = np.concatenate([rng.integers(0, vocabulary, rng.integers(0, 30)), core, rng.integers(0, vocabulary, rng.integers(0, 30))])
+            hashes = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            owner = np.zeros(len(words), np.int64)
+            place = sd.anchors(hashes, owner)
+            for at in range(len(words) - 12):
+                if (words[at: at + 13] == core).all():
+                    places.add(int(place[at]) - at)
+        assert len(places) == 1

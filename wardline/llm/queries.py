@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from wardline.llm import quality_classifier, quality_rules, toxicity
 from wardline.llm.common import read
 from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.packing import pack_documents
+from wardline.llm.substring_dedup import remove_repeats
 from wardline.llm.token_counts import count_tokens
 from wardline.session import scratch_dir
 
@@ -45,6 +47,7 @@ def op3(spark, sf_dir):
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
+_TEXT = "coalesce(text, '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -52,6 +55,24 @@ def words_sql(text: str) -> str:
     return f"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
 
 
+@query("op6_substring_dedup", f"""
+WITH w AS (SELECT doc_id, {words_sql(_TEXT)} AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM g),
+m AS (SELECT k, min(doc_id) AS low FROM h GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM h JOIN m USING (k) WHERE low < doc_id),
+kept AS (
+  SELECT x.doc_id, x.word, x.p FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) x
+  LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p WHERE gone.p IS NULL),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id)
+""")
+def op6(spark, sf_dir):
+    kept = remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op8_jaccard_join", f"""
 WITH RECURSIVE w AS (SELECT doc_id, {words_sql(_LOWER)} AS ws FROM documents),
 s AS (
