@@ -66,7 +66,7 @@ def _packer(path: str, size: int, end_id: int, linear: float, quadratic: float,
         import numpy as np
         from pyspark import TaskContext
 
-        encoder = tokens.WordEncoder(path)
+        encoder = tokens.word_encoder(path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         ids, encoded, held, used, copies = [], [], 0, 0, {}

@@ -37,7 +37,7 @@ def _counter(path: str, version: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        counter, open_, seen = tokens.ByteCounter(path), zstandard.ZstdDecompressor(), set()
+        counter, open_, seen = tokens.byte_counter(path), zstandard.ZstdDecompressor(), set()
         for batch in batches:
             digests, counts = [], []
             for digest, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

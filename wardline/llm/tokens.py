@@ -1,8 +1,8 @@
 """Token ids and counts as the tokenizers library gives them, word by word.
 
 Byte-pair merges never cross the pieces that a vocabulary's pattern cuts a text
-into, so a text's ids are those of its pieces side by side.  Each task keeps the
-pieces it has met; the library itself encodes every piece once per task.
+into, so a text's ids are those of its pieces side by side.  Each worker keeps the
+pieces it has met; the library itself encodes every piece once per worker process.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ LOOSE_SPACE = re.compile(r" [\t-\r ]|[\t-\r] |^ | $")
 # A word of plain letters and a tail of plain signs; the apostrophe has its own rules.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -115,3 +115,15 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.by_word.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def byte_counter(path: str) -> ByteCounter:
+    """The process's counter: tasks that reuse a Python worker share what it has met."""
+    return ByteCounter(path)
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The process's encoder: tasks that reuse a Python worker share what it has met."""
+    return WordEncoder(path)
