@@ -22,7 +22,7 @@ SKETCH_BITS, SEGMENT_BITS = 22, 12
 SMALL, GROUPS = 128, 64
 # Members of a block when groups of one key are compared further, rows that one such
 # table may hold, and tokens compared at once.
-BLOCK, SLOT_ROWS, COLUMNS = 512, 20_000, 4096
+BLOCK, SLOT_ROWS, COLUMNS = 512, 8_000, 4096
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -123,8 +123,9 @@ def prefix_and_keys(tokens: np.ndarray, size: int, frequent: int, percent: int)
             common = (tokens >> np.uint64(56)) >= frequent
             group = (mix(tokens) % np.uint64(GROUPS)).astype(np.int64)
             seen: dict[int, list] = {}
-            covered, at = 0, 0
-            made = []
+            # Rare tokens come first: each is a key and covers one.
+            covered = at = min(need, len(tokens) if not common.any() else int(common.argmax()))
+            made = [(token, np.uint64(0)) for token in tokens[:at]]
             while covered < need:
                 token = tokens[at]
                 if common[at]:
@@ -136,7 +137,7 @@ def prefix_and_keys(tokens: np.ndarray, size: int, frequent: int, percent: int)
                     covered += 1
                     made.append((token, np.uint64(0)))
                 at += 1
-            pairs = np.array(made, dtype=np.uint64)
+            pairs = np.array(made, dtype=np.uint64).reshape(-1, 2)
             keys.append(mix(mix(pairs[:, 0] + np.uint64(1)) ^ (pairs[:, 1] * M1)))
             length = max(length, at)
     return tokens[:length], np.unique(np.concatenate(keys))
@@ -152,36 +153,35 @@ def _sets(n: int, percent: int, levels: np.ndarray, frequent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", HELD_BYTES):
             found = shingle_sets(batch.column(1), n)
-            one, two, prefixes, keys, commons = [], [], [], [], []
+            one, two, prefixes, commons = [], [], [], []
             with np.errstate(over="ignore"):
                 for shingles in found:
                     one.append(int(mix(shingles).sum(dtype=np.uint64).view(np.int64)))
                     two.append(int(mix(shingles * M1).sum(dtype=np.uint64).view(np.int64)))
+                    prefix = shingles
                     if len(shingles):
-                        prefix, some = prefix_and_keys(_order(shingles, levels), len(shingles), frequent, percent)
-                    else:
-                        prefix = some = np.zeros(0, np.uint64)
+                        prefix, _ = prefix_and_keys(_order(shingles, levels), len(shingles), frequent, percent)
                     # The text that copies were made from has no rare tokens of its own.
                     commons.append(int((prefix >> np.uint64(56)).mean()) if len(prefix) else 0)
                     prefixes.append(prefix.tobytes())
-                    keys.append(some.tobytes())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([len(s) for s in found], pa.int64()),
-                pa.array(commons, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(keys, pa.binary()),
-            ], ["id", "one", "two", "size", "common", "prefix", "keys"])
+                pa.array(commons, pa.int32()), pa.array(prefixes, pa.binary()),
+            ], ["id", "one", "two", "size", "common", "prefix"])
 
     return make
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [np.frombuffer(k, dtype=np.int64) for k in batch.column(3).to_pylist()]
-        counts = [len(k) for k in keys]
-        if sum(counts):
-            spread = np.repeat(np.arange(len(keys)), counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), *(batch.column(i).take(pa.array(spread)) for i in range(3))], ["key", "id", "size", "common"]
-            )
+def _entries(percent: int, frequent: int):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(2).to_pylist()]
+            keys = [prefix_and_keys(x, n, frequent, percent)[1] for x, n in zip(prefixes, batch.column(1).to_pylist(), strict=True)]
+            if keys:
+                spread = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(spread))], ["key", "id"])
+
+    return entries
 
 
 def surviving(a: list[np.ndarray], size_a: np.ndarray, b: list[np.ndarray], size_b: np.ndarray, percent: int) -> np.ndarray:
@@ -299,48 +299,46 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
     and text columns are read.
     """
     levels, frequent = token_levels(docs, n, id_col, text_col)
-    made = _texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).mapInArrow(
-        _sets(n, percent, levels, frequent),
-        "id long, one long, two long, size long, common int, prefix binary, keys binary",
-    )
+    texts = _texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    made = texts.mapInArrow(_sets(n, percent, levels, frequent), "id long, one long, two long, size long, common int, prefix binary")
     rows = written(made, "shingle-rows")
     sets = written(
         rows.filter((F.col("size") > 0) & F.col("id").isNotNull()).groupBy("one", "two")
-        .agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "common", "prefix", "keys"))), "shingle-sets",
+        .agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "common", "prefix"))), "shingle-sets",
     )
-    entries = sets.select("id", "size", "common", "keys").mapInArrow(_entries, "key long, id long, size long, common int")
-    lead = F.max(F.struct("common", (-F.col("id")).alias("minus"), "size")).alias("lead")
-    shared = entries.groupBy("key").agg(F.count("*").alias("members"), lead).filter("members > 1")
-    met = written(
-        entries.join(shared, "key").select("key", "id", "size", "members", (-F.col("lead.minus")).alias("lead"), F.col("lead.size").alias("lead_size")),
-        "shingle-entries",
-    )
-    prefixes = sets.select("id", "size", "prefix")
-    involved = met.select("id").distinct()
-    texts = _texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    full = written(
-        texts.join(involved.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_packed_sets(n), "id long, shingles binary").dropDuplicates(["id", "shingles"]),
-        "shingle-full",
+    entries = sets.select("id", "size", "prefix").mapInArrow(_entries(percent, frequent), "key long, id long")
+    shared = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    met = written(entries.join(shared, "key").select("key", "id", "members"), "shingle-entries")
+    # The prefixes of sets that meet another one.
+    prefixes = written(
+        sets.select("id", "size", "common", "prefix").join(met.select("id").distinct(), "id", "left_semi"), "shingle-prefixes"
     )
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar; only texts of pairs left by then are read in full."""
+        pairs = written(pairs, "shingle-pairs")
+        ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "shingle-ids")
+        full = written(texts.join(ids, "id", "left_semi").mapInArrow(_packed_sets(n), "id long, shingles binary"), "shingle-full")
         both = pairs.join(_side(full, "a"), "a").join(_side(full, "b"), "b").select("a", "b", "shingles_a", "shingles_b")
-        return both.mapInArrow(_verify(percent), "a long, b long")
+        return both.mapInArrow(_verify(percent), "a long, b long").distinct()
 
-    near = F.least("size", "lead_size") * 100 >= F.greatest("size", "lead_size") * percent
-    stars = met.filter((F.col("id") != F.col("lead")) & near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    sized = met.join(prefixes.select("id", "size", "common"), "id")
+    lead = sized.groupBy("key").agg(F.max(F.struct("common", (-F.col("id")).alias("minus"), "size")).alias("lead"))
+    near = F.least("size", "lead.size") * 100 >= F.greatest("size", "lead.size") * percent
+    stars = sized.join(lead, "key").filter((F.col("id") != -F.col("lead.minus")) & near).select((-F.col("lead.minus")).alias("a"), F.col("id").alias("b")).distinct()
     maybe = (
-        stars.join(_side(prefixes, "a"), "a").join(_side(prefixes, "b"), "b")
+        stars.join(_side(prefixes.drop("common"), "a"), "a").join(_side(prefixes.drop("common"), "b"), "b")
         .select("a", "b", "size_a", "prefix_a", "size_b", "prefix_b").mapInArrow(_prune(percent), "a long, b long")
     )
     first = written(linked(maybe), "shingle-links")
     label = components(first)
-    placed = met.select("key", "id", "members").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Two sets alone under a key have met already.
+    placed = met.filter("members > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_ = written(placed.join(split, "key"), "shingle-open")
     slots = max(1, open_.count() // SLOT_ROWS)
     cells = (
-        open_.join(prefixes, "id").withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int"))
+        open_.join(prefixes.drop("common"), "id").withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
@@ -350,8 +348,7 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
     more = cells.select("slot", "key", "bi", "bj", "block", "id", "size", "component", "prefix").groupBy("slot").applyInArrow(
         _blocks(percent), "a long, b long"
     ).distinct()
-    second = linked(more)
-    links = written(first.unionAll(second), "shingle-links")
+    links = written(first.unionAll(linked(more)), "shingle-links")
     final = components(links)
     of_set = sets.select("one", "two", F.col("id").alias("rep")).join(final.withColumnRenamed("id", "rep"), "rep", "left")
     of_set = of_set.select("one", "two", F.coalesce("component", "rep").alias("component"))
