@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import quality_classifier, quality_rules, toxicity
 from wardline.llm.common import read
+from wardline.llm.embedding_dedup import near_vectors
 from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.packing import pack_documents
 from wardline.llm.substring_dedup import remove_repeats
@@ -73,6 +74,11 @@ def op6(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op7_embedding_dedup")
+def op7(spark, sf_dir):
+    return near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 @query("op8_jaccard_join", f"""
 WITH RECURSIVE w AS (SELECT doc_id, {words_sql(_LOWER)} AS ws FROM documents),
 s AS (
