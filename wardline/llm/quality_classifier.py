@@ -119,10 +119,11 @@ def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = model.differ()
         for batch in batches:
-            differences = [differ(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            differences = [differ(text or b"") for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            kept = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([model.probability(d) for d in differences], pa.float64()), pa.array(differences, pa.float64())],
-                ["id", "score", "difference"],
+                [*(batch.column(name) for name in kept), pa.array([model.probability(d) for d in differences], pa.float64()), pa.array(differences, pa.float64())],
+                [*kept, "score", "difference"],
             )
 
     return score
@@ -135,19 +136,21 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     return fit(texts, 0.5 if share is None else share)
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(
+    docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+) -> DataFrame:
     """The probability of label 1 for every whole text.
 
     Returns id, held_out, score, predicted (1 where score >= threshold) and the
-    normalised difference, one row per input row in no order.  A null text is an
-    empty one: its difference is 0 and it gets the score of the curve there.  An empty
-    table gives no rows; a model without labels scores 0.5.  Only the id and text
-    columns are read, and the id never enters the score.
+    normalised difference, one row per input row in no order, with the columns named in
+    ``carry`` as they were.  A null text is an empty one: its difference is 0 and it gets
+    the score of the curve there.  An empty table gives no rows; a model without labels
+    scores 0.5.  Only the columns named are read, and the id never enters the score.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(_scorer(model), f"id {kind}, score double, difference double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    scored = rows.mapInArrow(_scorer(model), f"{schema}, score double, difference double")
     return scored.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"), "difference",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), "difference", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)),
     )

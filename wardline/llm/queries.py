@@ -7,7 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardline.llm import quality_classifier, quality_rules, toxicity
+import corpus_pipeline
+from wardline.llm import html_extraction, mixing, quality_classifier, quality_rules, toxicity
 from wardline.llm.common import read
 from wardline.llm.embedding_dedup import near_vectors
 from wardline.llm.jaccard_join import jaccard_join
@@ -16,8 +17,8 @@ from wardline.llm.substring_dedup import remove_repeats
 from wardline.llm.token_counts import count_tokens
 from wardline.session import scratch_dir
 
-QUERIES = {}
-ORACLES = {}
+QUERIES = {"pipeline": corpus_pipeline.run}
+ORACLES = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
 
 def query(name: str, sql: str | None = None):
@@ -48,6 +49,20 @@ def op3(spark, sf_dir):
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
+@query("op4_mixing")
+def op4(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, corpus_pipeline.domain_model(spark, docs, sf_dir), corpus_pipeline.MIXTURE)
+    shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(corpus_pipeline.MIXTURE))]
+    return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
+@query("op5_html_extraction")
+def op5(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return html_extraction.extract_text(pages, html_extraction.train(pages))
+
+
 _TEXT = "coalesce(text, '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

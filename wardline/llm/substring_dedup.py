@@ -280,7 +280,7 @@ def covered(n_words: int, first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _remove(spacing: bool):
+def _remove(spacing: bool, carried: list[str]):
     def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
         ids, hashes, first, many, state = _unpack(found.column("rows").to_pylist(), _FOUND)
         sure = state == 0
@@ -307,7 +307,7 @@ def _remove(spacing: bool):
                 texts.append(b" ".join([words[i] for i in kept]))
         return pa.table({
             "id": docs.column("id"), "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-            "text": pa.array(texts, pa.binary()).cast(pa.string()),
+            "text": pa.array(texts, pa.binary()).cast(pa.string()), **{c: docs.column(c) for c in carried},
         })
 
     return remove
@@ -319,7 +319,9 @@ def _prime(n: int) -> int:
     return n
 
 
-def remove_repeats(docs: DataFrame, spacing: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, spacing: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+) -> DataFrame:
     """Every text without the words of any 13-word window that starts in a document of smaller id.
 
     1. Each window is known by its highest recompression symbol.  A run of windows with
@@ -334,12 +336,13 @@ def remove_repeats(docs: DataFrame, spacing: bool = False, id_col: str = "doc_id
     A piece of text sends each content once, so a passage that a third of all documents
     hold reaches a bucket once per piece.  Buckets follow the size of the text.
 
-    Returns id, n_words, n_removed, text for every row: the kept words joined by one
-    space, or with ``spacing`` the white space that followed them.  Windows are judged
+    Returns id, n_words, n_removed, text for every row, and the columns named in
+    ``carry`` as they were: the kept words joined by one space, or with ``spacing`` the
+    white space that followed them.  Windows are judged
     on the input.  A null text is an empty one; texts under 13 words lose nothing; a row
     without an id loses nothing and takes nothing from others; rows that repeat an id
-    are documents of that id each.  An empty table gives no rows.  Only the id (an
-    integer) and text columns are read.
+    are documents of that id each.  An empty table gives no rows.  Only the columns
+    named are read; the id is an integer.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("hash"), text.alias("text"))
@@ -350,8 +353,16 @@ def remove_repeats(docs: DataFrame, spacing: bool = False, id_col: str = "doc_id
         rows.filter(F.col("id").isNotNull()).mapInArrow(_emit(buckets), packed).groupBy("bucket").applyInArrow(_compare(buckets), packed),
         "segments",
     )
-    placed = rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets)), F.lit(0).cast("long")))
+    # The same columns for both uses, so that one shuffle of the texts serves them.
+    carried = [f"_{i}" for i in range(len(carry))]
+    placed = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("hash"), text.alias("text"),
+        *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)),
+    ).withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets)), F.lit(0).cast("long")))
+    schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name in carried)
     some = placed.groupBy("bucket")
     more = some.cogroup(found.groupBy("bucket")).applyInArrow(_open_windows(buckets), packed).groupBy("bucket").applyInArrow(_compare_windows(buckets), packed)
-    out = some.cogroup(found.unionAll(more).groupBy("bucket")).applyInArrow(_remove(spacing), "id long, n_words long, n_removed long, text string")
-    return out.withColumnRenamed("id", id_col)
+    out = some.cogroup(found.unionAll(more).groupBy("bucket")).applyInArrow(
+        _remove(spacing, carried), f"id long, n_words long, n_removed long, text string{schema}"
+    )
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "text", *(F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)))
