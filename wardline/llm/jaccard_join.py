@@ -21,8 +21,10 @@ SKETCH_BITS, SEGMENT_BITS = 22, 12
 # fall into GROUPS groups and are indexed by pairs inside a group.
 SMALL, GROUPS = 128, 64
 # Members of a block when groups of one key are compared further, rows that one such
-# table may hold, and tokens compared at once.
-BLOCK, SLOT_ROWS, COLUMNS = 512, 8_000, 4096
+# table may hold, and pairs compared at once.
+BLOCK, SLOT_ROWS, PAIRS = 512, 8_000, 50_000
+# Classes of tokens that a set's shape counts.
+CLASSES = 128
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -153,7 +155,7 @@ def _sets(n: int, percent: int, levels: np.ndarray, frequent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", HELD_BYTES):
             found = shingle_sets(batch.column(1), n)
-            one, two, prefixes, commons = [], [], [], []
+            one, two, prefixes, commons, shapes = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for shingles in found:
                     one.append(int(mix(shingles).sum(dtype=np.uint64).view(np.int64)))
@@ -164,10 +166,11 @@ def _sets(n: int, percent: int, levels: np.ndarray, frequent: int):
                     # The text that copies were made from has no rare tokens of its own.
                     commons.append(int((prefix >> np.uint64(56)).mean()) if len(prefix) else 0)
                     prefixes.append(prefix.tobytes())
+                    shapes.append(np.bincount(((shingles >> np.uint64(9)) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([len(s) for s in found], pa.int64()),
-                pa.array(commons, pa.int32()), pa.array(prefixes, pa.binary()),
-            ], ["id", "one", "two", "size", "common", "prefix"])
+                pa.array(commons, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(shapes, pa.binary()),
+            ], ["id", "one", "two", "size", "common", "prefix", "shape"])
 
     return make
 
@@ -184,46 +187,28 @@ def _entries(percent: int, frequent: int):
     return entries
 
 
-def surviving(a: list[np.ndarray], size_a: np.ndarray, b: list[np.ndarray], size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of two lists of prefixes may still be similar; exact in ruling out.
+def surviving(one: np.ndarray, size_one: np.ndarray, two: np.ndarray, size_two: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets may be similar; exact in ruling out.
 
-    Up to the smaller of two prefixes' last tokens both sets are known in full, so
-    the tokens that differ there differ in the sets.
+    A shape counts a set's tokens by class, modulo 256.  Where two sets' counts of a
+    class differ, so many tokens at least are in one of them only.
     """
-    every = [*a, *b]
-    counts = np.array([len(x) for x in every])
-    owner = np.repeat(np.arange(len(every)), counts)
-    vocabulary, at, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    repeated = np.flatnonzero(times > 1)
-    column = np.full(len(vocabulary), -1)
-    column[repeated] = np.arange(len(repeated))
-    column = column[at]
-    shared = np.zeros((len(a), len(b)), dtype=np.float32)
-    for start in range(0, len(repeated), COLUMNS):
-        part = (column >= start) & (column < start + COLUMNS)
-        held = np.zeros((len(every), min(COLUMNS, len(repeated) - start)), dtype=np.float32)
-        held[owner[part], column[part] - start] = 1
-        shared += held[: len(a)] @ held[len(a):].T
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    ends = np.array([top if n == len(x) else x[-1] for x, n in zip(every, [*size_a, *size_b], strict=True)], dtype=np.uint64)
-    # Tokens of one set up to the other's last token.
-    from_a = np.array([np.searchsorted(x, ends[len(a):], "right") for x in a])
-    from_b = np.array([np.searchsorted(x, ends[: len(a)], "right") for x in b]).T
-    total = size_a[:, None] + size_b[None, :]
+    total = size_one + size_two
     most = total - 2 * -(-percent * total // (100 + percent))
-    close = 100 * np.minimum(size_a[:, None], size_b[None, :]) >= percent * np.maximum(size_a[:, None], size_b[None, :])
-    return close & (from_a + from_b - 2 * shared <= most)
+    apart = np.abs(one.astype(np.int16) - two.astype(np.int16))
+    apart = np.minimum(apart, 256 - apart).sum(axis=1, dtype=np.int64)
+    return (100 * np.minimum(size_one, size_two) >= percent * np.maximum(size_one, size_two)) & (apart <= most)
+
+
+def _shapes(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, CLASSES)
 
 
 def _prune(percent: int):
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            keep = [
-                bool(surviving(
-                    [np.frombuffer(pa_, np.uint64)], np.array([sa]), [np.frombuffer(pb, np.uint64)], np.array([sb]), percent
-                )[0, 0]) for sa, pa_, sb, pb in zip(rows["size_a"], rows["prefix_a"], rows["size_b"], rows["prefix_b"], strict=True)
-            ]
+            keep = surviving(_shapes(rows["shape_a"]), np.array(rows["size_a"]), _shapes(rows["shape_b"]), np.array(rows["size_b"]), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return prune
@@ -252,17 +237,40 @@ def _blocks(percent: int):
                 sides[0].append(i)
             if rows["block"][i] == cell[2]:
                 sides[1].append(i)
-        found = set()
-        prefix = [np.frombuffer(x, np.uint64) for x in rows["prefix"]]
-        size, component, ids = np.array(rows["size"]), np.array(rows["component"]), np.array(rows["id"])
-        for left, right in cells.values():
-            if left and right:
-                may = surviving([prefix[i] for i in left], size[left], [prefix[i] for i in right], size[right], percent)
-                may &= component[left][:, None] != component[right][None, :]
-                for i, j in np.argwhere(may).tolist():
-                    x, y = int(ids[left[i]]), int(ids[right[j]])
-                    found.add((min(x, y), max(x, y)))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        size, component, ids, shape = np.array(rows["size"]), np.array(rows["component"]), np.array(rows["id"]), _shapes(rows["shape"])
+        ones, twos, waiting = [], [], 0
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+
+        def flush() -> None:
+            nonlocal waiting
+            if ones:
+                i, j = np.concatenate(ones), np.concatenate(twos)
+                i, j = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                _, first = np.unique(np.stack([i, j]), axis=1, return_index=True)
+                i, j = np.concatenate(ones)[first], np.concatenate(twos)[first]
+                for at in range(0, len(i), PAIRS):
+                    a, b = i[at: at + PAIRS], j[at: at + PAIRS]
+                    may = surviving(shape[a], size[a], shape[b], size[b], percent)
+                    x, y = ids[a[may]], ids[b[may]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            ones.clear()
+            twos.clear()
+            waiting = 0
+
+        for (_, bi, bj), (left, right) in cells.items():
+            a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+            i, j = (x.reshape(-1) for x in np.meshgrid(a, b, indexing="ij"))
+            apart = component[i] != component[j]
+            if bi == bj:
+                apart &= i < j
+            ones.append(i[apart])
+            twos.append(j[apart])
+            waiting += int(apart.sum())
+            if waiting > 8 * PAIRS:
+                flush()
+        flush()
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return compare
 
@@ -286,8 +294,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
     1. A sketch counts shingles over all documents and orders them from rare to frequent.
     2. Documents with equal sets become one set, known by its smallest id.
     3. Each set is indexed by single rare tokens and pairs of frequent ones.  Under each
-       key every set meets the one with the most common tokens; prefixes rule most pairs
-       out, full sets decide the rest, and links make components.
+       key every set meets the one with the most common tokens; counts of tokens by class
+       rule most pairs out, full sets decide the rest, and links make components.
     4. Keys whose sets lie in several components are compared once more, all of them
        against all in blocks, leaving out pairs of one component.  So no link between
        components is lost, and copies of one text are not paired with each other.
@@ -300,19 +308,17 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
     """
     levels, frequent = token_levels(docs, n, id_col, text_col)
     texts = _texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    made = texts.mapInArrow(_sets(n, percent, levels, frequent), "id long, one long, two long, size long, common int, prefix binary")
+    made = texts.mapInArrow(_sets(n, percent, levels, frequent), "id long, one long, two long, size long, common int, prefix binary, shape binary")
     rows = written(made, "shingle-rows")
     sets = written(
         rows.filter((F.col("size") > 0) & F.col("id").isNotNull()).groupBy("one", "two")
-        .agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "common", "prefix"))), "shingle-sets",
+        .agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "common", "prefix", "shape"))), "shingle-sets",
     )
     entries = sets.select("id", "size", "prefix").mapInArrow(_entries(percent, frequent), "key long, id long")
     shared = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     met = written(entries.join(shared, "key").select("key", "id", "members"), "shingle-entries")
-    # The prefixes of sets that meet another one.
-    prefixes = written(
-        sets.select("id", "size", "common", "prefix").join(met.select("id").distinct(), "id", "left_semi"), "shingle-prefixes"
-    )
+    # The shapes of sets that meet another one.
+    shapes = written(sets.select("id", "size", "common", "shape").join(met.select("id").distinct(), "id", "left_semi"), "shingle-shapes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar; only texts of pairs left by then are read in full."""
@@ -322,13 +328,13 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
         both = pairs.join(_side(full, "a"), "a").join(_side(full, "b"), "b").select("a", "b", "shingles_a", "shingles_b")
         return both.mapInArrow(_verify(percent), "a long, b long").distinct()
 
-    sized = met.join(prefixes.select("id", "size", "common"), "id")
+    sized = met.join(shapes.select("id", "size", "common"), "id")
     lead = sized.groupBy("key").agg(F.max(F.struct("common", (-F.col("id")).alias("minus"), "size")).alias("lead"))
     near = F.least("size", "lead.size") * 100 >= F.greatest("size", "lead.size") * percent
     stars = sized.join(lead, "key").filter((F.col("id") != -F.col("lead.minus")) & near).select((-F.col("lead.minus")).alias("a"), F.col("id").alias("b")).distinct()
     maybe = (
-        stars.join(_side(prefixes.drop("common"), "a"), "a").join(_side(prefixes.drop("common"), "b"), "b")
-        .select("a", "b", "size_a", "prefix_a", "size_b", "prefix_b").mapInArrow(_prune(percent), "a long, b long")
+        stars.join(_side(shapes.drop("common"), "a"), "a").join(_side(shapes.drop("common"), "b"), "b")
+        .select("a", "b", "size_a", "shape_a", "size_b", "shape_b").mapInArrow(_prune(percent), "a long, b long")
     )
     first = written(linked(maybe), "shingle-links")
     label = components(first)
@@ -338,14 +344,14 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
     open_ = written(placed.join(split, "key"), "shingle-open")
     slots = max(1, open_.count() // SLOT_ROWS)
     cells = (
-        open_.join(prefixes.drop("common"), "id").withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int"))
+        open_.join(shapes.drop("common"), "id").withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         # Small keys share a table; each pair of blocks of a large one has its own.
         .withColumn("slot", F.when(F.col("nb") > 1, F.xxhash64("key", "bi", "bj")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slots))))
     )
-    more = cells.select("slot", "key", "bi", "bj", "block", "id", "size", "component", "prefix").groupBy("slot").applyInArrow(
+    more = cells.select("slot", "key", "bi", "bj", "block", "id", "size", "component", "shape").groupBy("slot").applyInArrow(
         _blocks(percent), "a long, b long"
     ).distinct()
     links = written(first.unionAll(linked(more)), "shingle-links")
