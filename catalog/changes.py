@@ -14,36 +14,45 @@ AS_OF = "2024-02-01 00:00:00"
 _AT = f"TIMESTAMP '{AS_OF}'"
 
 
-def new_id(column: str, role: str) -> str:
-    return f"CAST(('0x' || substring(md5(CAST({column} AS VARCHAR) || ':{role}'), 1, 15)) AS BIGINT)"
-
-
 def whole_obs(t) -> DataFrame:
     """Observations with their audit columns."""
     empty = {"previous_version": "bigint", "void_reason": "string", "date_voided": "timestamp_ntz", "voided_by": "int", "creator": "int"}
     return t.obs.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()}).withColumn("uuid", F.col("obs_id").cast("string"))
 
 
-_SHOWN = ["obs_id", "encounter_id", "concept_id", "obs_group_id", "value_coded", "value_numeric", "previous_version", "voided", "void_reason"]
+_SHOWN = ["encounter_id", "concept_id", "value_coded", "value_numeric", "previous_version", "voided", "void_reason"]
 
 
 def applied(t, change) -> DataFrame:
-    return ch.apply_changeset(whole_obs(t), change).select(*_SHOWN)
+    """The next version.  New rows show no id of their own (it is any free one) but whether it is free, and the concept of a new group."""
+    before = whole_obs(t)
+    after = ch.apply_changeset(before, change)
+    # Old rows carry their id as UUID here; derived UUIDs have dashes.
+    new = F.col("uuid").contains("-")
+    top = before.agg(F.max("obs_id").alias("top"))
+    heads = after.filter(new).select(F.col("obs_id").alias("obs_group_id"), F.col("concept_id").alias("group_concept"))
+    return after.join(heads, "obs_group_id", "left").join(top).select(
+        F.when(~new, F.col("obs_id")).alias("obs_id"), F.when(F.col("group_concept").isNull(), F.col("obs_group_id")).alias("obs_group_id"),
+        "group_concept", (new & (F.col("obs_id") <= F.col("top"))).alias("taken"), *_SHOWN,
+    )
+
+
+_OLD = """SELECT o.obs_id, o.obs_group_id, CAST(NULL AS INT) AS group_concept, FALSE AS taken, o.encounter_id, o.concept_id, o.value_coded, o.value_numeric, CAST(NULL AS BIGINT) AS previous_version,
+  CASE WHEN c.obs_id IS NULL THEN o.voided ELSE TRUE END AS voided, CASE WHEN c.obs_id IS NULL THEN NULL ELSE '{reason}' END AS void_reason FROM obs o LEFT JOIN cand c ON o.obs_id = c.obs_id"""
 
 
-def replaced_sql(candidates: str, concept: str, coded: str, numeric: str, role: str, reason: str) -> str:
+def replaced_sql(candidates: str, concept: str, coded: str, numeric: str, reason: str) -> str:
     """The next version: every old row, candidates voided, plus their replacements."""
     return f"""
 WITH cand AS ({candidates})
-SELECT o.obs_id, o.encounter_id, o.concept_id, o.obs_group_id, o.value_coded, o.value_numeric, CAST(NULL AS BIGINT) AS previous_version,
-  CASE WHEN c.obs_id IS NULL THEN o.voided ELSE TRUE END AS voided, CASE WHEN c.obs_id IS NULL THEN NULL ELSE '{reason}' END AS void_reason FROM obs o LEFT JOIN cand c ON o.obs_id = c.obs_id
-UNION ALL SELECT {new_id('obs_id', role)}, encounter_id, {concept}, obs_group_id, {coded}, {numeric}, obs_id, FALSE, NULL FROM cand
+{_OLD.format(reason=reason)}
+UNION ALL SELECT NULL, obs_group_id, NULL, FALSE, encounter_id, {concept}, {coded}, {numeric}, obs_id, FALSE, NULL FROM cand
 """
 
 
 @query("recode_concept", replaced_sql(
     "SELECT o.* FROM obs o JOIN encounter e ON o.encounter_id = e.encounter_id WHERE o.concept_id IN (1, 2) AND NOT o.voided AND e.encounter_type IN ('1-URGENT', '2-HIGH')",
-    "CASE concept_id WHEN 1 THEN 51 WHEN 2 THEN 52 END", "value_coded", "value_numeric", "recode", "moved to new concepts",
+    "CASE concept_id WHEN 1 THEN 51 WHEN 2 THEN 52 END", "value_coded", "value_numeric", "moved to new concepts",
 ))
 def _(t):
     change = ch.recode_concept(whole_obs(t), t.encounter, {1: 51, 2: 52}, ["1-URGENT", "2-HIGH"], "moved to new concepts", moment(AS_OF))
@@ -52,7 +61,7 @@ def _(t):
 
 @query("recode_and_scale", replaced_sql(
     "SELECT o.* FROM obs o JOIN encounter e ON o.encounter_id = e.encounter_id WHERE o.concept_id IN (1, 2, 3) AND NOT o.voided AND e.encounter_type = '3-MEDIUM'",
-    "concept_id + 60", "value_coded", "CASE WHEN value_numeric < 4 THEN value_numeric * 1000 ELSE value_numeric END", "recode", "litres to millilitres",
+    "concept_id + 60", "value_coded", "CASE WHEN value_numeric < 4 THEN value_numeric * 1000 ELSE value_numeric END", "litres to millilitres",
 ))
 def _(t):
     change = ch.recode_and_scale(
@@ -62,7 +71,7 @@ def _(t):
 
 
 @query("override_answer", replaced_sql(
-    "SELECT * FROM obs WHERE concept_id IN (4, 5) AND NOT voided", "concept_id", "39", "value_numeric", "override", "wrong tag",
+    "SELECT * FROM obs WHERE concept_id IN (4, 5) AND NOT voided", "concept_id", "39", "value_numeric", "wrong tag",
 ))
 def _(t):
     return applied(t, ch.override_answer(whole_obs(t), [4, 5], 39, "wrong tag", moment(AS_OF)))
@@ -70,14 +79,13 @@ def _(t):
 
 def grouped_sql(candidates: str, parts, reason: str) -> str:
     made = " ".join(
-        f"""UNION ALL SELECT {new_id('obs_id', role + '-group')}, encounter_id, {group}, NULL, NULL, NULL, NULL, FALSE, NULL FROM cand
-UNION ALL SELECT {new_id('obs_id', role + '-child')}, encounter_id, {child}, {new_id('obs_id', role + '-group')}, {answer}, NULL, NULL, FALSE, NULL FROM cand"""
-        for role, group, child, answer in parts
+        f"""UNION ALL SELECT NULL, NULL, NULL, FALSE, encounter_id, {group}, NULL, NULL, NULL, FALSE, NULL FROM cand
+UNION ALL SELECT NULL, NULL, {group}, FALSE, encounter_id, {child}, {answer}, NULL, NULL, FALSE, NULL FROM cand"""
+        for _, group, child, answer in parts
     )
     return f"""
 WITH cand AS ({candidates})
-SELECT o.obs_id, o.encounter_id, o.concept_id, o.obs_group_id, o.value_coded, o.value_numeric, CAST(NULL AS BIGINT) AS previous_version,
-  CASE WHEN c.obs_id IS NULL THEN o.voided ELSE TRUE END AS voided, CASE WHEN c.obs_id IS NULL THEN NULL ELSE '{reason}' END AS void_reason FROM obs o LEFT JOIN cand c ON o.obs_id = c.obs_id
+{_OLD.format(reason=reason)}
 {made}
 """
 
@@ -147,7 +155,7 @@ def _(t):
 
 @query("insert_missing_attribute", """
 SELECT visit_attribute_id, visit_id, attribute_type_id, value_reference, voided FROM visit_attribute
-UNION ALL SELECT """ + new_id("visit_id", "attribute-1") + """, visit_id, 1, 'true', FALSE FROM (SELECT DISTINCT v.visit_id FROM adt_visit v JOIN ev ON v.patient_id = ev.user_id AND v.date_started = ev.ts
+UNION ALL SELECT NULL, visit_id, 1, 'true', FALSE FROM (SELECT DISTINCT v.visit_id FROM adt_visit v JOIN ev ON v.patient_id = ev.user_id AND v.date_started = ev.ts
   WHERE ev.event_type IN ('signup', 'click')) b WHERE visit_id NOT IN (SELECT visit_id FROM visit_attribute WHERE attribute_type_id = 1 AND value_reference = 'true')
 """)
 def _(t):
@@ -165,7 +173,11 @@ def _(t):
     )
     inborn = ch.visits_started_at_birth(link.unionByName(time), t.adt, t.person, t.adt_visit, ["admission", "delivery"], 400, 401)
     change = ch.insert_missing_attribute(t.visit_attribute, inborn, 1, "true", moment(AS_OF))
-    return ch.apply_changeset(t.visit_attribute, change).select("visit_attribute_id", "visit_id", "attribute_type_id", "value_reference", "voided")
+    after = ch.apply_changeset(t.visit_attribute, change)
+    # New ids are any above the table's; these show as null.
+    top = t.visit_attribute.agg(F.max("visit_attribute_id").alias("top"))
+    old = F.when(F.col("visit_attribute_id") <= F.col("top"), F.col("visit_attribute_id"))
+    return after.join(top).select(old.alias("visit_attribute_id"), "visit_id", "attribute_type_id", "value_reference", "voided")
 
 
 @query("void_adjacent_duplicates", """

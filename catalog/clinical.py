@@ -103,14 +103,24 @@ def _(t):
 
 
 @query("derived_ids", """
-SELECT obs_id, CAST(('0x' || substring(md5(CAST(obs_id AS VARCHAR) || ':recode'), 1, 15)) AS BIGINT) AS new_id,
-  substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) AS new_uuid
-FROM (SELECT obs_id, md5(CAST(obs_id AS VARCHAR) || ':recode') AS h FROM obs)
+SELECT obs_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) AS new_uuid,
+  TRUE AS above_all, CAST(1 AS BIGINT) AS holders
+FROM (SELECT obs_id, md5(CAST(obs_id AS VARCHAR) || ':recode') AS h FROM obs WHERE NOT voided)
 """)
 def _(t):
-    from wardline.operators.changes import derived_id, derived_uuid
+    from wardline.operators import changes as ch
 
-    return t.obs.select("obs_id", derived_id(F.col("obs_id"), "recode").alias("new_id"), derived_uuid(F.col("obs_id"), "recode").alias("new_uuid"))
+    table = t.obs.withColumn("uuid", F.col("obs_id").cast("string"))
+    made = t.obs.filter(~F.col("voided")).select(
+        F.col("obs_id").alias("previous_version"), "encounter_id", "concept_id", F.lit(False).alias("voided"), ch.derived_uuid(F.col("obs_id"), "recode").alias("uuid"),
+    )
+    table = table.withColumn("previous_version", F.lit(None).cast("bigint"))
+    after = ch.apply_changeset(table, ch.ChangeSet("obs_id", made))
+    held = after.groupBy("obs_id").agg(F.count("*").alias("holders"))
+    top = table.agg(F.max("obs_id").alias("top"))
+    return after.filter(F.col("previous_version").isNotNull()).join(held, "obs_id").join(top).select(
+        F.col("previous_version").alias("obs_id"), F.col("uuid").alias("new_uuid"), (F.col("obs_id") > F.col("top")).alias("above_all"), "holders",
+    )
 
 
 # ---- clinical rules

@@ -94,6 +94,41 @@ def test_split_to_groups(spark):
     assert same_rows(one, two)
 
 
+def test_new_ids_are_free(spark, encounters):
+    """Any id may be taken already: no row is lost, no id is used twice."""
+    taken = [row(i, concept=9) for i in (5, 6, 7, 1 << 40, (1 << 60) - 1)]
+    table = spark.createDataFrame([row(1, coded=1), row(2, coded=1), *taken], OBS)
+    one, two = twice(table, lambda t: ch.recode_concept(t, encounters, {5: 6}, None, "moved", now()))
+    assert one.count() == 9 and one.select("obs_id").distinct().count() == 9
+    assert sorted(r["previous_version"] for r in one.filter("concept_id = 6").collect()) == [1, 2]
+    assert same_rows(one, two)
+
+
+def test_an_insert_already_there_is_known_by_uuid(spark):
+    table = spark.createDataFrame([row(1, coded=1), row(2, coded=1)], OBS)
+    parts = [("x", 10, 11, 12)]
+
+    def make(t, only):
+        return ch.split_to_groups(t.filter(only), parts, "split", now())
+
+    one = ch.apply_changeset(table, make(table, "obs_id = 1"))
+    # The first candidate once more and the second anew: only the second's rows are added, and groups hold.
+    two = ch.apply_changeset(one, make(table, "obs_id in (1, 2)"))
+    assert two.count() == one.count() + 2
+    heads = {r["obs_id"] for r in two.filter("concept_id = 10").collect()}
+    assert {r["obs_group_id"] for r in two.filter("concept_id = 11").collect()} == heads and len(heads) == 2
+    # Two sources that share an id lose nothing.
+    double = spark.createDataFrame([row(1, coded=1), row(1, coded=1)], OBS)
+    assert ch.apply_changeset(double, ch.ChangeSet("obs_id", make(double, "obs_id = 1").inserts)).select("obs_id").distinct().count() == 5
+
+
+def test_candidates_are_read_once(spark):
+    table = spark.createDataFrame([row(1, coded=1)], OBS)
+    made = ch.split_to_groups(table.filter("concept_id = 5"), [(f"p{i}", 10 + i, 20 + i, 30 + i) for i in range(5)], "split", now())
+    plan = made.inserts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Union" not in plan
+
+
 def test_slot_encounters(spark):
     enc = spark.createDataFrame([
         (1, 7, "a", at("2024-01-01T10:00"), None, False), (2, 7, "a", at("2024-01-01T18:00"), None, False), (3, 7, "a", at("2024-01-01T10:00"), None, False),

@@ -2,12 +2,14 @@
 
 A change set is rows to insert plus updates by id.  Nothing is edited in place:
 ``apply_changeset`` reads one version of a table and yields the next, to be
-written to a new path.  Ids of inserted rows are derived from the row they come
-from, and candidates are live rows only, so a second run changes nothing.
+written to a new path.  A new row is known by its UUID, which is derived from the
+row it comes from; its id is given when the change set is applied, above all ids of
+the table.  Candidates are live rows only, so a second run changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,15 +20,21 @@ from wardline.functions.text import is_uuid
 from wardline.operators.filters import not_voided
 from wardline.operators.intervals import interval_contains
 from wardline.operators.slices import previous_values
+from wardline.session import scratch_dir
 
 
 @dataclass
 class ChangeSet:
-    """``inserts`` has full rows; ``updates`` has the key and the columns to set."""
+    """``inserts`` has rows with a ``uuid`` and no key; ``updates`` has the key and the columns to set.
+
+    Where an insert refers to another insert, ``parent`` names the column that takes the
+    other's id and the column that holds its UUID.
+    """
 
     key: str
     inserts: DataFrame | None = None
     updates: DataFrame | None = None
+    parent: tuple[str, str] | None = None
 
 
 def derived_uuid(source: Column, role: str) -> Column:
@@ -36,12 +44,6 @@ def derived_uuid(source: Column, role: str) -> Column:
     return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in cuts])
 
 
-def derived_id(source: Column, role: str) -> Column:
-    """A repeatable 60-bit id of a row derived from another row in a given role."""
-    digest = F.md5(F.concat_ws(":", source.cast("string"), F.lit(role)))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-
-
 def apply_changeset(table: DataFrame, change: ChangeSet) -> DataFrame:
     """The next version of the table."""
     out = table
@@ -56,14 +58,37 @@ def apply_changeset(table: DataFrame, change: ChangeSet) -> DataFrame:
             ]
         )
     if change.inserts is not None:
-        # Rows an earlier run put there.  The table is the probe side, so a small
-        # change set is broadcast and the table's keys never move.
-        present = table.select(change.key).join(change.inserts.select(change.key), change.key, "left_semi")
-        fresh = change.inserts.join(present, change.key, "left_anti")
+        fresh = _numbered(table, change)
         out = out.unionByName(fresh.select(*[c for c in table.columns if c in fresh.columns]), allowMissingColumns=True)
     return out
 
 
+def _numbered(table: DataFrame, change: ChangeSet) -> DataFrame:
+    """The inserts that the table does not hold yet, with ids above all of its own.
+
+    The inserts are made once and written, so that every later read sees the same
+    numbers.  The table is the probe side of the UUID test: a small change set is
+    broadcast and the table's keys never move.  Inserts of one UUID (sources that share
+    an id) get an id each; what refers to them takes the lowest.
+    """
+    key, spark = change.key, table.sparkSession
+    path = f"{scratch_dir(spark).rstrip('/')}/wardline/inserts-{uuid.uuid4().hex}"
+    made = change.inserts.withColumn("uuid", F.lower("uuid")).withColumn("_order", F.monotonically_increasing_id())
+    made.write.parquet(path)
+    made = spark.read.schema(made.schema).parquet(path)
+    top = table.agg(F.max(key)).first()[0] or 0
+    numbered = made.withColumn(key, (F.lit(top) + 1 + F.col("_order")).cast(table.schema[key].dataType)).drop("_order")
+    # Rows an earlier run put there, and the ids they have.
+    present = table.select(key, F.lower("uuid").alias("uuid")).join(made.select("uuid"), "uuid", "left_semi").groupBy("uuid").agg(F.min(key).alias(key))
+    fresh = numbered.join(present.select("uuid"), "uuid", "left_anti")
+    if change.parent is not None:
+        column, link = change.parent
+        known = fresh.select("uuid", key).unionByName(present).groupBy("uuid").agg(F.min(key).alias(key))
+        parents = known.select(F.col("uuid").alias(link), F.col(key).alias("_parent"))
+        fresh = fresh.join(parents, link, "left").withColumn(column, F.coalesce("_parent", column)).drop("_parent", link)
+    return fresh
+
+
 def _void(candidates: DataFrame, key: str, reason: str, as_of: Column, user) -> DataFrame:
     return candidates.select(
         key, F.lit(True).alias("voided"), F.lit(reason).alias("void_reason"),
@@ -77,12 +102,11 @@ def _copies(candidates: DataFrame, changes: Mapping[str, Column], role: str, as_
         {
             "previous_version": F.col("obs_id"),
             "uuid": derived_uuid(F.col("obs_id"), role),
-            "obs_id": derived_id(F.col("obs_id"), role),
             "creator": F.lit(user),
             "date_created": as_of,
             **changes,
         }
-    )
+    ).drop("obs_id")
 
 
 def _of_types(obs: DataFrame, encounters: DataFrame, types: Sequence | None) -> DataFrame:
@@ -137,38 +161,34 @@ def override_answer(obs: DataFrame, questions: Sequence, answer, reason: str, as
     return ChangeSet("obs_id", _copies(rows, changes, "override", as_of, user), _void(rows, "obs_id", reason, as_of, user))
 
 
-def _new_obs(candidates: DataFrame, role: str, as_of: Column, **values: Column) -> DataFrame:
-    kept = ["person_id", "encounter_id", "obs_datetime", "location_id", "creator"]
-    return candidates.select(
-        derived_id(F.col("obs_id"), role).alias("obs_id"),
-        derived_uuid(F.col("obs_id"), role).alias("uuid"),
-        *[c for c in kept if c in candidates.columns],
-        as_of.alias("date_created"), F.lit(False).alias("voided"),
-        *[column.alias(name) for name, column in values.items()],
-    )
-
-
 def split_to_groups(candidates: DataFrame, parts: Sequence[tuple[str, int, int, int]], reason: str, as_of: Column) -> ChangeSet:
     """Replace each observation by groups of one child.
 
-    ``parts`` lists (role, group concept, child concept, answer).  Voiding is
-    credited to whoever entered the row.
+    ``parts`` lists (role, group concept, child concept, answer).  Each candidate
+    unfolds into all its new rows at once, so candidates are read a single time.
+    Voiding is credited to whoever entered the row.
     """
-    made = None
+    rows = []
     for role, group, child, answer in parts:
-        parent = _new_obs(candidates, f"{role}-group", as_of, concept_id=F.lit(group))
-        leaf = _new_obs(
-            candidates, f"{role}-child", as_of, concept_id=F.lit(child), value_coded=F.lit(answer),
-            obs_group_id=derived_id(F.col("obs_id"), f"{role}-group"),
-        )
-        both = parent.unionByName(leaf, allowMissingColumns=True)
-        made = both if made is None else made.unionByName(both)
+        head = derived_uuid(F.col("obs_id"), f"{role}-group")
+        for name, concept, value, parent in ((f"{role}-group", group, None, None), (f"{role}-child", child, answer, head)):
+            rows.append(
+                F.struct(
+                    derived_uuid(F.col("obs_id"), name).alias("uuid"), F.lit(concept).cast("int").alias("concept_id"),
+                    F.lit(value).cast("int").alias("value_coded"), (F.lit(None).cast("string") if parent is None else parent).alias("_group"),
+                )
+            )
+    kept = [c for c in ("person_id", "encounter_id", "obs_datetime", "location_id", "creator") if c in candidates.columns]
+    made = candidates.select(*kept, F.explode(F.array(*rows)).alias("_row")).select(
+        *kept, "_row.*", F.lit(None).cast(candidates.schema["obs_id"].dataType).alias("obs_group_id"),
+        as_of.alias("date_created"), F.lit(False).alias("voided"),
+    )
     user = F.col("creator") if "creator" in candidates.columns else F.lit(1)
     voids = candidates.select(
         "obs_id", F.lit(True).alias("voided"), F.lit(reason).alias("void_reason"),
         as_of.alias("date_voided"), user.alias("voided_by"),
     )
-    return ChangeSet("obs_id", made, voids)
+    return ChangeSet("obs_id", made, voids, ("obs_group_id", "_group"))
 
 
 def wrap_in_group(
@@ -233,11 +253,11 @@ def slot_encounters(
 
 
 def insert_missing_attribute(attributes: DataFrame, visits: DataFrame, attribute, value: str, as_of: Column) -> ChangeSet:
-    """Give the visits an attribute row where they have none with this value."""
-    have = attributes.filter((F.col("attribute_type_id") == attribute) & (F.col("value_reference") == value))
+    """Give the visits an attribute row where they have none with this value, in any letter case."""
+    have = attributes.filter((F.col("attribute_type_id") == attribute) & (F.lower("value_reference") == value.lower()))
     need = visits.select("visit_id").distinct().join(have.select("visit_id"), "visit_id", "left_anti")
     rows = need.select(
-        derived_id(F.col("visit_id"), f"attribute-{attribute}").alias("visit_attribute_id"), "visit_id",
+        "visit_id",
         F.lit(attribute).alias("attribute_type_id"), F.lit(value).alias("value_reference"),
         F.lit(False).alias("voided"), derived_uuid(F.col("visit_id"), f"attribute-{attribute}").alias("uuid"),
         as_of.alias("date_created"),
@@ -252,12 +272,12 @@ def visits_started_at_birth(
     own = _of_types(obs, encounters, types)
     links = own.filter(
         (F.col("concept_id") == link) & F.col("obs_group_id").isNotNull() & is_uuid(F.col("comments"))
-    ).select("obs_group_id", F.col("comments").alias("uuid"))
+    ).select("obs_group_id", F.lower("comments").alias("uuid"))
     births = obs.filter((F.col("concept_id") == birth_time) & F.col("obs_group_id").isNotNull()).select(
         "obs_group_id", F.col("value_datetime").alias("date_started")
     )
     babies = links.join(births, "obs_group_id").join(
-        persons.select("uuid", F.col("person_id").alias("patient_id")), "uuid"
+        persons.select(F.lower("uuid").alias("uuid"), F.col("person_id").alias("patient_id")), "uuid"
     )
     return visits.join(babies.select("patient_id", "date_started").distinct(), ["patient_id", "date_started"], "left_semi")
 
