@@ -29,11 +29,11 @@ def applied(t, change) -> DataFrame:
     after = ch.apply_changeset(before, change)
     # Old rows carry their id as UUID here; derived UUIDs have dashes.
     new = F.col("uuid").contains("-")
-    top = before.agg(F.max("obs_id").alias("top"))
+    top = before.agg(F.max("obs_id")).scalar()
     heads = after.filter(new).select(F.col("obs_id").alias("obs_group_id"), F.col("concept_id").alias("group_concept"))
-    return after.join(heads, "obs_group_id", "left").join(top).select(
+    return after.join(heads, "obs_group_id", "left").select(
         F.when(~new, F.col("obs_id")).alias("obs_id"), F.when(F.col("group_concept").isNull(), F.col("obs_group_id")).alias("obs_group_id"),
-        "group_concept", (new & (F.col("obs_id") <= F.col("top"))).alias("taken"), *_SHOWN,
+        "group_concept", (new & (F.col("obs_id") <= top)).alias("taken"), *_SHOWN,
     )
 
 
@@ -175,9 +175,9 @@ def _(t):
     change = ch.insert_missing_attribute(t.visit_attribute, inborn, 1, "true", moment(AS_OF))
     after = ch.apply_changeset(t.visit_attribute, change)
     # New ids are any above the table's; these show as null.
-    top = t.visit_attribute.agg(F.max("visit_attribute_id").alias("top"))
-    old = F.when(F.col("visit_attribute_id") <= F.col("top"), F.col("visit_attribute_id"))
-    return after.join(top).select(old.alias("visit_attribute_id"), "visit_id", "attribute_type_id", "value_reference", "voided")
+    top = t.visit_attribute.agg(F.max("visit_attribute_id")).scalar()
+    old = F.when(F.col("visit_attribute_id") <= top, F.col("visit_attribute_id"))
+    return after.select(old.alias("visit_attribute_id"), "visit_id", "attribute_type_id", "value_reference", "voided")
 
 
 @query("void_adjacent_duplicates", """

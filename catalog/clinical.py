@@ -117,9 +117,9 @@ def _(t):
     table = table.withColumn("previous_version", F.lit(None).cast("bigint"))
     after = ch.apply_changeset(table, ch.ChangeSet("obs_id", made))
     held = after.groupBy("obs_id").agg(F.count("*").alias("holders"))
-    top = table.agg(F.max("obs_id").alias("top"))
-    return after.filter(F.col("previous_version").isNotNull()).join(held, "obs_id").join(top).select(
-        F.col("previous_version").alias("obs_id"), F.col("uuid").alias("new_uuid"), (F.col("obs_id") > F.col("top")).alias("above_all"), "holders",
+    top = table.agg(F.max("obs_id")).scalar()
+    return after.filter(F.col("previous_version").isNotNull()).join(held, "obs_id").select(
+        F.col("previous_version").alias("obs_id"), F.col("uuid").alias("new_uuid"), (F.col("obs_id") > top).alias("above_all"), "holders",
     )
 
 
@@ -216,9 +216,9 @@ def _(t):
 
 @query("followup_flags", """
 WITH s AS (SELECT visit_id, date_diff('day', CAST(date_started AS DATE), DATE '2001-09-01') AS d, date_stopped FROM visit)
-SELECT visit_id, CASE WHEN date_stopped IS NOT NULL THEN CASE WHEN d <= 14 THEN 'Yes' ELSE 'No' END END AS came_within_14_days,
-  CASE WHEN date_stopped IS NOT NULL THEN CASE WHEN d <= 91.2501 THEN 'No' ELSE 'Yes' END END AS over_three_months,
-  CASE WHEN date_stopped IS NOT NULL THEN CASE WHEN d <= 182.5 THEN 'No' ELSE 'Yes' END END AS over_six_months FROM s
+SELECT visit_id, CASE WHEN date_stopped IS NOT NULL THEN CASE WHEN d <= 14 THEN 'Oui' ELSE 'No' END END AS came_within_14_days,
+  CASE WHEN date_stopped IS NOT NULL THEN CASE WHEN d <= 91.2501 THEN 'No' ELSE 'Oui' END END AS over_three_months,
+  CASE WHEN date_stopped IS NOT NULL THEN CASE WHEN d <= 182.5 THEN 'No' ELSE 'Oui' END END AS over_six_months FROM s
 """)
 def _(t):
     flags = cl.followup_flags(F.col("date_started"), F.col("date_stopped"), dt.moment("2001-09-01 00:00:00"))

@@ -558,7 +558,7 @@ SELECT b.patient_id, emr_id, p.gender, CAST(CAST({years_sql('pl.birthdate', "TIM
   CAST(date_diff('day', CAST(b.date_enrolled AS DATE), CAST(coalesce(b.date_completed, TIMESTAMP '2024-03-01 00:00:00') AS DATE)) AS INT) AS number_of_days_in_care, ol.label AS program_status_outcome, latest_diagnosis,
   n1 AS latest_seizure_number, {day('t1')} AS latest_seizure_date, n2 AS previous_seizure_number, {day('t2')} AS previous_seizure_date, n3 AS baseline_seizure_number, {day('t3')} AS baseline_seizure_date,
   meds AS latest_medication_given, {day('ml.encounter_datetime')} AS latest_medication_date, {day('last_visit')} AS last_visit_date, {day('nx')} AS next_scheduled_visit_date,
-  {_since(14, 'Yes', 'No')} AS patient_came_within_14_days_appt, {_since(91.2501, 'No', 'Yes')} AS three_months_since_latest_return_date, {_since(182.5, 'No', 'Yes')} AS six_months_since_latest_return_date
+  {_since(14, 'Oui', 'No')} AS patient_came_within_14_days_appt, {_since(91.2501, 'No', 'Oui')} AS three_months_since_latest_return_date, {_since(182.5, 'No', 'Oui')} AS six_months_since_latest_return_date
 FROM b LEFT JOIN m ON b.patient_program_id = m.patient_program_id LEFT JOIN ml ON b.patient_program_id = ml.patient_program_id LEFT JOIN lv ON b.patient_program_id = lv.patient_program_id LEFT JOIN person p ON b.patient_id = p.person_id
 LEFT JOIN (SELECT * FROM person WHERE NOT voided) pl ON b.patient_id = pl.person_id LEFT JOIN rw ON b.patient_id = rw.person_b LEFT JOIN ids ON b.patient_id = ids.patient_id LEFT JOIN ad ON b.patient_id = ad.person_id
 LEFT JOIN (SELECT * FROM location WHERE NOT retired) w ON b.location_id = w.location_id LEFT JOIN label_en ol ON b.outcome_concept_id = ol.concept_id

@@ -13,7 +13,8 @@ from wardline.streaming import live
 
 def event_stream(t) -> DataFrame:
     schema = t.events.schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
+    # A pattern, since the table may be one file or a folder of part files.
+    raw = t.spark.readStream.schema(schema).parquet(f"{t.path}/[e]vents.parquet")
     return raw.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
 
 

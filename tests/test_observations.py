@@ -154,3 +154,17 @@ def test_latest_before_is_strict(spark):
     assert {e: r["value_coded"] for e, r in got.items()} == {100: None, 101: 1, 102: 1}
     got = as_dict(ob.latest_before_encounter(enc, obs, 5, ["value_coded"], same_visit=True))
     assert {e: r["value_coded"] for e, r in got.items()} == {100: None, 101: 1, 102: None}
+
+
+def test_both_ways_of_a_pivot_agree(spark):
+    """Cells and the single aggregate give the same rows, at 24 and at 25 columns."""
+    rows = [
+        row(i, i % 9, 1 + i % 13, (T1, T2)[i % 2], number=float(i % 5), coded=1 + i % 4, text=f"t{i % 3}", comment=f"c{i % 2}", group=i % 3 or None) for i in range(400)
+    ]
+    kinds = [lambda n, c: ob.number(n, c), lambda n, c: ob.answer_list(n, c), lambda n, c: ob.tally(n, c, 2), lambda n, c: ob.yes_no(n, c, 1, 2), lambda n, c: ob.text(n, c)]
+    wants = [kinds[i % 5](f"w{i}", 1 + i % 13) for i in range(25)]
+    for count in (24, 25):
+        one, two = (
+            ob.collect_obs(frame(spark, rows), "encounter_id", wants[:count], labels(spark), wide_from=limit).collect() for limit in (0, 100)
+        )
+        assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 9

@@ -5,6 +5,7 @@ import re
 from datetime import datetime
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalog.reports import PLACES, clinic, ward_clinic
@@ -234,9 +235,9 @@ def test_date_range_reaches_the_scan(spark):
 
 
 def test_no_report_uses_nested_loops_or_python(spark):
-    import __spark_entry__ as entry
+    from catalog.registry import QUERIES
 
-    for name, build in entry.queries().items():
+    for name, build in QUERIES.items():
         if name.startswith("stream_") or name in ("materialize_table", "load_reference_csv"):
             continue
         text = plan(build(spark, SMALL))
@@ -251,3 +252,30 @@ def test_triage_is_sorted_out_by_dates(spark):
     some = patients.triage_export(clinic(t), sets, "1996-01-01", "1996-12-31")
     assert 0 < some.count() < every
     assert some.filter(~F.year("encounter_datetime").isin(1996)).count() == 0
+
+
+def test_streams_read_folders_of_part_files(spark, tmp_path):
+    """Every event of a table stored as part files reaches the streams."""
+    import shutil
+
+    from catalog.registry import QUERIES
+    from catalog.views import BASE_TABLES
+
+    source = "/root/testdata/sf0.001"
+    for name in BASE_TABLES:
+        if name != "events":
+            shutil.copy(f"{source}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet(f"{source}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_vitals_priority", "stream_current_location"):
+        want = sorted(map(str, QUERIES[name](spark, source).collect()))
+        assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == want and want
+
+
+def test_a_version_is_written_once(spark, tmp_path):
+    from wardline.sources.entities import materialize_table
+
+    rows = spark.range(3)
+    assert materialize_table(rows, str(tmp_path / "t"), "1").count() == 3
+    with pytest.raises(Exception, match="already exists"):
+        materialize_table(rows, str(tmp_path / "t"), "1")
+    assert materialize_table(spark.range(5), str(tmp_path / "t"), "2").count() == 5

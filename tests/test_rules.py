@@ -122,9 +122,9 @@ def test_followup_flags(spark):
     last = F.date_sub(F.to_date(now), F.col("days")).cast("timestamp_ntz")
     flags = cl.followup_flags(last, F.lit("x"), now)
     rows = df.orderBy("i").select(*[c.alias(n) for n, c in flags.items()]).collect()
-    assert [r["came_within_14_days"] for r in rows] == ["Yes", "No", "No", "No", "No", "No"]
-    assert [r["over_three_months"] for r in rows] == ["No", "No", "No", "Yes", "Yes", "Yes"]
-    assert [r["over_six_months"] for r in rows] == ["No", "No", "No", "No", "No", "Yes"]
+    assert [r["came_within_14_days"] for r in rows] == ["Oui", "No", "No", "No", "No", "No"]
+    assert [r["over_three_months"] for r in rows] == ["No", "No", "No", "Oui", "Oui", "Oui"]
+    assert [r["over_six_months"] for r in rows] == ["No", "No", "No", "No", "No", "Oui"]
     none = cl.followup_flags(last, F.lit(None).cast("string"), now)
     assert df.select(*none.values()).head()[0] is None
 
@@ -213,3 +213,20 @@ def test_parameters():
     assert (given.start_date, given.end_date, given.shift, given.extra) == (date(2024, 1, 1), None, "evening", {"who": 3})
     with pytest.raises(ValueError):
         given.window()
+
+
+def test_letter_case_of_flags_and_uuids(spark):
+    """The compared texts match in any letter case."""
+    from wardline.operators.intervals import uuid_text_join
+    from wardline.operators.programs import born_in_facility
+
+    name = "ABCDEF00-1234-4abc-8def-0123456789AB"
+    obs = spark.createDataFrame([(1, name), (2, name.lower()), (3, "text")], "obs_id int, comments string")
+    persons = spark.createDataFrame([(7, name.lower()), (8, "other")], "person_id int, uuid string")
+    assert sorted((r["obs_id"], r["other_person_id"], r["comments"]) for r in uuid_text_join(obs, persons).collect()) == [(1, 7, name), (2, 7, name.lower())]
+    people = spark.createDataFrame([(1,), (2,), (3,)], "patient_id int")
+    flags = spark.createDataFrame([(1, "test", "True", False), (2, "test", "TRUE", True), (3, "test", "false", False)], "person_id int, attribute_type string, value string, voided boolean")
+    assert sorted(r["patient_id"] for r in fl.exclude_flagged_persons(people, flags, "test").collect()) == [2, 3]
+    visits = spark.createDataFrame([(1,), (2,)], "visit_id int")
+    marks = spark.createDataFrame([(1, 5, "True", False), (2, 5, "no", False)], "visit_id int, attribute_type_id int, value_reference string, voided boolean")
+    assert {r["visit_id"]: r["inborn_outborn"] for r in born_in_facility(visits, marks, 5).collect()} == {1: "inborn", 2: "outborn"}

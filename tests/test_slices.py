@@ -174,3 +174,19 @@ def test_the_large_side_moves_once(spark):
     rows_side = text.split("SortMergeJoin")[1].split("Window [sum")[0]
     assert "Exchange hashpartitioning(coalesce" not in text and rows_side.count("row_number") == 1
     assert text.count("Exchange hashpartitioning") == 4
+
+
+@pytest.mark.parametrize("unit", ["hour", "day", "month"])
+def test_range_join_with_missing_and_far_bounds(spark, unit):
+    """Spans without a start match nothing; spans of all time and very old points still meet."""
+    points = spark.createDataFrame(
+        [(1, 1, at("2024-01-05T10:00:00")), (2, 1, at("0005-03-01")), (3, 1, None), (4, 1, at("9000-01-01")), (5, 1, at("1900-01-01"))], "id int, key int, at timestamp_ntz"
+    )
+    spans = spark.createDataFrame([
+        (10, 1, None, at("2024-02-01")), (11, 1, at("2024-01-01"), None), (12, 1, at("0001-01-01"), at("9999-12-31")), (13, 1, at("0004-01-01"), at("0006-01-01")),
+        (14, 1, at("1899-01-01"), at("1901-01-01")), (15, 1, at("2024-01-06"), at("2024-01-05")), (16, None, at("2024-01-01"), None),
+    ], "span int, key int, start timestamp_ntz, stop timestamp_ntz")
+    got = sl.range_join(points, spans, ["key"], "at", "start", "stop", moment("2024-02-01"), unit)
+    assert sorted((r["id"], r["span"]) for r in got.collect()) == [(1, 11), (1, 12), (2, 12), (2, 13), (4, 11), (4, 12), (5, 12), (5, 14)]
+    left = sl.range_join(points, spans, ["key"], "at", "start", "stop", moment("2024-02-01"), unit, how="left")
+    assert {r["id"] for r in left.collect()} == {1, 2, 3, 4, 5}

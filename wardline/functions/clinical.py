@@ -76,7 +76,7 @@ def reporting_outcome(
     return F.when(lost, F.lit(LOST)).otherwise(outcome)
 
 
-def followup_flags(last_visit: Column, next_visit: Column, as_of: Column, yes: str = "Yes", no: str = "No") -> dict[str, Column]:
+def followup_flags(last_visit: Column, next_visit: Column, as_of: Column, yes: str = "Oui", no: str = "No") -> dict[str, Column]:
     """Time since the last visit, set only for rows that have a scheduled visit.
 
     A missing last visit is not within 14 days and counts as overdue.

@@ -110,10 +110,10 @@ def delivery_status(
     constructs = first_rows(
         own.filter(F.col("concept_id") == codes["baby_construct"]), ["encounter_id"], [F.col("obs_id")], babies, "_n"
     ).select("encounter_id", F.col("obs_id").alias("obs_group_id"), "_n")
-    links = own.filter(F.col("concept_id") == codes["baby_link"]).groupBy("obs_group_id").agg(F.max("comments").alias("uuid"))
+    links = own.filter(F.col("concept_id") == codes["baby_link"]).groupBy("obs_group_id").agg(F.max(F.lower("comments")).alias("uuid"))
     child = (
         constructs.join(links, "obs_group_id")
-        .join(persons.select("uuid", F.col("person_id").alias("baby_id")), "uuid", "left")
+        .join(persons.select(F.lower("uuid").alias("uuid"), F.col("person_id").alias("baby_id")), "uuid", "left")
         .join(identifiers.select(F.col("person_id").alias("baby_id"), "identifier"), "baby_id", "left")
         .join(wards.select(F.col("person_id").alias("baby_id"), "ward"), "baby_id", "left")
     )

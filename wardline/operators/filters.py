@@ -71,9 +71,10 @@ def exclude_flagged_persons(
 ) -> DataFrame:
     """Drop persons that carry the attribute (test patients).
 
-    ``include_voided`` also honours soft-deleted attribute rows.
+    ``include_voided`` also honours soft-deleted attribute rows.  The value matches in
+    any letter case.
     """
-    flagged = attributes.filter((F.col("attribute_type") == attribute) & (F.col("value") == value))
+    flagged = attributes.filter((F.col("attribute_type") == attribute) & (F.lower("value") == value.lower()))
     if not include_voided:
         flagged = not_voided(flagged)
     flagged = flagged.select(F.col("person_id").alias(person)).distinct()

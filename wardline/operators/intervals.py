@@ -87,11 +87,11 @@ def relationship_join(
 
 
 def uuid_text_join(obs: DataFrame, persons: DataFrame, column: str = "comments") -> DataFrame:
-    """Persons whose UUID is written in a free-text column."""
+    """Persons whose UUID is written in a free-text column, in any letter case."""
     from wardline.functions.text import is_uuid
 
-    side = persons.select(F.col("uuid").alias(column), F.col("person_id").alias("other_person_id"))
-    return obs.filter(is_uuid(F.col(column))).join(side, column)
+    side = persons.select(F.lower("uuid").alias("_uuid"), F.col("person_id").alias("other_person_id"))
+    return obs.filter(is_uuid(F.col(column))).withColumn("_uuid", F.lower(column)).join(side, "_uuid").drop("_uuid")
 
 
 def or_join(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], left_id: str, right_id: str) -> DataFrame:

@@ -231,7 +231,7 @@ def with_labels(obs: DataFrame, label_table: DataFrame, on: str = "value_coded",
     return obs.join(side, obs[on] == side["_concept"], "left").drop("_concept")
 
 
-# Pivots wider than this go through cells.
+# Pivots of more columns than this go through cells, unless the caller says otherwise.
 WIDE = 24
 
 
@@ -267,7 +267,7 @@ def _cells(rows: DataFrame, keys: Sequence[str], wants: Sequence[Want], order: S
 
 def collect_obs(
     obs: DataFrame, key: str | Sequence[str], wants: Sequence[Want],
-    label_table: DataFrame | None = None, order: Sequence[str] = OBS_ORDER, since: Column | None = None,
+    label_table: DataFrame | None = None, order: Sequence[str] = OBS_ORDER, since: Column | None = None, wide_from: int = WIDE,
 ) -> DataFrame:
     """One row per key with every wanted column, from one read of the observations.
 
@@ -279,7 +279,8 @@ def collect_obs(
     columns, so map-side combine would shuffle far more than it saves: there the
     observations shrink to one cell per question and answer first, the cells are
     shuffled by key, and only then spread.  A busy key holds at most as many cells
-    as there are questions and answers.
+    as there are questions and answers.  Both ways give the same rows; ``wide_from``
+    is the number of columns above which the second is taken.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if not any(want.how == "section" and want.answers for want in wants):
@@ -288,7 +289,7 @@ def collect_obs(
     if since is not None:
         rows = rows.withColumn("_recent", F.col("obs_datetime") >= since)
     by_label = all(want.field in ("label", "question_label") for want in wants if want.how == "list")
-    wide = len(wants) > WIDE and by_label
+    wide = len(wants) > wide_from and by_label
     if wide:
         rows = _cells(rows, keys, wants, order).repartition(*keys)
     rows = _labelled(rows, wants, label_table)

@@ -132,9 +132,9 @@ def previous_location(encounters: DataFrame, by: Sequence[str] = ("patient_id",)
 
 
 def born_in_facility(visits: DataFrame, attributes: DataFrame, attribute) -> DataFrame:
-    """``inborn`` when the visit carries the live attribute ``true``, else ``outborn``."""
+    """``inborn`` when the visit carries the live attribute ``true`` in any letter case, else ``outborn``."""
     flagged = not_voided(attributes).filter(
-        (F.col("attribute_type_id") == attribute) & (F.col("value_reference") == "true")
+        (F.col("attribute_type_id") == attribute) & (F.lower("value_reference") == "true")
     ).select("visit_id", F.lit("inborn").alias("_born")).distinct()
     return visits.join(flagged, "visit_id", "left").withColumn(
         "inborn_outborn", F.coalesce(F.col("_born"), F.lit("outborn"))

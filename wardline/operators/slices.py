@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLICE = "_slice"
+# Slices that a span is cut into at most; all before them count as one.
+SPAN_SLICES = 4096
 
 
 def slice_number(at: Column, unit: str) -> Column:
@@ -153,7 +155,9 @@ def range_join(
     Spans are cut into calendar slices and joined on (key, slice), so a busy key
     spreads over its slices and only spans that reach into the point's own slice
     are compared with it.  Open spans are cut up to ``horizon`` and everything
-    later shares the horizon's slice, so the result does not depend on it.
+    later shares the horizon's slice, as everything over SPAN_SLICES before it shares
+    the first, so the result depends on neither and a span from year 1 to year 9999 is
+    cut no finer than that.  A span without a start matches nothing.
     ``grain='day'`` compares calendar days.
     """
     by = list(by)
@@ -162,12 +166,15 @@ def range_join(
     def when(column: Column) -> Column:
         return F.to_date(column) if grain == "day" else column
 
-    last = F.when(F.col(stop).isNull(), edge).otherwise(F.least(slice_number(F.col(stop), unit), edge))
-    first = F.least(slice_number(F.col(start), unit), edge)
-    cut = spans.withColumn(
+    def inside(number: Column) -> Column:
+        return F.greatest(F.least(number, edge), edge - SPAN_SLICES)
+
+    last = F.when(F.col(stop).isNull(), edge).otherwise(inside(slice_number(F.col(stop), unit)))
+    first = inside(slice_number(F.col(start), unit))
+    cut = spans.filter(F.col(start).isNotNull()).withColumn(
         "_span_slice", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
     )
-    spread = points.withColumn(_SLICE, F.least(slice_number(F.col(at), unit), edge))
+    spread = points.withColumn(_SLICE, inside(slice_number(F.col(at), unit)))
     time, opened, closed = F.col(f"p.{at}"), F.col(f"s.{start}"), F.col(f"s.{stop}")
     condition = (
         reduce(lambda a, b: a & b, [F.col(f"p.{c}") == F.col(f"s.{c}") for c in by])

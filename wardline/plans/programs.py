@@ -85,7 +85,7 @@ def mental_health_encounters(clinic: Clinic, drugs: Mapping[str, int], diagnosis
     )
 
 
-def mental_health_enrolments(clinic: Clinic, relation, yes: str = "Yes", no: str = "No", unit: str = "month") -> DataFrame:
+def mental_health_enrolments(clinic: Clinic, relation, yes: str = "Oui", no: str = "No", unit: str = "month") -> DataFrame:
     """One row per enrolment with what happened while it lasted.
 
     Encounters inside each enrolment are found once and serve all measures.

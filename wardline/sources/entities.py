@@ -73,10 +73,10 @@ def materialize_table(df: DataFrame, root: str, version: str) -> DataFrame:
     """Write a table as a new version folder and return it read back.
 
     Readers keep their version until they are pointed at the new one, and a failed
-    write leaves earlier versions untouched.
+    write leaves earlier versions untouched.  A version that exists is an error.
     """
     target = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("overwrite").parquet(target)
+    df.write.mode("errorifexists").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
