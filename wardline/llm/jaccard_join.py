@@ -13,7 +13,7 @@ from wardline.llm.common import pieces, written
 from wardline.llm.components import components
 from wardline.llm.hashing import M1, mix, windows, words_of
 
-HELD_BYTES = 4 << 20
+HELD_BYTES = 1 << 20
 # Counters of the frequency sketch (its levels are broadcast: one byte each) and the
 # part of it that one row carries.
 SKETCH_BITS, SEGMENT_BITS = 22, 12
@@ -22,7 +22,7 @@ SKETCH_BITS, SEGMENT_BITS = 22, 12
 SMALL, GROUPS = 128, 64
 # Members of a block when groups of one key are compared further, rows that one such
 # table may hold, and pairs compared at once.
-BLOCK, SLOT_ROWS, PAIRS = 512, 8_000, 50_000
+BLOCK, SLOT_ROWS, PAIRS = 512, 8_000, 20_000
 # Classes of tokens that a set's shape counts.
 CLASSES = 128
 
@@ -52,11 +52,11 @@ def _count(n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in pieces(batches, "text", HELD_BYTES):
             found = shingle_sets(batch.column(0), n)
             if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if counts.any():
             press = zstandard.ZstdCompressor(level=1)
             parts = counts.reshape(-1, 1 << SEGMENT_BITS)
@@ -73,8 +73,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for segment, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64)
-            sums[segment] = sums[segment] + part if segment in sums else part.copy()
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int32)
+            sums[segment] = sums.get(segment, 0) + part.astype(np.int64)
     if sums:
         # Eight levels to each doubling.
         yield pa.RecordBatch.from_arrays([
@@ -214,19 +214,6 @@ def _prune(percent: int):
     return prune
 
 
-def _verify(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return verify
-
-
 def _blocks(percent: int):
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
@@ -245,9 +232,6 @@ def _blocks(percent: int):
             nonlocal waiting
             if ones:
                 i, j = np.concatenate(ones), np.concatenate(twos)
-                i, j = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                _, first = np.unique(np.stack([i, j]), axis=1, return_index=True)
-                i, j = np.concatenate(ones)[first], np.concatenate(twos)[first]
                 for at in range(0, len(i), PAIRS):
                     a, b = i[at: at + PAIRS], j[at: at + PAIRS]
                     may = surviving(shape[a], size[a], shape[b], size[b], percent)
@@ -266,7 +250,7 @@ def _blocks(percent: int):
             ones.append(i[apart])
             twos.append(j[apart])
             waiting += int(apart.sum())
-            if waiting > 8 * PAIRS:
+            if waiting > PAIRS:
                 flush()
         flush()
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -275,11 +259,13 @@ def _blocks(percent: int):
     return compare
 
 
-def _packed_sets(n: int):
+def _whole_sets(n: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", HELD_BYTES):
-            blobs = [s.tobytes() for s in shingle_sets(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "shingles"])
+            found = shingle_sets(batch.column(1), n)
+            ends = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "shingles"])
 
     return pack
 
@@ -324,9 +310,11 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
         """The pairs whose full sets are similar; only texts of pairs left by then are read in full."""
         pairs = written(pairs, "shingle-pairs")
         ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "shingle-ids")
-        full = written(texts.join(ids, "id", "left_semi").mapInArrow(_packed_sets(n), "id long, shingles binary"), "shingle-full")
-        both = pairs.join(_side(full, "a"), "a").join(_side(full, "b"), "b").select("a", "b", "shingles_a", "shingles_b")
-        return both.mapInArrow(_verify(percent), "a long, b long").distinct()
+        full = written(texts.join(ids, "id", "left_semi").mapInArrow(_whole_sets(n), "id long, shingles array<long>"), "shingle-full")
+        both = pairs.join(_side(full, "a"), "a").join(_side(full, "b"), "b")
+        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        whole = F.size("shingles_a") + F.size("shingles_b") - shared
+        return both.filter(100 * shared >= percent * whole).select("a", "b").distinct()
 
     sized = met.join(shapes.select("id", "size", "common"), "id")
     lead = sized.groupBy("key").agg(F.max(F.struct("common", (-F.col("id")).alias("minus"), "size")).alias("lead"))
