@@ -38,7 +38,7 @@ def clusters(seed, n, dim=64):
 
 @pytest.mark.parametrize(("seed", "task", "leaf", "block"), [(1, 4096, 256, 2048), (2, 100, 16, 2048), (3, 200, 20, 50)])
 def test_against_brute_force(spark, monkeypatch, seed, task, leaf, block):
-    for name, value in (("TASK_VECTORS", task), ("LEAF_VECTORS", leaf), ("BLOCK", block)):
+    for name, value in (("TASK_VECTORS", task), ("LEAF_VECTORS", leaf), ("BLOCK", block), ("LEAF_BLOCK", block)):
         monkeypatch.setattr(ed, name, value)
     rows = clusters(seed, 900)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)

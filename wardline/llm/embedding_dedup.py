@@ -19,8 +19,9 @@ TREES = 6
 TASK_VECTORS, LEAF_VECTORS = 4096, 256
 # The sample that thresholds come from: vectors for each leaf, and bytes in all.
 LEAF_SAMPLE, SAMPLE_BYTES = 64, 64 << 20
-# Vectors of one table: more of a leaf or component are compared block by block.
-BLOCK = 2048
+# Vectors of one table: more of a leaf, which splits further, or of a component, which
+# is compared as a whole, go block by block.
+LEAF_BLOCK, BLOCK = 16_384, 2048
 SLOT_ROWS = 20_000
 SEED = 20
 
@@ -227,8 +228,8 @@ def _count_task(dtype: str, threshold: float):
     return task
 
 
-def _in_cells(df: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
-    """Rows with block, bi, bj and slot: groups of up to BLOCK rows are one cell, larger ones a cell for each two blocks.
+def _in_cells(df: DataFrame, keys: list[str], most: int, node: str = "node") -> DataFrame:
+    """Rows with block, bi, bj and slot: groups of up to ``most`` rows are one cell, larger ones a cell for each two blocks.
 
     Small cells share tables of about SLOT_ROWS rows.
     """
@@ -236,11 +237,11 @@ def _in_cells(df: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
     rows = written(df.join(sizes, keys), "cells")
     slots = max(1, rows.count() // SLOT_ROWS)
     return (
-        rows.withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int"))
+        rows.withColumn("nb", F.ceil(F.col("members") / most).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        .withColumn("slot", F.when(F.col("members") > BLOCK // 4, F.xxhash64(*keys, "bi", "bj")).otherwise(F.pmod(F.xxhash64(*keys), F.lit(slots))))
+        .withColumn("slot", F.when(F.col("members") > 512, F.xxhash64(*keys, "bi", "bj")).otherwise(F.pmod(F.xxhash64(*keys), F.lit(slots))))
     )
 
 
@@ -281,14 +282,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, trees: int = TREES
             sample = unit([r[0] for r in same.orderBy(F.xxhash64("node")).limit(LEAF_SAMPLE << depth).select("blob").collect()], dtype)
             forest = [grow(sample, tree, depth, margin) for tree in range(trees)]
         placed = same.mapInArrow(_route(forest, dtype, margin), "tree int, leaf long, node long, blob binary")
-        cells = _in_cells(placed, ["tree", "leaf"]).select("slot", "tree", "leaf", "block", "bi", "bj", "node", "blob")
+        cells = _in_cells(placed, ["tree", "leaf"], LEAF_BLOCK).select("slot", "tree", "leaf", "block", "bi", "bj", "node", "blob")
         found = cells.groupBy("slot").applyInArrow(_leaf_task(dtype, threshold), "a long, b long")
         links = found if links is None else links.unionAll(found)
     if links is None:
         links = vectors.sparkSession.createDataFrame([], "a long, b long")
     part = components(links).withColumnRenamed("id", "node")
     member = written(classes.join(part, "node").select("component", "node", "id", "weight", "blob"), "vector-members")
-    cells = _in_cells(member.select("component", "node", "weight", "blob"), ["component"]).select("slot", "component", "block", "bi", "bj", "node", "weight", "blob")
+    cells = _in_cells(member.select("component", "node", "weight", "blob"), ["component"], BLOCK).select("slot", "component", "block", "bi", "bj", "node", "weight", "blob")
     counted = cells.groupBy("slot").applyInArrow(_count_task(dtype, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     lowest = member.groupBy("component").agg(F.min("id").alias("lowest"))
     linked = member.select("component", "node").join(lowest, "component").join(counted, "node").select("node", "lowest", "links")
