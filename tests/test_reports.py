@@ -279,3 +279,30 @@ def test_a_version_is_written_once(spark, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         materialize_table(rows, str(tmp_path / "t"), "1")
     assert materialize_table(spark.range(5), str(tmp_path / "t"), "2").count() == 5
+
+
+def test_dated_reports_open_their_months_only(spark, tmp_path):
+    """Stored observations lie in the month of their encounter; a dated report reads those folders and loses nothing."""
+    from dataclasses import replace
+
+    whole = clinic(Tables(spark, SMALL))
+    facts = {n: whole[n] for n in ("encounter", "obs")}
+    store_entities(facts, str(tmp_path))
+    stored = replace(whole, tables={**whole.tables, **{n: spark.read.parquet(f"{tmp_path}/{n}") for n in facts}})
+    sets = {c: "BIG" for c in patients.TRIAGE_CATEGORIES}
+    day = whole.encounters("triage").agg(F.min("encounter_datetime")).first()[0].date()
+    month = f"{day:%Y-%m}"
+    days = (f"{month}-01", f"{month}-28")
+    reports = {
+        "triage": (lambda c: patients.triage_export(c, sets, *days)), "maternal": (lambda c: maternity.maternal_register(c, *days)),
+        "newborn": (lambda c: maternity.newborn_register(c, *days)),
+    }
+    for name, make in reports.items():
+        one, two = make(whole), make(stored)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())), name
+        scans = [line for line in plan(two).split("\n") if "FileScan" in line and str(tmp_path) in line]
+        bounded = [re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", line) for line in scans]
+        bounded = [f">= {month})" in b[1] and f"<= {month})" in b[1] if b else False for b in bounded]
+        facts_read = [b for b, line in zip(bounded, scans, strict=True) if "concept_id" in line]
+        assert facts_read and all(facts_read), [(name, line[line.find("PartitionFilters"):][:300]) for line in scans]
+        assert sum(bounded) > len(facts_read)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wardline.functions.clinical import age_at
 from wardline.functions.text import format_address, site_key
 from wardline.operators import dictionary as dc
-from wardline.operators.filters import date_range, not_voided, type_in
+from wardline.operators.filters import date_range, in_months, not_voided, type_in
 
 # Fixed value: display order of the address parts.
 ADDRESS_ORDER = ("address2", "city_village", "address1", "state_province", "county_district", "country")
@@ -47,14 +47,19 @@ class Clinic:
 
     def encounters(self, role: str, start=None, end=None, keep_voided: bool = False) -> DataFrame:
         """Encounters of a role's types in an optional date range."""
-        rows = type_in(self["encounter"], self.types[role])
+        rows = type_in(in_months(self["encounter"], start, end), self.types[role])
         if not keep_voided:
             rows = not_voided(rows)
         return date_range(rows, "encounter_datetime", start, end)
 
-    def live_obs(self, anchors: DataFrame | None = None) -> DataFrame:
-        """Live observations, cut to the anchor encounters."""
-        rows = not_voided(self["obs"])
+    def live_obs(self, anchors: DataFrame | None = None, start=None, end=None) -> DataFrame:
+        """Live observations, cut to the anchor encounters.
+
+        ``start`` and ``end`` are the days the anchors lie in: where observations are
+        stored by their encounter's month, other months are not opened.
+        """
+        rows = not_voided(in_months(self["obs"], start, end))
+        rows = rows.drop("month") if "month" in rows.columns else rows
         return rows if anchors is None else rows.join(anchors.select("encounter_id"), "encounter_id", "left_semi")
 
     def keyed(self, df: DataFrame, *columns: str) -> DataFrame:

@@ -48,7 +48,7 @@ def maternal_register(clinic: Clinic, start=None, end=None) -> DataFrame:
     anchors = clinic.encounters("maternal_register", start, end).select(
         "patient_id", "encounter_id", "encounter_datetime", "creator", F.col("date_created").alias("date_entered"), "location_id"
     )
-    obs = clinic.live_obs(anchors)
+    obs = clinic.live_obs(anchors, start, end)
     wants = maternal_register_wants(codes)
     diagnoses = ob.construct_children(
         obs, {"initial": codes["prior_diagnosis_construct"], "final": codes["diagnosis_construct"]},
@@ -102,7 +102,7 @@ def newborn_register(clinic: Clinic, start=None, end=None) -> DataFrame:
         "patient_id", "encounter_id", F.col("encounter_datetime").alias("arrival_datetime"), "creator",
         F.col("date_created").alias("date_entered"), "location_id",
     )
-    obs = clinic.live_obs(anchors)
+    obs = clinic.live_obs(anchors, start, end)
     wants = newborn_register_wants(codes)
     prior = ob.construct_children(
         obs, {"prior": codes["prior_diagnosis_construct"]},
@@ -214,7 +214,7 @@ def delivery_register(clinic: Clinic, start, end) -> DataFrame:
     without one drop out), with ranked diagnoses as columns."""
     codes = clinic.codes
     anchors = clinic.encounters("delivery_register", start, end).select("patient_id", "encounter_id", "location_id")
-    obs = clinic.live_obs(anchors)
+    obs = clinic.live_obs(anchors, start, end)
     wants = delivery_register_wants(codes)
     order = ["obs_group_id", "date_created", "obs_id"]
     coded = with_labels(obs.filter(F.col("concept_id") == codes["coded_diagnosis"]), clinic.labels)
@@ -262,7 +262,7 @@ def newborn_discharge_list(clinic: Clinic, day) -> DataFrame:
     rows = _discharges(clinic, clinic.types["newborn_discharge"], day, clinic.places["newborn"])
     disposition = clinic.codes["disposition"]
     listed = ob.collect_obs(
-        clinic.live_obs(rows), "encounter_id", [ob.answer_list("disposition", disposition)], clinic.labels
+        clinic.live_obs(rows, day, day), "encounter_id", [ob.answer_list("disposition", disposition)], clinic.labels
     )
     rows = rows.join(listed, "encounter_id", "left")
     rows = born_in_facility(rows, clinic["visit_attribute"], clinic.attributes["born_during_visit"])

@@ -46,7 +46,7 @@ def outpatient_dispensing(
         3, clinic.labels,
     )
     matrix = ob.drug_attribute_matrix(
-        clinic.live_obs(anchors), "encounter_id", drugs, [ob.number("quantity", codes["quantity_dispensed"])]
+        clinic.live_obs(anchors, start, end), "encounter_id", drugs, [ob.number("quantity", codes["quantity_dispensed"])]
     ).withColumnsRenamed({f"{name}_quantity": name for name in drugs})
     people = anchors.select(F.col("patient_id").alias("person_id")).distinct()
     # Latest occupation by person over all encounters of the listed patients.

@@ -74,7 +74,7 @@ def triage_export(clinic: Clinic, sets: Mapping[str, object], start=None, end=No
         "patient_id", "encounter_id", "visit_id", "encounter_datetime", F.col("date_created").alias("date_entered"),
         "creator", "location_id",
     )
-    obs = clinic.live_obs(anchors)
+    obs = clinic.live_obs(anchors, start, end)
     symptoms = ob.category_symptoms(
         obs, "encounter_id", clinic.codes["triage_diagnosis"], clinic["concept_set"], sets, clinic.labels
     )

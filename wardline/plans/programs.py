@@ -60,7 +60,7 @@ def mental_health_encounters(clinic: Clinic, drugs: Mapping[str, int], diagnosis
     anchors = clinic.encounters("mental_health", start, end, keep_voided=True).select(
         "patient_id", "encounter_id", "encounter_datetime", "encounter_type", "visit_id"
     )
-    obs = clinic.live_obs(anchors)
+    obs = clinic.live_obs(anchors, start, end)
     wants = mental_health_wants(codes)
     # The first four answers that belong to the diagnosis set.
     members = clinic["concept_set"].filter(F.col("concept_set") == diagnosis_set).select(F.col("concept_id").alias("value_coded")).distinct()
@@ -269,7 +269,7 @@ def chronic_encounters(
         "patient_id", "encounter_id", "encounter_datetime", F.col("date_created").alias("datetime_entered"), "visit_id",
         "creator", "location_id", "encounter_type",
     )
-    obs = clinic.live_obs(anchors)
+    obs = clinic.live_obs(anchors, start, end)
     # One pass at encounter grain and one at group grain serve the whole report.
     wants = [
         *chronic_wants(codes),

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wardline.functions.dates import day_start
-from wardline.operators.filters import date_range
+from wardline.operators.filters import date_range, in_months
 from wardline.sources.schemas import ENTITIES, FACT_TIMES
 
 
@@ -28,15 +27,22 @@ def load_entities(
 
 
 def load_between(spark: SparkSession, path: str, name: str, start=None, end=None) -> DataFrame:
-    """A stored fact table cut to a date range; months outside it are not opened."""
-    rows = spark.read.schema(ENTITIES[name]).parquet(f"{path.rstrip('/')}/{name}")
-    if start is not None:
-        rows = rows.filter(F.col("month") >= f"{day_start(start):%Y-%m}")
-    if end is not None:
-        rows = rows.filter(F.col("month") <= f"{day_start(end):%Y-%m}")
+    """A stored fact table cut to a date range.
+
+    Encounters of other months are not opened.  Observations lie in the month of their
+    encounter, which says nothing about their own time, so all are read.
+    """
+    rows = stored_facts(spark, path, name)
+    if name == "encounter":
+        rows = in_months(rows, start, end)
     return date_range(rows, FACT_TIMES[name], start, end).drop("month")
 
 
+def stored_facts(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A stored fact table with its month, by which dated reports open only the folders they need."""
+    return spark.read.schema(ENTITIES[name]).parquet(f"{path.rstrip('/')}/{name}")
+
+
 def load_entities_jdbc(
     spark: SparkSession, url: str, names: Iterable[str], options: Mapping[str, str],
     bounds: Mapping[str, tuple[str, int, int, int]] | None = None,
@@ -60,11 +66,23 @@ def load_entities_jdbc(
 
 
 def store_entities(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Write entity tables for repeated reports; facts are partitioned by month."""
+    """Write entity tables for repeated reports; facts are partitioned by month.
+
+    Observations take the month of their encounter (their own where it is unknown), so
+    a report that asks for encounters of a month finds their observations in one folder.
+    Rows are dealt by ranges of month and encounter: few files a month, a month of many
+    rows spread over tasks, and an encounter's observations side by side.
+    """
+    months = None
+    if "encounter" in tables:
+        months = tables["encounter"].select("encounter_id", F.date_format("encounter_datetime", "yyyy-MM").alias("_month"))
     for name, table in tables.items():
         if name in FACT_TIMES:
-            month = F.date_format(FACT_TIMES[name], "yyyy-MM")
-            table.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{path}/{name}")
+            dated = table.withColumn("month", F.date_format(FACT_TIMES[name], "yyyy-MM"))
+            if name == "obs" and months is not None:
+                dated = dated.join(months, "encounter_id", "left").withColumn("month", F.coalesce("_month", "month")).drop("_month").select(*table.columns, "month")
+            dealt = dated.repartitionByRange("month", "encounter_id") if "encounter_id" in dated.columns else dated.repartitionByRange("month")
+            dealt.sortWithinPartitions("month", *(["encounter_id"] if "encounter_id" in dated.columns else [])).write.mode("overwrite").partitionBy("month").parquet(f"{path}/{name}")
         else:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
