@@ -306,3 +306,10 @@ def test_dated_reports_open_their_months_only(spark, tmp_path):
         facts_read = [b for b, line in zip(bounded, scans, strict=True) if "concept_id" in line]
         assert facts_read and all(facts_read), [(name, line[line.find("PartitionFilters"):][:300]) for line in scans]
         assert sum(bounded) > len(facts_read)
+
+
+def test_facts_over_jdbc_need_bounds(spark):
+    from wardline.sources.entities import load_entities_jdbc
+
+    with pytest.raises(ValueError, match="obs"):
+        load_entities_jdbc(spark, "jdbc:none", ["obs", "person"], {})

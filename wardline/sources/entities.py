@@ -50,9 +50,14 @@ def load_entities_jdbc(
     """Entity tables read in place over JDBC.
 
     ``bounds`` gives (column, lowest, highest, partitions) per table so that large
-    tables are read by many tasks; a table without bounds is read by one.
+    tables are read by many tasks.  Facts must have bounds; another table without them
+    is read by one task.
     """
     tables = {}
+    names = list(names)
+    unbounded = [name for name in names if name in FACT_TIMES and name not in (bounds or {})]
+    if unbounded:
+        raise ValueError(f"facts need bounds to be read by many tasks: {', '.join(unbounded)}")
     for name in names:
         reader = spark.read.format("jdbc").options(**options).option("url", url).option("dbtable", name)
         if bounds and name in bounds:

@@ -33,14 +33,17 @@ def load_reference_csv(
     return resolve_reference(spark.read.option("header", True).option("escape", '"').csv(path), constants or {}, retired)
 
 
-def load_constants(spark: SparkSession, path: str) -> dict[str, str]:
+def load_constants(spark: SparkSession, path: str, most: int = 100_000) -> dict[str, str]:
     """``name=value`` lines as a mapping; comment and blank lines are skipped.
 
-    A configuration file of a few kilobytes, read once per job.
+    A configuration file of a few kilobytes, read once per job; one of more than
+    ``most`` lines is an error.
     """
     lines = spark.read.text(path).filter(F.col("value").rlike(r"^\s*[^#\s][^=]*="))
     pair = F.split("value", "=", 2)
-    rows = lines.select(F.trim(pair[0]).alias("name"), F.trim(pair[1]).alias("value")).collect()
+    rows = lines.select(F.trim(pair[0]).alias("name"), F.trim(pair[1]).alias("value")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{path} has more than {most} constants")
     return {row["name"]: row["value"] for row in rows}
 
 
