@@ -313,3 +313,17 @@ def test_facts_over_jdbc_need_bounds(spark):
 
     with pytest.raises(ValueError, match="obs"):
         load_entities_jdbc(spark, "jdbc:none", ["obs", "person"], {})
+
+
+@pytest.mark.parametrize(("name", "first", "last"), [
+    ("chronic_encounters", "CHRONIC_ENCOUNTERS", None), ("maternal_register", "MATERNAL_REGISTER", None), ("newborn_register", "NEWBORN_REGISTER", None),
+    ("delivery_form", "DELIVERY_FORM", None), ("delivery_register", "DELIVERY_REGISTER", None), ("mental_health_encounters", "MENTAL_HEALTH_ENCOUNTERS", "MENTAL_HEALTH_LAST"),
+])
+def test_columns_come_in_the_files_order(spark, name, first, last):
+    from catalog.registry import QUERIES
+    from wardline.plans import columns
+
+    shown = QUERIES[name](spark, SMALL).columns
+    front, back = getattr(columns, first), getattr(columns, last) if last else []
+    assert shown[: len(front)] == front and (not back or shown[-len(back):] == back)
+    assert len(set(shown)) == len(shown)

@@ -13,7 +13,9 @@ from wardline.operators.filters import not_voided, on_date_at_location
 from wardline.operators.observations import with_labels
 from wardline.operators.programs import born_in_facility
 from wardline.operators.ranking import first_rows, pivot_ranked
+from wardline.plans import columns
 from wardline.plans.clinic import Clinic
+from wardline.plans.columns import in_order
 
 
 def _each(kind, codes: Mapping, *names: str) -> list[ob.Want]:
@@ -62,11 +64,12 @@ def maternal_register(clinic: Clinic, start=None, end=None) -> DataFrame:
     rows = clinic.with_location(rows, "encounter_location")
     rows = rows.join(diagnoses, "encounter_id", "left")
     rows = ob.register(rows, obs, wants, label_table=clinic.labels)
-    return rows.select(
+    shown = rows.select(
         "emr_id", "address", "age_at_enc", "encounter_id", "encounter_datetime", "user_entered", "date_entered",
         "encounter_location", *[w.column for w in wants], "initial_coded_diagnoses", "initial_noncoded_diagnosis",
         "final_coded_diagnoses", "final_noncoded_diagnosis",
     )
+    return in_order(shown, columns.MATERNAL_REGISTER)
 
 
 def newborn_register_wants(codes: Mapping) -> list[ob.Want]:
@@ -122,7 +125,7 @@ def newborn_register(clinic: Clinic, start=None, end=None) -> DataFrame:
     rows = clinic.with_location(rows, "encounter_location")
     rows = rows.join(prior, "encounter_id", "left").join(death, "encounter_id", "left")
     rows = ob.register(rows, obs, wants, label_table=clinic.labels)
-    return rows.select(
+    shown = rows.select(
         "emr_id", "encounter_id", "user_entered", "date_entered", "encounter_location", "arrival_datetime",
         *[w.column for w in wants if w.column != "_died"],
         # Death is the outcome only when it is the one answer given.
@@ -130,6 +133,7 @@ def newborn_register(clinic: Clinic, start=None, end=None) -> DataFrame:
         F.col("death_cause").alias("cause_of_death"), F.col("death_other_cause").alias("other_cause"),
         "death_age_days", "death_weight",
     )
+    return in_order(shown, columns.NEWBORN_REGISTER)
 
 
 # Answer flags of the delivery form.
@@ -190,12 +194,13 @@ def delivery_form(clinic: Clinic) -> DataFrame:
     rows = clinic.with_location(rows, "location")
     rows = rows.join(lead, "encounter_id", "left").join(_pac_rows(clinic, obs), "encounter_id", "left")
     rows = ob.register(rows, obs, wants, label_table=clinic.labels)
-    return rows.select(
+    shown = rows.select(
         "emr_id", "provider", "location", F.to_date("encounter_datetime").alias("form_date"),
         F.lit(None).cast("date").alias("estimated_delivery_date"), F.lit(None).cast("double").alias("estimated_blood_loss"),
         *[w.column for w in wants], "presumed_or_confirmed_diagnosis", "primary_diagnosis", "confirmed_diagnoses",
         "pac_type", F.col("exit_date").alias("maternal_outcome_date"),
     )
+    return in_order(shown, columns.DELIVERY_FORM)
 
 
 def delivery_register_wants(codes: Mapping) -> list[ob.Want]:
@@ -227,7 +232,7 @@ def delivery_register(clinic: Clinic, start, end) -> DataFrame:
     rows = rows.join(_pac_rows(clinic, obs), "encounter_id")
     rows = rows.join(six, "encounter_id", "left").join(two, "encounter_id", "left")
     rows = ob.register(rows, obs, wants, label_table=clinic.labels)
-    return rows.select(
+    shown = rows.select(
         "emr_id", "provider", "location", "pac_type", *[w.column for w in wants],
         *[F.col(f"diagnosis_{i}").alias(f"initial_diagnosis_{i}") for i in (1, 2, 3)],
         F.col("other_1").alias("initial_diagnosis_other"),
@@ -235,6 +240,7 @@ def delivery_register(clinic: Clinic, start, end) -> DataFrame:
         F.col("other_2").alias("final_diagnosis_other"),
         F.to_date(clinic.as_of).alias("maternal_outcome_date"),
     )
+    return in_order(shown, columns.DELIVERY_REGISTER)
 
 
 def _discharges(clinic: Clinic, types: Sequence, day, place) -> DataFrame:

@@ -17,7 +17,9 @@ from wardline.operators.filters import exclude_flagged_persons, not_voided
 from wardline.operators.intervals import enrolment_of_encounter, enrolment_window, relationship_join
 from wardline.operators.ranking import earliest_per_key, first_rows, latest_per_key, pivot_ranked
 from wardline.operators.slices import number_rows
+from wardline.plans import columns
 from wardline.plans.clinic import Clinic
+from wardline.plans.columns import in_order
 from wardline.plans.maternity import _each
 
 # The attributes listed per drug.
@@ -77,12 +79,13 @@ def mental_health_encounters(clinic: Clinic, drugs: Mapping[str, int], diagnosis
     rows = clinic.with_provider(rows, "provider")
     rows = rows.join(four, "encounter_id", "left")
     rows = ob.register(rows, obs, wants, label_table=clinic.labels).join(matrix, "encounter_id", "left")
-    return rows.select(
+    shown = rows.select(
         "patient_id", "emr_id", "location_registered", "age_at_encounter", "address", "encounter_id",
         F.col("encounter_type_name").alias("encounter_type"), "visit_id", "encounter_datetime", "provider",
         *[w.column for w in wants], F.col("cgi_s").alias("cgi_i"), *[f"diagnosis_{i}" for i in range(1, 5)],
         *[f"{drug}_{attribute}" for drug in drugs for attribute in DRUG_ATTRIBUTES],
     )
+    return in_order(shown, columns.MENTAL_HEALTH_ENCOUNTERS, columns.MENTAL_HEALTH_LAST)
 
 
 def mental_health_enrolments(clinic: Clinic, relation, yes: str = "Oui", no: str = "No", unit: str = "month") -> DataFrame:
@@ -354,7 +357,7 @@ def chronic_encounters(
     out = clinic.keyed(out, "patient_id", "encounter_id", "visit_id", "ncd_program_id")
     if ordered:
         out = out.orderBy("_patient", "_at", "_id")
-    return out.drop("_patient", "_at", "_id")
+    return in_order(out.drop("_patient", "_at", "_id"), columns.CHRONIC_ENCOUNTERS)
 
 
 # Labels by priority for patients with several answers.
