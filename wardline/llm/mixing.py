@@ -20,7 +20,7 @@ BUCKETS = 1 << 16
 PASSAGE = 16
 HELD_BYTES = 4 << 20
 # Passes at most, and how near to the targets, or to the last pass, ends them.
-ROUNDS, TOLERANCE, STILL = 60, 1e-4, 1e-7
+ROUNDS, TOLERANCE, STILL = 60, 5e-4, 1e-4
 
 
 @dataclass(frozen=True)
