@@ -109,6 +109,8 @@ def test_join_edges(spark):
         (5, 0, 5), (4, 0, 4), (3, 1, 3), (9, 1, 3), (7, 1, 7), (7, 1, 7), (8, 1, 6), (6, 1, 6), (None, 1, None), (2, 0, 2),
     ], key=str)
     assert jj.jaccard_join(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        jj.jaccard_join(df, percent=50)
 
 
 def test_prefixes_share_a_key():

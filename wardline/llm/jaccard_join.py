@@ -292,6 +292,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
     when links are followed.  An empty table gives no rows.  Only the id (an integer)
     and text columns are read.
     """
+    if not 60 <= percent <= 100:
+        raise ValueError("prefixes with pairs of tokens cover similarities of 60 to 100 percent")
     levels, frequent = token_levels(docs, n, id_col, text_col)
     texts = _texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     made = texts.mapInArrow(_sets(n, percent, levels, frequent), "id long, one long, two long, size long, common int, prefix binary, shape binary")
