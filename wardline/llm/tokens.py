@@ -1,8 +1,8 @@
 """Token ids and counts as the tokenizers library gives them, word by word.
 
 Byte-pair merges never cross the pieces that a vocabulary's pattern cuts a text
-into, so a text's ids are those of its pieces side by side.  Each worker keeps the
-pieces it has met; the library itself encodes every piece once per worker process.
+into, so a text's ids are those of its pieces side by side.  Each task keeps a bounded
+number of the pieces it has met; the library merges every piece.
 """
 
 from __future__ import annotations
@@ -21,7 +21,19 @@ LOOSE_SPACE = re.compile(r" [\t-\r ]|[\t-\r] |^ | $")
 # A word of plain letters and a tail of plain signs; the apostrophe has its own rules.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
+
+
+@lru_cache(maxsize=1)
+def _byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies write each byte as: itself where it is a visible Latin-1 sign, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in visible else next(others)) for b in range(256)]
+
+
+def _signs(piece: str) -> str:
+    return "".join(map(_byte_signs().__getitem__, piece.encode()))
 
 
 @lru_cache(maxsize=4)
@@ -71,7 +83,9 @@ class ByteCounter:
 
         self.tokenizer = load(path)
         self.split = regex.compile(BYTE_PATTERN).findall
-        self.by_piece = _Bounded(lambda piece: len(self.tokenizer.encode(piece, add_special_tokens=False).ids))
+        # A piece of the pattern goes straight to the merges.
+        merge = self.tokenizer.model.tokenize
+        self.by_piece = _Bounded(lambda piece: len(merge(_signs(piece))))
         self.by_word = _Bounded(lambda word: self._sum(" " + word))
 
     def _sum(self, text: str) -> int:
@@ -99,7 +113,8 @@ class WordEncoder:
 
         self.tokenizer = load(path)
         self.pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
-        self.by_piece = _Bounded(self._whole)
+        merge = self.tokenizer.model.tokenize
+        self.by_piece = _Bounded(lambda piece: self.pack([token.id for token in merge(_signs(piece))]))
         self.by_word = _Bounded(self._word)
 
     def _whole(self, piece: str) -> bytes:
@@ -116,14 +131,3 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.by_word.__getitem__, text.split()))
 
-
-@lru_cache(maxsize=2)
-def byte_counter(path: str) -> ByteCounter:
-    """The process's counter: tasks that reuse a Python worker share what it has met."""
-    return ByteCounter(path)
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """The process's encoder: tasks that reuse a Python worker share what it has met."""
-    return WordEncoder(path)
