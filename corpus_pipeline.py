@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import mixing, quality_classifier
-from wardline.llm.common import held_out, read, written
+from wardline.llm.common import held_out, lowest_hashes, read, written
 from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.packing import pack_documents
 from wardline.llm.substring_dedup import remove_repeats
@@ -22,9 +22,10 @@ MIXTURE = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 
 def domain_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixing.Model:
-    """Domains as the language of the labelled documents says them."""
-    labelled = read(spark, sf_dir, "labels").select("doc_id").distinct().filter(~held_out(F.col("doc_id")))
-    return mixing.train(docs.join(labelled, "doc_id", "left_semi"), tuple(sorted(MIXTURE)), domain_col="lang")
+    """Domains as the language of labelled documents says them; a bounded number of ids is asked for."""
+    labelled = read(spark, sf_dir, "labels").select("doc_id").filter(~held_out(F.col("doc_id")))
+    picked = labelled.filter(lowest_hashes(labelled, F.col("doc_id"), mixing.SAMPLE_TEXTS)).distinct()
+    return mixing.train(docs.join(F.broadcast(picked), "doc_id", "left_semi"), tuple(sorted(MIXTURE)), domain_col="lang")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

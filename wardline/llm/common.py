@@ -64,6 +64,16 @@ def sample_labels(labels: DataFrame, columns: list[str], most: int) -> DataFrame
     return ordered.filter(F.col(target) == 0).limit(most).unionAll(ordered.filter(F.col(target) == 1).limit(most))
 
 
+def lowest_hashes(df: DataFrame, by: Column, most: int) -> Column:
+    """A test that holds for the rows of the ``most`` lowest distinct hashes of ``by``.
+
+    Only hashes travel to find the bound; equal values pass or fail together.
+    """
+    code = F.xxhash64(by)
+    found = df.select(code.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return F.lit(False) if found is None else code <= F.lit(found)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, most: int, most_bytes: int) -> list[tuple[str, int]]:
     """A bounded sample of (text, label) on the driver, for fitting a model.
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.common import lowest_hashes
+
 # Bounds of the sample the block classifier is trained on.
 SAMPLE_PAGES, SAMPLE_BYTES = 400, 200_000
 
@@ -378,10 +380,11 @@ def _extract(model: Model):
     return extract
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Model:
-    """A block classifier from a bounded sample of pages, picked by the hash of their id."""
-    short = pages.filter(F.octet_length(html_col) <= SAMPLE_BYTES).select(F.col(html_col).alias("html"), F.xxhash64(id_col).alias("by"))
-    return fit([r["html"] for r in short.orderBy("by", "html").limit(SAMPLE_PAGES).collect()])
+def train(pages: DataFrame, html_col: str = "html") -> Model:
+    """A block classifier from a bounded sample of different pages, picked by their hash."""
+    short = pages.filter(F.octet_length(html_col) <= SAMPLE_BYTES).select(F.col(html_col).alias("html"))
+    picked = short.filter(lowest_hashes(short, F.col("html"), SAMPLE_PAGES)).distinct()
+    return fit(sorted(r["html"] for r in picked.collect()))
 
 
 def extract_text(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import pieces, written
+from wardline.llm.common import lowest_hashes, pieces, written
 from wardline.llm.hashing import words_of
 
 # Bounds of the labelled sample: texts in all and bytes of a text.
-SAMPLE_TEXTS, SAMPLE_BYTES = 8000, 32_000
+SAMPLE_TEXTS, SAMPLE_BYTES = 4000, 32_000
 BUCKETS = 1 << 16
 PASSAGE = 16
 HELD_BYTES = 4 << 20
@@ -59,6 +59,7 @@ class Model:
 
 def fit(rows: list[tuple[str, str]], domains: tuple[str, ...]) -> Model:
     """Smoothed word frequencies of each domain; the strength that predicts best what they were not counted on."""
+    rows = [rows[i] for i in np.random.default_rng(5).permutation(len(rows))]
     label = np.array([domains.index(d) for _, d in rows], dtype=np.int64)
     shares = np.bincount(label, minlength=len(domains)) + 1.0
     prior = shares / shares.sum()
@@ -86,14 +87,14 @@ def fit(rows: list[tuple[str, str]], domains: tuple[str, ...]) -> Model:
 
 
 def train(labelled: DataFrame, domains: tuple[str, ...], text_col: str = "text", domain_col: str = "domain") -> Model:
-    """A model from a bounded sample of labelled texts, picked by their hash.
+    """A model from a bounded sample of different labelled texts, picked by their hash.
 
     Rows without a text or with a domain that is not asked for teach nothing.  The
-    shares of the sample are those of the table; without rows all domains are alike.
+    shares are those of the sample; without rows all domains are alike.
     """
     rows = labelled.filter(F.col(domain_col).isin(*domains) & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    picked = rows.select(F.col(text_col).alias("t"), F.col(domain_col).alias("d")).orderBy(F.xxhash64("t"), "t", "d").limit(SAMPLE_TEXTS)
-    return fit([(r["t"], r["d"]) for r in picked.collect()], domains)
+    picked = rows.filter(lowest_hashes(rows, F.col(text_col), SAMPLE_TEXTS)).select(F.col(text_col).alias("t"), F.col(domain_col).alias("d")).distinct()
+    return fit(sorted((r["t"], r["d"]) for r in picked.collect()), domains)
 
 
 def as_lists(p: np.ndarray) -> pa.Array:
