@@ -67,7 +67,8 @@ def test_rates_are_nearest_in_least_squares(spark, monkeypatch):
     for one, two in zip(mixing._measure(df, steps, lowest, 3), measure(None, steps, lowest, 3), strict=True):
         assert np.allclose(one, two)
     monkeypatch.setattr(mixing, "_measure", measure)
-    monkeypatch.setattr(mixing, "ROUNDS", 600)
+    for name, value in (("ROUNDS", 1000), ("TOLERANCE", 1e-9), ("STILL", 1e-9)):
+        monkeypatch.setattr(mixing, name, value)
     rate, _ = mixing.rates(p, mixing.fit_rates(df, weights, total, lowest), lowest)
     gradient = p @ ((rate * t) @ p - weights * total) / total
     # Optimality: the gradient vanishes where a rate is free and pushes down where it is at its bound.
