@@ -77,6 +77,32 @@ def test_rates_are_nearest_in_least_squares(spark, monkeypatch):
     assert gradient[rate <= lowest + 1e-6].min() > -1e-4
 
 
+@pytest.mark.parametrize(("sharp", "lowest"), [(0.05, 0.0), (0.05, 1.0), (0.3, 0.0)])
+def test_rare_domain_meets_its_target(spark, sharp, lowest):
+    """A domain of 0.05 % of the tokens, with the constants as they are."""
+    rng = np.random.default_rng(7)
+    shares, weights = np.array([0.65, 0.2, 0.1495, 0.0005]), np.array([0.4, 0.2, 0.2, 0.2])
+    p = rng.dirichlet([sharp] * 4, 6000) * sharp + (1 - sharp) * np.eye(4)[rng.choice(4, 6000, p=shares)]
+    t = rng.integers(20, 800, 6000).astype(float)
+    df = spark.createDataFrame([(int(x), row.tolist()) for x, row in zip(t, p, strict=True)], "tokens long, posterior array<double>")
+    rate, _ = mixing.rates(p, mixing.fit_rates(df, weights, None, lowest), lowest)
+    target = weights * mixing.least_total(t @ p, weights)
+    off = (rate * t) @ p - target
+    gradient = p @ off / target.sum()
+    assert (rate >= lowest).all()
+    assert np.abs(gradient[rate > lowest + 1e-9]).max() < 1.1e-6 and gradient.min() > -1.1e-6
+    if lowest == 0:
+        assert np.abs(off / target).max() < 1e-5
+
+
+def test_a_fit_cut_short_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(5, [0.9, 0.1]), (7, [0.2, 0.8])], "tokens long, posterior array<double>")
+    assert mixing.fit_rates(df, np.array([0.3, 0.7]), None, 0.0)
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(df, np.array([0.3, 0.7]), None, 0.0)
+
+
 def test_edges(spark, docs, model):
     rows = [(1, None, 2.0), (2, "", 2.0), (3, "the of", 2.0), (3, "the of", 2.0), (None, "der und", 2.0), (4, "the " * 50_000, 2.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, rate double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +18,14 @@ SAMPLE_TEXTS, SAMPLE_BYTES = 4000, 32_000
 BUCKETS = 1 << 16
 PASSAGE = 16
 HELD_BYTES = 4 << 20
-# Passes at most, and how near to the targets, or to the last pass, ends them.
-ROUNDS, TOLERANCE, STILL = 60, 5e-4, 1e-4
+# Passes at most (more are an error), and the shares of the total under which the projected
+# gradient ends the fit and what one step's equation is off by ends the step.
+ROUNDS, TOLERANCE, STILL = 300, 1e-6, 1e-7
+# What the first step's movement weighs against the squares, as a share of all tokens, and
+# how many times less each further one's does.
+PULL, LONGER = 1e-4, 10.0
+# Lengths of a Newton step tried in one pass.
+LENGTHS = 2.0 ** np.arange(2, -12, -1)
 
 
 @dataclass(frozen=True)
@@ -167,43 +172,91 @@ def _final(steps, lowest: float, model: Model | None = None):
                 counts, p = model.posteriors(columns.pop("text"))
                 columns |= {"tokens": pa.array(counts.astype(np.int64)), "posterior": as_lists(p)}
             now, _ = rates(_lists(columns["posterior"]), steps, lowest)
+            # No rate of a text without tokens changes a total.
+            now = np.where(columns["tokens"].to_numpy() > 0, now, max(1.0, lowest))
             yield pa.RecordBatch.from_pydict(columns | {"rate": pa.array(now)})
 
     return final
 
 
+def _slopes(steps, trials: np.ndarray, lowest: float):
+    """For each trial of a next step: totals after it, second moments of the rows it leaves free, their largest movement."""
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, size = trials.shape
+        totals, moments, moved = np.zeros((count, size)), np.zeros((count, size, size)), np.zeros(count)
+        for batch in batches:
+            t = batch.column(0).to_numpy().astype(float)
+            p = _lists(batch.column(1))[t > 0] if batch.num_rows else np.zeros((0, size))
+            t = t[t > 0]
+            if not len(t):
+                continue
+            start, _ = rates(p, steps, lowest)
+            for k, trial in enumerate(trials):
+                push = p @ trial
+                free = start - push >= lowest
+                totals[k] += (np.maximum(lowest, start - push) * t) @ p
+                moments[k] += (p * (t * free)[:, None]).T @ p
+                moved[k] = max(moved[k], np.abs(push[free]).max(initial=0.0))
+        values = np.concatenate([totals.reshape(-1), moments.reshape(-1), moved])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["k", "value"])
+
+    return slopes
+
+
+def _try(table: DataFrame, steps, trials: np.ndarray, lowest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    count, size = trials.shape
+    found = table.select("tokens", "posterior").mapInArrow(_slopes(steps, trials, lowest), "k int, value double")
+    sums, most = np.zeros(count * size * (size + 1) + count), np.zeros(count * size * (size + 1) + count)
+    for row in found.groupBy("k").agg(F.sum("value").alias("total"), F.max("value").alias("most")).collect():
+        sums[row["k"]], most[row["k"]] = row["total"], row["most"]
+    return sums[: count * size].reshape(count, size), sums[count * size: -count].reshape(count, size, size), most[-count:]
+
+
 def fit_rates(table: DataFrame, weights: np.ndarray, total: float | None, lowest: float) -> list[tuple[np.ndarray, float]]:
-    """Accelerated projected-gradient steps of the least squares over all documents.
+    """Steps to the least squares over all documents; an error if ROUNDS passes don't reach it.
 
     Minimises the squared distance of the expected domain totals from ``weights *
     total`` over rates >= ``lowest``, in the metric of tokens, so that a document's rate
-    does not hang on its length.  A rate follows from the document's posterior and the
-    steps so far; each round is one pass that sends a few sums, and nothing of a
-    document is kept between rounds.
+    does not hang on its length.  Each step minimises the squares and, weighted by PULL,
+    the movement from the last step's rates; its rates follow from the posterior and one
+    number a domain, which Newton steps find, each with one pass that sends a few sums.
+    Nothing of a document is kept between passes.
+
+    The end is the projected gradient: no rate that is free has one over TOLERANCE of
+    the total, and none at its bound one that would raise it.
     """
     size = len(weights)
     steps: list[tuple[np.ndarray, float]] = []
-    now, ahead, moments, seen = _measure(table, steps, lowest, size)
+    now, _, _, seen = _measure(table, steps, lowest, size)
     if seen == 0:
         return steps
     target = weights * (least_total(now, weights) if total is None else total)
-    pace = 1 / max(1e-9, float(np.linalg.eigvalsh(moments)[-1]))
-    theta, worst, size_of = 1.0, math.inf, max(1.0, float(target.sum()))
+    pull, size_of = PULL * seen, max(1.0, float(target.sum()))
+    at, direction, short = np.zeros(size), None, 0.0
+    trials = at[None]
     for _ in range(ROUNDS):
-        following = (1 + math.sqrt(1 + 4 * theta * theta)) / 2
-        steps.append((pace * (ahead - target), (theta - 1) / following))
-        theta, before = following, now
-        now, ahead, _, _ = _measure(table, steps, lowest, size)
-        off = float(((now - target) ** 2).sum())
-        if np.abs(now - target).max() < TOLERANCE * size_of or np.abs(now - before).max() < STILL * size_of:
-            break
-        if off > worst:
-            # Momentum overshoots: start it anew.
-            theta = 1.0
-            steps[-1] = (steps[-1][0], 0.0)
-            ahead = now
-        worst = off
-    return steps
+        totals, moments, moved = _try(table, steps, trials, lowest)
+        off = pull * trials + target - totals
+        # Along a Newton step the slope only rises: the trial next to where it is 0 is the best one.
+        best = int(np.abs(off).max(axis=1).argmin()) if direction is None else int(np.abs(off @ direction).argmin())
+        stuck = direction is not None and abs(off[best] @ direction) >= short
+        if not stuck:
+            at, left, curve, far = trials[best], off[best], moments[best], moved[best]
+        # A free row's gradient is its movement times the pull, but for what the equation is off by.
+        gradient = (pull * far + np.abs(left).max()) / size_of
+        if gradient < TOLERANCE:
+            return [*steps, (at, 0.0)]
+        if stuck or np.abs(left).max() < STILL * size_of:
+            steps.append((at, 0.0))
+            # What is left moves the rates less and less far: the next step may be longer.
+            pull /= LONGER
+            trials, direction = np.stack([np.zeros(size), at, at * LONGER]), None
+        else:
+            direction = -np.linalg.solve(curve + pull * np.eye(size), left)
+            short = abs(float(left @ direction))
+            trials = at + LENGTHS[:, None] * direction
+    raise RuntimeError(f"rates are not at the least squares after {ROUNDS} passes: the projected gradient is {gradient:.1e} of the total, {TOLERANCE:.0e} is asked for")
 
 
 def least_total(totals: np.ndarray, weights: np.ndarray) -> float:
@@ -221,13 +274,14 @@ def mix(
     ``weights`` are normalised to 1; a domain that has none is asked for nothing.
     ``total`` is the number of tokens (words) to reach; None takes the smallest at which
     no domain must lose any.  Rates are at least ``lowest``.  Where targets can't be
-    met, the result is the nearest in least squares.
+    met, the result is the nearest in least squares; rates that are not there after
+    ROUNDS passes are an error.
 
     Returns id, tokens, posterior (in the model's order of domains), rate and copies,
     one row per input row, with the columns named in ``carry`` as they were (their rows
     are judged once more on the way, which needs no join).  ``copies`` rounds the rate up
     or down by the id's hash, in the long run without bias.  A null or empty text has no
-    tokens, the model's prior as its posterior and a rate all the same; an empty table
+    tokens, the model's prior as its posterior and the rate 1 (or ``lowest``); an empty table
     gives no rows.  Repeated rows have equal rates.  Only the columns named are read.
     """
     asked = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
