@@ -57,6 +57,26 @@ def test_quality(spark, given, edge):
     assert quality_classifier.score_quality(edge, one).filter("score > 0.9").count() == 6
 
 
+def test_quality_of_long_texts(spark, given):
+    """Length takes nothing from the evidence, and labels of long texts reach the curve."""
+    docs, labels = given
+    model = quality_classifier.train(docs, labels)
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id").filter(quality_classifier.held_out(docs["doc_id"])).orderBy("doc_id").collect()
+    grown = {y: "\n".join([r["text"] for r in rows if r["quality"] == y and r["text"]] * 20).encode() for y in (0, 1)}
+    sizes = (40_000, 200_000, 1_000_000)
+    long = [(10 * k + y, grown[y][:size].decode(errors="ignore")) for k, size in enumerate(sizes) for y in (0, 1)]
+    table = spark.createDataFrame(long, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in quality_classifier.score_quality(table, model).collect()}
+    for k in range(len(sizes)):
+        assert found[10 * k]["difference"] < -0.02 and found[10 * k]["predicted"] == 0
+        assert found[10 * k + 1]["difference"] > 0.02 and found[10 * k + 1]["predicted"] == 1
+    # The same texts with labels turned around, all but the shorter ones': the curve hears of them.
+    many = spark.createDataFrame([(10**6 + i, long[1][1]) for i in range(400)], "doc_id long, text string")
+    turned = many.select("doc_id").selectExpr("doc_id", "0 as quality")
+    both = docs.select("doc_id", "text").unionAll(many), labels.select("doc_id", "quality").unionAll(turned)
+    assert quality_classifier.train(*both).slope < 0.8 * quality_classifier.train(docs, both[1]).slope
+
+
 def test_toxicity(spark, given, edge):
     docs, labels = given
     model = toxicity.train(docs, labels)

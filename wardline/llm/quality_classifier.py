@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import held_out, labelled_texts
+from wardline.llm.common import held_out, labelled_texts, sample_labels
 
-# Bounds of the training sample: texts of each label and bytes of a text.
+# Bounds of the training sample: texts of each label, and bytes of a text that travels.
 SAMPLE_TEXTS = 2500
 SAMPLE_BYTES = 32_000
 DICTIONARY_TEXTS = 1500
 DICTIONARY_BYTES = 250_000
 LEVEL = 3
 SLICE = 2000
+# Bytes that are packed at a time: all of a text meets the dictionaries, not its own start.
+PIECE = 2048
 # The curve is flat beyond these differences, so that a few odd texts don't flatten all of it.
 LOWEST, HIGHEST = -0.02, 0.04
 # Added to a text's length when sizes are compared, so that a few words decide little.
@@ -40,7 +42,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * inside + self.base))))
 
     def differ(self):
-        """A function from bytes to the normalised difference of compressed sizes."""
+        """A function from bytes to the normalised difference of compressed sizes, summed over pieces."""
         if not self.good or not self.bad:
             return lambda text: 0.0
         import zstandard
@@ -51,7 +53,12 @@ class Model:
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary).compress
 
         good, bad = packer(self.good), packer(self.bad)
-        return lambda text: (len(bad(text)) - len(good(text))) / (len(text) + PRIOR_BYTES)
+
+        def difference(text: bytes) -> float:
+            cuts = (text[i: i + PIECE] for i in range(0, len(text), PIECE))
+            return sum(len(bad(piece)) - len(good(piece)) for piece in cuts) / (len(text) + PRIOR_BYTES)
+
+        return difference
 
 
 def _dictionary(texts: list[str], shared: set[str]) -> bytes:
@@ -87,12 +94,14 @@ def logistic(x, y, weight, steps: int = 60) -> tuple[float, float]:
     return float(theta[0] / spread), float(theta[1])
 
 
-def fit(texts: list[tuple[str, int]], share_good: float) -> Model:
+def fit(texts: list[tuple[str, int]], share_good: float, longer: Callable[[Model], list[tuple[float, int]]] = lambda model: []) -> Model:
     """Dictionaries from the first texts of each label, the curve from the rest.
 
     Lines of more than one text say nothing about quality and stay out of both
-    dictionaries.  Texts of the curve are weighted to ``share_good``, the share of
-    label 1 among all labelled rows.  With one label only, that share is every score.
+    dictionaries.  ``longer`` gives the differences and labels, under a model's
+    dictionaries, of texts too long to be here; the curve is fitted on them too.  Texts
+    of the curve are weighted to ``share_good``, the share of label 1 among all labelled
+    rows.  With one label only, that share is every score.
     """
     import numpy as np
 
@@ -108,9 +117,9 @@ def fit(texts: list[tuple[str, int]], share_good: float) -> Model:
     model = Model(_dictionary(by[1][: cut[1]], shared), _dictionary(by[0][: cut[0]], shared), 0.0, base)
     rest = {label: rows[cut[label]:] or rows for label, rows in by.items()}
     differ = model.differ()
-    x = np.array([differ(text.encode()) for label in (0, 1) for text in rest[label]])
-    y = np.array([label for label in (0, 1) for _ in rest[label]])
-    weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
+    measured = [(differ(text.encode()), label) for label in (0, 1) for text in rest[label]] + longer(model)
+    x, y = (np.array(column) for column in zip(*measured, strict=True))
+    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
     slope, base = logistic(np.clip(x, LOWEST, HIGHEST), y, weight)
     return Model(model.good, model.bad, slope, base)
 
@@ -130,10 +139,21 @@ def _scorer(model: Model):
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
-    """A model from a bounded sample of labelled rows outside the held-out fold."""
+    """A model from a bounded sample of labelled rows outside the held-out fold.
+
+    Of sampled texts over SAMPLE_BYTES only the differences travel, for the curve.
+    """
     texts = labelled_texts(docs, labels, target, SAMPLE_TEXTS, SAMPLE_BYTES)
     share = labels.filter(~held_out(F.col("doc_id")) & F.col(target).isin(0, 1)).agg(F.avg(target)).first()[0]
-    return fit(texts, 0.5 if share is None else share)
+
+    def longer(model: Model) -> list[tuple[float, int]]:
+        picked = F.broadcast(sample_labels(labels, [target], SAMPLE_TEXTS).select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("label")))
+        rows = docs.select(F.col("doc_id").alias("id"), "text").filter(F.octet_length("text") > SAMPLE_BYTES).join(picked, "id")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        found = rows.select("id", "label", "text").mapInArrow(_scorer(model), f"id {kind}, label int, score double, difference double")
+        return sorted((r["difference"], r["label"]) for r in found.drop("score").distinct().collect())
+
+    return fit(texts, 0.5 if share is None else share, longer)
 
 
 def score_quality(
