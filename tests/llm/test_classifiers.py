@@ -149,3 +149,21 @@ def test_rules(spark, given, edge):
     assert quality_rules.apply_rules(edge, rules).filter("kept").count() == 0
     assert quality_rules.apply_rules(edge.limit(0), []).count() == 0
     assert quality_rules.train(docs, labels.limit(0)) == []
+
+
+def test_rules_keep_to_the_mix_of_all_labelled_rows(spark, monkeypatch):
+    """Ten times the same rows give the same list, though the sample then holds as many bad texts as good ones."""
+    words = " ".join(chr(97 + i) * 4 for i in range(26))
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(2000):
+        bad = i % 10 == 0
+        sign, loud = bad and rng.random() < 0.25, rng.random() < (0.5 if bad else 0.05)
+        rows.append((i, words + " #" * sign + " !" * loud, 0 if bad else 1))
+    monkeypatch.setattr(quality_rules, "SAMPLE_TEXTS", 1500)
+    lists = []
+    for times in (1, 10):
+        table = spark.createDataFrame([(i + 2000 * k, text, y) for k in range(times) for i, text, y in rows], "doc_id long, text string, quality int")
+        lists.append(quality_rules.train(table.select("doc_id", "text"), table.select("doc_id", "quality")))
+    assert lists[0] and [[(c.feature, c.above) for c in r] for r in lists[0]] == [[(c.feature, c.above) for c in r] for r in lists[1]]
+    assert quality_rules._quantiles(np.array([3.0, 1, 2]), np.ones(3)) == pytest.approx(np.quantile([1, 2, 3], np.linspace(0, 1, 50)[1:-1]))

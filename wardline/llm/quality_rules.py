@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import sample_labels
+from wardline.llm.common import held_out, sample_labels
 
 # Bounds of the labelled sample and of the list.
 SAMPLE_TEXTS = 10_000
@@ -135,21 +135,32 @@ def _covers(rule: Rule, data: dict[str, np.ndarray], n: int) -> np.ndarray:
     return inside
 
 
-def _grow(data: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """Conditions added one by one, each with the largest information gain on what is left."""
+def _quantiles(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """THRESHOLDS values that cut the rows' weight into equal parts."""
+    order = np.argsort(values, kind="stable")
+    middle = np.cumsum(weight[order]) - weight[order] / 2
+    middle -= middle[0]
+    return np.interp(np.linspace(0, 1, THRESHOLDS + 2)[1:-1] * middle[-1], middle, values[order])
+
+
+def _grow(data: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray) -> Rule:
+    """Conditions added one by one, each with the largest information gain on what is left.
+
+    Gains and thresholds count the rows by weight, LEAST_COVER the rows themselves.
+    """
     rule: list[Condition] = []
     inside = np.ones(len(bad), dtype=bool)
     while len(rule) < MOST_CONDITIONS and (~bad & inside).any():
-        p, n = (bad & inside).sum(), (~bad & inside).sum()
+        p, n = weight[bad & inside].sum(), weight[~bad & inside].sum()
         best, gained = None, 1e-9
         for name, values in data.items():
-            for value in np.unique(np.quantile(values[inside], np.linspace(0, 1, THRESHOLDS + 2)[1:-1])):
+            for value in np.unique(_quantiles(values[inside], weight[inside])):
                 for above in (True, False):
                     condition = Condition(name, above, float(value))
                     now = inside & condition.holds(values)
-                    p1, n1 = (bad & now).sum(), (~bad & now).sum()
-                    if p1 < LEAST_COVER:
+                    if (bad & now).sum() < LEAST_COVER:
                         continue
+                    p1, n1 = weight[bad & now].sum(), weight[~bad & now].sum()
                     gain = p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p / (p + n)))
                     if gain > gained:
                         best, gained = condition, gain
@@ -160,25 +171,30 @@ def _grow(data: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return tuple(rule)
 
 
-def _prune(rule: Rule, data: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Rule, float, int]:
+def _prune(rule: Rule, data: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray) -> tuple[Rule, float, int]:
     """The prefix of the rule that does best on rows it was not grown on."""
     best, worth, precision, hits = rule, -2.0, 0.0, 0
     for size in range(len(rule), 0, -1):
         now = _covers(rule[:size], data, len(bad))
-        p, n = int((bad & now).sum()), int((~bad & now).sum())
+        p, n = float(weight[bad & now].sum()), float(weight[~bad & now].sum())
         value = (p - n) / (p + n) if p + n else -2.0
         if value >= worth:
-            best, worth, precision, hits = rule[:size], value, p / max(1, p + n), p
+            best, worth, precision, hits = rule[:size], value, p / (p + n) if p + n else 0.0, int((bad & now).sum())
     return best, precision, hits
 
 
-def learn(data: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
+def learn(data: dict[str, np.ndarray], bad: np.ndarray, share_bad: float | None = None) -> list[Rule]:
     """Sequential covering: rules for rejection, in order; what none covers is kept.
 
     Two thirds of the rows grow a rule and the rest prune it; rows it covers leave
     both parts.  Learning ends when a rule is right in less than LEAST_PRECISION of
-    the cases it was not grown on, or finds too few.
+    the cases it was not grown on, or finds too few.  Gain and precision refer to
+    ``share_bad``, the share of bad rows among all labelled ones; None takes the share
+    given here.
     """
+    here = bad.mean() if len(bad) else 0.0
+    share = here if share_bad is None else share_bad
+    weight = np.where(bad, share / here, (1 - share) / (1 - here)) if 0 < here < 1 else np.ones(len(bad))
     rules: list[Rule] = []
     part = np.arange(len(bad)) % 3 == 2
     left = np.ones(len(bad), dtype=bool)
@@ -186,10 +202,10 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
         grow, prune = left & ~part, left & part
         if (bad & grow).sum() < LEAST_COVER:
             break
-        rule = _grow({k: v[grow] for k, v in data.items()}, bad[grow])
+        rule = _grow({k: v[grow] for k, v in data.items()}, bad[grow], weight[grow])
         if not rule:
             break
-        rule, precision, hits = _prune(rule, {k: v[prune] for k, v in data.items()}, bad[prune])
+        rule, precision, hits = _prune(rule, {k: v[prune] for k, v in data.items()}, bad[prune], weight[prune])
         if precision < LEAST_PRECISION or hits < 2:
             break
         rules.append(rule)
@@ -200,8 +216,9 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> list[Rule]:
     """Rules from the statistics of a bounded sample of labelled rows outside the held-out fold.
 
-    Only numbers reach the driver: one row of features per sampled text.  Without
-    both labels there are no rules.
+    Only numbers reach the driver: one row of features per sampled text.  The sample
+    takes each label on its own; its rows are weighted to the labels' shares among all
+    labelled rows outside the fold.  Without both labels there are no rules.
     """
     picked = F.broadcast(sample_labels(labels, [target], SAMPLE_TEXTS).toDF("_id", "_label"))
     sampled = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(picked, "_id")
@@ -212,7 +229,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> list[R
     rows = rows.sort_values(["_id", *names], kind="stable")
     order = np.random.default_rng(11).permutation(len(rows))
     data = {n: rows[n].to_numpy(dtype=np.float64)[order] for n in names}
-    return learn(data, rows["_label"].to_numpy()[order] == 0)
+    share_bad = labels.filter(~held_out(F.col("doc_id")) & F.col(target).isin(0, 1)).agg(F.avg(1 - F.col(target))).first()[0]
+    return learn(data, rows["_label"].to_numpy()[order] == 0, share_bad)
 
 
 def verdict(rules: list[Rule], available: dict[str, Column] | None = None) -> Column:
