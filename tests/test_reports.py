@@ -308,6 +308,27 @@ def test_dated_reports_open_their_months_only(spark, tmp_path):
         assert sum(bounded) > len(facts_read)
 
 
+def test_dated_reports_keep_observations_of_other_months(spark, tmp_path):
+    """Observations stored alone, or with a month of the user's own, are cut by their encounters only."""
+    from dataclasses import replace
+
+    whole = clinic(Tables(spark, SMALL))
+    day = whole.encounters("triage").agg(F.min("encounter_datetime")).first()[0].date()
+    days = (f"{day:%Y-%m}-01", f"{day:%Y-%m}-28")
+    late = whole["obs"].withColumn("obs_datetime", F.col("obs_datetime") + F.expr("interval 70 days"))
+    store_entities({"obs": late}, f"{tmp_path}/alone")
+    sets = {c: "BIG" for c in patients.TRIAGE_CATEGORIES}
+    want, *found = (
+        sorted(map(str, patients.triage_export(replace(whole, tables={**whole.tables, "obs": obs}), sets, *days).collect()))
+        for obs in (late, spark.read.parquet(f"{tmp_path}/alone/obs"), late.withColumn("month", F.lit("1999-12")))
+    )
+    assert want and found == [want, want]
+    store_entities({"encounter": whole["encounter"], "obs": late}, f"{tmp_path}/both")
+    assert list(tmp_path.glob("both/obs/enc_month=*"))
+    with pytest.raises(ValueError, match="together"):
+        store_entities({"encounter": whole["encounter"]}, f"{tmp_path}/both")
+
+
 def test_facts_over_jdbc_need_bounds(spark):
     from wardline.sources.entities import load_entities_jdbc
 

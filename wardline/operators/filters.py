@@ -30,13 +30,13 @@ def date_range(df: DataFrame, at: str, start=None, end=None) -> DataFrame:
     return df
 
 
-def in_months(df: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows of a stored table whose month can hold the days; a table without months stays whole."""
-    if "month" in df.columns:
+def in_months(df: DataFrame, start=None, end=None, column: str = "month") -> DataFrame:
+    """Rows of a stored table whose month can hold the days; a table without that column stays whole."""
+    if column in df.columns:
         if start is not None:
-            df = df.filter(F.col("month") >= f"{day_start(start):%Y-%m}")
+            df = df.filter(F.col(column) >= f"{day_start(start):%Y-%m}")
         if end is not None:
-            df = df.filter(F.col("month") <= f"{day_start(end):%Y-%m}")
+            df = df.filter(F.col(column) <= f"{day_start(end):%Y-%m}")
     return df
 
 

@@ -56,10 +56,10 @@ class Clinic:
         """Live observations, cut to the anchor encounters.
 
         ``start`` and ``end`` are the days the anchors lie in: where observations are
-        stored by their encounter's month, other months are not opened.
+        stored by their encounter's month, other months are not opened.  Any other month
+        they may have says nothing about their encounter and cuts nothing.
         """
-        rows = not_voided(in_months(self["obs"], start, end))
-        rows = rows.drop("month") if "month" in rows.columns else rows
+        rows = not_voided(in_months(self["obs"], start, end, "enc_month")).drop("month", "enc_month")
         return rows if anchors is None else rows.join(anchors.select("encounter_id"), "encounter_id", "left_semi")
 
     def keyed(self, df: DataFrame, *columns: str) -> DataFrame:

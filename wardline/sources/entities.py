@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,13 +30,13 @@ def load_entities(
 def load_between(spark: SparkSession, path: str, name: str, start=None, end=None) -> DataFrame:
     """A stored fact table cut to a date range.
 
-    Encounters of other months are not opened.  Observations lie in the month of their
-    encounter, which says nothing about their own time, so all are read.
+    Encounters of other months are not opened.  Observations may lie in the month of
+    their encounter, which says nothing about their own time, so all are read.
     """
     rows = stored_facts(spark, path, name)
     if name == "encounter":
         rows = in_months(rows, start, end)
-    return date_range(rows, FACT_TIMES[name], start, end).drop("month")
+    return date_range(rows, FACT_TIMES[name], start, end).drop("month", "enc_month")
 
 
 def stored_facts(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -73,21 +74,34 @@ def load_entities_jdbc(
 def store_entities(tables: Mapping[str, DataFrame], path: str) -> None:
     """Write entity tables for repeated reports; facts are partitioned by month.
 
-    Observations take the month of their encounter (their own where it is unknown), so
-    a report that asks for encounters of a month finds their observations in one folder.
+    Observations stored with their encounters lie in folders of ``enc_month``, the
+    month of their encounter (their own where it is unknown), so a report that asks for
+    encounters of a month finds their observations in one folder.  Stored alone they lie
+    in their own ``month``, by which no report is cut.  Encounters stored again without
+    the observations that lie in their months are an error, as their dates may differ.
     Rows are dealt by ranges of month and encounter: few files a month, a month of many
     rows spread over tasks, and an encounter's observations side by side.
     """
     months = None
+    if "encounter" in tables and "obs" not in tables:
+        try:
+            there = tables["encounter"].sparkSession.read.parquet(f"{path}/obs").columns
+        except AnalysisException:
+            there = []
+        if "enc_month" in there:
+            raise ValueError("observations are stored by the months of their encounters: store both together")
     if "encounter" in tables:
         months = tables["encounter"].select("encounter_id", F.date_format("encounter_datetime", "yyyy-MM").alias("_month"))
     for name, table in tables.items():
         if name in FACT_TIMES:
-            dated = table.withColumn("month", F.date_format(FACT_TIMES[name], "yyyy-MM"))
+            month, own = "month", F.date_format(FACT_TIMES[name], "yyyy-MM")
+            dated = table.withColumn(month, own)
             if name == "obs" and months is not None:
-                dated = dated.join(months, "encounter_id", "left").withColumn("month", F.coalesce("_month", "month")).drop("_month").select(*table.columns, "month")
-            dealt = dated.repartitionByRange("month", "encounter_id") if "encounter_id" in dated.columns else dated.repartitionByRange("month")
-            dealt.sortWithinPartitions("month", *(["encounter_id"] if "encounter_id" in dated.columns else [])).write.mode("overwrite").partitionBy("month").parquet(f"{path}/{name}")
+                month = "enc_month"
+                columns = [c for c in table.columns if c != month]
+                dated = table.select(*columns).join(months, "encounter_id", "left").withColumn(month, F.coalesce("_month", own)).select(*columns, month)
+            dealt = dated.repartitionByRange(month, "encounter_id") if "encounter_id" in dated.columns else dated.repartitionByRange(month)
+            dealt.sortWithinPartitions(month, *(["encounter_id"] if "encounter_id" in dated.columns else [])).write.mode("overwrite").partitionBy(month).parquet(f"{path}/{name}")
         else:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
