@@ -9,7 +9,7 @@ from wardline.functions.dates import moment
 from wardline.operators import aggregates as ag
 from wardline.operators import intervals as iv
 from wardline.operators import ranking as rk
-from wardline.operators import slices as sl
+from wardline.operators import sweeps as sw
 from wardline.operators.filters import not_voided
 from wardline.operators.observations import first_by_preference, with_labels
 
@@ -254,7 +254,7 @@ def _(t):
 SELECT encounter_id, visit_id, row_number() OVER (PARTITION BY visit_id ORDER BY encounter_datetime, encounter_id) AS index_asc FROM encounter
 """)
 def _(t):
-    return sl.number_rows(t.encounter, ["visit_id"], "encounter_datetime", ["encounter_id"], desc=None).select("encounter_id", "visit_id", "index_asc")
+    return sw.number_rows(t.encounter, ["visit_id"], "encounter_datetime", ["encounter_id"], desc=None).select("encounter_id", "visit_id", "index_asc")
 
 
 @query("user_var_rank", """
@@ -262,7 +262,7 @@ SELECT obs_id, row_number() OVER (PARTITION BY person_id, encounter_id ORDER BY
 """)
 def _(t):
     rows = not_voided(t.pobs).filter(F.col("concept_id") == 3)
-    return sl.number_rows(rows, ["person_id", "encounter_id"], "obs_datetime", ["obs_group_id", "obs_id"], "rank", None).select("obs_id", "rank")
+    return sw.number_rows(rows, ["person_id", "encounter_id"], "obs_datetime", ["obs_group_id", "obs_id"], "rank", None).select("obs_id", "rank")
 
 
 @query("index_asc_desc", """
@@ -272,8 +272,8 @@ UNION ALL SELECT -encounter_id, row_number() OVER (PARTITION BY patient_id ORDER
   row_number() OVER (PARTITION BY patient_id ORDER BY encounter_datetime DESC, encounter_id DESC) FROM adt
 """)
 def _(t):
-    orders = sl.number_rows(t.encounter, ["patient_id"], "encounter_datetime", ["encounter_id"])
-    events = sl.number_rows(t.adt, ["patient_id"], "encounter_datetime", ["encounter_id"])
+    orders = sw.number_rows(t.encounter, ["patient_id"], "encounter_datetime", ["encounter_id"])
+    events = sw.number_rows(t.adt, ["patient_id"], "encounter_datetime", ["encounter_id"])
     return orders.select("encounter_id", "index_asc", "index_desc").unionByName(
         events.select((-F.col("encounter_id")).alias("encounter_id"), "index_asc", "index_desc")
     )

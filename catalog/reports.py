@@ -753,6 +753,13 @@ def _(t):
 _ND, _NM, _NT = outpatient.COHORT_DIAGNOSES, outpatient.COHORT_MEDICINES, outpatient.COHORT_TESTS
 
 
+# Questions that stand in for the measures of the extract.
+_VITALS = {
+    "height": 1, "weight": 2, "temperature": 3, "heart_rate": 4, "respiratory_rate": 5, "bp_systolic": 6, "bp_diastolic": 7, "o2_saturation": 3,
+    "muac_mm": 5,
+}
+
+
 @query("visit_cohort", f"""
 WITH vs AS (SELECT 'E' || CAST(patient_id AS VARCHAR) AS emr_id, patient_id, visit_id, date_started AS visit_date_started, date_stopped AS visit_date_stopped FROM visit WHERE year(date_stopped) >= 1996 AND year(date_started) <= 2000),
 live AS (SELECT o.*, label FROM pobs o LEFT JOIN label_en l ON o.value_coded = l.concept_id WHERE NOT voided),
@@ -764,14 +771,19 @@ la AS (SELECT DISTINCT person_id, obs_datetime AS taken_at, label AS test, value
 lt AS (SELECT m.*, v.visit_id FROM la m ASOF JOIN vs v ON m.person_id = v.patient_id AND date_trunc('day', m.taken_at) + INTERVAL 1 DAY > v.visit_date_started),
 lp AS (SELECT visit_id, {', '.join(f'max(CASE WHEN n = {i} THEN test END) AS test_{i}, max(CASE WHEN n = {i} THEN result END) AS result_{i}' for i in range(1, _NT + 1))}
   FROM (SELECT visit_id, test, result, row_number() OVER (PARTITION BY visit_id ORDER BY taken_at, test, result) AS n FROM lt) GROUP BY visit_id),
-vt AS (SELECT visit_id, encounter_id, encounter_datetime, max(CASE WHEN concept_id = 1 THEN value_numeric END) AS height, max(CASE WHEN concept_id = 2 THEN value_numeric END) AS weight, max(CASE WHEN concept_id = 4 THEN value_text END) AS chief_complaint
-  FROM live WHERE concept_id IN (1, 2, 4) GROUP BY 1, 2, 3),
+vt AS (SELECT visit_id, encounter_id, encounter_datetime, {', '.join(f'max(CASE WHEN concept_id = {c} THEN value_numeric END) AS {n}' for n, c in _VITALS.items())}, max(CASE WHEN concept_id = 4 THEN value_text END) AS chief_complaint
+  FROM live GROUP BY 1, 2, 3),
 vl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY encounter_datetime DESC, encounter_id DESC) AS r FROM vt) WHERE r = 1)
-SELECT vs.emr_id, vs.patient_id, vs.visit_id, visit_date_started, visit_date_stopped, p.gender, p.birthdate, height, weight, chief_complaint, {', '.join(f'diagnosis_{i}' for i in range(1, _ND + 1))},
+SELECT vs.emr_id, vs.patient_id, vs.visit_id, visit_date_started, visit_date_stopped, p.gender, p.birthdate, {', '.join(_VITALS)}, chief_complaint, {', '.join(f'diagnosis_{i}' for i in range(1, _ND + 1))},
   {', '.join(f'med_{i}' for i in range(1, _NM + 1))}, {', '.join(f'test_{i}, result_{i}' for i in range(1, _NT + 1))}
 FROM vs LEFT JOIN person p ON vs.patient_id = p.person_id LEFT JOIN vl ON vs.visit_id = vl.visit_id LEFT JOIN dx ON vs.visit_id = dx.visit_id LEFT JOIN mp ON vs.visit_id = mp.visit_id LEFT JOIN lp ON vs.visit_id = lp.visit_id
 """)
 def _(t):
+    return outpatient.visit_cohort(*_curated(t), 1996, 2000)
+
+
+def _curated(t):
+    """Visits, patients, diagnoses, dispenses, labs and vitals as a warehouse would hold them."""
     from catalog.base import english
     from wardline.operators.filters import not_voided
 
@@ -789,6 +801,21 @@ def _(t):
         F.col("value_text").alias("result"),
     )
     vitals = ob.collect_obs(not_voided(t.pobs), ["visit_id", "encounter_id", "encounter_datetime"], [
-        ob.peak("height", 1), ob.peak("weight", 2), ob.peak("chief_complaint", 4, "value_text"),
+        *[ob.peak(name, concept) for name, concept in _VITALS.items()], ob.peak("chief_complaint", 4, "value_text"),
     ])
-    return outpatient.visit_cohort(visits, people, diagnoses, given, labs, vitals, 1996, 2000)
+    return visits, people, diagnoses, given, labs, vitals
+
+
+@query("visit_cohort_rest", """
+WITH vs AS (SELECT patient_id, visit_id, date_started AS visit_date_started FROM visit WHERE year(date_stopped) >= 1996 AND year(date_started) <= 2000),
+live AS (SELECT o.*, label FROM pobs o LEFT JOIN label_en l ON o.value_coded = l.concept_id WHERE NOT voided),
+me AS (SELECT DISTINCT person_id, obs_datetime AS "at", label FROM live WHERE concept_id IN (4, 5, 6) AND label IS NOT NULL AND year(obs_datetime) BETWEEN 1996 AND 2000),
+la AS (SELECT DISTINCT person_id, obs_datetime AS "at", label, value_text FROM live WHERE concept_id IN (1, 2, 7) AND label IS NOT NULL AND year(obs_datetime) BETWEEN 1996 AND 2000),
+i AS (SELECT visit_id, 'diagnosis' AS kind, NULL::TIMESTAMP AS "at", obs_id AS entry, label AS value, NULL::VARCHAR AS result FROM live SEMI JOIN vs USING (visit_id) WHERE concept_id = 3
+  UNION ALL SELECT v.visit_id, 'medicine', me."at", NULL, label, NULL FROM me ASOF JOIN vs v ON me.person_id = v.patient_id AND me."at" >= v.visit_date_started
+  UNION ALL SELECT v.visit_id, 'test', la."at", NULL, label, value_text FROM la ASOF JOIN vs v ON la.person_id = v.patient_id AND date_trunc('day', la."at") + INTERVAL 1 DAY > v.visit_date_started),
+n AS (SELECT *, row_number() OVER (PARTITION BY visit_id, kind ORDER BY "at" NULLS FIRST, entry NULLS FIRST, value NULLS FIRST, result NULLS FIRST) AS rank FROM i)
+SELECT visit_id, kind, rank, value, result FROM n WHERE rank > CASE kind WHEN 'diagnosis' THEN 1 WHEN 'medicine' THEN 2 ELSE 3 END
+""")
+def _(t):
+    return outpatient.visit_cohort_rest(*_curated(t)[:5], 1996, 2000, (1, 2, 3))

@@ -143,6 +143,9 @@ def test_reports_keep_their_anchor_rows(spark):
     t = Tables(spark, SMALL)
     live_rows = t.encounter.filter("not voided")
     assert maternity.maternal_register(clinic(t)).count() == live_rows.filter("encounter_type = '2-HIGH'").count()
+    # Sections that are not given are null columns.
+    chronic = programs.chronic_encounters(clinic(t), {"diabetes_section_populated": {"questions": [1, 2, 3, 4, 5, 6, 7]}})
+    assert chronic.filter("diabetes_section_populated").count() > 0 and chronic.filter("lung_section_populated is not null").count() == 0
     chronic = programs.chronic_encounters(clinic(t), {})
     assert chronic.count() == live_rows.filter("encounter_type in ('1-URGENT', '3-MEDIUM', '5-LOW')").count()
     assert chronic.select("encounter_id").distinct().count() == chronic.count()

@@ -1,4 +1,4 @@
-"""Sliced ordered operators against brute force, with one key holding most rows."""
+"""Ordered operators and span joins against brute force, with one key holding most rows."""
 
 import random
 from datetime import datetime, timedelta
@@ -9,6 +9,8 @@ from tests.conftest import at
 from wardline.functions.dates import moment
 from wardline.operators import intervals as iv
 from wardline.operators import slices as sl
+from wardline.operators import sweeps as sw
+from wardline.operators.aggregates import ordered_text
 
 START = datetime(2023, 11, 28)
 
@@ -28,10 +30,10 @@ def rows(spark):
     return data, spark.createDataFrame(data, "id bigint, key int, at timestamp_ntz, v int")
 
 
-@pytest.mark.parametrize("unit", ["hour", "day", "month", "year"])
-def test_number_rows(rows, unit):
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_number_rows(rows, ranges):
     data, df = rows
-    got = {r["id"]: (r["index_asc"], r["index_desc"]) for r in sl.number_rows(df, ["key"], "at", ["id"], unit=unit).collect()}
+    got = {r["id"]: (r["index_asc"], r["index_desc"]) for r in sw.number_rows(df, ["key"], "at", ["id"], ranges=ranges).collect()}
     assert len(got) == len(data)
     for key in {r[1] for r in data}:
         ordered = sorted((r for r in data if r[1] == key), key=lambda r: (r[2], r[0]))
@@ -39,10 +41,10 @@ def test_number_rows(rows, unit):
             assert got[r[0]] == (place, len(ordered) - place + 1)
 
 
-@pytest.mark.parametrize("unit", ["day", "month"])
-def test_previous_values(rows, unit):
+@pytest.mark.parametrize("ranges", [1, 30])
+def test_previous_values(rows, ranges):
     data, df = rows
-    got = {r["id"]: r["previous_v"] for r in sl.previous_values(df, ["key"], "at", ["id"], ["v"], unit=unit).collect()}
+    got = {r["id"]: r["previous_v"] for r in sw.previous_values(df, ["key"], "at", ["id"], ["v"], ranges=ranges).collect()}
     for key in {r[1] for r in data}:
         ordered = sorted((r for r in data if r[1] == key), key=lambda r: (r[2], r[0]))
         assert got[ordered[0][0]] is None
@@ -55,7 +57,7 @@ def test_asof_backward(spark, rows, grain, strict):
     data, df = rows
     points = made(2, 60)
     pdf = spark.createDataFrame(points, "pid bigint, key int, start timestamp_ntz, w int")
-    out = sl.asof_backward(df, pdf, ["key"], "at", "start", ["pid"], order=["pid"], grain=grain, strict=strict).collect()
+    out = sw.asof_backward(df, pdf, ["key"], "at", "start", ["pid"], order=["pid"], grain=grain, strict=strict).collect()
     assert len(out) == len(data)
     got = {r["id"]: r["pid"] for r in out}
     for i, key, when, _ in data:
@@ -157,9 +159,9 @@ def test_interval_contains_against_brute_force(spark):
 
 def test_rows_without_a_key(spark):
     df = spark.createDataFrame([(1, None, at("2024-01-01"), 5), (2, 7, at("2024-01-02"), 6)], "id bigint, key int, at timestamp_ntz, v int")
-    numbered = {r["id"]: (r["index_asc"], r["index_desc"]) for r in sl.number_rows(df, ["key"], "at", ["id"]).collect()}
+    numbered = {r["id"]: (r["index_asc"], r["index_desc"]) for r in sw.number_rows(df, ["key"], "at", ["id"]).collect()}
     assert numbered == {1: (None, None), 2: (1, 1)}
-    found = sl.asof_backward(df, df.selectExpr("id as pid", "key", "at as start"), ["key"], "at", "start", ["pid"]).collect()
+    found = sw.asof_backward(df, df.selectExpr("id as pid", "key", "at as start"), ["key"], "at", "start", ["pid"]).collect()
     assert {r["id"]: r["pid"] for r in found} == {1: None, 2: 2}
 
 
@@ -168,12 +170,13 @@ def test_the_large_side_moves_once(spark):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = sl.number_rows(df, ["key"], "at", ["id"])._jdf.queryExecution().executedPlan().toString()
+        text = sw.number_rows(df, ["key"], "at", ["id"])._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
-    rows_side = text.split("SortMergeJoin")[1].split("Window [sum")[0]
-    assert "Exchange hashpartitioning(coalesce" not in text and rows_side.count("row_number") == 1
-    assert text.count("Exchange hashpartitioning") == 4
+    # One exchange of the rows; the border rows are counted, put in order and broadcast.
+    rows_side = text.split("BroadcastExchange")[0]
+    assert rows_side.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in rows_side
+    assert text.count("Exchange hashpartitioning") == 3
 
 
 @pytest.mark.parametrize("unit", ["hour", "day", "month"])
@@ -190,3 +193,49 @@ def test_range_join_with_missing_and_far_bounds(spark, unit):
     assert sorted((r["id"], r["span"]) for r in got.collect()) == [(1, 11), (1, 12), (2, 12), (2, 13), (4, 11), (4, 12), (5, 12), (5, 14)]
     left = sl.range_join(points, spans, ["key"], "at", "start", "stop", moment("2024-02-01"), unit, how="left")
     assert {r["id"] for r in left.collect()} == {1, 2, 3, 4, 5}
+
+
+def one_day(spark, n=3000):
+    """One key holds nearly all rows, all of them at one instant."""
+    noon = datetime(2024, 2, 1, 12)
+    return spark.createDataFrame([(i, 1 if i % 50 else None if i % 100 else 2, noon, i % 7) for i in range(n)], "id bigint, key int, at timestamp_ntz, v int").repartition(4)
+
+
+def test_one_instant_is_spread_over_ranges(spark):
+    df = one_day(spark)
+    splits = sw.split_points(df, ["key"], ["at", "id"], 32)
+    sizes = [r["count"] for r in sw.deal(df, splits).filter("key = 1").groupBy("_part").count().collect()]
+    assert len(sizes) >= 24 and max(sizes) < 600
+    mine = sorted(r["id"] for r in df.filter("key = 1").collect())
+    got = {r["id"]: r for r in sw.number_rows(df, ["key"], "at", ["id"], ranges=32).collect()}
+    assert [got[i]["index_asc"] for i in mine] == list(range(1, len(mine) + 1))
+    assert [got[i]["index_desc"] for i in mine] == list(range(len(mine), 0, -1))
+    assert all(r["index_asc"] is None and r["index_desc"] is None for r in got.values() if r["key"] is None)
+    before = {r["id"]: r["previous_id"] for r in sw.previous_values(df, ["key"], "at", ["id"], ["id"], ranges=32).collect()}
+    assert [before[i] for i in mine] == [None, *mine[:-1]]
+    # Every event of the instant sees the one point of that instant, whichever range it lies in.
+    points = spark.createDataFrame([(7, 1, datetime(2024, 2, 1, 12)), (8, 1, datetime(2024, 1, 1)), (9, 1, datetime(2024, 2, 2))], "pid int, key int, start timestamp_ntz")
+    for strict, want in ((False, 7), (True, 8)):
+        found = sw.asof_backward(df, points, ["key"], "at", "start", ["pid"], ["pid"], strict=strict, ranges=32).collect()
+        assert len(found) == 3000 and all(r["pid"] == (want if r["key"] == 1 else None) for r in found)
+
+
+def test_odd_keys_and_empty_tables(spark):
+    rows = [(0, "it's", None), (1, "a\\b", at("2024-01-01")), (2, "a\\b", None), (3, "", at("2023-01-01")), (4, None, None)] * 20
+    df = spark.createDataFrame([(i, k, t) for i, (_, k, t) in enumerate(rows)], "id bigint, key string, at timestamp_ntz")
+    got = {r["id"]: r["index_asc"] for r in sw.number_rows(df, ["key"], "at", ["id"], ranges=5).collect()}
+    for key in {r[1] for r in rows}:
+        own = sorted(((t is not None, t or START, i) for i, (_, k, t) in enumerate(rows) if k == key))
+        assert [got[i] for _, _, i in own] == ([None] * len(own) if key is None else list(range(1, len(own) + 1)))
+    assert sw.number_rows(df.limit(0), ["key"], "at", ["id"]).count() == 0
+    assert sw.previous_values(df.limit(0), ["key"], "at", ["id"], ["id"]).count() == 0
+
+
+def test_ordered_text_in_two_levels(spark):
+    rows = [(i % 3 if i % 10 == 0 else 1, (i * 7919) % 500, None if i % 11 == 0 else f"v{i}") for i in range(500)] + [(9, 1, None)]
+    df = spark.createDataFrame(rows, "key int, o int, v string").repartition(3)
+    for ranges in (1, 16):
+        got = {r["key"]: r["t"] for r in ordered_text(df, ["key"], "v", ["o"], "t", "; ", ranges).collect()}
+        for key in {r[0] for r in rows}:
+            kept = [v for _, v in sorted((o, v) for k, o, v in rows if k == key and v is not None)]
+            assert got[key] == ("; ".join(kept) if kept else None)

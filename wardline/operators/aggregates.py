@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.sweeps import PART, RANGES, deal, split_points
+
 
 def conditional_counts(df: DataFrame, by: Sequence[str], conditions: Mapping[str, Column]) -> DataFrame:
     """How many rows of each key meet each condition."""
@@ -29,13 +31,30 @@ def group_by_case(df: DataFrame, cases: Sequence[tuple[Column, Column]], otherwi
 def string_agg(df: DataFrame, by: Sequence[str], column: str, order: str, out: str, separator: str = ",") -> DataFrame:
     """All values of a key as one text, in the given order; null when there are none.
 
-    The result itself is one text per key; for answers use the distinct lists of
-    ``collect_obs``, which are bounded by the dictionary.
+    The result itself is one text per key, put together range by range; for answers use
+    the distinct lists of ``collect_obs``, which are bounded by the dictionary.
+    """
+    return ordered_text(df, by, column, [order, column], out, separator)
+
+
+def ordered_text(
+    df: DataFrame, by: Sequence[str], column: str, order: Sequence[str], out: str, separator: str, ranges: int = RANGES,
+) -> DataFrame:
+    """Values of a key joined in the given order, null values left out; one row per key of ``df``.
+
+    Rows are dealt by ranges of (key, order); each range is sorted and joined on its own,
+    and a key's texts are then joined in the order of their ranges, so that no task
+    sorts more of a key than one range of it.
     """
-    pair = F.when(F.col(column).isNotNull(), F.struct(F.col(order).alias("o"), F.col(column).alias("v")))
+    rows = df.select(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(column).cast("string").alias("_v"))
+    places = [f"_o{i}" for i in range(len(order))]
+    dealt = deal(rows, split_points(rows, by, places, ranges))
+    pair = F.when(F.col("_v").isNotNull(), F.struct(*places, "_v"))
     items = F.array_sort(F.collect_list(pair))
-    listed = F.array_join(F.transform(items, lambda i: i["v"].cast("string")), separator)
-    return df.groupBy(*by).agg(F.when(F.size(items) > 0, listed).alias(out))
+    texts = dealt.groupBy(*by, PART).agg(F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda i: i["_v"]), separator)).alias("_t"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct(PART, "_t"))))
+    whole = F.array_join(F.transform(parts, lambda i: i["_t"]), separator)
+    return texts.groupBy(*by).agg(F.when(F.size(parts) > 0, whole).alias(out))
 
 
 def total_row(df: DataFrame, label: str, measures: Sequence[str], total: str = "Total") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wardline.functions.text import is_uuid
 from wardline.operators.filters import not_voided
 from wardline.operators.intervals import interval_contains
-from wardline.operators.slices import previous_values
+from wardline.operators.sweeps import previous_values
 from wardline.session import scratch_dir
 
 
@@ -283,13 +283,13 @@ def visits_started_at_birth(
 
 
 def adjacent_duplicates(
-    rows: DataFrame, by: Sequence[str], at: str, row_id: str, attributes: Sequence[str], max_seconds: int, unit: str = "day",
+    rows: DataFrame, by: Sequence[str], at: str, row_id: str, attributes: Sequence[str], max_seconds: int,
 ) -> DataFrame:
     """Rows equal to the row before them on every attribute, under max_seconds apart.
 
     Null equals nothing, so a missing attribute is never a duplicate.
     """
-    paired = previous_values(rows, by, at, [row_id], [at, *attributes], unit=unit)
+    paired = previous_values(rows, by, at, [row_id], [at, *attributes])
     test = F.abs(F.timestamp_diff("SECOND", F.col(f"previous_{at}"), F.col(at))) < max_seconds
     for attribute in attributes:
         test = test & (F.col(attribute) == F.col(f"previous_{attribute}"))

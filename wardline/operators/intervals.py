@@ -7,25 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.slices import asof_backward, range_join
+from wardline.operators.aggregates import ordered_text
+from wardline.operators.slices import range_join
+from wardline.operators.sweeps import Points, asof_backward, look_back
 
 
-def visit_of_event(
-    events: DataFrame, visits: DataFrame, by: str = "patient_id", at: str = "event_at", grain: str = "timestamp", unit: str = "day",
-) -> DataFrame:
+def visit_of_event(events: DataFrame, visits: DataFrame, by: str = "patient_id", at: str = "event_at", grain: str = "timestamp") -> DataFrame:
     """Latest visit of the patient that started at or before the event."""
-    return asof_backward(events, visits, [by], at, "date_started", ["visit_id"], order=["visit_id"], grain=grain, unit=unit)
+    return asof_backward(events, visits, [by], at, "date_started", ["visit_id"], order=["visit_id"], grain=grain)
 
 
 def interval_contains(
     events: DataFrame, spans: DataFrame, by: str, at: str, span_id: str = "visit_id", start: str = "date_started",
-    stop: str = "date_stopped", unit: str = "day",
+    stop: str = "date_stopped",
 ) -> DataFrame:
     """Span holding each event: the one that stops last; failing that, the one that
     stopped earlier the same day.  Spans must be closed to count.
 
     Of the spans started by then the one that stops last either holds the event or
-    no span does, so a running maximum answers without pairing events and spans.
+    no span does, so a running maximum answers without pairing events and spans.  Starts
+    and stops are swept together with the events.
     """
     take = [span_id, start, stop]
     closed = spans.filter(F.col(stop).isNotNull()).select(by, *take)
@@ -35,12 +36,11 @@ def interval_contains(
 
     slim = events.drop(*take)
     kept = slim.columns
-    around = closed.select(by, *named("_in_"))
-    found = asof_backward(slim, around, [by], at, f"_in_{start}", [f"_in_{c}" for c in take], best=[f"_in_{stop}", f"_in_{span_id}"], unit=unit)
-    before = closed.select(by, *named("_day_"))
-    found = asof_backward(
-        found, before, [by], at, f"_day_{stop}", [f"_day_{c}" for c in take], order=[f"_day_{span_id}"], strict=True, unit=unit
-    )
+    sources = [
+        Points(closed.select(by, *named("_in_")), f"_in_{start}", [f"_in_{c}" for c in take], best=[f"_in_{stop}", f"_in_{span_id}"]),
+        Points(closed.select(by, *named("_day_")), f"_day_{stop}", [f"_day_{c}" for c in take], order=[f"_day_{span_id}"], strict=True),
+    ]
+    found = look_back(slim, sources, [by], at)
     inside = F.col(f"_in_{stop}") >= F.col(at)
     same_day = F.to_date(f"_day_{stop}") == F.to_date(at)
     return found.select(
@@ -81,8 +81,8 @@ def relationship_join(
     edges = relationships.filter(~F.col("voided") & (F.col("relationship") == kind)).select(
         F.col("person_a").alias("person_id"), F.col("person_b").alias("patient_id")
     ).distinct()
-    called = edges.join(names.select("person_id", F.concat_ws(" ", "given_name", "family_name").alias("_name")), "person_id")
-    listed = called.groupBy("patient_id").agg(F.array_join(F.array_sort(F.collect_set("_name")), separator).alias(out))
+    called = edges.join(names.select("person_id", F.concat_ws(" ", "given_name", "family_name").alias("_name")), "person_id").select("patient_id", "_name")
+    listed = ordered_text(called.distinct(), ["patient_id"], "_name", ["_name"], out, separator)
     return enrolments.join(listed, "patient_id", "left")
 
 

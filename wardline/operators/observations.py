@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.slices import asof_backward
+from wardline.operators.sweeps import asof_backward
 
 OBS_ORDER = ("obs_datetime", "obs_id")
 
@@ -493,13 +493,13 @@ def answer_ever(obs: DataFrame, person: str, wants: Mapping[str, tuple], since:
 
 def latest_before_encounter(
     encounters: DataFrame, obs: DataFrame, concept, take: Sequence[str], by: str = "person_id",
-    same_visit: bool = False, unit: str = "day",
+    same_visit: bool = False,
 ) -> DataFrame:
     """The latest observation of a question before each encounter."""
     keys = [by, "visit_id"] if same_visit else [by]
     rows = obs.filter(F.col("concept_id") == concept).select(*keys, *OBS_ORDER, *take)
     return asof_backward(
-        encounters, rows, keys, "encounter_datetime", "obs_datetime", take, order=["obs_id"], strict=True, unit=unit
+        encounters, rows, keys, "encounter_datetime", "obs_datetime", take, order=["obs_id"], strict=True
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wardline.operators.filters import not_voided
 from wardline.operators.ranking import first_rows, latest_per_key
-from wardline.operators.slices import previous_values, range_join
+from wardline.operators.slices import range_join
+from wardline.operators.sweeps import previous_values
 
 
 def current_program_state(
@@ -109,14 +110,14 @@ def present_patients(encounters: DataFrame, open_visits: DataFrame, enter_types:
     ).select(F.col("p.location_id").alias("location_id"), "patient_id")
 
 
-def previous_location(encounters: DataFrame, by: Sequence[str] = ("patient_id",), quirk: bool = False, unit: str = "day") -> DataFrame:
+def previous_location(encounters: DataFrame, by: Sequence[str] = ("patient_id",), quirk: bool = False) -> DataFrame:
     """Previous admission or transfer place of each row.
 
     The default is the row before.  ``quirk`` takes the latest *other* row of the
     key, even when it comes later.
     """
     if not quirk:
-        out = previous_values(encounters, by, "encounter_datetime", ["encounter_id"], ["location_id"], unit=unit)
+        out = previous_values(encounters, by, "encounter_datetime", ["encounter_id"], ["location_id"])
         return out.withColumnRenamed("previous_location_id", "previous_location")
     two = first_rows(
         encounters.select(*by, "encounter_datetime", "encounter_id", "location_id"), by,

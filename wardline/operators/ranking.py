@@ -2,7 +2,7 @@
 
 Every limited pick is either a ``max_by`` style aggregate or a rank filter, which
 Spark turns into a group limit ahead of the shuffle; neither moves a whole key
-into one task.  Full numbering of large keys is ``slices.number_rows``.
+into one task.  Full numbering of large keys is ``sweeps.number_rows``.
 """
 
 from __future__ import annotations

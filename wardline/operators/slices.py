@@ -1,12 +1,8 @@
-"""Ordered operators over keys of any size.
+"""Spans joined with events by calendar slices.
 
-A window over one patient puts all of that patient's rows into one task.  These
-operators cut every key into calendar slices: the window runs per (key, slice),
-and what must cross a slice border travels as one summary row per (key, slice), so
-the second window holds at most one row per calendar slice.  ``unit`` sets the
-width: days suit most facts (a summary never has more rows than its input), hours
-a key with very many rows a day.  Spans are cut by month, because each is repeated
-once per slice it touches.
+A busy key is cut into slices of the calendar, so that it spreads over tasks;
+``unit`` sets their width.  Spans are cut by month, because each is repeated once
+per slice it touches.  Ordered operators deal rows by ranges instead (``sweeps``).
 """
 
 from __future__ import annotations
@@ -14,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SLICE = "_slice"
@@ -37,115 +33,6 @@ def slice_number(at: Column, unit: str) -> Column:
     return F.coalesce(number, F.lit(-(2**31))).cast("long")
 
 
-def _match(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Left join on the columns; sides are read as ``l`` and ``r``.
-
-    Plain equality, so that the left side keeps the partitioning of its window and
-    is not shuffled again.  Both sides often descend from the same table, so
-    columns go by alias.
-    """
-    test = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in columns]
-    return left.alias("l").join(right.alias("r"), reduce(lambda a, b: a & b, test), "left")
-
-
-def number_rows(
-    df: DataFrame, by: Sequence[str], at: str, order: Sequence[str],
-    asc: str = "index_asc", desc: str | None = "index_desc", unit: str = "day",
-) -> DataFrame:
-    """Position of each row within its key from the first and from the last.
-
-    ``at`` is the leading sort column and ``order`` the tie-break; together they
-    must be a total order.  Both positions come from one window and the counts.
-    Rows without a key get no number.
-    """
-    by = list(by)
-    keys = [*by, _SLICE]
-    cut = df.withColumn(_SLICE, slice_number(F.col(at), unit))
-    running = Window.partitionBy(*by).orderBy(_SLICE)
-    counts = (
-        cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_all", F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
-    local = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(at, *order)))
-    joined = _match(local, counts, keys)
-    out = joined.select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        (F.col("_before") + F.col("_at")).alias(asc),
-        *([(F.col("_all") - F.col("_before") - F.col("_at") + 1).alias(desc)] if desc else []),
-    )
-    return out
-
-
-def previous_values(
-    df: DataFrame, by: Sequence[str], at: str, order: Sequence[str], columns: Sequence[str],
-    prefix: str = "previous_", unit: str = "day",
-) -> DataFrame:
-    """Columns of the row before, across slice borders (null on the first row)."""
-    by = list(by)
-    keys = [*by, _SLICE]
-    packed = F.struct(*columns)
-    cut = df.withColumn(_SLICE, slice_number(F.col(at), unit))
-    last = cut.groupBy(*keys).agg(
-        F.max(F.struct(F.struct(at, *order).alias("o"), packed.alias("v"))).alias("_last")
-    )
-    carry = last.select(
-        *keys, F.lag("_last.v").over(Window.partitionBy(*by).orderBy(_SLICE)).alias("_carry")
-    )
-    local = cut.withColumn("_prev", F.lag(packed).over(Window.partitionBy(*keys).orderBy(at, *order)))
-    joined = _match(local, carry, keys)
-    previous = F.coalesce(F.col("_prev"), F.col("_carry"))
-    return joined.select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        *[previous[c].alias(f"{prefix}{c}") for c in columns],
-    )
-
-
-def asof_backward(
-    events: DataFrame, points: DataFrame, by: Sequence[str], at: str, start: str,
-    take: Sequence[str], order: Sequence[str] = (), grain: str = "timestamp",
-    strict: bool = False, unit: str = "day", best: Sequence[str] | None = None,
-) -> DataFrame:
-    """For each event the best point of the same key that starts at or before it.
-
-    The best is the latest start, then the highest ``order``; ``best`` names other
-    columns to rank by.  ``grain='day'`` compares calendar days; ``strict`` wants
-    the point before the event.  Every event is kept; the ``take`` columns are null
-    where no point qualifies.
-    """
-    by = list(by)
-    keys = [*by, _SLICE]
-
-    def when(column: str) -> Column:
-        return F.to_date(column).cast("timestamp_ntz") if grain == "day" else F.col(column)
-
-    rank = F.struct(*(best or [start, *order]))
-    pick = F.struct(rank.alias("o"), F.struct(*take).alias("v"))
-    # A point sorts before an event of the same instant, or after it when strict.
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, start)])
-    right = points.filter(known).select(
-        *by, slice_number(F.col(start), unit).alias(_SLICE), when(start).alias("_at"),
-        F.lit(1 if strict else 0).alias("_side"), pick.alias("_pick"),
-    )
-    top = right.groupBy(*keys).agg(F.max("_pick").alias("_top"))
-    slices = top.unionByName(
-        events.select(*by, slice_number(F.col(at), unit).alias(_SLICE)).distinct(), allowMissingColumns=True
-    ).groupBy(*keys).agg(F.max("_top").alias("_top"))
-    earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = slices.select(*keys, F.max("_top").over(earlier).alias("_carry"))
-    left = events.select(
-        *by, slice_number(F.col(at), unit).alias(_SLICE), when(at).alias("_at"),
-        F.lit(0 if strict else 1).alias("_side"), F.struct(*events.columns).alias("_event"),
-    )
-    both = left.unionByName(right, allowMissingColumns=True)
-    seen = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_here", F.max("_pick").over(seen)).filter(F.col("_event").isNotNull())
-    joined = _match(found, carry, keys)
-    # greatest skips nulls and compares the ranks first.
-    chosen = F.greatest("_here", "_carry")["v"]
-    return joined.select("_event.*", *[chosen[c].alias(c) for c in take])
-
-
 def range_join(
     points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, start: str, stop: str,
     horizon: Column, unit: str = "month", how: str = "inner", grain: str = "timestamp",

@@ -12,8 +12,8 @@ from wardline.functions.dates import moment
 from wardline.operators import dictionary as dc
 from wardline.operators import observations as ob
 from wardline.operators.filters import exclude_flagged_persons, not_voided, year_overlap
-from wardline.operators.ranking import latest_per_key, pivot_ranked
-from wardline.operators.slices import asof_backward
+from wardline.operators.ranking import first_rows, latest_per_key
+from wardline.operators.sweeps import asof_backward, number_rows
 from wardline.plans.clinic import Clinic
 
 
@@ -85,47 +85,86 @@ def _in_years(df: DataFrame, at: str, first: int, last: int) -> DataFrame:
     return df.filter((F.col(at) >= moment(f"{first}-01-01 00:00:00")) & (F.col(at) < moment(f"{last + 1}-01-01 00:00:00")))
 
 
+def _cohort_items(
+    cohort: DataFrame, keyed: DataFrame, diagnoses: DataFrame, dispenses: DataFrame, labs: DataFrame, first_year: int, last_year: int,
+) -> DataFrame:
+    """(visit_id, kind, at, entry, value, result): diagnoses, medicines and tests of the cohort's visits.
+
+    Medicines go to the latest visit that had started by their time, tests by their
+    day.  Both look back in one sweep: the kind is part of the key, and every visit
+    is a point of either kind.
+    """
+    own = diagnoses.join(cohort.select("visit_id"), "visit_id", "left_semi").select(
+        "visit_id", F.lit("diagnosis").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("obs_id").cast("long").alias("entry"),
+        F.col("diagnosis_entered").alias("value"), F.lit(None).cast("string").alias("result"),
+    )
+    given = _in_years(dispenses, "encounter_datetime", first_year, last_year).filter(F.col("drug_name").isNotNull()).select(
+        "patient_id", F.lit("medicine").alias("kind"), F.col("encounter_datetime").alias("at"), F.col("encounter_datetime").alias("_when"),
+        F.col("drug_name").alias("value"), F.lit(None).cast("string").alias("result"),
+    )
+    tested = _in_years(labs, "specimen_collection_date", first_year, last_year).filter(F.col("test").isNotNull()).select(
+        "patient_id", F.lit("test").alias("kind"), F.col("specimen_collection_date").cast("timestamp_ntz").alias("at"),
+        F.to_date("specimen_collection_date").cast("timestamp_ntz").alias("_when"), F.col("test").alias("value"), F.col("result").cast("string").alias("result"),
+    )
+    started = F.col("visit_date_started")
+    kinds = F.array(
+        F.struct(F.lit("medicine").alias("kind"), started.alias("at")),
+        F.struct(F.lit("test").alias("kind"), F.to_date(started).cast("timestamp_ntz").alias("at")),
+    )
+    starts = keyed.select("patient_id", "visit_id", started.alias("_started"), F.explode(kinds).alias("k"))
+    starts = starts.select("patient_id", F.col("k.kind").alias("kind"), F.col("k.at").alias("_from"), "_started", "visit_id")
+    found = asof_backward(
+        given.unionByName(tested).distinct(), starts, ["patient_id", "kind"], "_when", "_from", ["visit_id"], best=["_started", "visit_id"],
+        sample=starts.select("patient_id", "kind", F.col("_from").alias("_at")),
+    )
+    placed = found.filter(F.col("visit_id").isNotNull()).select("visit_id", "kind", "at", F.lit(None).cast("long").alias("entry"), "value", "result")
+    return own.unionByName(placed)
+
+
+def _cohort(visits: DataFrame, patients: DataFrame, first_year: int, last_year: int) -> tuple[DataFrame, DataFrame]:
+    cohort = year_overlap(visits, "visit_date_started", "visit_date_stopped", first_year, last_year)
+    return cohort, cohort.join(patients.select("emr_id", "patient_id"), "emr_id", "left")
+
+
 def visit_cohort(
     visits: DataFrame, patients: DataFrame, diagnoses: DataFrame, dispenses: DataFrame, labs: DataFrame, vitals: DataFrame,
     first_year: int = 2020, last_year: int = 2024, widths: tuple[int, int, int] = (COHORT_DIAGNOSES, COHORT_MEDICINES, COHORT_TESTS),
-    unit: str = "day",
 ) -> DataFrame:
     """One wide row per visit from the curated tables.
 
-    Diagnoses, labs and vitals carry a visit or are placed in the latest visit
-    that had started; medicines go by time, labs by calendar day.
+    Diagnoses and vitals carry a visit; medicines are placed in the latest visit that
+    had started by their time, labs by calendar day.  What ranks past the widths is in
+    ``visit_cohort_rest``.  The vitals must hold every measure of the extract.
     """
-    many_diagnoses, many_medicines, many_tests = widths
-    cohort = year_overlap(visits, "visit_date_started", "visit_date_stopped", first_year, last_year)
-    keyed = cohort.join(patients.select("emr_id", "patient_id"), "emr_id", "left")
+    missing = [c for c in COHORT_VITALS if c not in vitals.columns]
+    if missing:
+        raise ValueError(f"vitals without {', '.join(missing)}")
+    cohort, keyed = _cohort(visits, patients, first_year, last_year)
     details = [c for c in patients.columns if c not in ("emr_id", "patient_id")]
     rows = dc.attach(keyed, "patient_id", patients, "patient_id", {c: c for c in details})
-    starts = keyed.select("patient_id", "visit_id", F.col("visit_date_started").alias("date_started"))
-
-    own = diagnoses.join(cohort.select("visit_id"), "visit_id", "left_semi")
-    by_diagnosis = pivot_ranked(own, ["visit_id"], ["obs_id"], {"diagnosis": "diagnosis_entered"}, many_diagnoses)
-
-    given = _in_years(dispenses, "encounter_datetime", first_year, last_year).filter(F.col("drug_name").isNotNull())
-    given = given.select("patient_id", "encounter_datetime", "drug_name").distinct()
-    placed = asof_backward(given, starts, ["patient_id"], "encounter_datetime", "date_started", ["visit_id"], ["visit_id"], unit=unit)
-    by_medicine = pivot_ranked(
-        placed.filter(F.col("visit_id").isNotNull()), ["visit_id"], ["encounter_datetime", "drug_name"], {"med": "drug_name"}, many_medicines
-    )
-
-    tested = _in_years(labs, "specimen_collection_date", first_year, last_year).filter(F.col("test").isNotNull())
-    tested = tested.select("patient_id", "specimen_collection_date", "test", "result").distinct()
-    located = asof_backward(
-        tested, starts, ["patient_id"], "specimen_collection_date", "date_started", ["visit_id"], ["visit_id"], grain="day", unit=unit
-    )
-    by_test = pivot_ranked(
-        located.filter(F.col("visit_id").isNotNull()), ["visit_id"], ["specimen_collection_date", "test", "result"],
-        {"test": "test", "result": "result"}, many_tests,
-    )
-
-    measures = [c for c in COHORT_VITALS if c in vitals.columns]
+    items = _cohort_items(cohort, keyed, diagnoses, dispenses, labs, first_year, last_year)
+    # One ranking and one aggregate for all three lists.
+    ranked = first_rows(items, ["visit_id", "kind"], ["at", "entry", "value", "result"], max(widths), "_n")
+    lists = (("diagnosis", widths[0], {"diagnosis": "value"}), ("medicine", widths[1], {"med": "value"}), ("test", widths[2], {"test": "value", "result": "result"}))
+    wide = ranked.groupBy("visit_id").agg(*[
+        F.max(F.when((F.col("kind") == kind) & (F.col("_n") == i), F.col(source))).alias(f"{name}_{i}")
+        for kind, width, columns in lists for i in range(1, width + 1) for name, source in columns.items()
+    ])
     latest = latest_per_key(
-        vitals.join(cohort.select("visit_id"), "visit_id", "left_semi"), ["visit_id"], ["encounter_datetime", "encounter_id"], measures
+        vitals.join(cohort.select("visit_id"), "visit_id", "left_semi"), ["visit_id"], ["encounter_datetime", "encounter_id"], list(COHORT_VITALS)
     )
-    for part in (latest, by_diagnosis, by_medicine, by_test):
+    for part in (latest, wide):
         rows = rows.join(part, "visit_id", "left")
     return rows
+
+
+def visit_cohort_rest(
+    visits: DataFrame, patients: DataFrame, diagnoses: DataFrame, dispenses: DataFrame, labs: DataFrame,
+    first_year: int = 2020, last_year: int = 2024, widths: tuple[int, int, int] = (COHORT_DIAGNOSES, COHORT_MEDICINES, COHORT_TESTS),
+) -> DataFrame:
+    """(visit_id, kind, rank, value, result) of what ranks past the widths of ``visit_cohort``, in long form."""
+    cohort, keyed = _cohort(visits, patients, first_year, last_year)
+    items = _cohort_items(cohort, keyed, diagnoses, dispenses, labs, first_year, last_year)
+    ranked = number_rows(items, ["visit_id", "kind"], "at", ["entry", "value", "result"], "rank", None)
+    width = F.when(F.col("kind") == "diagnosis", widths[0]).when(F.col("kind") == "medicine", widths[1]).otherwise(widths[2])
+    return ranked.filter(F.col("rank") > width).select("visit_id", "kind", "rank", "value", "result")

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from wardline.functions import clinical as cl
 from wardline.functions.dates import years_dot_months
@@ -15,8 +16,8 @@ from wardline.operators import observations as ob
 from wardline.operators import programs as pg
 from wardline.operators.filters import exclude_flagged_persons, not_voided
 from wardline.operators.intervals import enrolment_of_encounter, enrolment_window, relationship_join
-from wardline.operators.ranking import earliest_per_key, first_rows, latest_per_key, pivot_ranked
-from wardline.operators.slices import number_rows
+from wardline.operators.ranking import pivot_ranked
+from wardline.operators.sweeps import number_rows
 from wardline.plans import columns
 from wardline.plans.clinic import Clinic
 from wardline.plans.columns import in_order
@@ -91,7 +92,7 @@ def mental_health_encounters(clinic: Clinic, drugs: Mapping[str, int], diagnosis
 def mental_health_enrolments(clinic: Clinic, relation, yes: str = "Oui", no: str = "No", unit: str = "month") -> DataFrame:
     """One row per enrolment with what happened while it lasted.
 
-    Encounters inside each enrolment are found once and serve all measures.
+    Encounters inside each enrolment are found by one range join and serve all measures.
     """
     codes = clinic.codes
     base = not_voided(clinic["patient_program"]).filter(F.col("program_id") == clinic.programs["mental_health"])
@@ -105,45 +106,39 @@ def mental_health_enrolments(clinic: Clinic, relation, yes: str = "Oui", no: str
     facts = clinic.live_obs().filter(F.col("concept_id").isin(list(roles.values()))).select(
         "encounter_id", "obs_id", "concept_id", "value_coded", "value_numeric", "value_datetime"
     )
-    seen = inside.join(ob.with_labels(facts, clinic.labels), "encounter_id")
-    order = ["encounter_datetime", "encounter_id", "obs_id"]
-
-    def of(role: str) -> DataFrame:
-        return seen.filter(F.col("concept_id") == roles[role])
-
-    # The two newest facts per question give diagnosis, seizures and next visit.
-    newest = first_rows(
-        seen.filter(F.col("concept_id") != roles["medication"]), ["patient_program_id", "concept_id"],
-        [F.col(c).desc() for c in order], 2, "_n",
+    named = ob.with_labels(facts, clinic.labels)
+    asked = named.filter(F.col("concept_id") != roles["medication"]).select(
+        "encounter_id", "obs_id", "concept_id", "label", "value_numeric", "value_datetime"
     )
-
-    def pick(role: str, n: int, column: str):
-        return F.max(F.when((F.col("concept_id") == roles[role]) & (F.col("_n") == n), F.col(column)))
-
-    recent = newest.groupBy("patient_program_id").agg(
-        pick("mental_health_diagnosis", 1, "label").alias("latest_diagnosis"),
-        pick("seizures", 1, "value_numeric").alias("latest_seizure_number"),
-        F.to_date(pick("seizures", 1, "encounter_datetime")).alias("latest_seizure_date"),
-        pick("seizures", 2, "value_numeric").alias("previous_seizure_number"),
-        F.to_date(pick("seizures", 2, "encounter_datetime")).alias("previous_seizure_date"),
-        pick("return_visit_date", 1, "value_datetime").alias("next_scheduled_visit_date"),
-        F.bool_or(F.when(F.col("concept_id") == roles["return_visit_date"], True)).alias("_planned"),
-    )
-    oldest = earliest_per_key(of("seizures"), ["patient_program_id"], order, ["value_numeric", "encounter_datetime"]).select(
-        "patient_program_id", F.col("value_numeric").alias("baseline_seizure_number"),
-        F.to_date("encounter_datetime").alias("baseline_seizure_date"),
+    # What an encounter gives is one list, whichever enrolments hold it.
+    given = named.filter(F.col("concept_id") == roles["medication"]).groupBy("encounter_id", "concept_id").agg(
+        ob.joined_labels(F.collect_set("label"), ",").alias("label")
     )
-    given = of("medication").groupBy("patient_program_id", "encounter_id", "encounter_datetime").agg(
-        ob.joined_labels(F.collect_set("label"), ",").alias("medications")
+    seen = inside.join(asked.unionByName(given, allowMissingColumns=True), "encounter_id", "left")
+    fact = F.struct("encounter_datetime", "encounter_id", "obs_id", "label", "value_numeric", "value_datetime")
+
+    def of(role: str):
+        return F.when(F.col("concept_id") == roles[role], fact)
+
+    # One aggregate for all measures: its state per enrolment is a few facts.
+    measures = seen.groupBy("patient_program_id").agg(
+        F.max(of("mental_health_diagnosis"))["label"].alias("latest_diagnosis"),
+        F.sort_array(InternalFunction.collect_top_k(of("seizures"), 2, False), asc=False).alias("_seizures"),
+        F.min(of("seizures")).alias("_first"),
+        F.max(of("return_visit_date"))["value_datetime"].alias("next_scheduled_visit_date"),
+        F.bool_or(F.when(F.col("concept_id") == roles["return_visit_date"], True)).alias("_planned"),
+        F.max(of("medication")).alias("_given"),
+        F.max("encounter_datetime").alias("last_visit_date"),
     )
-    medication = latest_per_key(given, ["patient_program_id"], order[:2], ["medications", "encounter_datetime"]).select(
-        "patient_program_id", F.col("medications").alias("latest_medication_given"),
-        F.to_date("encounter_datetime").alias("latest_medication_date"),
+    newest, second = F.get("_seizures", F.lit(0)), F.get("_seizures", F.lit(1))
+    measures = measures.select(
+        "patient_program_id", "latest_diagnosis", "next_scheduled_visit_date", "_planned", "last_visit_date",
+        newest["value_numeric"].alias("latest_seizure_number"), F.to_date(newest["encounter_datetime"]).alias("latest_seizure_date"),
+        second["value_numeric"].alias("previous_seizure_number"), F.to_date(second["encounter_datetime"]).alias("previous_seizure_date"),
+        F.col("_first.value_numeric").alias("baseline_seizure_number"), F.to_date("_first.encounter_datetime").alias("baseline_seizure_date"),
+        F.col("_given.label").alias("latest_medication_given"), F.to_date("_given.encounter_datetime").alias("latest_medication_date"),
     )
-    visits = inside.groupBy("patient_program_id").agg(F.max("encounter_datetime").alias("last_visit_date"))
-    rows = base
-    for part in (recent, oldest, medication, visits):
-        rows = rows.join(part, "patient_program_id", "left")
+    rows = base.join(measures, "patient_program_id", "left")
     born = not_voided(clinic["person"])
     rows = dc.attach(rows, "patient_id", born, "person_id", {"_born": "birthdate"})
     rows = clinic.with_person(rows, {"gender": "gender"})
@@ -259,12 +254,12 @@ def _reworded(column: str, names: Mapping[str, str]):
 
 
 def chronic_encounters(
-    clinic: Clinic, sections: Mapping[str, Mapping], start=None, end=None, unit: str = "day", ordered: bool = False,
+    clinic: Clinic, sections: Mapping[str, Mapping], start=None, end=None, ordered: bool = False,
 ) -> DataFrame:
     """One row per chronic-disease encounter.
 
     ``sections`` maps section columns to the questions and answers that populate
-    them.  ``ordered`` sorts the output by patient and time; the sort samples its
+    them; the column of a section that is not given is null.  ``ordered`` sorts the output by patient and time; the sort samples its
     input, so the widest stage runs twice, and only a file for reading needs it.
     """
     codes, labels = clinic.codes, clinic.labels
@@ -307,7 +302,7 @@ def chronic_encounters(
         clinic["orders"].join(anchors.select("encounter_id"), "encounter_id", "left_semi"),
         {"lab_order_hba1c": codes["hba1c"]}, clinic.types["test_order"][0], labels,
     ).withColumnRenamed("tests_ordered", "lab_tests_ordered")
-    index = number_rows(anchors.select("patient_id", "encounter_id", "encounter_datetime"), ["patient_id"], "encounter_datetime", ["encounter_id"], unit=unit)
+    index = number_rows(anchors.select("patient_id", "encounter_id", "encounter_datetime"), ["patient_id"], "encounter_datetime", ["encounter_id"])
     # Narrow lookups first: every join copies the columns gathered so far.
     rows = anchors.join(index.select("encounter_id", "index_asc", "index_desc"), "encounter_id")
     enrolments = not_voided(clinic["patient_program"]).filter(F.col("program_id") == clinic.programs["chronic"]).select(
@@ -353,6 +348,7 @@ def chronic_encounters(
         F.concat("echo_options", F.lit("| "), "echo_comment").alias("echocardiogram_findings"), F.col("echo_date").alias("echocardiogram_date"),
         F.col("ace_use").alias("on_ace_inhibitor"), F.col("limitation_activity").alias("activity_limitation_asthma"),
         control.alias("asthma_control_gina"), "lab_order_hba1c", "lab_tests_ordered", "index_asc", "index_desc",
+        *[F.lit(None).cast("boolean").alias(c) for c in columns.CHRONIC_ENCOUNTERS if c.endswith("_section_populated") and c not in sections],
     )
     out = clinic.keyed(out, "patient_id", "encounter_id", "visit_id", "ncd_program_id")
     if ordered:

@@ -77,7 +77,7 @@ def ward_census(clinic: Clinic) -> DataFrame:
     )
 
 
-def ward_activity(clinic: Clinic, shift: Shift, quirk: bool = False, unit: str = "day") -> DataFrame:
+def ward_activity(clinic: Clinic, shift: Shift, quirk: bool = False) -> DataFrame:
     """Admissions, transfers in and out, and discharges per ward in a shift.
 
     A transfer in counts as a transfer out of the patient's previous place in the
@@ -94,7 +94,7 @@ def ward_activity(clinic: Clinic, shift: Shift, quirk: bool = False, unit: str =
         transfers.select("patient_id", "visit_id").distinct(), ["patient_id", "visit_id"], "left_semi"
     )
     by = ["patient_id"] if quirk else ["patient_id", "visit_id"]
-    placed = previous_location(history, by, quirk=quirk, unit=unit)
+    placed = previous_location(history, by, quirk=quirk)
     outs = placed.filter(kind.isin(list(clinic.types["transfer"])) & shift.covers(F.col("encounter_datetime"))).filter(
         F.col("previous_location").isNotNull()
     )
@@ -197,7 +197,7 @@ def death_list(clinic: Clinic, shift: Shift) -> DataFrame:
     ).orderBy("death_date").drop("death_date")
 
 
-def shift_handoff(clinic: Clinic, day, shift: str, quirk: bool = False, unit: str = "day") -> dict[str, DataFrame]:
+def shift_handoff(clinic: Clinic, day, shift: str, quirk: bool = False) -> dict[str, DataFrame]:
     """The data sets of one handoff; nothing runs until one is read.
 
     Deaths use a half-open shift, deliveries and activity a closed one.
@@ -206,7 +206,7 @@ def shift_handoff(clinic: Clinic, day, shift: str, quirk: bool = False, unit: st
     return {
         "Current_Census": ward_census(clinic),
         "Deliveries": delivery_summary(clinic, closed),
-        "Ward_Activity": ward_activity(clinic, closed, quirk, unit),
+        "Ward_Activity": ward_activity(clinic, closed, quirk),
         "Deaths": death_list(clinic, shift_window(day, shift)),
     }
 

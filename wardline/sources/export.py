@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from wardline.functions.text import printable
 # The report file format.
 DATE_FORMAT = "dd-MMM-yyyy HH:mm:ss"
 CHARSET = "ISO-8859-1"
+FORMAT = {"header": True, "encoding": CHARSET, "escape": '"', "quote": '"'}
 
 
 def export_columns(df: DataFrame) -> dict[str, Column]:
@@ -38,13 +39,25 @@ def export_csv(df: DataFrame, folder: str, base: str, as_of: datetime, compress:
     """Write the report as CSV part files and return their folder."""
     target = f"{folder.rstrip('/')}/{export_name(base, as_of)}"
     writer = df.select(*[c.alias(n) for n, c in export_columns(df).items()]).write.mode("overwrite")
-    writer = writer.option("header", True).option("encoding", CHARSET).option("escape", '"').option("quote", '"')
+    writer = writer.options(**FORMAT, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if compress:
         writer = writer.option("compression", "gzip")
     writer.csv(target)
     return target
 
 
+def read_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of a written report, line ends inside quotes included."""
+    return spark.read.schema(schema).options(**FORMAT, multiLine=True).csv(folder)
+
+
+def manifest(report: DataFrame) -> DataFrame:
+    """What each part of a report holds: its name, character set, quote and number of rows."""
+    return report.groupBy(F.col("_metadata.file_name").alias("part")).agg(F.count(F.lit(1)).alias("n_rows")).withColumns(
+        {"charset": F.lit(CHARSET), "quote": F.lit(FORMAT["quote"])}
+    )
+
+
 def export_bundle(sets: Mapping[str, DataFrame], folder: str, base: str, as_of: datetime, compress: bool = True) -> dict[str, str]:
     """Write every data set of a report and return their folders."""
     return {name: export_csv(df, folder, f"{base}.{name}", as_of, compress) for name, df in sets.items()}
