@@ -202,3 +202,20 @@ def test_equal_windows_choose_alike():
                 if (words[at: at + 13] == core).all():
                     places.add(int(place[at]) - at)
         assert len(places) == 1
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    """Texts that share an id are documents each, whatever their hashes' low bits say."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    seen, pair = {}, None
+    texts = [f"{passage} end {i}" if i % 2 else f"short {i}" for i in range(3000)]
+    for row in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) & 65535 AS h").collect():
+        other = seen.setdefault(row["h"], row["t"])
+        if (other.startswith("short")) != (row["t"].startswith("short")):
+            pair = (other, row["t"])
+            break
+    assert pair
+    docs = spark.createDataFrame([(1, passage), (2, pair[0]), (2, pair[1]), (3, f"x {passage} y")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in sd.remove_repeats(docs).collect())
+    long, short = sorted(pair, key=len, reverse=True)
+    assert got == sorted([(1, 40, 0, passage), (2, 42, 40, " ".join(long.split()[40:])), (2, 2, 0, short), (3, 42, 40, "x y")])

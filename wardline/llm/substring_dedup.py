@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import pieces, written
@@ -24,7 +24,7 @@ WINDOW = 13
 ROUNDS = 2
 # Words that a phrase takes from a symbol on, and so the starts a window can choose from.
 PHRASE = 5
-HELD_BYTES = 4 << 20
+HELD_BYTES = 1 << 20
 # Text bytes for which one bucket is planned.
 BUCKET_BYTES = 4 << 20
 _FAR = 1 << 40
@@ -170,13 +170,13 @@ def _lowest(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, group, ids[order][new][group] if len(order) else ids
 
 
-# A segment's rows as they travel: key, 48 bits of content, id, hash of the text (it
-# tells rows of one id apart), first start, windows, and whether a smaller id is known
-# to hold all of it.
-_SEGMENT = [np.uint64, np.uint32, np.uint16, np.int64, np.uint16, np.int32, np.uint8, np.uint8]
+# A segment's rows as they travel: key, 48 bits of content, id, hash of the text where
+# several texts share the id (else 0), first start, windows, and whether a smaller id is
+# known to hold all of it.
+_SEGMENT = [np.uint64, np.uint32, np.uint16, np.int64, np.int64, np.int32, np.uint8, np.uint8]
 # What comes back to a document: id, hash of the text, first start, windows, open.
-_FOUND = [np.int64, np.uint16, np.int32, np.uint8, np.uint8]
-_WINDOW = [np.uint64, np.uint64, np.int64, np.uint16, np.int32]
+_FOUND = [np.int64, np.int64, np.int32, np.uint8, np.uint8]
+_WINDOW = [np.uint64, np.uint64, np.int64, np.int64, np.int32]
 
 
 def _batch(found: tuple[list[int], list[bytes]]) -> dict:
@@ -193,13 +193,16 @@ def _emit(buckets: int):
             key, content, text, first, many = segments(words.hashes, words.counts)
             content >>= np.uint64(16)
             ids = batch.column(0).to_numpy()[text]
-            hashes = batch.column(1).to_numpy()[text].astype(np.uint16)
+            hashes = batch.column(1).to_numpy()[text]
             # Of the texts of one piece only those with the lowest id speak for a content.
             order, _, lowest = _lowest([key, content], ids)
             known = np.zeros(len(ids), dtype=np.uint8)
             known[order] = ids[order] > lowest
+            del words, order, lowest
+            # Settled rows don't meet others of their phrase, so they are dealt by document.
+            bucket = np.where(known == 1, ids % buckets, (key % np.uint64(buckets)).astype(np.int64))
             rows = [key, content.astype(np.uint32), (content >> np.uint64(32)).astype(np.uint16), ids, hashes, first.astype(np.int32), many.astype(np.uint8), known]
-            yield pa.RecordBatch.from_pydict(_batch(_by_bucket((key % np.uint64(buckets)).astype(np.int64), rows, press)))
+            yield pa.RecordBatch.from_pydict(_batch(_by_bucket(bucket, rows, press)))
 
     return emit
 
@@ -250,7 +253,7 @@ def _open_windows(buckets: int):
             starts = np.repeat(first[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
             words = words_of(pa.array([text])).hashes
             for part, column in zip(out, (
-                windows(words, WINDOW, 1)[starts], windows(words, WINDOW, 2)[starts], np.full(len(starts), doc), np.full(len(starts), text_hash, np.uint16), starts.astype(np.int32),
+                windows(words, WINDOW, 1)[starts], windows(words, WINDOW, 2)[starts], np.full(len(starts), doc), np.full(len(starts), text_hash, np.int64), starts.astype(np.int32),
             ), strict=True):
                 part.append(column)
         rows = [np.concatenate(p) for p in out]
@@ -333,8 +336,9 @@ def remove_repeats(
     3. Open segments meet once more window by window, under 128-bit names.
     4. Documents meet what was found in them by id, and the covered words go.
 
-    A piece of text sends each content once, so a passage that a third of all documents
-    hold reaches a bucket once per piece.  Buckets follow the size of the text.
+    A piece of text sends each content to its phrase once, so a passage that a third of all
+    documents hold reaches a bucket once per piece; its other holders in the piece are
+    settled there and go to their documents' buckets.  Buckets follow the size of the text.
 
     Returns id, n_words, n_removed, text for every row, and the columns named in
     ``carry`` as they were: the kept words joined by one space, or with ``spacing`` the
@@ -345,8 +349,18 @@ def remove_repeats(
     named are read; the id is an integer.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("hash"), text.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.octet_length(text).alias("size"))
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    # Ids of several texts, written so that their number decides how they meet the texts.
+    shared = keys.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter(F.col("low") < F.col("high"))
+    shared = written(shared.select("id", F.lit(True).alias("shared")), "shared")
+
+    def told_apart(*more: Column) -> DataFrame:
+        named = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *more)
+        own = F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("hash")
+        return named.join(shared, "id", "left").select("id", own, *[c for c in named.columns if c != "id"])
+
+    rows = told_apart()
     buckets = _prime(2 + total // BUCKET_BYTES)
     packed = "bucket long, rows binary"
     found = written(
@@ -355,10 +369,7 @@ def remove_repeats(
     )
     # The same columns for both uses, so that one shuffle of the texts serves them.
     carried = [f"_{i}" for i in range(len(carry))]
-    placed = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("hash"), text.alias("text"),
-        *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)),
-    ).withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets)), F.lit(0).cast("long")))
+    placed = told_apart(*(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True))).withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets)), F.lit(0).cast("long")))
     schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name in carried)
     some = placed.groupBy("bucket")
     more = some.cogroup(found.groupBy("bucket")).applyInArrow(_open_windows(buckets), packed).groupBy("bucket").applyInArrow(_compare_windows(buckets), packed)
