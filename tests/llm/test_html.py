@@ -94,3 +94,36 @@ def test_edge_rows(spark, model):
     assert got == sorted([(1, None, "", 0), (2, "u", "", 0), (2, "u", "", 0), (None, "v", "word", 4)], key=str)
     assert hx.extract_text(df.limit(0), model).count() == 0
     assert hx.train(df.limit(0)) == hx.PLAIN
+
+
+def test_scripts_with_signs_and_quotes(model):
+    """What a script holds is never read as a tag, and the blocks after it stay whole."""
+    for body in ("var a = 1<b; // don't", "for (i=0;i<n;i++) s='it\\'s'", "if (a<b && c>d) { x = \"<p>'\"; }", "<!-- x"):
+        html = f"<html><body><article><p>{LONG}</p><script>{body}</script><p class=\"x\">Main text, it's here.</p><p>it's more.</p></article></body></html>"
+        assert hx.main_text(html, model).split("\n") == [LONG, "Main text, it's here.", "it's more."]
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    n = 60_000
+    for html in ("<b>" * n + "</i>" * n, "<div>x " * n, "<p>x<ul><b>" + "<i>" * n + "<li>y" * n, "<span>" * n + "<hr>x" * n):
+        started = time.process_time()
+        page = hx.parse(html)
+        hx.containers(page)
+        assert time.process_time() - started < 6
+
+
+def test_container_sums_match_walks():
+    rng = random.Random(4)
+    for _ in range(60):
+        html = "".join(rng.choice(["<div>", "</div>", "<p>", "<nav>", "</nav>", "<b>", "</b>", "<article>", "</article>", "word ", "two words ", "<li>"]) for _ in range(60))
+        page = hx.parse(html)
+        hx.containers(page)
+        sums = [0] * len(page.elements)
+        for block in page.blocks:
+            e = block.element
+            while e >= 0:
+                sums[e] += len(block.text.split())
+                e = page.elements[e].parent
+        assert [e.words for e in page.elements] == sums

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -107,6 +107,9 @@ def parse(html: str) -> Page:
     elements, stack = page.elements, [0]
     text: list[str] = []
     linked = links = at = 0
+    open_tags: Counter[str] = Counter()
+    # For each element the innermost around it, itself included, that breaks lines.
+    breaking = [0]
 
     def flush() -> None:
         nonlocal linked
@@ -114,8 +117,7 @@ def parse(html: str) -> Page:
             joined = " ".join("".join(text).split())
             if joined:
                 # The block's element: the innermost that breaks lines.
-                inner = next(e for e in reversed(stack) if e == 0 or elements[e].tag in BLOCKS)
-                page.blocks.append(Block(joined, inner, min(linked, len(joined))))
+                page.blocks.append(Block(joined, breaking[stack[-1]], min(linked, len(joined))))
             text.clear()
         linked = 0
 
@@ -130,9 +132,12 @@ def parse(html: str) -> Page:
         nonlocal links
         for e in stack[index:]:
             links -= elements[e].tag == "a"
+            open_tags[elements[e].tag] -= 1
         del stack[index:]
 
     def last(names, stop=frozenset()) -> int | None:
+        if not any(open_tags[n] for n in names):
+            return None
         for i in range(len(stack) - 1, 0, -1):
             if elements[stack[i]].tag in names:
                 return i
@@ -140,9 +145,8 @@ def parse(html: str) -> Page:
                 return None
         return None
 
-    for match in _TAG.finditer(html):
-        if match.start() < at:
-            continue
+    # Searched anew after each tag: what a skipped element holds is never scanned.
+    while (match := _TAG.search(html, at)) is not None:
         if match.start() > at:
             say(html[at: match.start()])
         at = match.end()
@@ -178,7 +182,9 @@ def parse(html: str) -> Page:
         if tag == "header":
             boiler |= last(CONTENT) is None
         elements.append(Element(stack[-1], tag, len(stack), content, boiler))
+        breaking.append(len(elements) - 1 if tag in BLOCKS else breaking[stack[-1]])
         stack.append(len(elements) - 1)
+        open_tags[tag] += 1
         links += tag == "a"
     if at < len(html):
         say(html[at:])
@@ -194,17 +200,20 @@ def containers(page: Page) -> list[int]:
     """
     elements = page.elements
     for block in page.blocks:
-        e, n = block.element, block.text.count(" ") + 1
-        while e >= 0:
-            elements[e].words += n
-            e = elements[e].parent
+        elements[block.element].words += block.text.count(" ") + 1
+    # Elements stand in page order, so the parts of each come before its end.
+    ends = list(range(len(elements)))
+    for i in range(len(elements) - 1, 0, -1):
+        parent = elements[i].parent
+        elements[parent].words += elements[i].words
+        ends[parent] = max(ends[parent], ends[i])
     articles = [i for i, e in enumerate(elements) if e.content and e.words]
     boiler = [e.boiler for e in elements]
     total = elements[0].words
     for i, e in enumerate(elements):
         if boiler[i] and e.tag not in BOILER:
             if articles:
-                whole = all(_within(elements, a, i) for a in articles)
+                whole = i <= articles[0] and articles[-1] <= ends[i]
             else:
                 whole = e.words > 0.6 * total
             boiler[i] = not whole
@@ -215,12 +224,6 @@ def containers(page: Page) -> list[int]:
     return [kinds[b.element] for b in page.blocks]
 
 
-def _within(elements: list[Element], inner: int, outer: int) -> bool:
-    while inner > outer:
-        inner = elements[inner].parent
-    return inner == outer
-
-
 def describe(page: Page) -> list[tuple[float, ...]]:
     """The features of each block."""
     out = []
