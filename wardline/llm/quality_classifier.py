@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,24 +22,31 @@ LEVEL = 3
 SLICE = 2000
 # Bytes that are packed at a time: all of a text meets the dictionaries, not its own start.
 PIECE = 2048
-# The curve is flat beyond these differences, so that a few odd texts don't flatten all of it.
-LOWEST, HIGHEST = -0.02, 0.04
 # Added to a text's length when sizes are compared, so that a few words decide little.
 PRIOR_BYTES = 100
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the logistic curve over the normalised difference."""
+    """Two dictionaries and the logistic curve over the normalised difference.
+
+    The curve runs over the difference's distance from the middle between the labels'
+    medians, on a scale that is linear there and logarithmic far away: odd texts
+    don't flatten the curve, and a larger difference always has a larger score.
+    """
 
     good: bytes
     bad: bytes
     slope: float
     base: float
+    middle: float = 0.0
+    spread: float = 1.0
+
+    def evidence(self, difference: float) -> float:
+        return math.asinh((difference - self.middle) / self.spread)
 
     def probability(self, difference: float) -> float:
-        inside = max(LOWEST, min(HIGHEST, difference))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * inside + self.base))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.evidence(difference) + self.base))))
 
     def differ(self):
         """A function from bytes to the normalised difference of compressed sizes, summed over pieces."""
@@ -120,8 +127,12 @@ def fit(texts: list[tuple[str, int]], share_good: float, longer: Callable[[Model
     measured = [(differ(text.encode()), label) for label in (0, 1) for text in rest[label]] + longer(model)
     x, y = (np.array(column) for column in zip(*measured, strict=True))
     weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
-    slope, base = logistic(np.clip(x, LOWEST, HIGHEST), y, weight)
-    return Model(model.good, model.bad, slope, base)
+    low, high = (float(np.median(x[y == label])) for label in (0, 1))
+    middle, spread = (low + high) / 2, abs(high - low) / 4 or float(np.std(x)) or 1.0
+    placed = replace(model, middle=middle, spread=spread)
+    slope, base = logistic(np.array([placed.evidence(d) for d in x]), y, weight)
+    # A better fit to the good dictionary never lowers a score.
+    return replace(placed, slope=max(slope, 0.0), base=base)
 
 
 def _scorer(model: Model):
