@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from wardline.llm.common import pieces, written
 from wardline.llm.csr import Csr, intervals, members, spread
 
 CHUNK_BYTES = 1_000_000
-KEPT_ATOMS = 120_000
+KEPT_ATOMS = 250_000
 # A space that stands alone between two other characters: tokens of neither kind go across its left edge.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE_SIGN = "▁"
@@ -79,8 +81,8 @@ def align(a_ids: list[list[int]], b_ids: list[list[int]], a_size: np.ndarray, b_
     tokens share.  Groups end where tokens of both kinds end, so links never leave a
     group; the product of the group incidences links all tokens of a group.
     """
-    a = np.fromiter((i for x in a_ids for i in x), dtype=np.int64)
-    b = np.fromiter((i for x in b_ids for i in x), dtype=np.int64)
+    a = np.fromiter(chain.from_iterable(a_ids), dtype=np.int64)
+    b = np.fromiter(chain.from_iterable(b_ids), dtype=np.int64)
     a_end, b_end = np.cumsum(a_size[a]), np.cumsum(b_size[b])
     total = int(a_end[-1]) if len(a_end) else 0
     assert total == (int(b_end[-1]) if len(b_end) else 0)
@@ -92,14 +94,16 @@ def align(a_ids: list[list[int]], b_ids: list[list[int]], a_size: np.ndarray, b_
     return Aligned(a, b, *starts, a_group, b_group, links, shared)
 
 
-def _group_text(aligned: Aligned, text: int) -> str:
-    """``a1,a2|b1;a3|b2,b3`` of one text."""
-    sides: dict[int, tuple[list[str], list[str]]] = {}
-    for side, (ids, groups, starts) in enumerate(((aligned.a, aligned.a_group, aligned.a_starts), (aligned.b, aligned.b_group, aligned.b_starts))):
-        span = slice(starts[text], starts[text + 1])
-        for i, g in zip(ids[span].tolist(), groups[span].tolist(), strict=True):
-            sides.setdefault(g, ([], []))[side].append(str(i))
-    return ";".join(f"{','.join(x)}|{','.join(y)}" for x, y in sides.values())
+def _group_texts(aligned: Aligned) -> tuple[list[str], list[int]]:
+    """``a1,a2|b1`` of every group, and the first group of each text, and the end."""
+    n = int(aligned.a_group[-1]) + 1 if len(aligned.a_group) else 0
+    sides = []
+    for ids, groups in ((aligned.a, aligned.a_group), (aligned.b, aligned.b_group)):
+        names = list(map(str, ids.tolist()))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(groups, minlength=n))]).tolist()
+        sides.append([names[x] if y - x == 1 else ",".join(names[x:y]) for x, y in zip(cuts, cuts[1:])])
+    first = np.append(aligned.a_group, n)[aligned.a_starts].tolist()
+    return [f"{x}|{y}" for x, y in zip(*sides, strict=True)], first
 
 
 class Aligner:
@@ -125,18 +129,22 @@ class Aligner:
     def numbers(self, atoms: list[str]) -> list[int]:
         """The number of each atom, -1 where the two vocabularies don't give its bytes back."""
         missing = [x for x in dict.fromkeys(atoms) if x not in self.known]
+        # Many small lists live for a moment here; none of them are cycles.
+        gc.disable()
         for start in range(0, len(missing), 20_000):
             self._add(missing[start: start + 20_000])
+        gc.enable()
         return list(map(self.known.__getitem__, atoms))
 
     def _add(self, atoms: list[str]) -> None:
         spaced = [" " + x for x in atoms]
         a_ids = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
         b_ids = self.b.encode(atoms, out_type=int, num_threads=1)
+        a_raw, b_raw = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         good = []
         for i, text in enumerate(spaced):
             raw = text.encode()
-            if b"".join([self.a_bytes[t] for t in a_ids[i]]) == raw == b"".join([self.b_bytes[t] for t in b_ids[i]]):
+            if b"".join(map(a_raw, a_ids[i])) == raw == b"".join(map(b_raw, b_ids[i])):
                 good.append(i)
             else:
                 self.known[atoms[i]] = -1
@@ -145,15 +153,14 @@ class Aligner:
         found = align([a_ids[i] for i in good], [b_ids[i] for i in good], self.a_size, self.b_size)
         pair = (found.a[found.links.rows()] << ID_BITS) | found.b[found.links.indices]
         cuts = found.links.indptr[found.a_starts]
-        shared = np.diff(found.shared.indptr[found.a_starts])
-        groups = found.a_group
-        for k, i in enumerate(good):
-            low, high = found.a_starts[k], found.a_starts[k + 1]
-            self.known[atoms[i]] = len(self.texts)
-            self.texts.append(_group_text(found, k))
-            self.pairs.append(pair[cuts[k]: cuts[k + 1]])
-            n_groups = int(groups[high - 1] - groups[low]) + 1
-            self.figures.append((len(a_ids[i]), len(b_ids[i]), n_groups, int(cuts[k + 1] - cuts[k]), int(shared[k])))
+        groups, first = _group_texts(found)
+        figures = [np.diff(found.a_starts), np.diff(found.b_starts), np.diff(first), np.diff(cuts), np.diff(found.shared.indptr[found.a_starts])]
+        self.figures += zip(*(f.tolist() for f in figures), strict=True)
+        self.texts += [";".join(groups[x:y]) for x, y in zip(first, first[1:])]
+        bounds = cuts.tolist()
+        self.pairs += [pair[x:y] for x, y in zip(bounds, bounds[1:])]
+        at = len(self.texts) - len(good)
+        self.known.update(zip([atoms[i] for i in good], range(at, at + len(good)), strict=True))
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
@@ -197,7 +204,8 @@ def _chunks(a_path: str, b_path: str, id_type: pa.DataType):
             columns = [texts.apply(figures[:, k]) if len(kinds) else np.zeros(len(counts), dtype=np.int64) for k in range(len(FIGURES))]
 
             def one(values, kind):
-                return pa.array([values], pa.list_(kind))
+                flat = pa.array(values, kind)
+                return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
             yield pa.RecordBatch.from_arrays(
                 [
