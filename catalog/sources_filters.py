@@ -13,6 +13,7 @@ from wardline.functions.dates import moment
 from wardline.functions.text import site_key
 from wardline.operators import filters as fl
 from wardline.session import scratch_dir
+from wardline.sources import months as mt
 from wardline.sources.entities import load_entities, materialize_table
 from wardline.sources.export import export_csv, read_report
 from wardline.sources.parameters import bind_parameters
@@ -107,6 +108,34 @@ def _(t):
     return materialize_table(rows, fresh_folder(t.spark, "cohort"), "1")
 
 
+@query("month_indexes", """
+WITH held AS (SELECT p.*, e.visit_id, coalesce(strftime(e.encounter_datetime, '%Y-%m'), strftime(p.obs_datetime, '%Y-%m'), 'undated') AS enc_month
+  FROM probs p LEFT JOIN encounter e ON p.encounter_id = e.encounter_id),
+visits AS (SELECT DISTINCT visit_id, strftime(encounter_datetime, '%Y-%m') AS month FROM encounter WHERE encounter_datetime IS NOT NULL),
+kept AS (SELECT DISTINCT visit_id, enc_month FROM held),
+times AS (SELECT concept_id, 'obs_datetime' AS kind, strftime(obs_datetime, '%Y-%m') AS at_month, enc_month FROM held
+  UNION SELECT concept_id, 'value_datetime', strftime(value_datetime, '%Y-%m'), enc_month FROM held),
+members AS (SELECT DISTINCT obs_group_id, enc_month FROM held WHERE obs_group_id IS NOT NULL)
+SELECT 'visit' AS found_by, CAST(v.visit_id AS VARCHAR) AS key, v.month AS near, k.enc_month FROM visits v JOIN kept k ON v.visit_id = k.visit_id
+UNION ALL SELECT DISTINCT 'person', CAST(person_id AS VARCHAR), NULL, enc_month FROM held WHERE person_id IS NOT NULL
+UNION ALL SELECT kind, CAST(concept_id AS VARCHAR), at_month, enc_month FROM times WHERE at_month IS NOT NULL
+UNION ALL SELECT DISTINCT 'group', NULL, a.enc_month, b.enc_month FROM members a JOIN members b ON a.obs_group_id = b.obs_group_id AND a.enc_month <> b.enc_month
+""")
+def _(t):
+    obs = mt.by_encounter_month(t.probs, t.encounter)
+
+    def shown(df, found_by, key, near, month="enc_month"):
+        return df.select(found_by.alias("found_by"), key.cast("string").alias("key"), near.alias("near"), F.col(month).alias("enc_month"))
+
+    none = F.lit(None).cast("string")
+    return (
+        shown(mt.months_by_visit(obs, t.encounter), F.lit("visit"), F.col("visit_id"), F.col("month"))
+        .unionByName(shown(mt.months_by_person(obs), F.lit("person"), F.col("person_id"), none))
+        .unionByName(shown(mt.months_by_time(obs), F.col("kind"), F.col("concept_id"), F.col("at_month")))
+        .unionByName(shown(mt.months_by_group(obs), F.lit("group"), none, F.col("enc_month"), "other_month"))
+    )
+
+
 @query("prefix_site_keys", """
 SELECT '12-' || CAST(encounter_id AS VARCHAR) AS numeric_site, CAST(encounter_id AS VARCHAR) AS text_site,
        CAST(patient_id AS VARCHAR) AS no_site FROM encounter

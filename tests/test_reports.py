@@ -311,6 +311,83 @@ def test_dated_reports_open_their_months_only(spark, tmp_path):
         assert sum(bounded) > len(facts_read)
 
 
+def _folders(df, path) -> set[str]:
+    """The months whose folders the plan opens for observations, wherever it filters by them."""
+    found = set()
+    for line in plan(df).split("\n"):
+        if "FileScan" in line and f"{path}/obs" in line and "concept_id" in line:
+            filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", line)[1]
+            found |= set(re.findall(r"\d{4}-\d\d", filters)) or {"all"}
+    return found
+
+
+def test_reports_by_visit_time_and_person_open_named_months_only(spark, tmp_path):
+    """Lists that look by visit, own time, group or person find the folders in side tables and lose nothing."""
+    from dataclasses import replace
+
+    from catalog.reports import ward_clinic
+    from wardline.sources.months import load_indexes
+
+    tables = Tables(spark, SMALL)
+    ward, general = ward_clinic(tables), clinic(tables, True)
+    shift = shift_window("2024-01-21", "morning", True)
+
+    def kept(c, path):
+        facts = {n: c[n] for n in ("encounter", "obs")}
+        store_entities(facts, path)
+        read = {n: spark.read.parquet(f"{path}/{n}") for n in facts}
+        return replace(c, tables={**c.tables, **read, **load_indexes(spark, path)})
+
+    ward_path, path = f"{tmp_path}/ward", f"{tmp_path}/general"
+    ward_kept, kept_ = kept(ward, ward_path), kept(general, path)
+    day = general.encounters("dispensing").agg(F.min("encounter_datetime")).first()[0].date()
+    from catalog import reports as rp
+
+    cases = [
+        (ward, ward_kept, ward_path, lambda c: maternity.discharge_list(c, "2024-01-15", 3)),
+        (ward, ward_kept, ward_path, lambda c: wards.delivery_summary(c, shift)),
+        (ward, ward_kept, ward_path, lambda c: wards.death_list(c, shift)),
+        (general, kept_, path, lambda c: rp.patients.diagnosis_export(c, rp._DX_SETS, "NAMES", day, day)),
+    ]
+    everywhere = {p.name.split("=")[1] for p in Path(path).glob("obs/enc_month=*")}
+    for before, after, where, make in cases:
+        one, two = make(before), make(after)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+        assert "all" not in _folders(two, where)
+    assert len(_folders(two, path)) <= 4 < len(everywhere)
+
+
+def test_month_indexes_find_what_lies_apart(spark, tmp_path):
+    """Visits over several months, groups over two encounters, events of another month, and rows without any time."""
+    from wardline.sources import months as mt
+
+    encounter = spark.sql("""SELECT * FROM VALUES (1L, 10L, TIMESTAMP_NTZ'2024-01-31 23:00:00'), (2L, 10L, TIMESTAMP_NTZ'2024-03-01 00:00:00'),
+        (3L, 11L, CAST(NULL AS TIMESTAMP_NTZ)), (4L, CAST(NULL AS BIGINT), TIMESTAMP_NTZ'2024-05-05 00:00:00') AS t(encounter_id, visit_id, encounter_datetime)""")
+    obs = spark.sql("""SELECT * FROM VALUES
+        (1L, 7L, 1L, 50, 100L, TIMESTAMP_NTZ'2024-02-02 00:00:00', TIMESTAMP_NTZ'2024-12-24 00:00:00'),
+        (2L, 7L, 2L, 51, 100L, TIMESTAMP_NTZ'2024-03-01 00:00:00', CAST(NULL AS TIMESTAMP_NTZ)),
+        (3L, 8L, 3L, 50, CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP_NTZ), TIMESTAMP_NTZ'2023-07-01 00:00:00'),
+        (4L, 8L, 99L, 52, 101L, TIMESTAMP_NTZ'2022-02-02 00:00:00', CAST(NULL AS TIMESTAMP_NTZ)),
+        (5L, CAST(NULL AS BIGINT), 4L, 52, 101L, TIMESTAMP_NTZ'2022-02-02 00:00:00', CAST(NULL AS TIMESTAMP_NTZ))
+        AS t(obs_id, person_id, encounter_id, concept_id, obs_group_id, obs_datetime, value_datetime)""")
+    path = str(tmp_path)
+    store_entities({"encounter": encounter, "obs": obs}, path)
+    index = mt.load_indexes(spark, path)
+    assert {r["enc_month"] for r in spark.read.parquet(f"{path}/obs").collect()} == {"2024-01", "2024-03", "undated", "2022-02", "2024-05"}
+    visits = spark.sql("SELECT 10L AS visit_id")
+    assert mt.of_visits(index["obs_months_by_visit"], visits, "2024-03-01", "2024-03-31") == ["2024-01", "2024-03"]
+    assert mt.of_visits(index["obs_months_by_visit"], visits, "2024-02-01", "2024-02-28") == []
+    times = index["obs_months_by_time"]
+    assert mt.of_times(times, [50], "value_datetime", "2024-12-24", "2024-12-24") == ["2024-01"]
+    assert mt.of_times(times, [50], "value_datetime", None, "2023-12-31") == ["undated"]
+    assert mt.of_times(times, [51], "obs_datetime") == ["2024-03"]
+    assert mt.of_persons(index["obs_months_by_person"], spark.sql("SELECT 8L AS person_id")) == ["2022-02", "undated"]
+    assert mt.with_groups(index["obs_months_by_group"], ["2024-01"]) == ["2024-01", "2024-03"]
+    assert mt.with_groups(index["obs_months_by_group"], []) == []
+    store_entities({"obs": obs}, f"{path}/alone")
+    assert mt.load_indexes(spark, f"{path}/alone") == {} == mt.load_indexes(spark, f"{path}/nothing")
+
+
 def test_dated_reports_keep_observations_of_other_months(spark, tmp_path):
     """Observations stored alone, or with a month of the user's own, are cut by their encounters only."""
     from dataclasses import replace

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from wardline.functions.clinical import age_at
 from wardline.functions.text import format_address, site_key
 from wardline.operators import dictionary as dc
 from wardline.operators.filters import date_range, in_months, not_voided, type_in
+from wardline.sources.months import of_persons, of_times, of_visits, with_groups
 
 # Fixed value: display order of the address parts.
 ADDRESS_ORDER = ("address2", "city_village", "address1", "state_province", "county_district", "country")
@@ -62,6 +63,53 @@ class Clinic:
         rows = not_voided(in_months(self["obs"], start, end, "enc_month")).drop("month", "enc_month")
         return rows if anchors is None else rows.join(anchors.select("encounter_id"), "encounter_id", "left_semi")
 
+    def _in_months(self, rows: DataFrame, index: str, months: Callable[[DataFrame], list[str]], column: str = "enc_month") -> DataFrame:
+        """Rows of the folders a side table names; all rows where there is no such table."""
+        if "enc_month" in self["obs"].columns and index in self.tables and column in rows.columns:
+            # Encounters without a time lie in no month's folder.
+            undated = F.col(column).isNull() if column == "month" else F.lit(False)
+            rows = rows.filter(F.col(column).isin(months(self[index])) | undated)
+        return rows
+
+    def visit_obs(self, visits: DataFrame, start=None, end=None) -> DataFrame:
+        """Live observations of all encounters of the visits, with their visit.
+
+        Each visit has an encounter between the days.
+        """
+        visits = visits.select("visit_id").distinct()
+
+        @cache
+        def months(index: DataFrame) -> list[str]:
+            return of_visits(index, visits, start, end)
+
+        own = self._in_months(self["encounter"], "obs_months_by_visit", months, "month").select("encounter_id", "visit_id")
+        obs = self._in_months(not_voided(self["obs"]), "obs_months_by_visit", months)
+        return obs.drop("month", "enc_month", "visit_id").join(own.join(visits, "visit_id", "left_semi"), "encounter_id")
+
+    def person_obs(self, persons: DataFrame) -> DataFrame:
+        """Live observations of the persons, of any time."""
+        obs = self._in_months(not_voided(self["obs"]), "obs_months_by_person", lambda index: of_persons(index, persons))
+        return obs.drop("month", "enc_month").join(persons.select("person_id"), "person_id", "left_semi")
+
+    def obs_at(self, concepts: Sequence[int], kind: str, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+        """Live answers to the questions whose own time may lie between the days, and what may be in their groups.
+
+        ``kind`` names the time's column.  Both keep every row of the folders that
+        are opened: the caller compares times and groups.
+        """
+        live, groups = not_voided(self["obs"]), self.tables.get("obs_months_by_group")
+
+        @cache
+        def months(index: DataFrame) -> list[str]:
+            return of_times(index, list(concepts), kind, start, end)
+
+        def wider(index: DataFrame) -> list[str]:
+            return with_groups(groups, months(index))
+
+        asked = self._in_months(live, "obs_months_by_time", months).filter(F.col("concept_id").isin(list(concepts)))
+        members = live if groups is None else self._in_months(live, "obs_months_by_time", wider)
+        return asked.drop("month", "enc_month"), members.drop("month", "enc_month")
+
     def keyed(self, df: DataFrame, *columns: str) -> DataFrame:
         """Ids as text with the site in front when it has a number."""
         return df.withColumns({c: site_key(F.col(c), self.site) for c in columns})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.dates import readable_datetime
 from wardline.operators import observations as ob
-from wardline.operators.filters import not_voided, on_date_at_location
+from wardline.operators.filters import in_months, not_voided, on_date_at_location
 from wardline.operators.observations import with_labels
 from wardline.operators.programs import born_in_facility
 from wardline.operators.ranking import first_rows, pivot_ranked
@@ -243,9 +243,13 @@ def delivery_register(clinic: Clinic, start, end) -> DataFrame:
     return in_order(shown, columns.DELIVERY_REGISTER)
 
 
+def _discharged(clinic: Clinic, types: Sequence, day, place) -> DataFrame:
+    rows = not_voided(on_date_at_location(in_months(clinic["encounter"], day, day), types, day, place))
+    return rows.select("patient_id", "encounter_id", "visit_id", "encounter_datetime")
+
+
 def _discharges(clinic: Clinic, types: Sequence, day, place) -> DataFrame:
-    rows = not_voided(on_date_at_location(clinic["encounter"], types, day, place))
-    rows = rows.select("patient_id", "encounter_id", "visit_id", "encounter_datetime")
+    rows = _discharged(clinic, types, day, place)
     rows = clinic.with_identifiers(rows, ["emr_id"])
     rows = clinic.with_name(rows, "name")
     rows = clinic.with_provider(rows, "discharge_provider")
@@ -256,8 +260,8 @@ def discharge_list(clinic: Clinic, day, place) -> DataFrame:
     """Patients discharged from a ward on a day; the latest disposition of the visit counts."""
     rows = _discharges(clinic, clinic.types["discharge"], day, place)
     # Observations of the listed visits, found through the encounters of those visits.
-    own = clinic["encounter"].select("encounter_id", "visit_id").join(rows.select("visit_id").distinct(), "visit_id", "left_semi")
-    obs = clinic.live_obs().filter(F.col("concept_id") == clinic.codes["disposition"]).join(own, "encounter_id")
+    obs = clinic.visit_obs(_discharged(clinic, clinic.types["discharge"], day, place), day, day)
+    obs = obs.filter(F.col("concept_id") == clinic.codes["disposition"])
     latest = ob.collect_obs(obs, "visit_id", [ob.label("disposition", clinic.codes["disposition"])], clinic.labels)
     rows = rows.join(latest, "visit_id", "left")
     return rows.select("emr_id", "name", "discharged", "disposition", "discharge_provider")

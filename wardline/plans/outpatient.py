@@ -38,8 +38,7 @@ def outpatient_dispensing(
     anchors = clinic.encounters("dispensing", start, end).select("patient_id", "visit_id", "encounter_id", "encounter_datetime")
     anchors = exclude_flagged_persons(anchors, clinic["person_attribute"], clinic.attributes["test"], include_voided=True)
     # Everything recorded in the visits of the listed encounters.
-    own = clinic["encounter"].select("encounter_id", "visit_id").join(anchors.select("visit_id").distinct(), "visit_id", "left_semi")
-    visit_obs = clinic.live_obs().drop("visit_id").join(own, "encounter_id")
+    visit_obs = clinic.visit_obs(anchors, start, end)
     wide = ob.collect_obs(visit_obs, "visit_id", outpatient_visit_wants(codes), clinic.labels)
     ranked = ob.ranked_answers(
         visit_obs, "visit_id", {"diag": codes["diagnosis"], "certainty": codes["diagnosis_certainty"], "order": codes["diagnosis_order"]},

@@ -120,9 +120,9 @@ def diagnosis_export(
     the retrospective flag.
     """
     codes = clinic.codes
-    live = not_voided(clinic["obs"])
+    asked, live = clinic.obs_at([codes["diagnosis"], codes["diagnosis_free_text"]], "obs_datetime", start, end)
     shared = ["person_id", "encounter_id", "obs_id", "obs_datetime"]
-    coded = date_range(live.filter(F.col("concept_id") == codes["diagnosis"]), "obs_datetime", start, end).select(
+    coded = date_range(asked.filter(F.col("concept_id") == codes["diagnosis"]), "obs_datetime", start, end).select(
         *shared, "obs_group_id", F.col("value_coded").alias("diagnosis_concept"), F.lit("1").alias("coded")
     )
     # Only the groups of these diagnoses are read for their order and certainty.
@@ -138,7 +138,7 @@ def diagnosis_export(
     )
     coded = dc.retrieve_code(coded, clinic["concept_map"], "diagnosis_concept", code_source, "icd10_code")
     coded = dc.concept_in_sets(coded, clinic["concept_set"], "diagnosis_concept", sets)
-    free = date_range(live.filter(F.col("concept_id") == codes["diagnosis_free_text"]), "obs_datetime", start, end).select(
+    free = date_range(asked.filter(F.col("concept_id") == codes["diagnosis_free_text"]), "obs_datetime", start, end).select(
         *shared, F.col("value_text").alias("diagnosis_entered"), F.lit("0").alias("coded")
     )
     rows = append_sets(coded, free).withColumnRenamed("person_id", "patient_id")

@@ -126,10 +126,8 @@ def delivery_summary(clinic: Clinic, shift: Shift) -> DataFrame:
     """
     codes = clinic.codes
     deliveries = clinic.encounters("delivery").select("encounter_id")
-    live = not_voided(clinic["obs"])
-    births = live.filter(
-        (F.col("concept_id") == codes["delivery_datetime"]) & shift.covers(F.col("value_datetime"))
-    ).join(deliveries, "encounter_id", "left_semi").select("obs_group_id").distinct()
+    asked, live = clinic.obs_at([codes["delivery_datetime"]], "value_datetime", shift.start, shift.end)
+    births = asked.filter(shift.covers(F.col("value_datetime"))).join(deliveries, "encounter_id", "left_semi").select("obs_group_id").distinct()
     facts = live.join(births, "obs_group_id", "left_semi")
     wants = [ob.peak("outcome", codes["birth_outcome"], "label"), ob.peak("kind", codes["delivery_type"], "value_coded")]
     babies = ob.group_values(facts, wants, clinic.labels)
@@ -169,7 +167,7 @@ def death_list(clinic: Clinic, shift: Shift) -> DataFrame:
         matched, clinic["patient_state"], clinic["program_workflow_state"], clinic.labels, "death_date", "pregnancy_status"
     )
     rows = rows.join(matched.select("patient_id", "patient_program_id", "date_enrolled", "pregnancy_status"), "patient_id", "left")
-    own = not_voided(clinic["obs"]).join(keys.withColumnRenamed("patient_id", "person_id"), "person_id", "left_semi")
+    own = clinic.person_obs(keys.withColumnRenamed("patient_id", "person_id"))
 
     def latest(role: str, value: str, name: str) -> DataFrame:
         facts = own.filter(F.col("concept_id") == codes[role])

@@ -7,9 +7,10 @@ from collections.abc import Iterable, Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wardline.operators.filters import date_range, in_months
+from wardline.sources.months import by_encounter_month, store_indexes
 from wardline.sources.schemas import ENTITIES, FACT_TIMES
 
 
@@ -76,13 +77,13 @@ def store_entities(tables: Mapping[str, DataFrame], path: str) -> None:
 
     Observations stored with their encounters lie in folders of ``enc_month``, the
     month of their encounter (their own where it is unknown), so a report that asks for
-    encounters of a month finds their observations in one folder.  Stored alone they lie
+    encounters of a month finds their observations in one folder; side tables
+    (``months.py``) say where those of a visit, person, time or group lie.  Stored alone they lie
     in their own ``month``, by which no report is cut.  Encounters stored again without
     the observations that lie in their months are an error, as their dates may differ.
     Rows are dealt by ranges of month and encounter: few files a month, a month of many
     rows spread over tasks, and an encounter's observations side by side.
     """
-    months = None
     if "encounter" in tables and "obs" not in tables:
         try:
             there = tables["encounter"].sparkSession.read.parquet(f"{path}/obs").columns
@@ -90,20 +91,22 @@ def store_entities(tables: Mapping[str, DataFrame], path: str) -> None:
             there = []
         if "enc_month" in there:
             raise ValueError("observations are stored by the months of their encounters: store both together")
-    if "encounter" in tables:
-        months = tables["encounter"].select("encounter_id", F.date_format("encounter_datetime", "yyyy-MM").alias("_month"))
+    together = "encounter" in tables and "obs" in tables
     for name, table in tables.items():
         if name in FACT_TIMES:
-            month, own = "month", F.date_format(FACT_TIMES[name], "yyyy-MM")
-            dated = table.withColumn(month, own)
-            if name == "obs" and months is not None:
-                month = "enc_month"
-                columns = [c for c in table.columns if c != month]
-                dated = table.select(*columns).join(months, "encounter_id", "left").withColumn(month, F.coalesce("_month", own)).select(*columns, month)
+            month = "enc_month" if name == "obs" and together else "month"
+            if month == "enc_month":
+                dated = by_encounter_month(table, tables["encounter"])
+            else:
+                dated = table.withColumn(month, F.date_format(FACT_TIMES[name], "yyyy-MM"))
             dealt = dated.repartitionByRange(month, "encounter_id") if "encounter_id" in dated.columns else dated.repartitionByRange(month)
             dealt.sortWithinPartitions(month, *(["encounter_id"] if "encounter_id" in dated.columns else [])).write.mode("overwrite").partitionBy(month).parquet(f"{path}/{name}")
         else:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
+    if together:
+        spark, obs = tables["obs"].sparkSession, tables["obs"]
+        schema = StructType([*(f for f in obs.schema if f.name != "enc_month"), StructField("enc_month", StringType())])
+        store_indexes(spark.read.schema(schema).parquet(f"{path}/obs"), tables["encounter"], path)
 
 
 def materialize_table(df: DataFrame, root: str, version: str) -> DataFrame:
