@@ -55,8 +55,8 @@ def op3(spark, sf_dir):
 @query("op4_mixing")
 def op4(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, corpus_pipeline.domain_model(spark, docs, sf_dir), corpus_pipeline.MIXTURE)
-    shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(corpus_pipeline.MIXTURE))]
+    mixed = mixing.mix(docs, mixing.language_model(docs, read(spark, sf_dir, "labels")), mixing.MIXTURE, highest=mixing.HIGHEST)
+    shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.MIXTURE))]
     return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
 
 
