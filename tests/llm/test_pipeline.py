@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_joins import brute_join, brute_repeats
-from wardline.llm import quality_classifier
+from wardline.llm import mixing, quality_classifier
 
 DIR = "/root/testdata/sf0.001"
 
@@ -74,7 +74,7 @@ def test_mixture_keeps_all_and_repeats_some(steps):
     words = F.size(F.split(F.trim("text"), r"\s+"))
     by = {r["lang"]: r["n"] for r in mixed.groupBy("lang").agg(F.sum(words).alias("n")).collect() if r["lang"]}
     total = sum(by.values())
-    assert all(abs(by[d] / total - w) < 0.12 for d, w in cp.MIXTURE.items())
+    assert all(abs(by[d] / total - w) < 0.12 for d, w in mixing.MIXTURE.items())
 
 
 def test_packing_holds_every_row(steps):
