@@ -11,21 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import mixing, quality_classifier
-from wardline.llm.common import held_out, lowest_hashes, read, written
+from wardline.llm.common import read, written
 from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.packing import pack_documents
 from wardline.llm.substring_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-# What the mixture should hold of each domain.
-MIXTURE = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
-
-
-def domain_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixing.Model:
-    """Domains as the language of labelled documents says them; a bounded number of ids is asked for."""
-    labelled = read(spark, sf_dir, "labels").select("doc_id").filter(~held_out(F.col("doc_id")))
-    picked = labelled.filter(lowest_hashes(labelled, F.col("doc_id"), mixing.SAMPLE_TEXTS)).distinct()
-    return mixing.train(docs.join(F.broadcast(picked), "doc_id", "left_semi"), tuple(sorted(MIXTURE)), domain_col="lang")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +53,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture wants them, at least once.
 
-    The total is the smallest at which no language loses a token, so others repeat.
+    The total is the smallest at which no language loses a token, so others repeat, each
+    document ``mixing.HIGHEST`` times at most.
     """
-    mixed = mixing.mix(docs, domain_model(spark, docs, sf_dir), MIXTURE, lowest=1.0, carry=COLUMNS[1:])
+    model = mixing.language_model(docs, read(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, model, mixing.MIXTURE, lowest=1.0, highest=mixing.HIGHEST, carry=COLUMNS[1:])
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
