@@ -90,6 +90,50 @@ def test_toxicity(spark, given, edge):
     assert [r["score"] for r in toxicity.score_toxicity(edge.limit(1), empty).collect()] == [0.5]
 
 
+def test_toxicity_of_long_texts(spark, given):
+    """Clean text scores alike at every length, and the score is the brute-force one."""
+    docs, labels = given
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out(docs["doc_id"])).orderBy("doc_id").collect()
+    clean = [r["text"] for r in rows if r["toxic"] == 0 and r["text"]]
+    rng, long = np.random.default_rng(4), []
+    for size, times in ((2_000, 300), (16_000, 60), (60_000, 30), (200_000, 15), (600_000, 15)):
+        for _ in range(times):
+            order = [clean[i] for i in rng.permutation(len(clean))]
+            held = np.cumsum([len(text) for text in order])
+            long.append((size, "\n".join(order[: int(np.searchsorted(held, size)) + 1])))
+    table = spark.createDataFrame([(10 * i, size, text) for i, (size, text) in enumerate(long)], "doc_id long, size int, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table, model).collect()}
+    means = {size: np.mean([scores[10 * i] for i, (s, _) in enumerate(long) if s == size]) for size, _ in long}
+    assert all(abs(mean - means[2_000]) < 0.05 for mean in means.values()), means
+    for i in range(0, 300, 60):
+        words = toxicity.WORD(long[i][1].lower())
+        odds = [float(model.word_scores([w])[0][0]) for w in words]
+        bags = [np.mean(odds[k: k + 3]) for k in range(max(1, len(words) - 2))]
+        found = float(model.probability(np.array([max(bags) + model.bias]), np.array([float(len(bags))]))[0])
+        assert scores[10 * i] == pytest.approx(found, abs=1e-9)
+    # Long labelled texts reach the curve: told that half of them are toxic, it trusts the bags less.
+    many = spark.createDataFrame([(10**6 + i, long[-1][1][: 20_000]) for i in range(400)], "doc_id long, text string")
+    told = many.select("doc_id").selectExpr("doc_id", "1 as toxic")
+    both = docs.select("doc_id", "text").unionAll(many), labels.select("doc_id", "toxic").unionAll(told)
+    assert toxicity.train(*both).slope < 0.8 * toxicity.train(docs, both[1]).slope
+
+
+def test_tail_of_clean_bags():
+    values = np.random.default_rng(2).exponential(1.0, 200_000)
+    found = toxicity.tail(values)
+    for x in (0.5, 2.0, 6.0, 9.0, 14.0):
+        assert found.log_share(np.array([x]))[0] == pytest.approx(-x, abs=0.3 + 0.5 * max(0, x - 9))
+    # The highest of any number of clean bags is as surprising as any other.
+    rng = np.random.default_rng(3)
+    for n in (10, 1000, 20_000):
+        highest = np.array([rng.choice(values, n).max() for _ in range(300)])
+        assert found.surprise(highest, np.full(300, float(n))).mean() == pytest.approx(1.0, abs=0.25)
+    assert toxicity.tail(np.zeros(0)).log_share(np.zeros(1)).tolist() == [0.0]
+    same = toxicity.tail(np.ones(50))
+    assert np.isfinite(same.surprise(np.array([0.0, 1.0, 5.0]), np.ones(3) * 1e9)).all()
+
+
 def test_words_of_texts():
     texts = ["", "a", "a bb, ccc-d", " \n", "_x é9 " * 3, "日本 語"]
     owners, buckets, counts = toxicity.subwords(texts)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import held_out, labelled_texts, pieces
+from wardline.llm.common import held_out, labelled_texts, pieces, sample_labels
 from wardline.llm.quality_classifier import logistic
 
-# Bounds of the training sample: texts of each label and bytes of a text.
+# Bounds of the training sample: texts of each label and bytes of a text whose words
+# are learnt; of longer ones only the highest bag and the number of bags travel, for the curve.
 SAMPLE_TEXTS = 2000
 SAMPLE_BYTES = 16_000
 BUCKETS = 1 << 17
@@ -24,6 +25,8 @@ GRAMS = (3, 4, 5)
 # Words in a bag, and from one bag to the next: an insult counts as much in a long text as in a short one.
 BAG, STEP = 3, 1
 EPOCHS = 14
+# Clean bags above the last point of their tail.
+LEAST_BAGS = 64
 
 WORD = re.compile(r"\w+").findall
 # Bytes of text whose grams are held at once.
@@ -83,9 +86,45 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets).astype(np.int64), counts
 
 
+@dataclass(frozen=True)
+class Tail:
+    """How rarely a bag of clean text reaches a log-odds: log shares at ascending points.
+
+    Shares halve from point to point down to the LEAST_BAGS highest bags; beyond these
+    the log share falls by ``fall`` a unit, as fitted to their mean excess.
+    """
+
+    points: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    logs: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    fall: float = 1.0
+
+    def log_share(self, odds: np.ndarray) -> np.ndarray:
+        return np.interp(odds, self.points, self.logs) - self.fall * np.maximum(0, odds - self.points[-1])
+
+    def surprise(self, highest: np.ndarray, bags: np.ndarray) -> np.ndarray:
+        """-log of the chance that clean text of so many bags has one as high; the same for clean texts of every length."""
+        expected = np.log(bags) + self.log_share(highest)
+        # 1 - exp(-e) is e itself where e is small.
+        return np.where(expected < -20, -expected, -np.log(-np.expm1(-np.exp(np.clip(expected, -20, 3)))))
+
+
+def tail(bags: np.ndarray) -> Tail:
+    """The tail of the log-odds of clean bags."""
+    if not len(bags):
+        return Tail()
+    ordered = np.sort(bags)[::-1]
+    ranks = [len(ordered)]
+    while ranks[-1] // 2 >= LEAST_BAGS:
+        ranks.append(ranks[-1] // 2)
+    excess = float(ordered[: ranks[-1]].mean() - ordered[ranks[-1] - 1])
+    # Of equal points the one with the greatest share says how many bags reach it.
+    points, first = np.unique(ordered[np.array(ranks) - 1], return_index=True)
+    return Tail(points, np.log(np.array(ranks)[first] / len(ordered)), 1 / max(excess, 0.05 * float(ordered.std()), 1e-3))
+
+
 @dataclass(frozen=True)
 class Model:
-    """What a bucket adds to the softmax's log-odds, and the curve over a text's highest bag.
+    """What a bucket adds to the softmax's log-odds, and the curve over how rarely clean text holds a text's highest bag.
 
     Averaging is linear, so after training each bucket's embedding matters only by
     its product with the difference of the softmax's two rows.
@@ -95,6 +134,7 @@ class Model:
     bias: float
     slope: float
     base: float
+    clean: Tail = field(default_factory=Tail)
 
     def word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The score of each word of the texts, and the number of words of each text."""
@@ -103,14 +143,20 @@ class Model:
         sums = np.bincount(owners, weights=self.weights[buckets], minlength=n)
         return sums / np.maximum(1, np.bincount(owners, minlength=n)), counts
 
-    def highest(self, texts: list[str]) -> np.ndarray:
-        """The log-odds of each text's highest bag."""
+    def highest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The log-odds of each text's highest bag, and its number of bags."""
         scores, counts = self.word_scores(texts)
         ends = np.cumsum(counts)
-        return np.array([bag_means(scores[e - n: e]).max() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], dtype=np.float64) + self.bias
+        means = (bag_means(scores[e - n: e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True))
+        found = np.array([(m.max(), len(m)) for m in means], dtype=np.float64).reshape(-1, 2)
+        return found[:, 0] + self.bias, found[:, 1]
+
+    def evidence(self, highest: np.ndarray, bags: np.ndarray) -> np.ndarray:
+        """Surprises from about ten on say the same."""
+        return np.log1p(self.clean.surprise(highest, bags))
 
-    def probability(self, highest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * highest + self.base, -30, 30)))
+    def probability(self, highest: np.ndarray, bags: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(highest, bags) + self.base, -30, 30)))
 
 
 def bag_starts(n: int) -> np.ndarray:
@@ -130,13 +176,17 @@ def bag_means(scores: np.ndarray) -> np.ndarray:
     return (sums[ends] - sums[starts]) / (ends - starts)
 
 
-def fit(texts: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
+def fit(
+    texts: list[tuple[str, int]], share: float, seed: int = 7, longer: Callable[[Model], list[tuple[float, float, int]]] = lambda model: [],
+) -> Model:
     """Embeddings and softmax trained jointly by gradient steps over bags.
 
     The first epochs show bags drawn at random under their text's label; the later
     ones show a text's highest bag and one other, so that the words which make a text
-    toxic are found although only the text is labelled.  A third of the texts fits
-    the curve; it is weighted to ``share``, the share of label 1 among labelled rows.
+    toxic are found although only the text is labelled.  A third of the texts gives the
+    tail of clean bags and fits the curve, with what ``longer`` finds under the model's
+    words in texts too long to be here: highest bag, number of bags and label.  The curve
+    is weighted to ``share``, the share of label 1 among labelled rows.
     """
     share = min(0.999, max(0.001, share))
     base = float(np.log(share / (1 - share)))
@@ -211,18 +261,24 @@ def fit(texts: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
     model = Model(weights, float(bias[1] - bias[0]), 1.0, 0.0)
     scores = word_scores()
     rest = np.flatnonzero(fold) if len(set(ys[fold].tolist())) == 2 else np.arange(len(texts))
-    highest = np.array([bag_means(scores[numbers[d]]).max() for d in rest]) + model.bias
-    y = ys[rest]
+    means = [bag_means(scores[numbers[d]]) + model.bias for d in rest]
+    model = replace(model, clean=tail(np.concatenate([m for m, y in zip(means, ys[rest], strict=True) if not y])))
+    measured = [(m.max(), len(m), y) for m, y in zip(means, ys[rest].tolist(), strict=True)] + longer(model)
+    highest, bags, y = (np.array(column, dtype=np.float64) for column in zip(*measured, strict=True))
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
-    slope, base = logistic(highest, y, weight)
-    return Model(weights, model.bias, slope, base)
+    slope, base = logistic(model.evidence(highest, bags), y, weight)
+    return replace(model, slope=slope, base=base)
 
 
 def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", HELD_BYTES):
-            highest = model.highest(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(highest))], ["id", "score"])
+            highest, bags = model.highest(batch.column("text").to_pylist())
+            kept = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in kept), pa.array(model.probability(highest, bags)), pa.array(highest), pa.array(bags)],
+                [*kept, "score", "highest", "bags"],
+            )
 
     return score
 
@@ -231,12 +287,23 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
     """A model from a bounded sample of labelled rows outside the held-out fold."""
     texts = labelled_texts(docs, labels, target, SAMPLE_TEXTS, SAMPLE_BYTES)
     share = labels.filter(~held_out(F.col("doc_id")) & F.col(target).isin(0, 1)).agg(F.avg(target)).first()[0]
-    return fit(texts, 0.5 if share is None else share)
+
+    def longer(model: Model) -> list[tuple[float, float, int]]:
+        picked = F.broadcast(sample_labels(labels, [target], SAMPLE_TEXTS).select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("label")))
+        rows = docs.select(F.col("doc_id").alias("id"), "text").filter(F.octet_length("text") > SAMPLE_BYTES).join(picked, "id")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        found = rows.select("id", "label", "text").mapInArrow(_scorer(model), f"id {kind}, label int, score double, highest double, bags double")
+        return sorted((r["highest"], r["bags"], r["label"]) for r in found.drop("score").distinct().collect())
+
+    return fit(texts, 0.5 if share is None else share, longer=longer)
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The probability of label 1 for every whole text, from its highest bag of words.
 
+    A long text has more bags, so a higher one by chance: the curve is over how rarely
+    clean text of as many bags holds one as high.
+
     Returns id, held_out, score and predicted (1 where score >= threshold), one row
     per input row in no order.  A null text is an empty one, which has one bag of score
     0.  An empty table gives no rows; a model without both labels gives every text the
@@ -245,7 +312,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, id_col
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(_scorer(model), f"id {kind}, score double")
+    scored = rows.mapInArrow(_scorer(model), f"id {kind}, score double, highest double, bags double")
     return scored.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
