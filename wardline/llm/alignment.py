@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -16,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import pieces, written
-from wardline.llm.csr import Csr, intervals, members, spread
+from wardline.llm.csr import Csr, intervals, members, spread, tally
 
 CHUNK_BYTES = 1_000_000
-KEPT_ATOMS = 250_000
+KEPT_ATOMS = 200_000
+# Atoms that are encoded as one text, and that are aligned at once.
+JOINED_ATOMS, ALIGNED_ATOMS = 500, 20_000
 # A space that stands alone between two other characters: tokens of neither kind go across its left edge.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE_SIGN = "▁"
@@ -74,43 +75,70 @@ class Aligned:
     shared: Csr  # A tokens by B tokens, 1 where both are in one group
 
 
-def align(a_ids: list[list[int]], b_ids: list[list[int]], a_size: np.ndarray, b_size: np.ndarray) -> Aligned:
+def align(a: np.ndarray, b: np.ndarray, a_starts: np.ndarray, b_starts: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> Aligned:
     """Overlaps of tokens whose bytes, text by text, are the same.
 
     Token-byte incidence matrices A and B have a row a token; A · Bᵀ holds the bytes two
     tokens share.  Groups end where tokens of both kinds end, so links never leave a
     group; the product of the group incidences links all tokens of a group.
     """
-    a = np.fromiter(chain.from_iterable(a_ids), dtype=np.int64)
-    b = np.fromiter(chain.from_iterable(b_ids), dtype=np.int64)
     a_end, b_end = np.cumsum(a_size[a]), np.cumsum(b_size[b])
     total = int(a_end[-1]) if len(a_end) else 0
     assert total == (int(b_end[-1]) if len(b_end) else 0)
     links = intervals(a_end, total).times(intervals(b_end, total).transpose())
-    borders = np.intersect1d(a_end, b_end)
+    borders = np.intersect1d(a_end, b_end, assume_unique=True)
     a_group, b_group = np.searchsorted(borders, a_end), np.searchsorted(borders, b_end)
     shared = members(a_group, len(borders)).times(members(b_group, len(borders)).transpose())
-    starts = [np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64) for ids in (a_ids, b_ids)]
-    return Aligned(a, b, *starts, a_group, b_group, links, shared)
+    return Aligned(a, b, a_starts, b_starts, a_group, b_group, links, shared)
 
 
-def _group_texts(aligned: Aligned) -> tuple[list[str], list[int]]:
-    """``a1,a2|b1`` of every group, and the first group of each text, and the end."""
-    n = int(aligned.a_group[-1]) + 1 if len(aligned.a_group) else 0
-    sides = []
-    for ids, groups in ((aligned.a, aligned.a_group), (aligned.b, aligned.b_group)):
-        names = list(map(str, ids.tolist()))
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(groups, minlength=n))]).tolist()
-        sides.append([names[x] if y - x == 1 else ",".join(names[x:y]) for x, y in zip(cuts, cuts[1:])])
-    first = np.append(aligned.a_group, n)[aligned.a_starts].tolist()
-    return [f"{x}|{y}" for x, y in zip(*sides, strict=True)], first
+class Names:
+    """Decimal ids with the sign that follows them: a comma, or the end of a group's side."""
+
+    def __init__(self, n_a: int, n_b: int):
+        signs = [(n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")]
+        self.first = np.concatenate([[0], np.cumsum([n for n, _ in signs])])
+        self.names = np.array([f"{i}{sign}" for n, sign in signs for i in range(n)], dtype=object)
+        self.lengths = np.array([len(x) for x in self.names], dtype=np.int64)
+
+    def groups(self, found: Aligned) -> tuple[list[str], np.ndarray]:
+        """``a1,a2|b1`` of every group, joined by ``;`` for each text, and the first group of each text, and the end."""
+        n = int(found.a_group[-1]) + 1 if len(found.a_group) else 0
+        a_cuts, b_cuts = (np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n))]) for g in (found.a_group, found.b_group))
+        code = np.empty(len(found.a) + len(found.b), dtype=np.int64)
+        for ids, group, cuts, before, kind in (
+            (found.a, found.a_group, a_cuts, b_cuts[:-1], 0), (found.b, found.b_group, b_cuts, a_cuts[1:], 2),
+        ):
+            at = np.arange(len(ids))
+            code[at + before[group]] = ids + self.first[kind + (at + 1 == cuts[1:][group])]
+        ends = np.concatenate([[0], np.cumsum(self.lengths[code])])[found.a_starts + found.b_starts].tolist()
+        joined = "".join(self.names[code].tolist())
+        return [joined[x: y - 1] for x, y in zip(ends, ends[1:])], np.append(found.a_group, n)[found.a_starts]
+
+
+class Growing:
+    """Rows of integers that are added in bulk."""
+
+    def __init__(self, width: int):
+        self.room, self.n = np.zeros((1024, width), dtype=np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.room):
+            room = np.zeros((2 * (self.n + len(rows)), self.room.shape[1]), dtype=np.int64)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n: self.n + len(rows)] = rows
+        self.n += len(rows)
 
 
 class Aligner:
     """What each atom, a text between two cuts, comes to; a bounded number is kept.
 
     Byte-level pieces and sentence pieces both start anew at a lone space, so a text's
-    tokens, groups and links are those of its atoms one after the other.
+    tokens, groups and links are those of its atoms one after the other.  For the same
+    reason new atoms are encoded many at once, joined by lone spaces, and their tokens
+    told apart by their bytes; where these are not the joined text's, or an atom has
+    white space at an end, each atom is encoded by itself.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -118,49 +146,93 @@ class Aligner:
         self.b, self.b_bytes = _piece_vocabulary(b_path)
         self.a_size = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+        self.names = Names(len(self.a_bytes), len(self.b_bytes))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.figures: list[tuple[int, int, int, int, int]] = []
+        # Of each atom: its first pair and its figures; of each pair: the two ids.
+        self.first, self.figures, self.pairs = Growing(1), Growing(len(FIGURES)), Growing(1)
+        self.first.add(np.zeros((1, 1), dtype=np.int64))
 
     def numbers(self, atoms: list[str]) -> list[int]:
         """The number of each atom, -1 where the two vocabularies don't give its bytes back."""
-        missing = [x for x in dict.fromkeys(atoms) if x not in self.known]
-        # Many small lists live for a moment here; none of them are cycles.
-        gc.disable()
-        for start in range(0, len(missing), 20_000):
-            self._add(missing[start: start + 20_000])
-        gc.enable()
+        missing = list(dict.fromkeys(x for x in atoms if x not in self.known))
+        for start in range(0, len(missing), ALIGNED_ATOMS):
+            some = missing[start: start + ALIGNED_ATOMS]
+            edged = [x for x in some if x[0].isspace() or x[-1].isspace()]
+            whole = [x for x in some if not (x[0].isspace() or x[-1].isspace())] if edged else some
+            runs = []
+            for at in range(0, len(whole), JOINED_ATOMS):
+                run = whole[at: at + JOINED_ATOMS]
+                tokens = self._joined(run)
+                if tokens is None:
+                    edged += run
+                else:
+                    runs.append((run, *tokens))
+            if edged:
+                runs.append(self._apart(edged))
+            self._add(runs)
         return list(map(self.known.__getitem__, atoms))
 
-    def _add(self, atoms: list[str]) -> None:
-        spaced = [" " + x for x in atoms]
-        a_ids = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
+    def _joined(self, atoms: list[str]):
+        """Ids of both kinds and the end of each atom's among them, or None if bytes or ends differ."""
+        text = " ".join(atoms)
+        raw = f" {text}".encode()
+        ends = np.cumsum([len(x) + 1 if x.isascii() else len(x.encode()) + 1 for x in atoms])
+        sides = (
+            (self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.a_bytes, self.a_size),
+            (self.b.encode(text, out_type=int), self.b_bytes, self.b_size),
+        )
+        out = []
+        for ids, made, size in sides:
+            if b"".join(map(made.__getitem__, ids)) != raw:
+                return None
+            ids = np.array(ids, dtype=np.int64)
+            reached = np.cumsum(size[ids])
+            at = np.searchsorted(reached, ends)
+            if (reached[at] != ends).any():
+                return None
+            out.append((ids, at + 1))
+        (a, a_ends), (b, b_ends) = out
+        return a, b, a_ends, b_ends
+
+    def _apart(self, atoms: list[str]):
+        """The atoms whose bytes both vocabularies give back, with their ids and ends; the others are known as -1."""
+        spaced = [f" {x}" for x in atoms]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b_ids = self.b.encode(atoms, out_type=int, num_threads=1)
-        a_raw, b_raw = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         good = []
         for i, text in enumerate(spaced):
             raw = text.encode()
-            if b"".join(map(a_raw, a_ids[i])) == raw == b"".join(map(b_raw, b_ids[i])):
+            if b"".join(map(self.a_bytes.__getitem__, a_ids[i])) == raw == b"".join(map(self.b_bytes.__getitem__, b_ids[i])):
                 good.append(i)
             else:
                 self.known[atoms[i]] = -1
-        if not good:
+        sides = [[ids[i] for i in good] for ids in (a_ids, b_ids)]
+        flat = [np.fromiter(chain.from_iterable(ids), dtype=np.int64) for ids in sides]
+        return [atoms[i] for i in good], *flat, *(np.cumsum([len(x) for x in ids], dtype=np.int64) for ids in sides)
+
+    def _add(self, runs) -> None:
+        atoms = [x for run in runs for x in run[0]]
+        if not atoms:
             return
-        found = align([a_ids[i] for i in good], [b_ids[i] for i in good], self.a_size, self.b_size)
-        pair = (found.a[found.links.rows()] << ID_BITS) | found.b[found.links.indices]
+        a, b = (np.concatenate([run[k] for run in runs]) for k in (1, 2))
+        starts = []
+        for k in (1, 2):
+            before = np.cumsum([0] + [len(run[k]) for run in runs])
+            starts.append(np.concatenate([[0], *(run[k + 2] + n for run, n in zip(runs, before[:-1], strict=True))]).astype(np.int64))
+        found = align(a, b, *starts, self.a_size, self.b_size)
+        texts, first = self.names.groups(found)
         cuts = found.links.indptr[found.a_starts]
-        groups, first = _group_texts(found)
-        figures = [np.diff(found.a_starts), np.diff(found.b_starts), np.diff(first), np.diff(cuts), np.diff(found.shared.indptr[found.a_starts])]
-        self.figures += zip(*(f.tolist() for f in figures), strict=True)
-        self.texts += [";".join(groups[x:y]) for x, y in zip(first, first[1:])]
-        bounds = cuts.tolist()
-        self.pairs += [pair[x:y] for x, y in zip(bounds, bounds[1:])]
-        at = len(self.texts) - len(good)
-        self.known.update(zip([atoms[i] for i in good], range(at, at + len(good)), strict=True))
+        counts = [found.a_starts, found.b_starts, first, cuts, found.shared.indptr[found.a_starts]]
+        at = len(self.texts)
+        self.texts += texts
+        self.figures.add(np.stack([np.diff(c) for c in counts], axis=1))
+        self.first.add((self.pairs.n + cuts[1:])[:, None])
+        self.pairs.add(((found.a[found.links.rows()] << ID_BITS) | found.b[found.links.indices])[:, None])
+        self.known.update(zip(atoms, range(at, at + len(atoms)), strict=True))
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
@@ -194,14 +266,13 @@ def _chunks(a_path: str, b_path: str, id_type: pa.DataType):
                     digests.append("")
             # Atoms and pairs of this chunk, numbered within it.
             kinds, place = np.unique(number, return_inverse=True)
-            figures = np.array([aligner.figures[k] for k in kinds.tolist()], dtype=np.int64).reshape(-1, len(FIGURES))
-            lists = [aligner.pairs[k] for k in kinds.tolist()]
-            sizes = np.array([len(x) for x in lists], dtype=np.int64)
-            pairs, at = np.unique(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64), return_inverse=True)
-            atom_pairs = np.concatenate([[0], np.cumsum(sizes)])
-            texts = Csr(starts.astype(np.int64), place, np.ones(len(place), dtype=np.int64), len(kinds))
-            held = _holders(texts, Csr(atom_pairs, at, np.ones(len(at), dtype=np.int64), len(pairs)))
-            columns = [texts.apply(figures[:, k]) if len(kinds) else np.zeros(len(counts), dtype=np.int64) for k in range(len(FIGURES))]
+            figures, first = aligner.figures.room[kinds], aligner.first.room[:, 0]
+            sizes = first[kinds + 1] - first[kinds]
+            pairs, at = np.unique(aligner.pairs.room[spread(first[kinds], sizes), 0], return_inverse=True)
+            atoms_pairs = Csr(np.concatenate([[0], np.cumsum(sizes)]), at, np.ones(len(at), dtype=np.int64), len(pairs))
+            texts = tally(starts, place, len(kinds))
+            linked = texts.times(atoms_pairs)
+            columns = [texts.apply(figures[:, k]) for k in range(len(FIGURES))]
 
             def one(values, kind):
                 flat = pa.array(values, kind)
@@ -210,33 +281,15 @@ def _chunks(a_path: str, b_path: str, id_type: pa.DataType):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part.column("id").to_pylist()], pa.list_(id_type)), *(one(c, pa.int64()) for c in columns), one(digests, pa.string()),
-                    one(starts, pa.int64()), one(place, pa.int32()), one(atom_pairs, pa.int32()), one(at, pa.int32()),
-                    one(pairs, pa.int64()), one(held, pa.int32()),
+                    one(linked.indptr, pa.int64()), one(linked.indices, pa.int32()), one(linked.data, pa.int32()),
+                    one(pairs, pa.int64()), one(np.bincount(linked.indices, minlength=len(pairs)), pa.int32()),
                 ],
-                ["id", *FIGURES, "groups", "text_starts", "text_atoms", "atom_starts", "atom_pairs", "pairs", "holders"],
+                ["id", *FIGURES, "groups", "text_starts", "text_pairs", "text_links", "pairs", "holders"],
             )
 
     return run
 
 
-def _holders(texts: Csr, atoms: Csr) -> np.ndarray:
-    """How many texts hold each pair, from texts by atoms and atoms by pairs.
-
-    Each text's pairs are written to one place a pair; those whose place still holds
-    them are its distinct ones.
-    """
-    out, place = np.zeros(atoms.n_columns, dtype=np.int64), np.zeros(atoms.n_columns, dtype=np.int64)
-    lengths = np.diff(atoms.indptr)
-    for i in range(texts.n_rows):
-        mine = texts.indices[texts.indptr[i]: texts.indptr[i + 1]]
-        if len(mine):
-            pairs = atoms.indices[spread(atoms.indptr[:-1][mine], lengths[mine])]
-            order = np.arange(len(pairs))
-            place[pairs] = order
-            out[pairs[place[pairs] == order]] += 1
-    return out
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -252,11 +305,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = found.field("at").to_numpy(zero_copy_only=False)
                 counts[at] = found.field("n").to_numpy(zero_copy_only=False)
                 best[at] = found.field("best").to_numpy(zero_copy_only=False)
-            ones = numbers("atom_pairs")
-            atoms = Csr(numbers("atom_starts").astype(np.int64), ones, np.ones(len(ones), dtype=np.int64), n_pairs)
-            place = numbers("text_atoms")
-            texts = Csr(numbers("text_starts"), place, np.ones(len(place), dtype=np.int64), atoms.n_rows)
-            sums = [texts.apply(atoms.apply(v)) if n_pairs else np.zeros(texts.n_rows, dtype=np.int64) for v in (best, counts)]
+            texts = Csr(numbers("text_starts"), numbers("text_pairs"), numbers("text_links").astype(np.int64), n_pairs)
+            sums = [texts.apply(v) for v in (best, counts)]
             plain = [row.column(c).flatten() for c in ("id", *FIGURES)]
             yield pa.RecordBatch.from_arrays(
                 [*plain, *(pa.array(s, pa.int64()) for s in sums), row.column("groups").flatten()],
@@ -267,11 +317,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups and links between the tokens of a byte-level and a sentence-piece vocabulary.
 
-    Each task cuts its texts into chunks and stores a chunk as two matrices, texts by
-    atoms and atoms by id pairs, with the number of its texts that hold each pair.
+    Each task cuts its texts into chunks and stores a chunk as one matrix, texts by id
+    pairs (the product of texts by atoms and atoms by pairs), with the number of its
+    texts that hold each pair.
     Those numbers are summed over all chunks; every chunk then gets the counts of its own
     pairs back, so a pair that all documents hold is one row a chunk, not one a
-    document, and the sums of a text are two products with the chunk's counts.
+    document, and the sums of a text are products with the chunk's counts.
 
     Returns per input row: id, n_a, n_b, n_groups, n_links, n_shared (pairs of tokens in
     one group), n_best, count_sum, groups_sha256.  Null and empty texts, and those that
@@ -284,8 +335,8 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, id_col: s
     kind = docs.schema[id_col].dataType
     longs = ", ".join(f"{f} array<long>" for f in FIGURES)
     schema = (
-        f"id array<{kind.simpleString()}>, {longs}, groups array<string>, text_starts array<long>, text_atoms array<int>, "
-        "atom_starts array<int>, atom_pairs array<int>, pairs array<long>, holders array<int>"
+        f"id array<{kind.simpleString()}>, {longs}, groups array<string>, text_starts array<long>, text_pairs array<int>, "
+        "text_links array<int>, pairs array<long>, holders array<int>"
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = rows.mapInArrow(_chunks(byte_path, piece_path, to_arrow_type(kind)), schema)

@@ -73,3 +73,12 @@ def intervals(ends: np.ndarray, n_columns: int) -> Csr:
 def members(groups: np.ndarray, n_groups: int) -> Csr:
     """Incidence of rows that belong to one group each."""
     return Csr(np.arange(len(groups) + 1, dtype=np.int64), groups.astype(np.int64), np.ones(len(groups), dtype=np.int64), n_groups)
+
+
+def tally(starts: np.ndarray, columns: np.ndarray, n_columns: int) -> Csr:
+    """How often each row's list, from its start to the next one's, names each column."""
+    width = np.int64(max(n_columns, 1))
+    cell, counts = np.unique(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * width + columns, return_counts=True)
+    row, column = np.divmod(cell, width)
+    indptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(starts) - 1))]).astype(np.int64)
+    return Csr(indptr, column, counts.astype(np.int64), n_columns)
