@@ -101,3 +101,11 @@ def test_long_documents_are_cut(spark):
     rows = pack_documents(docs, WORDS).collect()
     assert sum(r["length"] for r in rows) == 36008
     assert os.path.exists(WORDS)
+
+
+def test_words_met_before_a_new_start_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 4)
+    made = []
+    kept = tokens._Bounded(lambda key: made.append(key) or key)
+    assert [kept[key] for key in (1, 2, 3, 4, 5, 1, 2)] == [1, 2, 3, 4, 5, 1, 2]
+    assert made == [1, 2, 3, 4, 5] and len(kept) <= 4

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import tokens
+from wardline.llm.common import pieces
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, copy long"
 GROUP_TOKENS = 4_000_000
+HELD_BYTES = 1 << 20
 
 
 def piece_cost(length, linear: float, quadratic: float):
@@ -88,7 +90,7 @@ def _packer(path: str, size: int, end_id: int, linear: float, quadratic: float,
             return made
 
         copies["n"] = 0
-        for batch in batches:
+        for batch in pieces(batches, "text", HELD_BYTES):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(key)
                 encoded.append(encoder.encode(text) + end)

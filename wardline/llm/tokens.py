@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from functools import lru_cache
 
 # The pattern that the byte-level vocabulary splits text with, the
@@ -33,7 +34,7 @@ def _byte_signs() -> list[str]:
 
 
 def _signs(piece: str) -> str:
-    return "".join(map(_byte_signs().__getitem__, piece.encode()))
+    return piece.encode().decode("latin-1").translate(_byte_signs())
 
 
 @lru_cache(maxsize=4)
@@ -57,16 +58,21 @@ def version(path: str) -> str:
 
 
 class _Bounded(dict):
-    """A dictionary that fills itself and starts anew when it holds too much."""
+    """A dictionary that fills itself; when it holds too much it starts anew beside what it held last."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.last: dict = {}
 
     def __missing__(self, key):
         if len(self) >= KEPT_PIECES:
+            self.last = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -109,18 +115,22 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        import numpy as np
-
         self.tokenizer = load(path)
-        self.pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
         merge = self.tokenizer.model.tokenize
-        self.by_piece = _Bounded(lambda piece: self.pack([token.id for token in merge(_signs(piece))]))
+        # Letters and signs of ASCII are written as themselves.
+        self.by_piece = _Bounded(lambda piece: self.pack([token.id for token in merge(piece if piece.isascii() else _signs(piece))]))
         self.by_word = _Bounded(self._word)
 
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _whole(self, piece: str) -> bytes:
         return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self.by_piece[word.lower().decode()]
         text = word.decode()
         plain = PLAIN.fullmatch(text)
         if plain is None:
