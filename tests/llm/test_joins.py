@@ -219,3 +219,18 @@ def test_texts_of_one_id_are_told_apart(spark):
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in sd.remove_repeats(docs).collect())
     long, short = sorted(pair, key=len, reverse=True)
     assert got == sorted([(1, 40, 0, passage), (2, 42, 40, " ".join(long.split()[40:])), (2, 2, 0, short), (3, 42, 40, "x y")])
+
+
+def test_a_pair_meets_under_its_lowest_shared_key():
+    from wardline.llm.jaccard_join import CLASSES, _blocks
+
+    shape = bytes([1] * CLASSES)
+    heads = {7: [-4, 1, 2, 3, 9], 8: [-5, 1, 2, 3, 9], 9: [3, 9]}
+    found = []
+    # Every key in a table of its own.
+    for key in (1, 2, 3, 9):
+        ids = [i for i in heads if key in heads[i]]
+        rows = {"slot": key, "key": key, "bi": 0, "bj": 0, "block": 0, "size": CLASSES, "shape": shape}
+        table = pa.Table.from_pylist([rows | {"id": i, "component": i, "heads": heads[i]} for i in ids])
+        found += _blocks(80)(table).to_pylist()
+    assert sorted((x["a"], x["b"]) for x in found) == [(7, 8), (7, 9), (8, 9)]

@@ -25,6 +25,8 @@ SMALL, GROUPS = 128, 64
 BLOCK, SLOT_ROWS, PAIRS = 512, 8_000, 20_000
 # Classes of tokens that a set's shape counts.
 CLASSES = 128
+# Lowest open keys that a set brings along: what tells whether a pair meets under a lower key, too.
+HEADS = 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -217,6 +219,8 @@ def _prune(percent: int):
 def _blocks(percent: int):
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
+        # Pairs meet under many keys, which lie in many tables; the lowest key they share counts.
+        heads = {id_: frozenset(keys) for id_, keys in zip(rows["id"], rows["heads"], strict=True)}
         cells: dict[tuple, tuple[list, list]] = {}
         for i, cell in enumerate(zip(rows["key"], rows["bi"], rows["bj"], strict=True)):
             sides = cells.setdefault(cell, ([], []))
@@ -225,23 +229,25 @@ def _blocks(percent: int):
             if rows["block"][i] == cell[2]:
                 sides[1].append(i)
         size, component, ids, shape = np.array(rows["size"]), np.array(rows["component"]), np.array(rows["id"]), _shapes(rows["shape"])
-        ones, twos, waiting = [], [], 0
+        ones, twos, under, waiting = [], [], [], 0
         found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
 
         def flush() -> None:
             nonlocal waiting
             if ones:
-                i, j = np.concatenate(ones), np.concatenate(twos)
+                i, j, keys = np.concatenate(ones), np.concatenate(twos), np.concatenate(under)
                 for at in range(0, len(i), PAIRS):
                     a, b = i[at: at + PAIRS], j[at: at + PAIRS]
                     may = surviving(shape[a], size[a], shape[b], size[b], percent)
                     x, y = ids[a[may]], ids[b[may]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    low = [min(heads[p] & heads[q], default=key) >= key for p, q, key in zip(x.tolist(), y.tolist(), keys[at: at + PAIRS][may].tolist(), strict=True)]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[np.array(low, dtype=bool)])
             ones.clear()
             twos.clear()
+            under.clear()
             waiting = 0
 
-        for (_, bi, bj), (left, right) in cells.items():
+        for (key, bi, bj), (left, right) in cells.items():
             a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
             i, j = (x.reshape(-1) for x in np.meshgrid(a, b, indexing="ij"))
             apart = component[i] != component[j]
@@ -249,7 +255,8 @@ def _blocks(percent: int):
                 apart &= i < j
             ones.append(i[apart])
             twos.append(j[apart])
-            waiting += int(apart.sum())
+            under.append(np.full(len(ones[-1]), key, dtype=np.int64))
+            waiting += len(ones[-1])
             if waiting > PAIRS:
                 flush()
         flush()
@@ -284,7 +291,9 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
        rule most pairs out, full sets decide the rest, and links make components.
     4. Keys whose sets lie in several components are compared once more, all of them
        against all in blocks, leaving out pairs of one component.  So no link between
-       components is lost, and copies of one text are not paired with each other.
+       components is lost, and copies of one text are not paired with each other.  A pair
+       counts under the lowest key it shares (as far as the ``HEADS`` lowest keys of both
+       tell), so rows grow with pairs, not with the keys and tables they meet in.
 
     Returns id, n_shingles and component_id, one row per input row.  A null or empty
     text has no shingles and links with nothing; a row without an id has no component
@@ -333,15 +342,16 @@ def jaccard_join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_ = written(placed.join(split, "key"), "shingle-open")
     slots = max(1, open_.count() // SLOT_ROWS)
+    heads = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEADS).alias("heads"))
     cells = (
-        open_.join(shapes.drop("common"), "id").withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int"))
+        open_.join(shapes.drop("common").join(heads, "id"), "id").withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         # Small keys share a table; each pair of blocks of a large one has its own.
         .withColumn("slot", F.when(F.col("nb") > 1, F.xxhash64("key", "bi", "bj")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slots))))
     )
-    more = cells.select("slot", "key", "bi", "bj", "block", "id", "size", "component", "shape").groupBy("slot").applyInArrow(
+    more = cells.select("slot", "key", "bi", "bj", "block", "id", "size", "component", "shape", "heads").groupBy("slot").applyInArrow(
         _blocks(percent), "a long, b long"
     ).distinct()
     links = written(first.unionAll(linked(more)), "shingle-links")
