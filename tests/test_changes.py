@@ -180,3 +180,19 @@ def test_packed_addresses(spark):
     assert out == {
         1: ("C", "D", "S", "", ""), 2: ("C", "D", "S", "Sec", "Vil"), 3: ("Home", "", "", "", ""), 4: ("Plain", "d", "s", None, None), 5: (None, "d", "s", None, None),
     }
+
+
+def test_few_rows_meet_a_change_set_and_none_is_missed(spark):
+    table = spark.range(10_000).withColumnRenamed("id", "obs_id").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS obs_id"))
+    keys = spark.createDataFrame([(5,), (77,), (77,), (None,), (20_000,)], "obs_id int")
+    marked = ch._marked(table, "obs_id", keys)
+    maybe = [r["obs_id"] for r in marked.filter("_maybe").collect()]
+    assert {5, 77} <= set(maybe) and len(maybe) < 20 and marked.count() == 10_001
+
+
+def test_updates_of_repeated_and_missing_keys_join_as_before(spark):
+    table = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "obs_id bigint, v string")
+    updates = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (9, "q")], "obs_id int, v string")
+    after = ch.apply_changeset(table, ch.ChangeSet("obs_id", None, updates))
+    got = sorted((r["obs_id"] or 0, r["v"]) for r in after.collect())
+    assert got == [(0, "d"), (1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, "c"), (3, "e")]

@@ -44,19 +44,51 @@ def derived_uuid(source: Column, role: str) -> Column:
     return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in cuts])
 
 
+# Bits that keys are hashed to, 64 to a row: at most a million rows are broadcast.
+FILTER_BITS = 1 << 26
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/wardline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _marked(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The table with ``_maybe``, false only where no key can equal the column.
+
+    Keys set bits by their hash, so few rows of the table go on to an exact join and
+    the others never move.
+    """
+    def place(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+
+    # Hashes differ by type.
+    key = F.col(keys.columns[0]).try_cast(table.schema[column].dataType)
+    bits = keys.select(place(key).alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_h & 63 AS INT))")).alias("_bits")
+    )
+    bits = F.broadcast(_kept(bits, "bits"))
+    hit = F.expr("coalesce((shiftrightunsigned(_bits, CAST(_h & 63 AS INT)) & 1L) = 1L, false)")
+    rows = table.withColumn("_h", place(F.col(column))).withColumn("_word", F.shiftright("_h", 6)).join(bits, "_word", "left")
+    return rows.select(*table.columns, hit.alias("_maybe"))
+
+
 def apply_changeset(table: DataFrame, change: ChangeSet) -> DataFrame:
     """The next version of the table."""
     out = table
     if change.updates is not None:
         columns = [c for c in change.updates.columns if c != change.key]
         side = change.updates.select(change.key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
-        joined = table.join(side, change.key, "left")
+        marked = _marked(table, change.key, change.updates.select(change.key))
+        joined = marked.filter("_maybe").join(side, change.key, "left")
         out = joined.select(
             *[
                 F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
                 for c in table.columns
             ]
-        )
+        ).unionByName(marked.filter("NOT _maybe").drop("_maybe"))
     if change.inserts is not None:
         fresh = _numbered(table, change)
         out = out.unionByName(fresh.select(*[c for c in table.columns if c in fresh.columns]), allowMissingColumns=True)
@@ -67,19 +99,18 @@ def _numbered(table: DataFrame, change: ChangeSet) -> DataFrame:
     """The inserts that the table does not hold yet, with ids above all of its own.
 
     The inserts are made once and written, so that every later read sees the same
-    numbers.  The table is the probe side of the UUID test: a small change set is
-    broadcast and the table's keys never move.  Inserts of one UUID (sources that share
-    an id) get an id each; what refers to them takes the lowest.
+    numbers, and so are those the table holds: whoever reads the next version would look
+    through the table again.  Only rows whose UUID may be among them meet the inserts.
+    Inserts of one UUID (sources that share an id) get an id each; what refers to them
+    takes the lowest.
     """
-    key, spark = change.key, table.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/wardline/inserts-{uuid.uuid4().hex}"
-    made = change.inserts.withColumn("uuid", F.lower("uuid")).withColumn("_order", F.monotonically_increasing_id())
-    made.write.parquet(path)
-    made = spark.read.schema(made.schema).parquet(path)
+    key = change.key
+    made = _kept(change.inserts.withColumn("uuid", F.lower("uuid")).withColumn("_order", F.monotonically_increasing_id()), "inserts")
     top = table.agg(F.max(key)).first()[0] or 0
     numbered = made.withColumn(key, (F.lit(top) + 1 + F.col("_order")).cast(table.schema[key].dataType)).drop("_order")
     # Rows an earlier run put there, and the ids they have.
-    present = table.select(key, F.lower("uuid").alias("uuid")).join(made.select("uuid"), "uuid", "left_semi").groupBy("uuid").agg(F.min(key).alias(key))
+    maybe = _marked(table.select(key, F.lower("uuid").alias("uuid")), "uuid", made.select("uuid")).filter("_maybe")
+    present = _kept(maybe.join(made.select("uuid"), "uuid", "left_semi").groupBy("uuid").agg(F.min(key).alias(key)), "present")
     fresh = numbered.join(present.select("uuid"), "uuid", "left_anti")
     if change.parent is not None:
         column, link = change.parent
