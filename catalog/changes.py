@@ -30,8 +30,13 @@ def applied(t, change) -> DataFrame:
     # Old rows carry their id as UUID here; derived UUIDs have dashes.
     new = F.col("uuid").contains("-")
     top = before.agg(F.max("obs_id")).scalar()
-    heads = after.filter(new).select(F.col("obs_id").alias("obs_group_id"), F.col("concept_id").alias("group_concept"))
-    return after.join(heads, "obs_group_id", "left").select(
+    if change.parent is None:
+        # No new row is a group.
+        grouped = after.withColumn("group_concept", F.lit(None).cast("int"))
+    else:
+        heads = after.filter(new).select(F.col("obs_id").alias("obs_group_id"), F.col("concept_id").alias("group_concept"))
+        grouped = after.join(heads, "obs_group_id", "left")
+    return grouped.select(
         F.when(~new, F.col("obs_id")).alias("obs_id"), F.when(F.col("group_concept").isNull(), F.col("obs_group_id")).alias("obs_group_id"),
         "group_concept", (new & (F.col("obs_id") <= top)).alias("taken"), *_SHOWN,
     )

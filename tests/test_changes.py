@@ -196,3 +196,17 @@ def test_updates_of_repeated_and_missing_keys_join_as_before(spark):
     after = ch.apply_changeset(table, ch.ChangeSet("obs_id", None, updates))
     got = sorted((r["obs_id"] or 0, r["v"]) for r in after.collect())
     assert got == [(0, "d"), (1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, "c"), (3, "e")]
+
+
+def test_a_group_id_that_no_row_has_stays(spark):
+    from types import SimpleNamespace
+
+    from catalog.changes import applied, whole_obs
+
+    obs = spark.createDataFrame(
+        [(1, 10, 1, 2, 5, 1.0, False)], "obs_id bigint, encounter_id bigint, concept_id int, obs_group_id bigint, value_coded int, value_numeric double, voided boolean"
+    )
+    t = SimpleNamespace(obs=obs)
+    change = ch.recode_concept(whole_obs(t), None, {1: 51}, None, "moved", now())
+    rows = applied(t, change).collect()
+    assert [(r["obs_group_id"], r["group_concept"]) for r in rows] == [(2, None), (2, None)]
