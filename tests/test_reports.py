@@ -225,6 +225,25 @@ def test_pivot_is_one_shuffle_and_prunes(spark):
     assert len(re.findall(r"Exchange hashpartitioning", many)) == 2 and "Join" not in many
 
 
+def test_observations_of_anchors_come_by_encounter_once(spark):
+    """One shuffle of the observations, one that finds their groups, one of the anchors; repeated anchors double nothing."""
+    from wardline.operators import observations as ob
+
+    base = clinic(Tables(spark, SMALL))
+    anchors = base.encounters("chronic").select("encounter_id")
+    odd = anchors.unionAll(anchors).unionAll(spark.createDataFrame([(None,)], "encounter_id bigint"))
+    wants = [ob.tally("n", list(range(8))), *[ob.number(f"c{i}", i) for i in range(1, 8)], *[ob.peak(f"p{i}", i) for i in range(30)]]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(re.findall(r"Exchange hashpartitioning", plan(ob.collect_obs(base.live_obs(anchors), "encounter_id", wants)))) == 3
+        made = sorted(map(tuple, ob.collect_obs(base.live_obs(odd), "encounter_id", wants).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    live_rows = base["obs"].filter("not voided").join(anchors, "encounter_id", "left_semi")
+    assert made == sorted(map(tuple, ob.collect_obs(live_rows, "encounter_id", wants).collect()), key=str)
+
+
 def test_top_n_limits_before_the_shuffle(spark):
     t = Tables(spark, SMALL)
     text = plan(rk.first_rows(t.obs, ["encounter_id"], [F.col("obs_id").desc()], 3))

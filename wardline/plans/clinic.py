@@ -61,7 +61,9 @@ class Clinic:
         they may have says nothing about their encounter and cuts nothing.
         """
         rows = not_voided(in_months(self["obs"], start, end, "enc_month")).drop("month", "enc_month")
-        return rows if anchors is None else rows.join(anchors.select("encounter_id"), "encounter_id", "left_semi")
+        # An inner join stays above the parts that the observations may be a union of, so they come by encounter
+        # once and the aggregates by encounter need no further shuffle; a semi join is pushed into each part.
+        return rows if anchors is None else rows.join(anchors.select("encounter_id").distinct(), "encounter_id")
 
     def _in_months(self, rows: DataFrame, index: str, months: Callable[[DataFrame], list[str]], column: str = "enc_month") -> DataFrame:
         """Rows of the folders a side table names; all rows where there is no such table."""
