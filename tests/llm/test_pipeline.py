@@ -92,3 +92,20 @@ def test_run_and_empty_table(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, DIR)
         assert empty.count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Each stage bounds the bytes handed over at once, whatever the session had."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64())})
+
+    texts = spark.range(4000, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 400) as text")
+    docs = texts.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "2000L as n_chars")
+    for _, stage in cp.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(50), DIR)
+        most = max(r["rows"] for r in texts.mapInArrow(sizes, "rows long").collect())
+        assert most * 2000 < 3 << 20

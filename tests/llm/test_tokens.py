@@ -1,6 +1,8 @@
 """Token counts and packing against the library itself, and edge rows."""
 
+import gc
 import os
+import weakref
 import zlib
 
 import public_tokenizers
@@ -109,3 +111,16 @@ def test_words_met_before_a_new_start_are_not_merged_again(monkeypatch):
     kept = tokens._Bounded(lambda key: made.append(key) or key)
     assert [kept[key] for key in (1, 2, 3, 4, 5, 1, 2)] == [1, 2, 3, 4, 5, 1, 2]
     assert made == [1, 2, 3, 4, 5] and len(kept) <= 4
+
+
+def test_pieces_go_with_their_task():
+    """Without a search for cycles, as workers seldom make one of all their objects."""
+    counter, encoder = tokens.ByteCounter(BYTES), tokens.WordEncoder(WORDS)
+    assert counter.count("some words, some pieces") and encoder.encode(b"some words, some pieces")
+    held = [weakref.ref(kept) for kept in (counter.by_word, counter.by_piece, encoder.by_word, encoder.by_piece)]
+    gc.disable()
+    try:
+        del counter, encoder
+        assert [kept() for kept in held] == [None] * 4
+    finally:
+        gc.enable()

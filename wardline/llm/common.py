@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 from wardline.session import scratch_dir
 
 FOLDS = 5
+BATCH_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of about 2 MB.
+
+    Rows are handed over by the thousand else, 20 MB and more of texts, which executor
+    and workers hold several times over.  Narrow rows still come by the thousand.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns labels from: crc32 of the id as text, modulo 5, is 0.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from functools import lru_cache
+from functools import lru_cache, partial
 
 # The pattern that the byte-level vocabulary splits text with, the
 # special string both vocabularies know, and white space outside ASCII.
@@ -58,7 +58,12 @@ def version(path: str) -> str:
 
 
 class _Bounded(dict):
-    """A dictionary that fills itself; when it holds too much it starts anew beside what it held last."""
+    """A dictionary that fills itself; when it holds too much it starts anew beside what it held last.
+
+    ``make`` must not lead back to the dictionary or its owner: a task's pieces, up to
+    100 MB, would then stay in the worker after the task until all objects are searched
+    for cycles, beside those of the tasks that follow.
+    """
 
     def __init__(self, make):
         super().__init__()
@@ -76,6 +81,11 @@ class _Bounded(dict):
         return value
 
 
+def _word_count(split, by_piece: _Bounded, word: str) -> int:
+    """Tokens of a word after a lone space."""
+    return sum(map(by_piece.__getitem__, split(" " + word)))
+
+
 class ByteCounter:
     """Counts tokens of the byte-level vocabulary.
 
@@ -92,7 +102,7 @@ class ByteCounter:
         # A piece of the pattern goes straight to the merges.
         merge = self.tokenizer.model.tokenize
         self.by_piece = _Bounded(lambda piece: len(merge(_signs(piece))))
-        self.by_word = _Bounded(lambda word: self._sum(" " + word))
+        self.by_word = _Bounded(partial(_word_count, self.split, self.by_piece))
 
     def _sum(self, text: str) -> int:
         return sum(map(self.by_piece.__getitem__, self.split(text)))
@@ -106,6 +116,21 @@ class ByteCounter:
         return self._sum(head) + sum(map(self.by_word.__getitem__, words))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _word_ids(tokenizer, by_piece: _Bounded, word: bytes) -> bytes:
+    if word.isalpha():
+        return by_piece[word.lower().decode()]
+    text = word.decode()
+    plain = PLAIN.fullmatch(text)
+    if plain is None:
+        return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+    letters, signs = plain.groups()
+    return by_piece[letters.lower()] + (by_piece[signs] if signs else b"")
+
+
 class WordEncoder:
     """Ids of the lower-casing vocabulary with word ends, as little-endian 32-bit numbers.
 
@@ -118,25 +143,8 @@ class WordEncoder:
         self.tokenizer = load(path)
         merge = self.tokenizer.model.tokenize
         # Letters and signs of ASCII are written as themselves.
-        self.by_piece = _Bounded(lambda piece: self.pack([token.id for token in merge(piece if piece.isascii() else _signs(piece))]))
-        self.by_word = _Bounded(self._word)
-
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _whole(self, piece: str) -> bytes:
-        return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():
-            return self.by_piece[word.lower().decode()]
-        text = word.decode()
-        plain = PLAIN.fullmatch(text)
-        if plain is None:
-            return self._whole(text)
-        letters, signs = plain.groups()
-        return self.by_piece[letters.lower()] + (self.by_piece[signs] if signs else b"")
+        self.by_piece = _Bounded(lambda piece: _packed([token.id for token in merge(piece if piece.isascii() else _signs(piece))]))
+        self.by_word = _Bounded(partial(_word_ids, self.tokenizer, self.by_piece))
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.by_word.__getitem__, text.split()))
