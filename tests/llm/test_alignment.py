@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,9 @@ from tokenizers import Tokenizer
 
 from wardline.llm import alignment
 from wardline.llm.alignment import align_tokenizers
+from wardline.llm.common import BATCH_BYTES
 from wardline.llm.csr import Csr, intervals, members
+from wardline.llm.queries import QUERIES
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -130,6 +133,42 @@ def test_cuts_change_nothing(text):
         assert ";".join(aligner.texts[i] for i in numbers) == ";".join(whole[2])
 
 
+def test_packed_numbers():
+    for top in (0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**62):
+        values = np.array([0, top, 1, top // 2], dtype=np.int64)
+        raw = alignment.packed(values)
+        assert alignment.unpacked(pa.py_buffer(raw)).tolist() == values.tolist()
+        assert len(raw) == 1 + 4 * next(n for n in (1, 2, 4, 8) if top < 256**n)
+    assert alignment.unpacked(pa.py_buffer(alignment.packed(np.zeros(0, dtype=np.int64)))).tolist() == []
+
+
+def test_a_chunk_is_a_small_row():
+    """Executors hold rows several times over: less than the chunk's text, even of made-up words that many pieces write."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("aeiourstnlmdp"), rng.integers(3, 9))) for _ in range(3000)])
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    rows = list(alignment._chunks(A, B, pa.int64())(iter([batch])))
+    assert sum(len(row.column("id")[0]) for row in rows) == len(texts)
+    for row in rows:
+        held = sum(len(texts[i.as_py()]) for i in row.column("id")[0].values)
+        assert row.nbytes < held
+
+
+def test_query_keeps_batches_small(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = [(1, "a b c"), (2, None), (1, "a b c"), (None, "x  y")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.unset(name)
+    try:
+        got = QUERIES["op13_alignment"](spark, str(tmp_path))
+        assert spark.conf.get(name) == str(BATCH_BYTES)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == plain(docs)
+    finally:
+        spark.conf.set(name, before)
+
+
 _TOOLS = []
 
 

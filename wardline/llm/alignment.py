@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import pieces, written
+from wardline.llm.common import BATCH_BYTES, pieces, written
 from wardline.llm.csr import Csr, intervals, members, spread, tally
 
-CHUNK_BYTES = 1_000_000
+# Two chunks make a batch as ``small_batches`` hands them over.
+CHUNK_BYTES = BATCH_BYTES // 2
 KEPT_ATOMS = 200_000
 # Atoms that are encoded as one text, and that are aligned at once.
 JOINED_ATOMS, ALIGNED_ATOMS = 500, 20_000
@@ -238,6 +239,16 @@ class Aligner:
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from zero on, each in the fewest of 1, 2, 4 and 8 bytes that hold all of them; the first byte tells how many."""
+    kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
+    return bytes([kind.itemsize]) + values.astype(kind.newbyteorder("<")).tobytes()
+
+
+def unpacked(raw: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _chunks(a_path: str, b_path: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_path, b_path)
@@ -281,10 +292,10 @@ def _chunks(a_path: str, b_path: str, id_type: pa.DataType):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part.column("id").to_pylist()], pa.list_(id_type)), *(one(c, pa.int64()) for c in columns), one(digests, pa.string()),
-                    one(linked.indptr, pa.int64()), one(linked.indices, pa.int32()), one(linked.data, pa.int32()),
-                    one(pairs, pa.int64()), one(np.bincount(linked.indices, minlength=len(pairs)), pa.int32()),
+                    *(pa.array([packed(x)], pa.binary()) for x in (linked.indptr, linked.indices, linked.data)),
+                    pa.array([len(pairs)], pa.int64()), one(pairs, pa.int64()), one(np.bincount(linked.indices, minlength=len(pairs)), pa.int32()),
                 ],
-                ["id", *FIGURES, "groups", "text_starts", "text_pairs", "text_links", "pairs", "holders"],
+                ["id", *FIGURES, "groups", "text_starts", "text_pairs", "text_links", "n_pairs", "pairs", "holders"],
             )
 
     return run
@@ -295,17 +306,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
 
-            def numbers(name):
-                return row.column(name).flatten().to_numpy(zero_copy_only=False)
-
-            n_pairs = int(row.column("n_pairs")[0].as_py())
+            n_pairs = row.column("n_pairs")[0].as_py()
             counts, best = np.zeros(n_pairs, dtype=np.int64), np.zeros(n_pairs, dtype=np.int64)
             found = row.column("found").flatten()
             if len(found):
                 at = found.field("at").to_numpy(zero_copy_only=False)
                 counts[at] = found.field("n").to_numpy(zero_copy_only=False)
                 best[at] = found.field("best").to_numpy(zero_copy_only=False)
-            texts = Csr(numbers("text_starts"), numbers("text_pairs"), numbers("text_links").astype(np.int64), n_pairs)
+            texts = Csr(*(unpacked(row.column(c)[0].as_buffer()) for c in ("text_starts", "text_pairs", "text_links")), n_pairs)
             sums = [texts.apply(v) for v in (best, counts)]
             plain = [row.column(c).flatten() for c in ("id", *FIGURES)]
             yield pa.RecordBatch.from_arrays(
@@ -322,7 +330,9 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, id_col: s
     texts that hold each pair.
     Those numbers are summed over all chunks; every chunk then gets the counts of its own
     pairs back, so a pair that all documents hold is one row a chunk, not one a
-    document, and the sums of a text are products with the chunk's counts.
+    document, and the sums of a text are products with the chunk's counts.  A matrix
+    travels as packed bytes, a few hundred KB a chunk; callers keep the batches small
+    (``small_batches``), which executor and workers hold several times over.
 
     Returns per input row: id, n_a, n_b, n_groups, n_links, n_shared (pairs of tokens in
     one group), n_best, count_sum, groups_sha256.  Null and empty texts, and those that
@@ -335,8 +345,8 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, id_col: s
     kind = docs.schema[id_col].dataType
     longs = ", ".join(f"{f} array<long>" for f in FIGURES)
     schema = (
-        f"id array<{kind.simpleString()}>, {longs}, groups array<string>, text_starts array<long>, text_pairs array<int>, "
-        "text_links array<int>, pairs array<long>, holders array<int>"
+        f"id array<{kind.simpleString()}>, {longs}, groups array<string>, text_starts binary, text_pairs binary, "
+        "text_links binary, n_pairs long, pairs array<long>, holders array<int>"
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = rows.mapInArrow(_chunks(byte_path, piece_path, to_arrow_type(kind)), schema)
@@ -347,7 +357,7 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, id_col: s
     most = counts.groupBy(first.alias("a")).agg(F.max("n").alias("most"))
     ranked = counts.withColumn("a", first).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
     known = held.select("chunk", "at", "pair").join(ranked, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "best")).alias("found"))
-    own = chunks.withColumn("n_pairs", F.size("pairs")).drop("pairs", "holders")
+    own = chunks.drop("pairs", "holders")
     full = own.join(known, "chunk", "left").drop("chunk")
     sums = f"id {kind.simpleString()}, " + ", ".join(f"{f} long" for f in (*FIGURES, "n_best", "count_sum")) + ", groups_sha256 string"
     return full.mapInArrow(_summed, sums).withColumnRenamed("id", id_col)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wardline.llm import html_extraction, mixing, quality_classifier, quality_rules, toxicity
 from wardline.llm.alignment import align_tokenizers
-from wardline.llm.common import read
+from wardline.llm.common import read, small_batches
 from wardline.llm.embedding_dedup import near_vectors
 from wardline.llm.importance import resample
 from wardline.llm.jaccard_join import jaccard_join
@@ -179,4 +179,5 @@ def op12(spark, sf_dir):
 
 @query("op13_alignment")
 def op13(spark, sf_dir):
+    small_batches(spark)
     return align_tokenizers(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
